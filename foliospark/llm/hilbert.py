@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -23,7 +23,7 @@ def order_number(column: Column) -> Column:
 
 def hilbert_index(cells: list[Column], bits: int) -> Column:
     """The index of a cell on the curve, from coordinates of ``bits`` bits: Skilling's transposition, folded over the bits."""
-    n, top = len(cells), 1 << (bits - 1)
+    n = len(cells)
 
     def flips(state: Column, q: Column) -> Column:
         # the inverse-undo step for one bit plane: invert or exchange the low bits with the first coordinate
@@ -54,7 +54,6 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
         return out
 
     # the fold's result is bound once: a transform over an array of one
-    assert top
     return F.transform(F.array(turned), read)[0]
 
 
@@ -78,15 +77,14 @@ def shards(docs: DataFrame, shard_count: int = 40, bits: int = 5, accuracy: int
     ).withColumn("d2", F.log2("size"))
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
     cuts = base.agg(*[F.percentile_approx(d, shares, accuracy).alias(d) for d in ("d0", "d1", "d2")]).first()
-    cells = []
-    for d in ("d0", "d1", "d2"):
-        above = F.array(*[F.lit(float(c)) for c in cuts[d] or [0.0]])
-        cells.append(F.size(F.filter(above, lambda c, d=d: c < F.col(d))))
+
+    def cell(d: str) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts[d] or [0.0]]), lambda c: c < F.col(d)))
+
+    cells = [cell(d) for d in ("d0", "d1", "d2")]
     placed = base.select("doc_id", "size", "text_crc32", hilbert_index(cells, bits).alias("curve"))
     dealt = placed.repartitionByRange("curve", "text_crc32", "doc_id").withColumn("run", F.spark_partition_id())
     dealt = common.written(dealt, "ranges")
-    from pyspark.sql import Window
-
     counts = dealt.groupBy("run").agg(F.count("*").alias("k"))
     before = counts.select("run", (F.sum("k").over(Window.orderBy("run")) - F.col("k")).alias("before"))
     n = dealt.count()
