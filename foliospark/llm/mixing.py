@@ -86,6 +86,29 @@ def thresholds(rows: DataFrame, targets: DataFrame, step: int = 12) -> DataFrame
     return state.select("source", "copies", below.alias("below"))
 
 
+#: A plan has one row for each source. Up to so many it is sent to all tasks, beyond it is joined.
+MOST_BROADCAST = 20_000
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], percent: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their sizes and hashes, and what to take of each source."""
+    rows = common.written(docs.select("doc_id", "source", word_count().alias("size"), _hash().alias("hash")), "sizes")
+    totals = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    targets = common.written(source_targets(totals, weights, percent, most), "targets")
+    marks = thresholds(rows, targets)
+    plan = targets.join(marks.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "copies", "below")
+    plan = common.written(plan, "plan")
+    return rows, F.broadcast(plan) if plan.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else plan
+
+
+def _hash():
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 64 - HASH_BITS)
+
+
+def _copies():
+    return F.col("copies") + (F.col("hash") < F.col("below")).cast("long")
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most: int = 2) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies`` for every row of ``docs(doc_id, text, source)``.
 
@@ -93,15 +116,19 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int =
     rows that repeat an id are taken together. Texts without words are taken but add nothing. Null is a source of its own,
     apart from the empty string. Tables without rows give none. Other columns are ignored.
     """
-    hashed = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 64 - HASH_BITS)
-    rows = common.written(docs.select("doc_id", "source", word_count().alias("size"), hashed.alias("hash")), "sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    targets = common.written(source_targets(totals, weights, percent, most), "targets")
-    marks = thresholds(rows, targets)
-    plan = targets.join(marks.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "copies", "below")
-    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    copies = (F.col("copies") + (F.col("hash") < F.col("below")).cast("long")).alias("copies")
-    return taken.select("doc_id", "size", "source_size", "target", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    rows, plan = _plan(docs, weights, percent, most)
+    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", _copies().alias("copies"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most: int = 2) -> DataFrame:
+    """The same mixture as rows: each row of ``docs`` with all its columns as often as it is taken."""
+    _, plan = _plan(docs, weights, percent, most)
+    names = docs.columns
+    plan = plan.select(F.col("s").alias("_s"), F.struct("copies", "below").alias("_plan"))
+    rows = docs.withColumn("_hash", _hash()).join(plan, F.col("source").eqNullSafe(F.col("_s")))
+    times = (F.col("_plan.copies") + (F.col("_hash") < F.col("_plan.below")).cast("long")).cast("int")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*names)
 
 
 def op6_mixing(spark, sf_dir):
