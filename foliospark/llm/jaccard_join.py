@@ -3,9 +3,9 @@
 All n-grams get one global order, rare ones first. It is cut into fragments; the overlap of a pair is
 counted in each fragment apart and summed per pair, so the result is exact. Pairs to count come from
 the low end of the same order: two sets that are similar enough share an n-gram among the first few
-of each. Texts with equal sets are one class throughout, and within the many texts that share an n-gram
-only pairs of different components are counted: first one pair for each class, with the least class of
-a list, then further such rounds while they are many, last all pairs that are left.
+of each. Texts with equal sets are one class throughout. Of the many classes that share an n-gram, first each is paired
+with the least one alone; after that only pairs of different components count. Where a list of
+classes is long, its pairs are not made: the classes are compared block against block.
 """
 
 from __future__ import annotations
@@ -82,16 +82,73 @@ def _pivots(mass: np.ndarray, fragments: int) -> np.ndarray:
     return np.array(cuts, np.uint64)
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragments: int = 4, most_pairs: int = 4) -> DataFrame:
+#: A list of up to so many classes gives pairs; larger ones are gathered in clusters, compared in blocks of about so many n-grams.
+MOST_LISTED, BLOCK_GRAMS = 200, 400_000
+
+
+def _block_links(percent: int):
+    """Links between the classes of two blocks (or within one) that join different components, a spanning part of all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, first = np.unique(table["node"].to_numpy(), return_index=True)
+        roots, sides = table["root"].to_numpy()[first], table["side"].to_numpy()[first]
+        at, parts, grams = np.searchsorted(nodes, table["node"].to_numpy()), table["fragment"].to_numpy(), table["grams"]
+        sizes = np.zeros(len(nodes), np.int64)
+        one_block = len(np.unique(sides)) == 1
+        left = np.flatnonzero(sides == 0)
+        right = left if one_block else np.flatnonzero(sides == 1)
+        place = np.full(len(nodes), -1)
+        place[right] = np.arange(len(right))
+        sums = np.zeros((len(left), len(right)), np.int32)
+        seat = np.full(len(nodes), -1)
+        seat[left] = np.arange(len(left))
+        for part in np.unique(parts):  # partial overlaps of each fragment, summed
+            rows = np.flatnonzero(parts == part)
+            rows = rows[np.unique(at[rows], return_index=True)[1]]
+            keys = [np.frombuffer(grams[int(r)].as_buffer(), np.uint64) for r in rows]
+            for r, k in zip(rows, keys, strict=True):
+                sizes[at[r]] += len(k)
+            theirs = [(place[at[r]], k) for r, k in zip(rows, keys, strict=True) if place[at[r]] >= 0]
+            if not theirs:
+                continue
+            all_keys = np.concatenate([k for _, k in theirs])
+            owner = np.concatenate([np.full(len(k), i) for i, k in theirs])
+            order = np.argsort(all_keys, kind="stable")
+            all_keys, owner = all_keys[order], owner[order]
+            for r, k in zip(rows, keys, strict=True):
+                if seat[at[r]] >= 0:
+                    lo, hi = np.searchsorted(all_keys, k, "left"), np.searchsorted(all_keys, k, "right")
+                    n = hi - lo
+                    found = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    sums[seat[at[r]]] += np.bincount(owner[found], minlength=len(right)).astype(np.int32)
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while top.get(x, x) != x:
+                top[x] = x = top.get(top[x], top[x])
+            return x
+
+        a, b = [], []
+        for i, x in enumerate(left):
+            linked = sums[i].astype(np.int64) * (100 + percent) >= (sizes[x] + sizes[right]) * percent
+            for y in right[linked]:
+                u, v = find(int(roots[x])), find(int(roots[y]))
+                if u != v:
+                    top[max(u, v)] = min(u, v)
+                    a.append(nodes[x]), b.append(nodes[y])
+        return pa.table({"node": pa.array(a, pa.int64()), "hub": pa.array(b, pa.int64())})
+
+    return run
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragments: int = 4, most_listed: int = MOST_LISTED, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links_seen`` for every row of ``docs(doc_id, text)``.
 
     A text's set is its distinct shingles of ``words`` words, A-Z in lower case; with fewer words, all of them as
     one. Null, empty and blank texts have empty sets and are linked with nothing. Two rows link when
     100 * intersection >= ``percent`` * union; component_id is the least doc_id that links lead to. Equal
-    sets link. Repeated rows are equal sets; rows with null ids keep null where no other id is linked. Other columns are ignored.
-    ``n_links_seen`` counts links to classes of other sets that were counted out, not all that exist.
-    ``most_pairs``: as long as more pairs than that for each class are open, another round with one pair
-    for each class runs first. It bounds no result: all open pairs are counted in the end.
+    sets link. Repeated rows are equal sets. Rows with null ids link by equal sets, and to others only through a row with an id and the same set.
+    Other columns are ignored. ``n_links_seen`` counts the links of a row's class that were needed, not all that exist.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -108,50 +165,66 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
     cuts = _pivots(mass, fragments)
     shared = spark.sparkContext.broadcast(levels)
 
+    def least_size(n: int) -> int:
+        return (percent * n + 99) // 100
+
+    def shared_grams(n: int) -> int:
+        """Similar sets share at least so many n-grams among the first n - least_size(n) + that many of each."""
+        return min(3, least_size(n))
+
     def prefixes(batches):
         seen: set[int] = set()  # copies within a task are sent once; a bounded memory of them, for copies do no harm
         for batch in batches:
             tokens, nodes, ns, places = [], [], [], []
             for grams in sets(batch["text"], words):
                 n = len(grams)
-                node = _node(grams)[1] if n else 0
-                if not n or node in seen:
+                if 100 * n < percent * (n + 1):
+                    continue  # so small a set is similar to no other one
+                node = _node(grams)[1]
+                if node in seen:
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(node)
-                head = _keys(grams, shared.value)[: n - (percent * n + 99) // 100 + 1]
+                head = _keys(grams, shared.value)[: n - least_size(n) + shared_grams(n)]
                 tokens.append(head), nodes.append(np.full(len(head), node)), ns.append(np.full(len(head), n)), places.append(np.arange(len(head)))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(ns), pa.int32()), pa.array(np.concatenate(places), pa.int32())], names=["token", "node", "n", "place"])
 
     heads = docs.mapInArrow(prefixes, "token long, node long, n int, place int")
-    # an n-gram of one class alone makes no pair
+    # an n-gram of one class alone makes no pair, and a class with too few others' n-grams has none
     lists = common.written(heads.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"), "tokens")
     common.release(spark)
     posts = common.written(heads.join(lists, "token").groupBy("token", "node").agg(F.max("n").alias("n"), F.max("place").alias("place")), "posts")
     common.release(spark)
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    # round 0: every class with the least class of its lists
-    leaders = posts.groupBy("token").agg(F.min(F.struct("node", "n")).alias("h"))
-    hub = posts.join(leaders.select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m")), "token").where(f"hub <> node and {fits}")
+    smallest = f"({percent} * n + 99) div 100"
+    enough = posts.groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("k")).where(f"k >= least(3, ({percent} * ({smallest}) + 99) div 100)").select("node")
+    posts = common.written(posts.join(enough, "node", "left_semi"), "posts")
+    fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and (1 + least(n - place - 1, m - q - 1)) * {100 + percent} >= {percent} * (n + m)"
+    # first every class with one leader of its lists
+    leaders = posts.groupBy("token").agg(F.min(F.struct("node", "n", "place")).alias("h"))
+    hub = posts.join(leaders.select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m"), F.col("h.place").alias("q")), "token").where(f"hub <> node and {fits}")
     pairs = common.written(hub.groupBy("node").agg(F.min(F.struct("hub", "n", "m")).alias("h")).select("node", "h.*"), "pairs")
-    needed = common.written(posts.select("node").distinct().join(classes.select("node", "low"), "node"), "needed")
+    hubs = pairs.select(F.col("hub").alias("node")).distinct().withColumn("is_hub", F.lit(True))
+    needed = posts.select("node").distinct().join(classes.select("node", "low"), "node").join(pairs, "node", "left").join(hubs, "node", "left")
+    needed = common.written(needed.select("node", F.col("low").alias("doc_id"), "hub", "n", "m", F.coalesce("is_hub", F.lit(False)).alias("is_hub")), "needed")
 
     def segments(batches):
         for batch in batches:
-            nodes, parts, blobs = [], [], []
-            for node, grams in zip(batch["node"].to_pylist(), sets(batch["text"], words), strict=True):
+            rows, parts, blobs = [], [], []
+            for i, (node, grams) in enumerate(zip(batch["node"].to_pylist(), sets(batch["text"], words), strict=True)):
                 if len(grams) and _node(grams)[1] == node:
                     keys = _keys(grams, shared.value)
                     ends = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
                     for k in range(fragments):
                         if ends[k] < ends[k + 1]:
-                            nodes.append(node), parts.append(k), blobs.append(keys[ends[k] : ends[k + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["node", "fragment", "grams"])
+                            rows.append(i), parts.append(k), blobs.append(keys[ends[k] : ends[k + 1]].tobytes())
+            at = pa.array(rows, pa.int64())
+            same = [batch[c].take(at) for c in ("node", "hub", "n", "m", "is_hub")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["node", "hub", "n", "m", "is_hub", "fragment", "grams"])
 
-    reps = docs.join(needed.withColumnRenamed("low", "doc_id"), "doc_id").select("node", "text")
-    parts = common.written(reps.mapInArrow(segments, "node long, fragment int, grams binary"), "segments")
+    reps = docs.join(needed.hint("merge"), "doc_id").select("node", "hub", "n", "m", "is_hub", "text")
+    parts = common.written(reps.mapInArrow(segments, "node long, hub long, n int, m int, is_hub boolean, fragment int, grams binary"), "segments")
     common.release(spark)
 
     def overlaps(batches):
@@ -165,49 +238,46 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
                 at = np.searchsorted(z, x)
                 at[at == len(z)] = 0
                 got.append(int((z[at] == x).sum()))
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["hub"], batch["fragment"], pa.array(got, pa.int64())], names=["node", "hub", "fragment", "got"])
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["hub"], batch["n"], batch["m"], batch["fragment"], pa.array(got, pa.int64())], names=["node", "hub", "n", "m", "fragment", "got"])
 
-    def counted(pairs: DataFrame) -> DataFrame:
-        """``node, hub, linked``: partial overlaps of every fragment, summed for each pair."""
-        mine = pairs.join(parts, "node").select("node", "hub", "fragment", F.col("grams").alias("a"))
-        both = mine.join(parts.select(F.col("node").alias("hub"), "fragment", F.col("grams").alias("b")), ["hub", "fragment"]).select("node", "hub", "fragment", "a", "b")
+    def linked(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+        """The pairs of ``mine(node, hub, n, m, fragment, grams)`` that link: partial overlaps of every fragment, summed for each pair."""
+        both = mine.withColumnRenamed("grams", "a").join(theirs.select(F.col("node").alias("hub"), "fragment", F.col("grams").alias("b")), ["hub", "fragment"])
+        part = both.select("node", "hub", "n", "m", "fragment", "a", "b").mapInArrow(overlaps, "node long, hub long, n int, m int, fragment int, got long")
         # rows that repeat an id and its text give a segment twice: it counts once
-        part = both.mapInArrow(overlaps, "node long, hub long, fragment int, got long").groupBy("node", "hub", "fragment").agg(F.max("got").alias("got"))
-        part = part.groupBy("node", "hub").agg(F.sum("got").alias("got"))
-        out = pairs.join(part, ["node", "hub"], "left").select("node", "hub", (F.col("got") * (100 + percent) >= (F.col("n") + F.col("m")) * percent).alias("linked"))
-        return out.select("node", "hub", F.coalesce("linked", F.lit(False)).alias("linked"))
-
-    tested = common.written(counted(pairs), "tested")
-    total = needed.count()
-    before, settled = None, False
-    for turn in range(1, 60):
-        links = tested.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        roots = common.connected_components(links)
-        if settled:
-            break
-        labelled = posts.join(roots, "node", "left").select("token", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-        split = labelled.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-        open_posts = common.written(labelled.join(split, "token", "left_semi"), "open")
-        by_root = open_posts.groupBy("token", "root").agg(F.count("*").cast("double").alias("k"))
-        around = by_root.groupBy("token").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("k")).agg(F.coalesce(F.sum("k") / 2, F.lit(0.0))).first()[0]
-        if not around:
-            break
-        done = tested.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub"))
-        if around > most_pairs * total and before != (before := links.count()):
-            # one more pair for each open class, with a leader of its list that another hash picks
-            lead = open_posts.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "root")).alias("h"))
-            new = open_posts.join(lead.select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m"), F.col("h.root").alias("other")), "token").where(f"root <> other and {fits}")
-            new = new.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub"), "n", "m", F.col("node").alias("of")).join(done, ["node", "hub"], "left_anti")
-            new = new.groupBy("of").agg(F.min(F.struct(F.xxhash64("hub", F.lit(turn)).alias("o"), "node", "hub", "n", "m")).alias("h")).select("h.node", "h.hub", "h.n", "h.m").dropDuplicates(["node", "hub"])
-        else:
-            # all pairs of different components that share an n-gram early enough for the overlap they need
-            settled = True
-            x, y = open_posts, open_posts.select("token", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("root").alias("other"))
-            new = x.join(y, "token").where(f"node < hub and root <> other and {fits} and (1 + least(n - place - 1, m - q - 1)) * {100 + percent} >= {percent} * (n + m)")
-            new = new.groupBy("node", "hub").agg(F.max("n").alias("n"), F.max("m").alias("m")).join(done, ["node", "hub"], "left_anti")
-        tested = common.written(tested.unionAll(counted(common.written(new, "pairs"))), "tested")
-        common.release(spark)
-    seen = tested.where("linked").select(F.explode(F.array("node", "hub")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links_seen"))
+        part = part.groupBy("node", "hub", "n", "m", "fragment").agg(F.max("got").alias("got")).groupBy("node", "hub", "n", "m").agg(F.sum("got").alias("got"))
+        return part.where(f"got * {100 + percent} >= (n + m) * {percent}").select("node", "hub")
+
+    links = common.written(linked(parts.where("hub is not null").drop("is_hub"), parts.where("is_hub").hint("merge")), "linked")
+    edge = [F.col("node").alias("a"), F.col("hub").alias("b")]
+    roots = common.written(common.connected_components(links.select(*edge)), "roots")
+    # then all pairs of different components that share an n-gram early enough for the overlap they need
+    labelled = posts.join(roots, "node", "left").select("token", "node", "n", "place", F.coalesce("root", "node").alias("root"))
+    split = labelled.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k")).where("r0 <> r1").select("token", "k")
+    open_posts = common.written(labelled.join(split, "token"), "open")
+    small = open_posts.where(F.col("k") <= most_listed)
+    other = small.select("token", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("root").alias("other"))
+    left = small.join(other, "token").where(f"node < hub and root <> other and {fits}")
+    left = common.written(left.groupBy("node", "hub").agg(F.first("root").alias("root"), F.first("other").alias("other")), "pairs")
+    # large lists: clusters of classes that such lists connect, block against block
+    large = open_posts.where(F.col("k") > most_listed)
+    lead = large.groupBy("token").agg(F.min("node").alias("lead"))
+    clusters = common.connected_components(large.join(lead, "token").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    members = large.groupBy("node").agg(F.max("root").alias("root"), F.max("n").alias("n")).join(clusters.withColumnRenamed("root", "cluster"), "node")
+    wide = members.groupBy("cluster").agg(F.ceil(F.sum("n") / block_grams).alias("blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = members.join(wide, "cluster").withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select(F.col("cluster").alias("of"), F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "node", "root", (F.col("mine") > F.col("with")).cast("int").alias("side"))
+    # a pair's second class is a block of its own, against all first ones: both kinds take the segments in one join
+    minus = F.lit(-1).cast("long")
+    first_ones = left.select(F.col("hub").alias("of"), minus.alias("i"), minus.alias("j"), "node", "root", F.lit(1).alias("side"))
+    second_ones = left.select(F.col("hub").alias("of"), minus.alias("i"), minus.alias("j"), F.col("hub").alias("node"), F.col("other").alias("root"), F.lit(0).alias("side")).distinct()
+    asked = common.written(dealt.unionAll(first_ones).unionAll(second_ones), "blocks")
+    found = asked.hint("merge").join(parts.select("node", "fragment", "grams"), "node").groupBy("of", "i", "j").applyInArrow(_block_links(percent), "node long, hub long")
+    links = common.written(links.unionAll(found), "linked")
+    common.release(spark)
+    roots = common.connected_components(links.select(*edge))
+    seen = links.select(F.explode(F.array("node", "hub")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links_seen"))
     named = classes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     known = common.written(named.join(least, "root").join(seen, "node", "left").select("node", "component_id", "n_links_seen"), "components")
