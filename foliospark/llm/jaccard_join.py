@@ -82,6 +82,8 @@ def _pivots(mass: np.ndarray, fragments: int) -> np.ndarray:
     return np.array(cuts, np.uint64)
 
 
+#: Similar sets of enough n-grams share so many among their first ones; more of them rule out more pairs that share a passage only.
+COMMON = 8
 #: A list of up to so many classes gives pairs; larger ones are gathered in clusters, compared in blocks of about so many n-grams.
 MOST_LISTED, BLOCK_GRAMS = 200, 400_000
 
@@ -170,7 +172,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
 
     def shared_grams(n: int) -> int:
         """Similar sets share at least so many n-grams among the first n - least_size(n) + that many of each."""
-        return min(3, least_size(n))
+        return min(COMMON, least_size(n))
 
     def prefixes(batches):
         seen: set[int] = set()  # copies within a task are sent once; a bounded memory of them, for copies do no harm
@@ -197,14 +199,26 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
     common.release(spark)
     posts = common.written(heads.join(lists, "token").groupBy("token", "node").agg(F.max("n").alias("n"), F.max("place").alias("place")), "posts")
     common.release(spark)
-    smallest = f"({percent} * n + 99) div 100"
-    enough = posts.groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("k")).where(f"k >= least(3, ({percent} * ({smallest}) + 99) div 100)").select("node")
+
+    def common_grams(n: str) -> str:
+        return f"least({COMMON}, ({percent} * {n} + 99) div 100)"
+
+    smallest = f"(({percent} * n + 99) div 100)"
+    enough = posts.groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("k")).where(f"k >= {common_grams(smallest)}").select("node")
     posts = common.written(posts.join(enough, "node", "left_semi"), "posts")
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and (1 + least(n - place - 1, m - q - 1)) * {100 + percent} >= {percent} * (n + m)"
-    # first every class with one leader of its lists
+    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+
+    def counted(pairs: DataFrame, *more) -> DataFrame:
+        """``node, hub, n, m, k`` of pairs whose common n-grams, by number and first and last place, still allow the overlap they need."""
+        places = [f(c).alias(a) for f, c, a in ((F.min, "place", "p0"), (F.min, "q", "q0"), (F.max, "place", "p1"), (F.max, "q", "q1"))]
+        each = pairs.groupBy("node", "hub").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.count("*").alias("k"), *places, *more)
+        bound = "(k + least(n - p1 - 1, m - q1 - 1)) * {0} >= {1} * (n + m) and (1 + least(n - p0 - 1, m - q0 - 1)) * {0} >= {1} * (n + m)".format(100 + percent, percent)
+        return each.where(f"k >= least({common_grams('n')}, {common_grams('m')}) and {bound}")
+
+    # first every class with the one leader of its lists that it shares most with
     leaders = posts.groupBy("token").agg(F.min(F.struct("node", "n", "place")).alias("h"))
     hub = posts.join(leaders.select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m"), F.col("h.place").alias("q")), "token").where(f"hub <> node and {fits}")
-    pairs = common.written(hub.groupBy("node").agg(F.min(F.struct("hub", "n", "m")).alias("h")).select("node", "h.*"), "pairs")
+    pairs = common.written(counted(hub).groupBy("node").agg(F.max(F.struct("k", "hub", "n", "m")).alias("h")).select("node", "h.hub", "h.n", "h.m"), "pairs")
     hubs = pairs.select(F.col("hub").alias("node")).distinct().withColumn("is_hub", F.lit(True))
     needed = posts.select("node").distinct().join(classes.select("node", "low"), "node").join(pairs, "node", "left").join(hubs, "node", "left")
     needed = common.written(needed.select("node", F.col("low").alias("doc_id"), "hub", "n", "m", F.coalesce("is_hub", F.lit(False)).alias("is_hub")), "needed")
@@ -258,7 +272,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
     small = open_posts.where(F.col("k") <= most_listed)
     other = small.select("token", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("root").alias("other"))
     left = small.join(other, "token").where(f"node < hub and root <> other and {fits}")
-    left = common.written(left.groupBy("node", "hub").agg(F.first("root").alias("root"), F.first("other").alias("other")), "pairs")
+    left = common.written(counted(left, F.first("root").alias("root"), F.first("other").alias("other")), "pairs")
     # large lists: clusters of classes that such lists connect, block against block
     large = open_posts.where(F.col("k") > most_listed)
     lead = large.groupBy("token").agg(F.min("node").alias("lead"))
