@@ -31,7 +31,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Of each group of similar texts the row with the least id; empty texts are similar to nothing and stay."""
     found = jaccard_join.jaccard_components(docs)
     keep = common.written(found.where("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct(), "keep")
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

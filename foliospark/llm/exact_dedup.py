@@ -162,7 +162,7 @@ def exact_dedup(snapshot: DataFrame, batch: DataFrame, digest_hex: int = 64, buc
     shared = hits.unionAll(groups.where("n > 1").select("digest")).distinct()
     # byte check: rows of a shared digest are grouped by the text itself, combined before the shuffle
     bytes_equal = (
-        full.join(shared, "digest", "left_semi")
+        full.join(shared.hint("merge"), "digest", "left_semi")
         .groupBy("digest", "sha", "norm")
         .agg(F.count("*").alias("n"), best)
         .select("digest", F.unhex("sha").alias("sha"), F.struct("n", "best").alias("g"))
@@ -172,7 +172,7 @@ def exact_dedup(snapshot: DataFrame, batch: DataFrame, digest_hex: int = 64, buc
     # two texts with one full SHA-256 would need a longer digest; such a run stops instead of merging them
     checked = bytes_equal.select("digest", "sha", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share one SHA-256"))).otherwise(F.col("g.n")).cast("long").alias("n"), F.col("g.best.un_id").alias("un_id"))
     return (
-        base.join(checked, ["digest", "sha"], "left")
+        base.join(checked.hint("merge"), ["digest", "sha"], "left")
         .select(
             "doc_id",
             F.coalesce(F.bitwise_not("un_id"), F.col("doc_id")).alias("keep_id"),
