@@ -121,7 +121,7 @@ def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     cuts = repeated_lines(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "cut")
     docs = docs.drop("n_lines", "n_deleted")
     names = docs.columns
-    rows = docs.withColumn("_hash", F.xxhash64(common.text_of())).alias("d").join(cuts.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c._id")) & (F.col("d._hash") == F.col("c._hash")), "left")
+    rows = docs.withColumn("_hash", F.xxhash64(common.text_of())).alias("d").join(cuts.hint("merge").alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c._id")) & (F.col("d._hash") == F.col("c._hash")), "left")
     rows = rows.select(*[F.col(f"d.`{n}`") for n in names], "cut")
     lines = full_lines()
     left = F.filter(lines, lambda x, i: ~F.exists(F.col("cut"), lambda c: (i >= c["a"]) & (i <= c["b"])))
