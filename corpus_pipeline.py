@@ -11,27 +11,34 @@ from pyspark.sql import functions as F
 from foliospark.llm import common, jaccard_join, line_dedup, mixing, packing, toxicity
 
 
+def _apart(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``docs`` with all but the used columns renamed, so that no stage's own columns meet them, and what brings the names back."""
+    back = [F.col(n) if n in used else F.col(f"_in_{n}").alias(n) for n in docs.columns]
+    return docs.select(*[F.col(f"`{n}`").alias(n if n in used else f"_in_{n}") for n in docs.columns]), back
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score is under the threshold; the lexicon is learned from the labelled rows that aren't held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
     lexicon = toxicity.train(docs, labels)
-    return toxicity.scored(docs, lexicon).where("predicted = 0").select(*docs.columns)
+    rows, back = _apart(docs, ("text",))
+    return toxicity.scored(rows, lexicon).where("predicted = 0").select(*back)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of passages; a row all of whose lines were copies goes."""
-    names = docs.columns
-    rows = line_dedup.line_dedup(docs).where("n_deleted = 0 or text <> ''")
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*names)
+    rows, back = _apart(docs, ("doc_id", "text"))
+    rows = line_dedup.line_dedup(rows).where("n_deleted = 0 or text <> ''")
+    if "_in_n_chars" in rows.columns:
+        rows = rows.withColumn("_in_n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("_in_n_chars")))
+    return rows.select(*back)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar texts the row with the least id; empty texts are similar to nothing and stay."""
     found = jaccard_join.jaccard_components(docs)
-    keep = common.written(found.where("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct(), "keep")
-    return docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keep = common.written(found.where("n_shingles = 0 or doc_id <=> component_id").select("doc_id").distinct(), "keep")
+    return docs.alias("d").join(keep.hint("merge").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def _pivots(mass: np.ndarray, fragments: int) -> np.ndarray:
     upto, cuts = np.cumsum(mass), []
     for k in range(1, fragments):
         want = upto[-1] * k // fragments
-        level = int(np.searchsorted(upto, want, "right"))
+        level = min(len(mass) - 1, int(np.searchsorted(upto, want, "right")))
         inside = (want - (upto[level - 1] if level else 0)) / max(1, mass[level])
         cuts.append((level << 58) | int(inside * (1 << 58)))
     return np.array(cuts, np.uint64)

@@ -118,16 +118,16 @@ def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     were copies is left empty. Rows that repeat both ``doc_id`` and text are treated alike, and are no copies of each other.
     Null ids sort first. All other columns stay, but for ones of these two names. No rows give none.
     """
-    cuts = repeated_lines(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "cut")
+    cuts = repeated_lines(docs, min_words).select("doc_id", "text_hash", F.col("cut").alias("__cut"))
     docs = docs.drop("n_lines", "n_deleted")
     names = docs.columns
-    rows = docs.withColumn("_hash", F.xxhash64(common.text_of())).alias("d").join(cuts.hint("merge").alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c._id")) & (F.col("d._hash") == F.col("c._hash")), "left")
-    rows = rows.select(*[F.col(f"d.`{n}`") for n in names], "cut")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.xxhash64(common.text_of("d.text")) == F.col("c.text_hash"))
+    rows = docs.alias("d").join(cuts.hint("merge").alias("c"), same, "left").select(*[F.col(f"d.`{n}`") for n in names], F.col("c.__cut"))
     lines = full_lines()
-    left = F.filter(lines, lambda x, i: ~F.exists(F.col("cut"), lambda c: (i >= c["a"]) & (i <= c["b"])))
-    gone = F.aggregate(F.coalesce("cut", F.array().cast("array<struct<a:int,b:int>>")), F.lit(0), lambda s, c: s + c["b"] - c["a"] + 1)
+    left = F.filter(lines, lambda x, i: ~F.exists(F.col("__cut"), lambda c: (i >= c["a"]) & (i <= c["b"])))
+    gone = F.aggregate(F.coalesce("__cut", F.array().cast("array<struct<a:int,b:int>>")), F.lit(0), lambda s, c: s + c["b"] - c["a"] + 1)
     rows = rows.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_deleted", gone.cast("long"))
-    return rows.withColumn("text", F.when(F.col("cut").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))).drop("cut")
+    return rows.withColumn("text", F.when(F.col("__cut").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))).drop("__cut")
 
 
 def op7_line_dedup(spark, sf_dir):

@@ -124,11 +124,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int =
 def repeated(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most: int = 2) -> DataFrame:
     """The same mixture as rows: each row of ``docs`` with all its columns as often as it is taken."""
     _, plan = _plan(docs, weights, percent, most)
-    names = docs.columns
-    plan = plan.select(F.col("s").alias("_s"), F.struct("copies", "below").alias("_plan"))
-    rows = docs.withColumn("_hash", _hash()).join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    times = (F.col("_plan.copies") + (F.col("_hash") < F.col("_plan.below")).cast("long")).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*names)
+    rows = docs.select(F.col("source").alias("source"), _hash().alias("hash"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
+    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select("row.*")
 
 
 def op6_mixing(spark, sf_dir):

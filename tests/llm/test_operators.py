@@ -1,0 +1,402 @@
+"""Each operator against a brute-force version or an exact round trip, and on the odd tables that all have to take."""
+
+import collections
+import gzip
+import hashlib
+import io
+import random
+import re
+import zipfile
+import zlib
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from foliospark.llm import common, exact_dedup, hilbert, jaccard_join, line_dedup, lm_score, media, mixing, packing, pii, shingles, toxicity
+
+DIR = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [
+    (1, None, None, None, None),
+    (2, "", "en", "", 0),
+    (3, " \t\n\x0b", "en", "s", 4),
+    (4, "one two three", "en", "s", 13),
+    (5, "One TWO\tthree", None, "s", 13),
+    (6, "naïve 日本 😀 " * 30, "fr", "t", 360),
+    (6, "naïve 日本 😀 " * 30, "fr", "t", 360),
+    (7, "word" * 30_000, "en", "t", 120_000),
+    (8, "a b c d e f g " * 9_000, "en", None, 126_000),
+    (None, "no id here at all", "en", "s", 17),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    clash = [F.lit(0).alias(c) for c in ("node", "size", "hash", "cut", "token", "key", "score", "n_lines", "copies", "head", "curve", "_copy", "n_deleted", "__x")]
+    return spark.createDataFrame(ODD, SCHEMA).select("*", *clash)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(duckdb.sql(f"SELECT doc_id, text FROM '{DIR}/documents.parquet'").fetchall())
+
+
+OPERATORS = {
+    "jaccard": jaccard_join.jaccard_components,
+    "pii": pii.found,
+    "hilbert": hilbert.shards,
+    "mixing": mixing.mixed,
+    "lines": line_dedup.line_dedup,
+    "packing": packing.packed,
+    "media": media.stored_texts,
+    "toxicity": lambda d: toxicity.scored(d.select("doc_id", "text", *([c for c in d.columns if c == "score"])), toxicity.Lexicon([("idiot", 5.0, False)])),
+    "lm": lambda d: lm_score.scored(d, lm_score.models(lm_score.labelled(d, d.select("doc_id", F.lit(1).alias("quality")), F.col("quality") == 1))),
+    "exact": lambda d: exact_dedup.exact_dedup(*exact_dedup.halves(d)),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_and_empty_tables(odd, empty, name):
+    rows = OPERATORS[name](odd).collect()
+    ids = [r.doc_id for r in rows]
+    assert set(ids) == {r[0] for r in ODD}
+    if name != "packing":
+        assert len(ids) == len(ODD)
+    assert OPERATORS[name](empty).count() == 0
+
+
+def test_repeated_keeps_columns(odd, empty):
+    out = mixing.repeated(odd.withColumn("_copy", F.lit(9)))
+    assert out.columns == odd.columns and {r._copy for r in out.collect()} == {9}
+    assert mixing.repeated(empty).count() == 0
+
+
+# 1. n-gram Jaccard join
+
+
+def grams(text, k=4):
+    w = WORD.findall((text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def components(rows, percent=85):
+    sets, top = [(i, grams(t)) for i, t in rows], {i: i for i, _ in rows}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            both = len(x & y)
+            if both and 100 * both >= percent * (len(x) + len(y) - both):
+                u, v = find(i), find(j)
+                top[max(u, v)] = min(u, v)
+    return {i: (len(x), find(i)) for i, x in sets}
+
+
+@pytest.mark.parametrize("most_listed", [200, 2])
+def test_jaccard_equals_brute_force(spark, most_listed):
+    r = random.Random(7)
+    rows = []
+    for group in range(6):
+        base = [f"w{r.randint(0, 400)}" for _ in range(r.choice([5, 9, 40, 120]))]
+        for _ in range(r.randint(1, 25)):
+            words = list(base)
+            for _ in range(r.choice([0, 0, 1, 2, 3])):
+                words[r.randrange(len(words))] = f"x{r.randint(0, 30)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, t) for i, t in enumerate(["", " ", "a", "A", "a b", "a b c d", "a b c d e"])]
+    r.shuffle(rows)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), most_listed=most_listed, block_grams=2000).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == components(rows)
+
+
+def test_shingle_words_and_edges():
+    data = ["", " a  b ", "A\tb\nc d e", "x"]
+    flat = [list(shingles.words(raw, at)) for _, raw, at in shingles.pieces(pa.array(data))][0]
+    assert np.diff(flat[1]).tolist() == [0, 2, 5, 1]
+    assert [len(s) for s in shingles.sets(pa.array(data), 4)] == [0, 1, 2, 1]
+    long = pa.array(["a b c d " * 5, None, "zz"])
+    assert [s.tolist() for s in shingles.sets(long, 2)] == [s.tolist() for x in long for s in shingles.sets(pa.array([x], pa.string()), 2)]
+
+
+# 2. toxicity
+
+
+def test_automaton_equals_edit_distance():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    terms = ["scum", "idiot", "loser", "worthless", "closer"]
+    own = toxicity.Automaton(toxicity.Lexicon([(t, 1.0, False) for t in terms]))
+    r = random.Random(2)
+    for _ in range(4000):
+        word = list(r.choice(terms))
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(word) + 1)
+            word[at : at + r.randint(0, 1)] = r.choice(["", "a", "s", "e"])
+        word = "".join(word)
+        best = min((distance(word, t) for t in terms if distance(word, t) <= toxicity.edits(t)), default=None)
+        found = own.match(word)
+        assert (found and found[0]) == best, word
+
+
+def test_context_and_stems():
+    own = toxicity.Automaton(toxicity.Lexicon([("idiot", 4.0, False), ("vequ", 3.0, True)]))
+    weight = lambda t: toxicity.evidence(t, own)[0]
+    assert weight("you idiot") > weight("an idiot") > weight('she said "idiot" once') > 0
+    assert weight("1d10t") > 0 and weight("vequxyz.") == 3.0 and weight("equ idle") == 0 and weight("") == 0
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs = common.documents(spark, "/root/testdata/sf0.1").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    got = toxicity.scored(docs, model).join(labels.where(toxicity.held_out()), "doc_id").select("predicted", "toxic").collect()
+    hit = sum(x.predicted and x.toxic for x in got)
+    assert hit / sum(x.toxic for x in got) > 0.85 and hit / sum(x.predicted for x in got) > 0.85
+    assert toxicity.train(docs, labels.where("toxic = 0")).terms == []
+
+
+# 3. language models
+
+
+def test_lm_scores_tell_quality(spark):
+    docs = common.documents(spark, "/root/testdata/sf0.1").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    fitted = lm_score.models(lm_score.labelled(docs, labels.where(~toxicity.held_out()), F.col("quality") == 1))
+    got = lm_score.scored(docs, fitted).join(labels.where(toxicity.held_out()), "doc_id").toPandas()
+    ranks = (-got.ce_difference).rank()
+    good = got.quality == 1
+    n1, n0 = good.sum(), (~good).sum()
+    assert (ranks[good].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.95
+
+
+# 4. personal data
+
+PLAIN = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")),
+]
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PLAIN):
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else False, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((m.start(), k, m.end(), kind))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
+
+
+def test_pii_equals_plain_patterns(spark):
+    r = random.Random(1)
+    parts = ["a", "@", ".", "b.c", "4111111111111111", "4111 1111-1111 1111", "1.2.3.4", "+", "0", "1", " ", "-", "(", "255", "é", "😀", "\n", "_", "%", "a@b.c", "+1 (988) 555-2485", "999"]
+    data = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    data += ["1" * 20_000, "a" * 20_000 + "@", "a@" * 2000, "1." * 5000]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = pii.found(df).select("doc_id", F.expr(pii._listed("filter(found, x -> x.kind in ('email', 'ip', 'card', 'phone'))")).alias("s")).collect()
+    plain = {i: base_spans(t) for i, t in enumerate(data) if len(t) < 15_000 or i >= 3002}
+    assert all(r.s == plain[r.doc_id] for r in got if r.doc_id in plain)
+
+
+def test_pii_checksums_and_context(spark):
+    data = ["IBAN DE89 3704 0044 0532 0130 00 ok", "IBAN DE88 3704 0044 0532 0130 00", "SSN 123-45-6789", "part 123-45-6789"]
+    got = pii.found(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[s.kind for s in r.found] for r in got] == [["iban"], [], ["ssn"], []]
+
+
+# 5. Hilbert shards
+
+
+def test_curve_is_a_hilbert_curve(spark):
+    g = spark.range(512).select((F.col("id") % 8).alias("a"), (F.floor(F.col("id") / 8) % 8).alias("b"), F.floor(F.col("id") / 64).alias("c"))
+    got = g.select("a", "b", "c", hilbert.hilbert_index([F.col("a"), F.col("b"), F.col("c")], 3).alias("i")).toPandas().sort_values("i")
+    assert got.i.tolist() == list(range(512))
+    assert set(got[["a", "b", "c"]].diff().dropna().abs().sum(axis=1)) == {1.0}
+
+
+def test_shards_are_even_and_gapless(spark, texts):
+    got = hilbert.op5_hilbert_shards(spark, DIR).toPandas()
+    slots = got.groupby("shard").slot.agg(["min", "max", "count"])
+    assert len(got) == len(texts) and slots["count"].max() - slots["count"].min() <= 1
+    assert (slots["min"] == 0).all() and (slots["max"] + 1 == slots["count"]).all()
+    assert all(r.size == len(texts[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in got.itertuples())
+
+
+# 6. mixing
+
+
+def shares(sizes, weights=(5, 2, 1)):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    target, left, open_ = dict.fromkeys(names, 0.0), 1.5 * sum(sizes.values()), set(names)
+    while left > 1e-9 and open_:
+        total = sum(w[s] for s in open_)
+        for s in open_:
+            target[s] += left * w[s] / total
+        left = 0.0
+        for s in list(open_):
+            if target[s] >= 2 * sizes[s]:
+                left += target[s] - 2 * sizes[s]
+                target[s] = 2.0 * sizes[s]
+                open_.discard(s)
+    return target
+
+
+def test_mixture_meets_targets(spark):
+    r = random.Random(4)
+    rows = [(i, "w " * r.randint(0, 60), r.choice([None, "", "a", "b", "c", "ü", "z"] + ["hot"] * 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, again = mixing.mixed(df).toPandas(), mixing.mixed(df.repartition(7)).toPandas()
+    assert dict(zip(got.doc_id, got.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
+    source, size = {i: s for i, _, s in rows}, {i: len(WORD.findall(t)) for i, t, _ in rows}
+    sizes = collections.Counter()
+    for i, n in size.items():
+        sizes[source[i]] += n
+    target, taken = shares(sizes), collections.Counter()
+    for x in got.itertuples():
+        assert x.size == size[x.doc_id] and x.source_size == sizes[source[x.doc_id]] and 0 <= x.taken <= 2 * x.size
+        assert x.target == pytest.approx(target[source[x.doc_id]])
+        taken[source[x.doc_id]] += x.taken
+    assert all(abs(taken[s] - target[s]) <= 30 for s in sizes)  # half of the largest row
+
+
+# 7. line dedup
+
+
+def deduped(rows, least):
+    docs = [(i, [x.strip(" \t\n\x0b\x0c\r") for x in t.split("\n") if WORD.search(x)]) for i, t in sorted(rows)]
+    at, gone = collections.defaultdict(list), collections.defaultdict(set)
+    for a, (_, own) in enumerate(docs):
+        for p, x in enumerate(own):
+            at[x].append((a, p))
+    for a, (i, own) in enumerate(docs):
+        for p in range(len(own)):
+            for b, q in at[own[p]]:
+                if (b, q) >= (a, p):
+                    break
+                other, k, words = docs[b][1], 0, 0
+                while p + k < len(own) and q + k < len(other) and own[p + k] == other[q + k]:
+                    words += len(WORD.findall(own[p + k]))
+                    k += 1
+                if words >= least:
+                    gone[i].update(range(p, p + k))
+    return {i: "\n".join(x for k, x in enumerate(y for y in t.split("\n") if WORD.search(y)) if k not in gone[i]) if gone[i] else t for i, t in rows}
+
+
+@pytest.mark.parametrize("least", [1, 4, 9])
+def test_line_dedup_equals_brute_force(spark, least):
+    r = random.Random(least)
+    rows = [(i, "\n".join(" ".join(r.choice("ab") for _ in range(r.randint(0, 3))) for _ in range(r.randint(0, 12)))) for i in range(80)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()
+    assert {x.doc_id: x.text for x in got} == deduped(rows, least)
+
+
+# 8. packing
+
+
+def test_ids_are_the_tokenizers_own(texts):
+    from tokenizers import Tokenizer
+
+    own, full = packing.tokenizer(packing.tokenizer_file()), Tokenizer.from_file(packing.tokenizer_file())
+    odd = ["a\x0bb \x1c c\x85d\xa0e  f", "<|endoftext|>hi", "naïve ªº²³ ¼ x", "日本 語　x", "a  \n\n b\t\tc", "", "it's we'll X'S", " \n", "😀👍"]
+    for text in [*odd, *texts.values()]:
+        assert own.ids(text) == full.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("limits", [(2048, 64, 2048), (64, 3, 50), (16, 1, 16)])
+def test_packing_is_exact_and_within_limits(spark, texts, limits):
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(packing.tokenizer_file())
+    some = dict(list(texts.items())[:60]) | {-1: ""}
+    df = spark.createDataFrame([(i, t, 5) for i, t in some.items()], "doc_id long, text string, prompt int")
+    got = packing.packed(df, limits, prompt="prompt", room=16).toPandas()
+    for i, part in got.sort_values("start").groupby("doc_id"):
+        ids = [*full.encode(some[i], add_special_tokens=False).ids, 1]
+        assert [x for piece in part.ids for x in piece] == ids and (part.doc_tokens == len(ids)).all()
+        assert all(zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32 for p in part.itertuples())
+    for _, part in got.sort_values("offset").groupby("sequence_id"):
+        assert part.length.sum() <= limits[0] and len(part) <= limits[1]
+        assert part.offset.tolist() == [0, *part.length.cumsum().tolist()[:-1]]
+        assert sum(max(0, p.length - max(0, 5 - p.start)) for p in part.itertuples()) <= limits[2]
+
+
+# 9. media
+
+
+def test_stored_texts_round_trip(spark, texts):
+    for x in media.stored_texts(spark.createDataFrame([*texts.items(), (-1, None)], "doc_id long, text string")).collect():
+        plain = (texts.get(x.doc_id) or "").encode()
+        payload = plain.ljust(max(1, -(-len(plain) // 192)) * 192, b" ")
+        assert media.read_wav(bytes(x.media)) == payload and x.n_bytes == len(plain) and x.payload_bytes == len(payload)
+        assert x.payload_sha256 == hashlib.sha256(payload).hexdigest() and x.tail_crc32 == zlib.crc32(payload[-16:])
+        assert x.media_sha256 == hashlib.sha256(x.media).hexdigest() and x.media_bytes == len(x.media)
+
+
+def test_media_is_carved_and_types_corrected(spark):
+    def png():
+        chunk = lambda n, d: len(d).to_bytes(4, "big") + n + d + zlib.crc32(n + d).to_bytes(4, "big")
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", b"x") + chunk(b"IEND", b"")
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a", "b")
+    parts = [("audio/wav", media.wav(b"hello")), ("application/gzip", gzip.compress(b"abc")), ("image/png", png()), ("application/zip", held.getvalue())]
+    raw = b"xx" + b"BM junk".join(p for _, p in parts)
+    rows = [(1, raw, "image/png"), (2, png(), "image/jpeg"), (3, png(), "image/png"), (4, None, None), (5, png()[:-1], "image/png"), (6, b"RIFF", "audio/wav")]
+    got = {r.id: r for r in media.corrected(spark.createDataFrame(rows, "id long, content binary, declared string")).collect()}
+    assert [(c.type, bytes(c.content)) for c in got[1].carved] == parts and got[1].actual is None
+    assert (got[2].actual, got[2].matches, got[3].matches) == ("image/png", False, True)
+    assert not any(got[i].actual or got[i].carved for i in (4, 5, 6))
+
+
+# 10. exact dedup
+
+
+def test_fuse_filter_has_no_false_negatives():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 2, 3, 10, 1000, 50_000):
+        keys = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        made = exact_dedup.FuseFilter.from_bytes(exact_dedup.FuseFilter.build(np.concatenate([keys, keys])).to_bytes())
+        assert made.holds(keys).all()
+        assert made.holds(r.integers(0, 1 << 63, 20_000, dtype=np.uint64)).mean() < 0.01
+
+
+@pytest.mark.parametrize("digest_hex", [64, 2])
+def test_exact_dedup_equals_grouping(spark, digest_hex):
+    r = random.Random(9)
+    rows = [(i, "".join(r.choice("ab \t\n") for _ in range(r.randint(0, 7)))) for i in range(600)] + [(-1, None)]
+    got = exact_dedup.exact_dedup(*exact_dedup.halves(spark.createDataFrame(rows, "doc_id long, text string")), digest_hex=digest_hex, bucket_keys=50).collect()
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i))
+    plain = {i: (min(g)[1], len(g), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for _, i in g}
+    assert {x.doc_id: (x.keep_id, x.group_size, x.text_sha256) for x in got} == plain
+    assert all(x.kept == (x.doc_id == x.keep_id) for x in got)
