@@ -34,7 +34,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def pieces(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(first row, bytes, offsets)`` for runs of rows of about ``most`` bytes; a longer text is a run of its own."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):

@@ -138,7 +138,7 @@ class Automaton:
                 found = found and (max(1, found[0]), found[1])
             if found and found[0] and word in self.known:
                 found = None
-        if len(self.memo) > 400_000:
+        if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[raw] = found
         return found
