@@ -59,18 +59,29 @@ def is_mathish(text: Column) -> Column:
 def table_score(text: Column, percent: bool = True) -> Column:
     """How much a normalised text looks like a row of a table, 0 to 1; ``percent``: numbers may end in a percent sign."""
     number = r"^[+\-−]?\d+(?:\.\d+)?" + ("%?$" if percent else "$")
-    tokens = F.filter(F.split(text, " "), lambda t: t != "")
-    n = F.size(tokens)
-    worded = F.filter(tokens, lambda t: t.rlike("[A-Za-z]"))
-    capital = F.filter(worded, lambda t: F.substring(t, 1, 1).rlike(r"^\p{Lu}") | t.endswith("."))
-    raw = (
-        0.55 * F.size(F.filter(tokens, lambda t: t.rlike(number))) / F.greatest(n, F.lit(1))
-        + 0.22 * F.size(F.filter(tokens, lambda t: F.length(t) <= 2)) / F.greatest(n, F.lit(1))
-        + 0.18 * F.size(capital) / F.greatest(F.size(worded), F.lit(1))
-        + F.when(n >= 12, 0.15).otherwise(0.0)
-        - F.when(is_sentence(text), 0.7).otherwise(0.0)
-    )
-    return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+
+    def parts(tokens: Column) -> Column:
+        worded = F.filter(tokens, lambda t: t.rlike("[A-Za-z]"))
+        capital = F.filter(worded, lambda t: F.substring(t, 1, 1).rlike(r"^\p{Lu}") | t.endswith("."))
+        counts = {"n": tokens, "num": F.filter(tokens, lambda t: t.rlike(number)), "short": F.filter(tokens, lambda t: F.length(t) <= 2), "worded": worded, "capital": capital}
+        return F.struct(*[F.size(c).alias(k) for k, c in counts.items()])
+
+    def score(c: Column) -> Column:
+        raw = (
+            0.55 * c["num"] / F.greatest(c["n"], F.lit(1))
+            + 0.22 * c["short"] / F.greatest(c["n"], F.lit(1))
+            + 0.18 * c["capital"] / F.greatest(c["worded"], F.lit(1))
+            + F.when(c["n"] >= 12, 0.15).otherwise(0.0)
+            - F.when(is_sentence(text), 0.7).otherwise(0.0)
+        )
+        return F.when(c["n"] == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+
+    return bound(bound(F.filter(F.split(text, " "), lambda t: t != ""), parts), score)
+
+
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once: a transform over an array of one."""
+    return F.transform(F.array(value), f)[0]
 
 
 def is_caption(text: Column) -> Column:

@@ -123,8 +123,8 @@ def paragraphs_of(layout: DataFrame) -> DataFrame:
     cut = marked.withColumn("rank", rank).withColumn("island", F.sum(F.when(breaks, 1).otherwise(0)).over(order))
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     grouped = cut.groupBy(*PAGE, "island").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("parts"), F.count("*").alias("n_lines"), *box)
-    text = joined_lines(F.transform("parts", lambda p: p["text"]))
-    return grouped.select(*PAGE, F.col("island").alias("ord"), text.alias("text"), T.content_hash(text).alias("hash"), "n_lines", "x0", "y0", "x1", "y1")
+    joined = grouped.withColumn("text", joined_lines(F.transform("parts", lambda p: p["text"])))
+    return joined.select(*PAGE, F.col("island").alias("ord"), "text", T.content_hash(F.col("text")).alias("hash"), "n_lines", "x0", "y0", "x1", "y1")
 
 
 def joined_lines(parts: Column) -> Column:
@@ -134,7 +134,8 @@ def joined_lines(parts: Column) -> Column:
 
 def layout_of_texts(docs: DataFrame, lines_a_page: int = 40) -> DataFrame:
     """A plain layout for texts, one line below the other, so that layout queries run over documents."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    docs = docs.select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    lines = F.col("lines")
     pages = F.sequence(F.lit(0), F.greatest(F.floor((F.size(lines) - 1) / lines_a_page), F.lit(0)).cast("int"))
 
     def line(x: Column, i: Column) -> Column:
