@@ -49,11 +49,9 @@ def pieces(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarr
         row = end
 
 
-def words(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, first)``: the hash of every word; the words of text i are first[i]:first[i+1]."""
+def spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(starts, ends)``: the first and last byte of every word; no word goes over the end of a text."""
     n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     inside = ~_IS_SPACE[raw]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -62,7 +60,15 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarr
     edge = edge[(edge > 0) & (edge < n)]
     starts[edge] = inside[edge]
     ends[edge - 1] = inside[edge - 1]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends)
+    return np.flatnonzero(starts), np.flatnonzero(ends)
+
+
+def words(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, first)``: the hash of every word; the words of text i are first[i]:first[i+1]."""
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    s, e = spans(raw, at)
     up, down = _power(n + 1)
     total = np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * up[:n])
     h = total[e]
