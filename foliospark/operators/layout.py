@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import blocks
 
 SCHEMA = "doc_id long, pages array<struct<page:int,width:double,height:double,dict:struct<blocks:array<struct<type:int,lines:array<struct<bbox:array<double>,spans:array<struct<text:string,bbox:array<double>,size:double>>>>>>>>>"
 PAGE = ["doc_id", "page_index"]
@@ -91,12 +92,12 @@ def filtered_lines(lines: DataFrame) -> DataFrame:
 
 
 def paragraphs_of(layout: DataFrame) -> DataFrame:
-    """``doc_id, page_index, ord, text, hash, n_lines, x0, y0, x1, y1`` of the assembled paragraphs.
+    """``doc_id, page_index, ord, text, hash, n_lines, x0, y0, x1, y1, caption`` of the assembled paragraphs, and the places of their first and last lines.
 
     In reading order (column, top, left) a line begins a paragraph after a change of column, a gap of over 1.5 line heights, one of
     over 0.6 after a sentence end before a capital, too little common width, another type size, or where a caption or heading begins or ends.
     """
-    rows = filtered_lines(lines_of(layout)).withColumn("column", F.when(F.col("x0") < F.col("page_w") * 0.5, 0).otherwise(1))
+    rows = blocks.without_blocks(filtered_lines(lines_of(layout))).withColumn("column", F.when(F.col("x0") < F.col("page_w") * 0.5, 0).otherwise(1))
     order = Window.partitionBy(*PAGE).orderBy("column", "y0", "x0", "ord")
     before = {c: F.lag(c).over(order) for c in ("column", "x0", "y1", "x1", "text", "font_size")}
     gap = F.col("y0") - before["y1"]
@@ -108,6 +109,7 @@ def paragraphs_of(layout: DataFrame) -> DataFrame:
     heading = (F.col("font_size") > F.col("font") * 1.2) & (F.length("text") <= 40) | T.is_heading(F.col("text")) & F.col("text").rlike(T.NUMBERED)
     marked = rows.withColumn("heading", F.coalesce(heading, F.lit(False))).withColumn("caption", T.is_caption(F.col("text")))
     after_heading = F.lag("heading").over(order)
+    math = F.col("text").startswith(blocks.MATH)
     breaks = (
         before["text"].isNull()
         | (F.col("column") != before["column"])
@@ -115,6 +117,8 @@ def paragraphs_of(layout: DataFrame) -> DataFrame:
         | F.col("caption")
         | F.col("heading")
         | after_heading
+        | math
+        | F.lag(math).over(order)
         | ((gap > F.col("line_h") * 0.6) & before["text"].rlike(T.SENTENCE_END) & F.col("text").rlike(r"^\p{Lu}"))
         | (overlap < 0.2)
         | ~fonts
@@ -122,9 +126,11 @@ def paragraphs_of(layout: DataFrame) -> DataFrame:
     rank = F.row_number().over(order)
     cut = marked.withColumn("rank", rank).withColumn("island", F.sum(F.when(breaks, 1).otherwise(0)).over(order))
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    box += [F.min(F.struct("y0", "x0", "x1")).alias("first"), F.max(F.struct("y1", "x1", "x0")).alias("last"), *[F.first(n).alias(n) for n in ("page_w", "page_h", "line_h")]]
     grouped = cut.groupBy(*PAGE, "island").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("parts"), F.count("*").alias("n_lines"), *box)
     joined = grouped.withColumn("text", joined_lines(F.transform("parts", lambda p: p["text"])))
-    return joined.select(*PAGE, F.col("island").alias("ord"), "text", T.content_hash(F.col("text")).alias("hash"), "n_lines", "x0", "y0", "x1", "y1")
+    places = [F.col(f"{a}.{b}").alias(f"{a}_{b}") for a, bs in (("first", ("x0", "x1", "y0")), ("last", ("x0", "x1", "y1"))) for b in bs]
+    return joined.select(*PAGE, F.col("island").alias("ord"), "text", T.content_hash(F.col("text")).alias("hash"), "n_lines", "x0", "y0", "x1", "y1", T.is_caption(F.col("text")).alias("caption"), *places, "page_w", "page_h", "line_h")
 
 
 def joined_lines(parts: Column) -> Column:

@@ -379,4 +379,11 @@ def _(spark, d):
 def _(spark, d):
     from ..operators import layout
 
-    return layout.paragraphs_of(layout.layout_of_texts(table(spark, d, "documents")))
+    return layout.paragraphs_of(layout.layout_of_texts(table(spark, d, "documents"))).select("doc_id", "page_index", "ord", "text", "hash", "n_lines", "x0", "y0", "x1", "y1", "caption")
+
+
+@query("layout_document")
+def _(spark, d):
+    from ..operators import blocks, layout
+
+    return blocks.document_paragraphs(layout.paragraphs_of(layout.layout_of_texts(table(spark, d, "documents"))))

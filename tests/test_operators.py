@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators import enrich, layout, position
+from foliospark.operators import blocks, enrich, layout, position
 from foliospark.operators import paragraphs as P
 from foliospark.operators import reconcile as R
 from foliospark.sources import layout_json
@@ -203,3 +203,69 @@ def test_xml_sink(spark, tmp_path):
     df = spark.createDataFrame([(0, "a\x01b")], "ord int, text string")
     layout_json.write_paragraphs_xml(df, str(tmp_path / "x"))
     assert "a b" in "".join(p.read_text() for p in (tmp_path / "x").glob("part-*"))
+
+
+def page_lines(spark, step, rows, **page):
+    """Texts that a block step leaves of ``(x0, y0, x1, y1, text, size)`` lines, top to bottom."""
+    known = {"page_w": 600.0, "page_h": 800.0, "line_h": 12.0, "font": 10.0, "bottom": 700.0} | page
+    df = spark.createDataFrame([([(i, *r) for i, r in enumerate(rows)], *known.values())], f"lines {blocks.LINES_TYPE}, " + ", ".join(f"{k} double" for k in known))
+    made = df.select(step(F.col("lines")).alias("lines")).first().lines
+    return [x.text for x in sorted(made, key=lambda x: (x.y0, x.x0))]
+
+
+PROSE = "This is a line of plain prose with many words in it."
+
+
+def test_same_baseline_pairs(spark):
+    rows = [(50.0, 10.0, 80.0, 22.0, "a", 10.0), (85.0, 11.0, 100.0, 22.0, "b", 10.0), (104.0, 12.0, 120.0, 22.0, "c", 10.0), (50.0, 40.0, 80.0, 52.0, "d", 10.0), (320.0, 40.0, 340.0, 52.0, "e", 10.0)]
+    assert page_lines(spark, blocks.merge_same_baseline, rows) == ["a b", "c", "d", "e"]
+
+
+def test_algorithm_blocks_go(spark):
+    rows = [(50.0, 10.0, 280.0, 22.0, PROSE, 10.0), (50.0, 30.0, 280.0, 42.0, "Algorithm 1 Sort", 10.0), (50.0, 50.0, 280.0, 62.0, "for each x", 10.0), (50.0, 120.0, 280.0, 132.0, "after the gap", 10.0)]
+    assert page_lines(spark, blocks.drop_algorithms, rows) == [PROSE, "after the gap"]
+
+
+def test_table_bodies_go(spark):
+    above = [(50.0, 100.0, 90.0, 112.0, "Method", 10.0), (50.0, 120.0, 250.0, 132.0, PROSE, 10.0)]
+    cells = [(50.0, 200.0 + 14 * i, 250.0, 212.0 + 14 * i, f"{i} 2 3 4", 10.0) for i in range(3)]
+    other = (350.0, 200.0, 380.0, 212.0, "5 6 7", 10.0)
+    caption = (50.0, 160.0, 250.0, 172.0, "Table 2: results", 10.0)
+    assert page_lines(spark, blocks.drop_table_bodies, [*above, caption, *cells, other]) == [PROSE, "Table 2: results", "5 6 7"]
+    # two strong cells below are no cluster
+    assert page_lines(spark, blocks.drop_table_bodies, [caption, *cells[:2]]) == ["Table 2: results", "0 2 3 4", "1 2 3 4"]
+
+
+def test_footnotes_go(spark):
+    rows = [(50.0, 600.0, 280.0, 612.0, "3 apples high on the page", 8.0), (50.0, 700.0, 280.0, 710.0, "1 A note", 8.0), (50.0, 712.0, 280.0, 722.0, "goes on here", 8.0), (320.0, 705.0, 500.0, 717.0, "body of the other column", 10.0), (50.0, 760.0, 280.0, 772.0, "far below", 8.0)]
+    assert page_lines(spark, blocks.drop_footnotes, rows) == ["3 apples high on the page", "body of the other column", "far below"]
+
+
+def test_numbered_math_is_one_line(spark):
+    rows = [(50.0, 10.0, 280.0, 22.0, PROSE, 10.0), (100.0, 60.0, 200.0, 72.0, "E = mc^2", 10.0), (150.0, 85.0, 160.0, 97.0, "k", 6.0), (500.0, 61.0, 530.0, 73.0, "( 4 )", 10.0), (500.0, 300.0, 530.0, 312.0, "(5)", 10.0)]
+    assert page_lines(spark, blocks.collapse_numbered_math, rows) == [PROSE, "[MATH](4)", "(5)"]
+
+
+def test_heading_and_noise(spark):
+    heading = lambda c: blocks.is_heading_only(c, F.lit(1))
+    assert values(spark, heading, ["2 Method", "B.2 ATARI RUNS", "Appendix of proofs", "A plain line", "2 Method."]) == [True, True, True, False, False]
+    assert values(spark, blocks.is_tiny_noise, ["x y", "[MATH]", "2 Method", "abc def gh"]) == [True, False, False, False]
+
+
+def test_paragraphs_go_on_over_pages(spark):
+    def para(page, ord_, text, first, last, x=50.0):
+        return (1, page, ord_, text, 2, text.startswith("Figure"), x, x + 250, first, x, x + 250, last, 600.0, 800.0, 12.0)
+
+    rows = [
+        para(0, 1, "An opening paragraph that ends with a hyphen contin-", 700.0, 790.0),
+        para(0, 2, "Another column ends here in the middle of", 700.0, 780.0, 320.0),
+        para(1, 1, "ues on the next page with more words than that.", 10.0, 60.0),
+        para(1, 2, "Figure 1: something", 100.0, 110.0, 320.0),
+        para(1, 3, "the right column goes on below a caption of it.", 500.0, 560.0, 320.0),
+        para(1, 4, "Upper case starts anew and is left alone here", 600.0, 650.0),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, page_index int, ord long, text string, n_lines long, caption boolean, first_x0 double, first_x1 double, first_y0 double, last_x0 double, last_x1 double, last_y1 double, page_w double, page_h double, line_h double")
+    got = blocks.merge_across_pages(df).orderBy("ord").collect()
+    assert [r.text.split()[0] for r in got] == ["An", "Another", "Figure", "Upper"]
+    assert got[1].text.endswith("in the middle of the right column goes on below a caption of it.")
+    assert "hyphen continues on" in got[0].text and got[0].last_page == 1 and got[0].n_lines == 4
