@@ -45,6 +45,11 @@ def _overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.least(a1, b1) - F.greatest(a0, b0), F.lit(0.0)) / F.when(narrower > 0, narrower).otherwise(1.0)
 
 
+def _where(has: Column, changed: Column, lines: Column) -> Column:
+    """``changed`` only for pages that have what a step looks for; folds are slow beside a test, and most pages have nothing."""
+    return F.when(has, changed).otherwise(lines)
+
+
 def merge_same_baseline(lines: Column) -> Column:
     """Neighbours of one row and column with a small gap become one line. Pairs only: a merged line takes no third."""
 
@@ -68,7 +73,10 @@ def merge_same_baseline(lines: Column) -> Column:
         waiting = F.struct(F.when(s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["open"])).alias("done"), x.alias("open"))
         return T.bound(both, lambda m: F.when(m.isNull(), waiting).otherwise(F.struct(F.array_append(s["done"], m).alias("done"), none.alias("open"))))
 
-    return F.aggregate(_by_top(lines), start, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["open"])))
+    merged = F.aggregate(_by_top(lines), start, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["open"])))
+    tops = F.array_sort(F.transform(lines, lambda x: x["y0"]))
+    gaps = F.zip_with(F.slice(tops, 1, F.size(tops) - 1), F.slice(tops, 2, F.size(tops)), lambda a, b: b - a)
+    return _where(F.exists(gaps, lambda d: d <= F.col("line_h") * 0.25), merged, lines)
 
 
 def drop_algorithms(lines: Column) -> Column:
@@ -82,7 +90,7 @@ def drop_algorithms(lines: Column) -> Column:
         outside = F.struct(F.array_append(s["kept"], x).alias("kept"), F.lit(False).alias("on"), s["top"].alias("top"), s["column"].alias("column"), s["wide"].alias("wide"), s["below"].alias("below"), s["n"].alias("n"))
         return F.when(more, inside).when(x["text"].rlike(ALGORITHM), opened).otherwise(outside)
 
-    return F.aggregate(_by_top(lines), start, step, lambda s: s["kept"])
+    return _where(F.exists(lines, lambda x: x["text"].rlike(ALGORITHM)), F.aggregate(_by_top(lines), start, step, lambda s: s["kept"]), lines)
 
 
 def drop_table_bodies(lines: Column) -> Column:
@@ -112,9 +120,8 @@ def drop_table_bodies(lines: Column) -> Column:
 
         return F.aggregate(captions, F.array().cast("array<bigint>"), step)
 
-    # pages without a table caption, most of all, aren't looked at
     cut = T.bound(F.transform(lines, marked), lambda cells: T.bound(dropped(cells), lambda gone: F.filter(lines, lambda x: ~F.array_contains(gone, x["ord"]))))
-    return F.when(F.exists(lines, lambda x: x["text"].rlike(TABLE)), cut).otherwise(lines)
+    return _where(F.exists(lines, lambda x: x["text"].rlike(TABLE)), cut, lines)
 
 
 def drop_footnotes(lines: Column) -> Column:
@@ -137,7 +144,7 @@ def drop_footnotes(lines: Column) -> Column:
 
         return F.aggregate(_by_top(F.filter(lines, lambda x: column_of(x) == column)), start, step, lambda s: s["kept"])
 
-    return F.concat(of(0), of(1))
+    return _where(F.exists(lines, lambda x: (x["y0"] >= foot) & x["text"].rlike(FOOTNOTE)), F.concat(of(0), of(1)), lines)
 
 
 def collapse_numbered_math(lines: Column) -> Column:
@@ -165,7 +172,7 @@ def collapse_numbered_math(lines: Column) -> Column:
 
     numbers = _by_top(F.filter(lines, is_number))
     cut = F.aggregate(numbers, start, step, lambda s: F.concat(F.filter(lines, lambda x: ~F.array_contains(s["gone"], x["ord"])), s["made"]))
-    return F.when(F.exists(lines, is_number), cut).otherwise(lines)
+    return _where(F.exists(lines, is_number), cut, lines)
 
 
 def without_blocks(rows: DataFrame) -> DataFrame:
@@ -177,7 +184,8 @@ def without_blocks(rows: DataFrame) -> DataFrame:
     whole = [n for n in rows.columns if n not in (*page, *LINE, "block_no")]
     pages = rows.groupBy(*page).agg(F.collect_list(F.struct(*LINE)).cast(LINES_TYPE).alias("lines"), *[F.first(n).alias(n) for n in whole])
     for step in (merge_same_baseline, drop_algorithms, drop_table_bodies, drop_footnotes, collapse_numbered_math):
-        pages = pages.withColumn("lines", step(F.col("lines")))
+        # bound, so that each step's array is computed once however often the next one names it
+        pages = pages.withColumn("lines", T.bound(F.col("lines"), step))
     return pages.select(*page, *whole, F.inline("lines"))
 
 
