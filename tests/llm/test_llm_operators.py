@@ -189,6 +189,28 @@ def test_lm_scores_tell_quality(spark):
     assert (ranks[good].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.95
 
 
+def test_lm_counts_and_paths(spark, monkeypatch):
+    docs = common.documents(spark, DIR).select("doc_id", "text")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    marked = lm_score.labelled(docs, labels, F.col("quality") == 1).collect()
+    texts = spark.createDataFrame([(r.text, r.is_target) for r in marked], "text string, is_target boolean")
+    fitted = lm_score.models(texts)
+    every, target = {}, {}
+    for r in marked:
+        for w in WORD.findall(r.text.translate(LOWER)):
+            every[w] = every.get(w, 0) + 1
+            target[w] = target.get(w, 0) + r.is_target
+    # exact counts, of the shared vocabulary and of all tokens
+    assert fitted.totals == (sum(every.values()), sum(target.values()))
+    assert (fitted.heavy[1][1] > 0).sum() + fitted.vocabulary.count() == sum(n >= 2 for n in target.values())
+    assert fitted.heavy[1].sum(1).tolist() == [sum(every[w] for w, n in target.items() if n >= 2), sum(n for n in target.values() if n >= 2)]
+    with_heavy = lm_score.scored(docs, fitted).toPandas().sort_values("doc_id").reset_index(drop=True)
+    monkeypatch.setattr(lm_score, "HEAVY", 1)  # now nearly all words go through the join
+    by_join = lm_score.scored(docs, lm_score.models(texts)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert (with_heavy.n_tokens == by_join.n_tokens).all()
+    assert np.allclose(with_heavy.ce_difference, by_join.ce_difference, atol=1e-4)
+
+
 # 4. personal data
 
 PLAIN = [
