@@ -3,9 +3,9 @@
 All n-grams get one global order, rare ones first. It is cut into fragments; the overlap of a pair is
 counted in each fragment apart and summed per pair, so the result is exact. Pairs to count come from
 the low end of the same order: two sets that are similar enough share an n-gram among the first few
-of each. Texts with equal sets are one class throughout. Of the many classes that share an n-gram, first each is paired
-with the least one alone; after that only pairs of different components count. Where a list of
-classes is long, its pairs are not made: the classes are compared block against block.
+of each. Texts with equal sets are one class throughout. Every pair of classes is compared once, and all links are
+counted. Where a list of classes is long, its pairs are not made: the classes are compared block against block,
+and a block gives each class's number of links and only so many links as span what links.
 """
 
 from __future__ import annotations
@@ -88,77 +88,85 @@ COMMON = 8
 MOST_LISTED, BLOCK_GRAMS = 200, 400_000
 
 
+#: Overlaps of a block are counted for so many pairs at a time.
+PAIRS_HELD = 1 << 24
+
+
 def _block_links(percent: int):
-    """Links between the classes of two blocks (or within one) that join different components, a spanning part of all."""
+    """Between the classes of two blocks (or within one): the number of rows that each class links with, and links that span what links."""
 
     def run(table: pa.Table) -> pa.Table:
         nodes, first = np.unique(table["node"].to_numpy(), return_index=True)
-        roots, sides = table["root"].to_numpy()[first], table["side"].to_numpy()[first]
+        copies, sides = table["copies"].to_numpy()[first], table["side"].to_numpy()[first]
         at, parts, grams = np.searchsorted(nodes, table["node"].to_numpy()), table["fragment"].to_numpy(), table["grams"]
         sizes = np.zeros(len(nodes), np.int64)
-        one_block = len(np.unique(sides)) == 1
+        one_block = 0 <= table["i"][0].as_py() == table["j"][0].as_py()
         left = np.flatnonzero(sides == 0)
         right = left if one_block else np.flatnonzero(sides == 1)
         place = np.full(len(nodes), -1)
         place[right] = np.arange(len(right))
-        sums = np.zeros((len(left), len(right)), np.int32)
-        seat = np.full(len(nodes), -1)
-        seat[left] = np.arange(len(left))
-        for part in np.unique(parts):  # partial overlaps of each fragment, summed
+        held = []
+        for part in np.unique(parts):
             rows = np.flatnonzero(parts == part)
             rows = rows[np.unique(at[rows], return_index=True)[1]]
-            keys = [np.frombuffer(grams[int(r)].as_buffer(), np.uint64) for r in rows]
-            for r, k in zip(rows, keys, strict=True):
-                sizes[at[r]] += len(k)
-            theirs = [(place[at[r]], k) for r, k in zip(rows, keys, strict=True) if place[at[r]] >= 0]
-            if not theirs:
-                continue
-            all_keys = np.concatenate([k for _, k in theirs])
-            owner = np.concatenate([np.full(len(k), i) for i, k in theirs])
-            order = np.argsort(all_keys, kind="stable")
-            all_keys, owner = all_keys[order], owner[order]
-            for r, k in zip(rows, keys, strict=True):
-                if seat[at[r]] >= 0:
-                    lo, hi = np.searchsorted(all_keys, k, "left"), np.searchsorted(all_keys, k, "right")
-                    n = hi - lo
-                    found = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    sums[seat[at[r]]] += np.bincount(owner[found], minlength=len(right)).astype(np.int32)
-        top: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while top.get(x, x) != x:
-                top[x] = x = top.get(top[x], top[x])
-            return x
-
-        a, b = [], []
-        for i, x in enumerate(left):
-            linked = sums[i].astype(np.int64) * (100 + percent) >= (sizes[x] + sizes[right]) * percent
-            for y in right[linked]:
-                u, v = find(int(roots[x])), find(int(roots[y]))
-                if u != v:
-                    top[max(u, v)] = min(u, v)
-                    a.append(nodes[x]), b.append(nodes[y])
-        return pa.table({"node": pa.array(a, pa.int64()), "hub": pa.array(b, pa.int64())})
+            keys = {int(at[r]): np.frombuffer(grams[int(r)].as_buffer(), np.uint64) for r in rows}
+            for x, k in keys.items():
+                sizes[x] += len(k)
+            theirs = [(place[x], k) for x, k in keys.items() if place[x] >= 0]
+            if theirs:
+                all_keys = np.concatenate([k for _, k in theirs])
+                owner = np.concatenate([np.full(len(k), i) for i, k in theirs])
+                order = np.argsort(all_keys, kind="stable")
+                held.append((keys, all_keys[order], owner[order]))
+        root, links, a, b = np.arange(len(nodes)), np.zeros(len(nodes), np.int64), [], []
+        step = max(1, PAIRS_HELD // max(1, len(right)))
+        for start in range(0, len(left), step):
+            some = left[start : start + step]
+            sums = np.zeros((len(some), len(right)), np.int32)
+            for keys, all_keys, owner in held:  # partial overlaps of each fragment, summed
+                for i, x in enumerate(some.tolist()):
+                    if (k := keys.get(x)) is not None:
+                        lo, hi = np.searchsorted(all_keys, k, "left"), np.searchsorted(all_keys, k, "right")
+                        n = hi - lo
+                        found = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                        sums[i] += np.bincount(owner[found], minlength=len(right)).astype(np.int32)
+            for i, x in enumerate(some):
+                linked = right[sums[i].astype(np.int64) * (100 + percent) >= (sizes[x] + sizes[right]) * percent]
+                linked = linked[linked != x]
+                links[x] += copies[linked].sum()
+                if not one_block:
+                    links[linked] += copies[x]
+                apart, of = np.unique(root[linked], return_index=True)
+                of, apart = of[apart != root[x]], apart[apart != root[x]]
+                if len(apart):
+                    a.append(np.full(len(of), nodes[x])), b.append(nodes[linked[of]])
+                    root[np.isin(root, apart)] = root[x]
+        with_links = np.flatnonzero(links)
+        node, hub = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        none = pa.nulls(len(with_links), pa.int64())
+        spanning = pa.table({"node": pa.array(node), "hub": pa.array(hub), "links": pa.nulls(len(node), pa.int64())})
+        return pa.concat_tables([spanning, pa.table({"node": pa.array(nodes[with_links]), "hub": none, "links": pa.array(links[with_links])})])
 
     return run
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragments: int = 4, most_listed: int = MOST_LISTED, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links_seen`` for every row of ``docs(doc_id, text)``.
+    """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs(doc_id, text)``.
 
     A text's set is its distinct shingles of ``words`` words, A-Z in lower case; with fewer words, all of them as
     one. Null, empty and blank texts have empty sets and are linked with nothing. Two rows link when
     100 * intersection >= ``percent`` * union; component_id is the least doc_id that links lead to. Equal
     sets link. Repeated rows are equal sets. Rows with null ids link by equal sets, and to others only through a row with an id and the same set.
-    Other columns are ignored. ``n_links_seen`` counts the links of a row's class that were needed, not all that exist.
+    Other columns are ignored. ``n_links`` is the number of other rows that a row links with, those of equal sets too; for a row
+    without an id, and for others' links with it, those of equal sets and of rows with an id and the same set.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     run, schema = _first_pass(words)
     first = common.written(docs.mapInArrow(run, schema), "sets")
     each = first.where("chunk is null").select("doc_id", "n", "digest", "node")
-    classes = each.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1"))
-    classes = common.written(classes.select("node", "low", F.when(F.col("d0") != F.col("d1"), F.raise_error(F.lit("two sets share a node number"))).otherwise(F.col("n")).cast("long").alias("n")), "classes")
+    classes = each.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.count("*").alias("copies"))
+    classes = common.written(classes.select("node", "low", "copies", F.when(F.col("d0") != F.col("d1"), F.raise_error(F.lit("two sets share a node number"))).otherwise(F.col("n")).cast("long").alias("n")), "classes")
     chunks = first.where("chunk is not null").groupBy("chunk").applyInArrow(_summed, "chunk long, levels binary, mass array<long>").collect()  # CELLS bytes at most
     levels, mass = np.zeros(CELLS, np.uint8), np.zeros(64, np.int64)
     for row in chunks:
@@ -215,13 +223,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
         bound = "(k + least(n - p1 - 1, m - q1 - 1)) * {0} >= {1} * (n + m) and (1 + least(n - p0 - 1, m - q0 - 1)) * {0} >= {1} * (n + m)".format(100 + percent, percent)
         return each.where(f"k >= least({common_grams('n')}, {common_grams('m')}) and {bound}")
 
-    # first every class with the one leader of its lists that it shares most with
-    leaders = posts.groupBy("token").agg(F.min(F.struct("node", "n", "place")).alias("h"))
-    hub = posts.join(leaders.select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("m"), F.col("h.place").alias("q")), "token").where(f"hub <> node and {fits}")
-    pairs = common.written(counted(hub).groupBy("node").agg(F.max(F.struct("k", "hub", "n", "m")).alias("h")).select("node", "h.hub", "h.n", "h.m"), "pairs")
-    hubs = pairs.select(F.col("hub").alias("node")).distinct().withColumn("is_hub", F.lit(True))
-    needed = posts.select("node").distinct().join(classes.select("node", "low"), "node").join(pairs, "node", "left").join(hubs, "node", "left")
-    needed = common.written(needed.select("node", F.col("low").alias("doc_id"), "hub", "n", "m", F.coalesce("is_hub", F.lit(False)).alias("is_hub")), "needed")
+    needed = common.written(posts.select("node").distinct().join(classes.select("node", F.col("low").alias("doc_id")), "node"), "needed")
 
     def segments(batches):
         for batch in batches:
@@ -234,72 +236,51 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
                         if ends[k] < ends[k + 1]:
                             rows.append(i), parts.append(k), blobs.append(keys[ends[k] : ends[k + 1]].tobytes())
             at = pa.array(rows, pa.int64())
-            same = [batch[c].take(at) for c in ("node", "hub", "n", "m", "is_hub")]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["node", "hub", "n", "m", "is_hub", "fragment", "grams"])
+            yield pa.RecordBatch.from_arrays([batch["node"].take(at), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["node", "fragment", "grams"])
 
-    reps = docs.join(needed.hint("merge"), "doc_id").select("node", "hub", "n", "m", "is_hub", "text")
-    parts = common.written(reps.mapInArrow(segments, "node long, hub long, n int, m int, is_hub boolean, fragment int, grams binary"), "segments")
+    reps = docs.join(needed.hint("merge"), "doc_id").select("node", "text")
+    parts = common.written(reps.mapInArrow(segments, "node long, fragment int, grams binary"), "segments")
     common.release(spark)
 
-    def overlaps(batches):
-        for batch in batches:
-            got, last = [], (None, None)
-            for raw_a, raw_b in zip(batch["a"], batch["b"], strict=True):
-                y = raw_b.as_buffer()
-                if last[0] is None or not last[0].equals(y):
-                    last = (y, np.frombuffer(y, np.uint64))
-                x, z = np.frombuffer(raw_a.as_buffer(), np.uint64), last[1]
-                at = np.searchsorted(z, x)
-                at[at == len(z)] = 0
-                got.append(int((z[at] == x).sum()))
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["hub"], batch["n"], batch["m"], batch["fragment"], pa.array(got, pa.int64())], names=["node", "hub", "n", "m", "fragment", "got"])
-
-    def linked(mine: DataFrame, theirs: DataFrame) -> DataFrame:
-        """The pairs of ``mine(node, hub, n, m, fragment, grams)`` that link: partial overlaps of every fragment, summed for each pair."""
-        both = mine.withColumnRenamed("grams", "a").join(theirs.select(F.col("node").alias("hub"), "fragment", F.col("grams").alias("b")), ["hub", "fragment"])
-        part = both.select("node", "hub", "n", "m", "fragment", "a", "b").mapInArrow(overlaps, "node long, hub long, n int, m int, fragment int, got long")
-        # rows that repeat an id and its text give a segment twice: it counts once
-        part = part.groupBy("node", "hub", "n", "m", "fragment").agg(F.max("got").alias("got")).groupBy("node", "hub", "n", "m").agg(F.sum("got").alias("got"))
-        return part.where(f"got * {100 + percent} >= (n + m) * {percent}").select("node", "hub")
-
-    links = common.written(linked(parts.where("hub is not null").drop("is_hub"), parts.where("is_hub").hint("merge")), "linked")
-    edge = [F.col("node").alias("a"), F.col("hub").alias("b")]
-    roots = common.written(common.connected_components(links.select(*edge)), "roots")
-    # then all pairs of different components that share an n-gram early enough for the overlap they need
-    labelled = posts.join(roots, "node", "left").select("token", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-    split = labelled.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("k")).where("r0 <> r1").select("token", "k")
-    open_posts = common.written(labelled.join(split, "token"), "open")
-    small = open_posts.where(F.col("k") <= most_listed)
-    other = small.select("token", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("root").alias("other"))
-    left = small.join(other, "token").where(f"node < hub and root <> other and {fits}")
-    left = common.written(counted(left, F.first("root").alias("root"), F.first("other").alias("other")), "pairs")
+    # all pairs that share an n-gram early enough for the overlap they need
+    lengths = posts.groupBy("token").agg(F.count("*").alias("list"))
+    listed = common.written(posts.join(lengths, "token"), "lists")
     # large lists: clusters of classes that such lists connect, block against block
-    large = open_posts.where(F.col("k") > most_listed)
+    large = listed.where(F.col("list") > most_listed)
     lead = large.groupBy("token").agg(F.min("node").alias("lead"))
     clusters = common.connected_components(large.join(lead, "token").select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    members = large.groupBy("node").agg(F.max("root").alias("root"), F.max("n").alias("n")).join(clusters.withColumnRenamed("root", "cluster"), "node")
+    clusters = common.written(clusters.withColumnRenamed("root", "cluster"), "clusters")
+    small = listed.where(F.col("list") <= most_listed)
+    other = small.select("token", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("place").alias("q"))
+    left = counted(small.join(other, "token").where(f"node < hub and {fits}"))
+    # a pair of one cluster is compared there, and nowhere else
+    left = left.join(clusters, "node", "left").join(clusters.select(F.col("node").alias("hub"), F.col("cluster").alias("its")), "hub", "left")
+    left = common.written(left.where("cluster is null or its is null or cluster <> its").select("node", "hub"), "pairs")
+    sized = classes.select("node", "n", "copies")
+    members = clusters.join(sized, "node")
     wide = members.groupBy("cluster").agg(F.ceil(F.sum("n") / block_grams).alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = members.join(wide, "cluster").withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col("cluster").alias("of"), F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "node", "root", (F.col("mine") > F.col("with")).cast("int").alias("side"))
+    dealt = dealt.select(F.col("cluster").alias("of"), F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "node", "copies", (F.col("mine") > F.col("with")).cast("int").alias("side"))
     # a pair's second class is a block of its own, against all first ones: both kinds take the segments in one join
     minus = F.lit(-1).cast("long")
-    first_ones = left.select(F.col("hub").alias("of"), minus.alias("i"), minus.alias("j"), "node", "root", F.lit(1).alias("side"))
-    second_ones = left.select(F.col("hub").alias("of"), minus.alias("i"), minus.alias("j"), F.col("hub").alias("node"), F.col("other").alias("root"), F.lit(0).alias("side")).distinct()
-    asked = common.written(dealt.unionAll(first_ones).unionAll(second_ones), "blocks")
-    found = asked.hint("merge").join(parts.select("node", "fragment", "grams"), "node").groupBy("of", "i", "j").applyInArrow(_block_links(percent), "node long, hub long")
-    links = common.written(links.unionAll(found), "linked")
+    sides = left.select(F.col("hub").alias("of"), "node", F.lit(1).alias("side")).unionAll(left.select(F.col("hub").alias("of"), F.col("hub").alias("node"), F.lit(0).alias("side")).distinct())
+    paired = sides.join(sized, "node").select("of", minus.alias("i"), minus.alias("j"), "node", "copies", "side")
+    asked = common.written(dealt.unionAll(paired), "blocks")
+    found = asked.hint("merge").join(parts, "node").groupBy("of", "i", "j").applyInArrow(_block_links(percent), "node long, hub long, links long")
+    found = common.written(found, "linked")
     common.release(spark)
-    roots = common.connected_components(links.select(*edge))
-    seen = links.select(F.explode(F.array("node", "hub")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links_seen"))
-    named = classes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    roots = common.connected_components(found.where("hub is not null").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    links = found.where("hub is null").groupBy("node").agg(F.sum("links").alias("links"))
+    named = classes.join(roots, "node", "left").select("node", "low", "copies", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = common.written(named.join(least, "root").join(seen, "node", "left").select("node", "component_id", "n_links_seen"), "components")
+    known = named.join(least, "root").join(links, "node", "left")
+    known = common.written(known.select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "components")
     return each.join(known, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links_seen", F.lit(0).cast("long")).alias("n_links_seen"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
 
 

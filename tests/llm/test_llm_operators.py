@@ -123,6 +123,26 @@ def test_jaccard_equals_brute_force(spark, most_listed):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == components(rows)
 
 
+@pytest.mark.parametrize("most_listed", [200, 2])
+def test_jaccard_counts_all_links(spark, most_listed):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i, k in enumerate(r.sample(range(200), 30))]
+    rows += [(40, rows[3][1]), (40, rows[3][1]), (41, " ".join(base[:180])), (42, "a b"), (43, "A b"), (44, ""), (45, "")]
+    for i in range(46, 90):  # some link in part only
+        words = [f"v{j}" for j in range(60)]
+        for j in r.sample(range(60), r.choice([0, 1, 1, 2])):
+            words[j] = "x"
+        rows.append((i, " ".join(words)))
+    sets = [grams(t) for _, t in rows]
+    plain = collections.Counter()
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            plain[a] += a != b and bool(x & y) and 100 * len(x & y) >= 85 * len(x | y)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), most_listed=most_listed, block_grams=2000).collect()
+    assert sorted((x.doc_id, x.n_links) for x in got) == sorted((rows[a][0], n) for a, n in plain.items())
+
+
 def test_shingle_words_and_edges():
     data = ["", " a  b ", "A\tb\nc d e", "x"]
     flat = [list(shingles.words(raw, at)) for _, raw, at in shingles.pieces(pa.array(data))][0]
