@@ -35,8 +35,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts the row with the least id; empty texts are similar to nothing and stay."""
-    found = jaccard_join.jaccard_components(docs)
+    """Of each group of similar texts (80 % of their shingles of five words) the row with the least id; empty texts are similar to nothing and stay."""
+    found = jaccard_join.jaccard_components(docs, words=5, percent=80)
     keep = common.written(found.where("n_shingles = 0 or doc_id <=> component_id").select("doc_id").distinct(), "keep")
     return docs.alias("d").join(keep.hint("merge").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
 

@@ -41,6 +41,20 @@ def test_stages(spark):
     assert {r.doc_id for r in tokens} == set(ids)
 
 
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    base = [f"w{i}" for i in range(100)]
+    changed = lambda at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    rows = [(1, changed(())), (2, changed((30, 60))), (3, changed((20, 50, 80))), (4, "a b c"), (5, "A b c"), (6, "a b d"), (7, "")]
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall(t.lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    # here no chain of links matters: a row goes where one with a lesser id is similar
+    plain = [i for i in sets if not any(j < i and sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in sets)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.without_near_copies(spark, docs, DIR).collect()) == plain == [1, 3, 4, 6, 7]
+
+
 def test_stages_keep_clashing_columns(spark):
     extra = ["score", "predicted", "n_hits", "n_deleted", "n_lines", "_id", "_hash", "_copy", "row", "hash", "copies", "s", "cut"]
     docs = common.documents(spark, DIR).withColumns({n: F.col("doc_id") for n in extra})
