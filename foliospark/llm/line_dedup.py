@@ -99,9 +99,10 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     # a window of n lines: the ranks for the largest power within n at its first line and at its last ones
     power = F.least(F.floor(F.log2("n") + 1e-9), F.lit(level)).cast("int")
     named = windows.withColumn("k", power).withColumn("last", F.greatest(F.col("start"), F.col("start") + F.col("n") - F.pow(F.lit(2), F.col("k")).cast("int")))
-    at = now.select(*DOC, "pos", "ranks")
-    named = named.join(at.withColumnRenamed("pos", "start"), [*DOC, "start"]).withColumn("r1", F.element_at("ranks", F.col("k") + 1)).drop("ranks")
-    named = named.join(at.withColumnRenamed("pos", "last"), [*DOC, "last"]).withColumn("r2", F.element_at("ranks", F.col("k") + 1)).drop("ranks")
+    for place, r in (("start", "r1"), ("last", "r2")):
+        at = now.select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), F.col("pos").alias("its_pos"), "ranks")
+        here = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_hash") == F.col("its_hash")) & (F.col(place) == F.col("its_pos"))
+        named = named.join(at, here).withColumn(r, F.element_at("ranks", F.col("k") + 1)).drop("its_id", "its_hash", "its_pos", "ranks")
     named = common.written(named.select(*DOC, "start", "n", "r1", "r2"), "named")
     first = named.groupBy("n", "r1", "r2").agg(F.min(F.struct(*DOC, "start")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     later = named.join(first, ["n", "r1", "r2"]).where(F.struct(*DOC, "start") > F.col("first"))

@@ -360,6 +360,14 @@ def test_line_dedup_equals_brute_force(spark, least):
     assert {x.doc_id: x.text for x in got} == deduped(rows, least)
 
 
+def test_line_dedup_takes_null_ids(spark):
+    rows = [(None, "a b c\nd e\nfirst"), (None, "a b c\nd e\nsecond"), (7, "third\na b c\nd e"), (8, "fourth")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    nulls = sorted((x.text, x.n_deleted) for x in got if x.doc_id is None)
+    assert nulls in ([("a b c\nd e\nfirst", 0), ("second", 2)], [("a b c\nd e\nsecond", 0), ("first", 2)])
+    assert {x.doc_id: (x.text, x.n_deleted) for x in got if x.doc_id} == {7: ("third", 2), 8: ("fourth", 0)}
+
+
 # 8. packing
 
 
