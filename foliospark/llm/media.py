@@ -7,6 +7,7 @@ format's validator reads the structure and the lengths that the format itself st
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -122,17 +123,43 @@ def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
     return "image/bmp", at + size
 
 
+_MARKER = re.compile(rb"(?:startxref\s+(\d{1,10})\s+)?%%EOF")
+_XREF = re.compile(rb"xref\b|\d+\s+\d+\s+obj\b")
+
+
 def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
-    end = bytes(b[at:]).rfind(b"%%EOF")
-    return None if end < 0 or not chr(b[at + 5]).isdigit() else ("application/pdf", at + end + 5)
+    """Up to the first end marker whose startxref fits, and the later ones of updates, whose tables stand after the end before.
+
+    Where none fits, up to the last marker before the next header.
+    """
+    if not chr(b[at + 5]).isdigit():
+        return None
+    raw, end = b.obj, None
+    for mark in _MARKER.finditer(raw, at):
+        # a linearized file's first part says 0
+        if (place := int(mark[1] or 0)) and (end or at) <= at + place < mark.start() and _XREF.match(raw, at + place):
+            end = mark.end()
+    if end is None:
+        following = raw.find(b"%PDF-", at + 5)
+        last = raw.rfind(b"%%EOF", at, following if following >= 0 else len(raw))
+        end = last + 5 if last >= 0 else None
+    return None if end is None else ("application/pdf", end)
 
 
 def _zip(b: memoryview, at: int) -> tuple[str, int] | None:
-    end = bytes(b[at:]).rfind(b"PK\x05\x06")
-    if end < 0 or at + end + 22 > len(b):
-        return None
-    size, start, note = struct.unpack_from("<IIH", b, at + end + 12)
-    return ("application/zip", at + end + 22 + note) if start + size == end and at + end + 22 + note <= len(b) else None
+    """Up to the first end record whose directory fits: every entry in it has its local header, the first one at the start."""
+    raw, p = b.obj, at
+    while (p := raw.find(b"PK\x05\x06", p + 4)) >= 0 and p + 22 <= len(raw):
+        entries, size, start, note = struct.unpack_from("<HIIH", raw, p + 10)
+        if at + start + size != p or p + 22 + note > len(raw):
+            continue
+        q, places = at + start, []
+        while q + 46 <= p and raw[q : q + 4] == b"PK\x01\x02":
+            places.append(struct.unpack_from("<I", raw, q + 42)[0])
+            q += 46 + sum(struct.unpack_from("<HHH", raw, q + 28))
+        if q == p and len(places) == entries and 0 in places and all(raw[at + x : at + x + 4] == b"PK\x03\x04" for x in places):
+            return "application/zip", p + 22 + note
+    return None
 
 
 def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
@@ -149,8 +176,114 @@ def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
     return ("application/gzip", min(p, len(b)) - len(reader.unused_data)) if reader.eof else None
 
 
+def _crc(data: bytes, poly: int, width: int) -> int:
+    table, x = _crc_table(poly, width), 0
+    for byte in data:
+        x = (x << 8 & (1 << width) - 1) ^ table[x >> width - 8 ^ byte]
+    return x
+
+
+@lru_cache(maxsize=2)
+def _crc_table(poly: int, width: int) -> list[int]:
+    table = []
+    for x in range(256):
+        x <<= width - 8
+        for _ in range(8):
+            x = (x << 1 ^ (poly if x >> width - 1 else 0)) & (1 << width) - 1
+        table.append(x)
+    return table
+
+
+def _flac_frame(b: memoryview, at: int, depth: int) -> tuple[int, int] | None:
+    """``(samples, end)`` of the frame at ``at``: its subframes are read for their lengths, and both checksums have to hold."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8:
+        return None
+    block, rate, channels, bits = b[at + 2] >> 4, b[at + 2] & 15, b[at + 3] >> 4, b[at + 3] >> 1 & 7
+    lead = b[at + 4]
+    more = 0 if lead < 0x80 else 7 - (lead ^ 0xFF).bit_length()
+    q = at + 5 + more
+    if block == 0 or rate == 15 or channels > 10 or bits == 3 or b[at + 3] & 1:
+        return None
+    if block in (6, 7):
+        n = int.from_bytes(b[q : q + block - 5], "big") + 1
+        q += block - 5
+    else:
+        n = 192 if block == 1 else 576 << block - 2 if block < 6 else 256 << block - 8
+    q += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if _crc(b[at:q], 0x07, 8) != b[q]:
+        return None
+    depth, p, stop = (depth, 8, 12, 0, 16, 20, 24, 32)[bits], 8 * (q + 1), 8 * len(b)
+
+    def read(k: int) -> int:
+        nonlocal p
+        if p + k > stop:
+            raise IndexError("over the end")
+        x = int.from_bytes(b[p >> 3 : p + k + 7 >> 3], "big") >> (-(p + k) & 7) & (1 << k) - 1
+        p += k
+        return x
+
+    def unary() -> int:
+        nonlocal p
+        i, first = p >> 3, p
+        x = b[i] & 0xFF >> (p & 7)
+        while not x:
+            i += 1
+            x = b[i]
+        p = 8 * i + 9 - x.bit_length()
+        return p - 1 - first
+
+    for channel in range(channels + 1 if channels < 8 else 2):
+        width = depth + (channels in (8, 10) and channel == 1 or channels == 9 and channel == 0)
+        head = read(8)
+        kind = head >> 1
+        if head & 1:
+            width -= unary() + 1
+        if kind == 0:
+            p += width
+        elif kind == 1:
+            p += width * n
+        elif 8 <= kind <= 12 or 32 <= kind < 64:
+            order = kind - 8 if kind < 32 else kind - 31
+            p += width * order
+            if kind >= 32:
+                precision = read(4) + 1
+                p += 5 + precision * order
+            method, parts = read(2), read(4)
+            if method > 1:
+                return None
+            for part in range(1 << parts):
+                count, rice = (n >> parts) - (0 if part else order), read(4 + method)
+                if rice == (31 if method else 15):
+                    p += read(5) * count
+                else:
+                    for _ in range(count):
+                        unary()
+                        p += rice
+        else:
+            return None
+    end = (p + 7 >> 3) + 2
+    return (n, end) if end <= len(b) and _crc(b[at:end], 0x8005, 16) == 0 else None
+
+
 def _flac(b: memoryview, at: int) -> tuple[str, int] | None:
-    return ("audio/flac", len(b)) if at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and bytes(b[at + 5 : at + 8]) == b"\0\0\x22" else None
+    """Up to the frame that brings the samples which the header states; where it states none, as far as frames follow."""
+    if at + 42 > len(b) or b[at + 4] & 0x7F or bytes(b[at + 5 : at + 8]) != b"\0\0\x22":
+        return None
+    stated = int.from_bytes(b[at + 18 : at + 26], "big")
+    depth, total = (stated >> 36 & 31) + 1, stated & (1 << 36) - 1
+    p, last, samples = at + 4, False, 0
+    while not last:
+        last = b[p] >= 0x80
+        p += 4 + int.from_bytes(b[p + 1 : p + 4], "big")
+    while not total or samples < total:
+        try:
+            frame = _flac_frame(b, p, depth)
+        except IndexError:
+            frame = None
+        if frame is None:
+            break
+        samples, p = samples + frame[0], frame[1]
+    return ("audio/flac", p) if samples >= total and p <= len(b) else None
 
 
 def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:

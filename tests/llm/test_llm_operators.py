@@ -427,6 +427,55 @@ def test_media_is_carved_and_types_corrected(spark):
     assert not any(got[i].actual or got[i].carved for i in (4, 5, 6))
 
 
+def flac(samples, stated=True):
+    """One frame of 8-bit mono, and one of constant left and Rice-coded side, each of the number of samples given."""
+
+    def crc(data, poly, width):
+        x = 0
+        for byte in data:
+            x ^= byte << (width - 8)
+            for _ in range(8):
+                x = (x << 1 ^ (poly if x >> (width - 1) else 0)) & ((1 << width) - 1)
+        return x.to_bytes(width // 8, "big")
+
+    def frame(number, n, channels, bits):
+        head = bytes([0xFF, 0xF8, 0x60, channels << 4 | 2, number, n - 1])
+        head += crc(head, 7, 8)
+        body = head + int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+        return body + crc(body, 0x8005, 16)
+
+    n = len(samples)
+    verbatim = "00000010" + "".join(f"{x:08b}" for x in samples)
+    constant = "00000000" + f"{7:08b}"
+    rice = "00010010" + f"{3:09b}" + "00" + "0000" + "0010" + "".join("0" * (x % 5) + "1" + f"{x % 4:02b}" for x in samples[1:])
+    info = bytes([0, n, 0, n]) + bytes(6) + (8000 << 44 | 7 << 36 | (2 * n if stated else 0)).to_bytes(8, "big") + bytes(16)
+    return b"fLaC\x80\0\0\x22" + info + frame(0, n, 0, verbatim) + frame(1, n, 8, constant + rice)
+
+
+def test_media_ends_where_the_item_ends():
+    def pdf(body, updates=0):
+        raw = b"%PDF-1.4\n1 0 obj\n<</A (" + body + b")>>\nendobj\n"
+        for _ in range(updates + 1):
+            raw += b"xref\n0 1\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF" % len(raw)
+        return raw
+
+    def packed(name, method=zipfile.ZIP_STORED, data=b"text"):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", method) as z:
+            z.writestr(name, data)
+            z.writestr("second", b"more")
+        return held.getvalue()
+
+    one, other = flac(bytes(range(90))), flac(bytes(range(40, 170)), stated=False)
+    for kind, parts in [("application/zip", [packed("a"), packed("bc", zipfile.ZIP_DEFLATED), packed("a")]), ("application/pdf", [pdf(b"x"), pdf(b"y", 2), pdf(b"x")]), ("audio/flac", [one, other, one])]:
+        for junk in (b"", b"-- junk --"):
+            raw = junk + junk.join(parts) + junk
+            assert [(t, raw[a:b]) for t, a, b in media.sniff(raw)] == [(kind, p) for p in parts]
+    outer = packed("in.zip", data=packed("a"))
+    assert [(t, outer[a:b]) for t, a, b in media.sniff(outer)] == [("application/zip", outer), ("application/zip", packed("a"))]
+    assert media.sniff(one[:-1]) == [] and media.sniff(pdf(b"x").replace(b"startxref\n", b"startxref\n9"))[0][0] == "application/pdf"
+
+
 # 10. exact dedup
 
 
