@@ -1,4 +1,4 @@
-"""What several operators share: scratch tables in the cluster's shared folder, and components of a graph."""
+"""What several operators share: scratch tables in the cluster's shared folder, ranks over all partitions, and components of a graph."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every contract: blank and the ASCII controls tab to carriage return.
@@ -15,12 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one is made only where none is set, as in tests."""
+    """The folder named in spark.checkpoint.dir. Where none is set, a local master gets a folder of its own; a cluster must name one."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         known = tempfile.mkdtemp(prefix="foliospark-")
         spark.sparkContext.setCheckpointDir(known)
         known = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -32,7 +34,36 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/foliospark-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch_path = path
+    return made
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes scratch tables of ``written`` once all that reads them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ranked(rows: DataFrame, order: list[str], weight: str | None = None) -> tuple[DataFrame, int]:
+    """``rows`` (written) with ``upto``, the number of rows (or the sum of ``weight``) up to and with each one by ``order``, and the total.
+
+    Rows are dealt by range and summed within each range; a range adds what the ranges before it hold. No task sees more than a range.
+    """
+    amount = F.lit(1).cast("long") if weight is None else F.col(weight)
+    dealt = written(rows.repartitionByRange(*order).withColumn("_run", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_run").agg(F.sum(amount).alias("k")).orderBy("_run").collect()  # one row for each partition of the sort
+    before, total = [], 0
+    for r in sums:
+        before.append((r["_run"], total))
+        total += r["k"]
+    if not before:
+        return dealt.drop("_run").withColumn("upto", F.lit(None).cast("long")), 0
+    starts = rows.sparkSession.createDataFrame(before, "_run int, _before long")
+    inside = F.sum(amount).over(Window.partitionBy("_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("upto", inside).join(F.broadcast(starts), "_run").withColumn("upto", F.col("upto") + F.col("_before")).drop("_run", "_before"), total
 
 
 def release(spark: SparkSession) -> None:
@@ -41,6 +72,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: A key is heavy when it has more rows than LEAST_HEAVY and at least 1 / MOST_HEAVY of all, so there are at most MOST_HEAVY of them.
+LEAST_HEAVY, MOST_HEAVY, SALTS = 1000, 10_000, 32
+
+
+def heavy_keys(counted: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """The heavy keys of ``counted(*keys, size)``, marked ``_heavy``, for a broadcast: a bounded number whatever the input."""
+    total = counted.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(counted.where((F.col(size) > LEAST_HEAVY) & (F.col(size) * MOST_HEAVY >= total)).select(*keys).distinct().withColumn("_heavy", F.lit(True)))
+
+
+def salted(rows: DataFrame, heavy: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``rows`` with ``_salt``, by which a join deals the rows of a heavy key over many tasks; 0 for all others."""
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)
+    return rows.join(heavy, keys, "left").withColumn("_salt", salt).drop("_heavy")
+
+
+def with_salts(facts: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
+    """The other side of such a join: what belongs to a heavy key comes once for each salt."""
+    salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return facts.join(heavy, keys, "left").withColumn("_salt", F.explode(salts)).drop("_heavy")
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -68,8 +121,10 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
+        before = now
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "low"), F.struct(F.col("v").alias("u"), "low"))).alias("e"))
         now = written(small.select("e.u", F.col("e.low").alias("v")).where("u <> v").distinct(), "links")
+        dropped(before)
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

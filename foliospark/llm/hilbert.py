@@ -1,6 +1,6 @@
 """Shards along a Hilbert curve over several metadata dimensions.
 
-Every dimension is quantised to the same few bits by its own quantiles. A row's place on the curve is the
+Every dimension is quantised to the same few bits by its own quantiles; those of strings follow from the ranks of their distinct values. A row's place on the curve is the
 Hilbert index of its cell; rows sorted by it are cut into runs, so that the files of a shard cover a
 compact box in all dimensions at once, which minimum and maximum statistics can prune.
 """
@@ -9,16 +9,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
-def order_number(column: Column) -> Column:
-    """A number that keeps the order of strings by their first six bytes."""
-    head = F.substring(F.encode(F.coalesce(column, F.lit("")), "UTF-8"), 1, 6)
-    return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
+def string_cuts(rows: DataFrame, column: str, cells: int) -> list[str]:
+    """At most ``cells`` - 1 strings that cut the rows, in the order of whole strings, into parts of near equal numbers.
+
+    Counted values are ranked, not rows, so a value that a third of all rows hold is one row here.
+    """
+    counts = rows.groupBy(column).agg(F.count("*").alias("k"))
+    upto, total = common.ranked(counts, [column], "k")
+    if not total:
+        return []
+    place = lambda c: F.expr(f"({c} * {cells}) div {total}")
+    crossing = upto.where((place("upto") > place("(upto - k)")) & (F.col("upto") < total))
+    return sorted((r[column] for r in crossing.select(column).collect()), key=lambda x: x.encode())  # at most one for each cut
 
 
 def hilbert_index(cells: list[Column], bits: int) -> Column:
@@ -60,36 +68,35 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
 def shards(docs: DataFrame, shard_count: int = 40, bits: int = 5, accuracy: int = 10_000) -> DataFrame:
     """Every row of ``docs(doc_id, text, lang, source)`` in one of ``shard_count`` runs along the curve; row counts differ by one at most.
 
-    Dimensions: source, language, size (the text's UTF-8 bytes, none for null, plus 16). Quantiles within
-    1 / ``accuracy``. Rows of one cell go by the text's checksum, then ``doc_id``, so equal texts of a cell stay
-    together where the counts allow; a group of copies larger than a shard is spread over the next ones.
-    Nulls come as the empty string or the least id. Rows equal in all these share places in any order.
-    With fewer rows than shards some shards stay empty; no rows give no rows. Other columns are ignored.
+    Dimensions: source, language (null as the empty string), size (the text's UTF-8 bytes, none for null, plus 16). Quantiles of the size
+    within 1 / ``accuracy``, those of strings exact, by whole strings. Rows of one cell go by the text's checksum, then ``doc_id``, so equal
+    texts of a cell stay together where the counts allow; a group of copies larger than a shard is spread over the next ones, and equal
+    texts of other sources, languages stand in other cells. Null ids come first. Rows equal in all these share places in any order.
+    Very long texts count by their bytes, which only the size and the checksum read. With fewer rows than shards some shards stay
+    empty; no rows give no rows. Other columns, whatever their names, are ignored.
     The rank is exact whatever the partitions: rows are dealt by range, and each range adds the counts before it.
     """
     text = common.text_of()
+    blank = F.lit("")
     base = docs.select(
         "doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        order_number(F.col("source")).alias("d0"),
-        order_number(F.col("lang")).alias("d1"),
-    ).withColumn("d2", F.log2("size"))
+        F.coalesce(F.col("source").cast("string"), blank).alias("d0"),
+        F.coalesce(F.col("lang").cast("string"), blank).alias("d1"),
+    )
+    base = common.written(base, "places")  # texts are read once
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = base.agg(*[F.percentile_approx(d, shares, accuracy).alias(d) for d in ("d0", "d1", "d2")]).first()
+    sizes = base.agg(F.percentile_approx("size", shares, accuracy).alias("cuts")).first()["cuts"]
+    cuts = {"d0": string_cuts(base, "d0", 1 << bits), "d1": string_cuts(base, "d1", 1 << bits), "size": sorted({int(x) for x in sizes or []})}
 
     def cell(d: str) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts[d] or [0.0]]), lambda c: c < F.col(d)))
+        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts[d]]), lambda c: c < F.col(d))) if cuts[d] else F.lit(0)
 
-    cells = [cell(d) for d in ("d0", "d1", "d2")]
+    cells = [cell(d) for d in ("d0", "d1", "size")]
     placed = base.select("doc_id", "size", "text_crc32", hilbert_index(cells, bits).alias("curve"))
-    dealt = placed.repartitionByRange("curve", "text_crc32", "doc_id").withColumn("run", F.spark_partition_id())
-    dealt = common.written(dealt, "ranges")
-    counts = dealt.groupBy("run").agg(F.count("*").alias("k"))
-    before = counts.select("run", (F.sum("k").over(Window.orderBy("run")) - F.col("k")).alias("before"))
-    n = dealt.count()
-    rank = F.row_number().over(Window.partitionBy("run").orderBy("curve", "text_crc32", "doc_id")) - 1
-    ranked = dealt.withColumn("in_run", rank).join(F.broadcast(before), "run").withColumn("rank", F.col("in_run") + F.col("before"))  # one row for each partition of the sort
+    upto, n = common.ranked(placed, ["curve", "text_crc32", "doc_id"])
+    ranked = upto.withColumn("rank", F.col("upto") - 1)
     shard = F.expr(f"(rank * {shard_count}) div {max(n, 1)}")
     return ranked.withColumn("shard", shard.cast("int")).select(
         "doc_id",
