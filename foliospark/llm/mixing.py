@@ -24,21 +24,24 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), perce
 
     Sources by code point, null last, weigh ``weights`` in turn. Budget: ``percent`` of all sizes, shared by weight, but
     no source gets over ``most`` times its size; the excess is shared again. That is water of one level: a source
-    is full when the level times its weight reaches its bound, so the full ones are a prefix by bound per weight.
+    is full when the level times its weight reaches its bound. The level rises from the one at which none is full; each
+    step is a sum over all sources, and it ends when no further source fills. Sources are ranked by range, so there may be very many.
     """
-    by_code = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(by_code) - 1) % len(weights) + 1).cast("int"))
+    numbered = sizes.withColumn("_last", F.col("source").isNull())
+    numbered, _ = common.ranked(numbered, ["_last", "source"])
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("upto") - 1) % len(weights) + 1).cast("int"))
     bound = (F.col("source_size") * most).cast("double")
-    rows = sizes.withColumn("w", w).withColumn("bound", bound).withColumn("fills_at", F.col("bound") / F.col("w"))
-    order = Window.orderBy("fills_at", F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    rows = rows.withColumn("full_before", F.coalesce(F.sum("bound").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    rows = rows.withColumn("w_after", F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    rows = rows.withColumn("budget", F.sum("source_size").over(everything) * percent / 100.0)
-    rows = rows.withColumn("level", (F.col("budget") - F.col("full_before")) / F.col("w_after"))
-    # the level of the first source that isn't full holds for all after it
-    level = F.min(F.when(F.col("level") < F.col("fills_at"), F.struct("fills_at", "level"))).over(everything)["level"]
-    return rows.withColumn("final", level).select("source", "source_size", F.when(F.col("final").isNull() | (F.col("final") * F.col("w") >= F.col("bound")), F.col("bound")).otherwise(F.col("final") * F.col("w")).alias("target"))
+    rows = common.written(numbered.select("source", "source_size", w.alias("w"), bound.alias("bound")), "weights")
+    budget = (rows.agg(F.sum("source_size")).first()[0] or 0) * percent / 100.0
+    level, before = 0.0, -1
+    while True:
+        full = F.col("bound") <= F.lit(level) * F.col("w") if before >= 0 else F.lit(False)
+        k, held, rest = rows.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("bound"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0))).first()
+        if k == before or not rest:
+            break
+        level, before = (budget - held) / rest, k
+    target = F.least(F.col("bound"), F.lit(level) * F.col("w")) if rest else F.col("bound")
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def thresholds(rows: DataFrame, targets: DataFrame, step: int = 12) -> DataFrame:
@@ -52,7 +55,7 @@ def thresholds(rows: DataFrame, targets: DataFrame, step: int = 12) -> DataFrame
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("copies"),
         "target",
         "source_size",
-    ).select("source", "copies", (F.col("target") - F.col("copies") * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("bucket"))
+    ).select("source", "copies", (F.col("target") - F.col("copies") * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("bucket")).withColumn("none", F.col("rest") <= 0)
     left = HASH_BITS
     state = common.written(state, "state")
     while left:
@@ -64,11 +67,12 @@ def thresholds(rows: DataFrame, targets: DataFrame, step: int = 12) -> DataFrame
         # the first bucket that goes over what is left, if any: else all are under
         over = found.where("upto > rest").groupBy("source").agg(F.min(F.struct("b", (F.col("rest") - (F.col("upto") - F.col("sum"))).alias("rest"), "h0", "h1", "sum")).alias("o"))
         state = common.written(
-            state.select(F.col("source").alias("s"), "copies", F.col("rest").alias("old"), "bucket")
+            state.select(F.col("source").alias("s"), "copies", F.col("rest").alias("old"), "bucket", "none")
             .join(over, F.col("source").eqNullSafe(F.col("s")), "left")
             .select(
                 F.col("s").alias("source"),
                 "copies",
+                "none",
                 F.coalesce("o.rest", "old").alias("rest"),
                 # no bucket is over: the threshold is above the whole range
                 F.coalesce("o.b", F.shiftleft(F.col("bucket") + 1, step)).alias("bucket"),
@@ -80,9 +84,11 @@ def thresholds(rows: DataFrame, targets: DataFrame, step: int = 12) -> DataFrame
         )
         if not state.where("open").limit(1).count():
             break
-        state = state.select("source", "copies", "rest", "bucket", "h0", "sum")
+        state = state.select("source", "copies", "none", "rest", "bucket", "h0", "sum")
     # a single hash is left in the boundary bucket: it is in if that comes nearer
     below = F.when(F.col("h0").isNull(), F.shiftleft("bucket", left)).otherwise(F.col("h0") + F.when(F.col("sum") - F.col("rest") < F.col("rest"), 1).otherwise(0))
+    # nothing is left after whole copies: no row is taken once more, one without words neither
+    below = F.when(F.col("none"), 0).otherwise(below)
     return state.select("source", "copies", below.alias("below"))
 
 
@@ -114,7 +120,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int =
 
     Size: words of the text, 0 for null. Which rows a source takes follows from a hash of ``doc_id`` alone, so reruns agree;
     rows that repeat an id are taken together. Texts without words are taken but add nothing. Null is a source of its own,
-    apart from the empty string. Tables without rows give none. Other columns are ignored.
+    apart from the empty string. Very long texts count as they are, so a source's words may miss its target by one row's. Tables without rows give none.
+    Other columns, whatever their names, are ignored.
     """
     rows, plan = _plan(docs, weights, percent, most)
     taken = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", _copies().alias("copies"))
@@ -124,7 +131,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int =
 def repeated(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most: int = 2) -> DataFrame:
     """The same mixture as rows: each row of ``docs`` with all its columns as often as it is taken."""
     _, plan = _plan(docs, weights, percent, most)
-    rows = docs.select(F.col("source").alias("source"), _hash().alias("hash"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
+    rows = docs.select("source", _hash().alias("hash"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
     taken = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select("row.*")
 
