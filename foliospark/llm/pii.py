@@ -60,30 +60,54 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern + "'"
 
 
+#: Sums along a text's matches are made in blocks of so many: within a block, and over blocks.
+BLOCK = 64
+#: A context of 40 characters holds no more matches than this, for the shortest has five.
+BEFORE = 8
+
+
+def _sums(lengths: str) -> str:
+    """SQL: for every item of an array of numbers the sum of those before it; linear but for one item a block."""
+    ints = "cast(array() as array<int>)"
+    running = "aggregate({0}, named_struct('out', {1}, 'at', {2}), (s, x) -> named_struct('out', array_append(s.out, s.at), 'at', s.at + x)).out"
+    blocks = f"transform(sequence(0, (size({lengths}) - 1) div {BLOCK}), b -> slice({lengths}, b * {BLOCK} + 1, {BLOCK}))"
+    starts = running.format("transform(blocks, b -> aggregate(b, 0, (a, x) -> a + x))", ints, "0")
+    return f"flatten(flatten(transform(array({blocks}), blocks -> zip_with(blocks, {starts}, (b, o) -> {running.format('b', ints, 'o')}))))"
+
+
 def _spans(kind: Kind, number: int, near: int, text: str = "text") -> str:
-    """SQL: the confirmed spans of a kind, as an array of structs by start."""
+    """SQL: the confirmed spans of a kind, as an array of structs by start.
+
+    Places are sums of the lengths of matches and of the gaps between them. Context comes from the matches and the ends of
+    gaps around a span, so no text is walked through once more for each span.
+    """
     p = _quoted(kind.pattern)
-    fields = "struct<at:int,i:int,out:array<struct<start:int,stop:int,m:string>>>"
-    step = (
-        "(s, m) -> named_struct('at', s.at + length(gaps[s.i]) + length(m), 'i', s.i + 1, 'out', "
-        "array_append(s.out, named_struct('start', s.at + length(gaps[s.i]), 'stop', s.at + length(gaps[s.i]) + length(m), 'm', m)))"
-    )
-    fold = f"aggregate(regexp_extract_all({text}, {p}, 0), cast(named_struct('at', 0, 'i', 0, 'out', array()) as {fields}), {step}).out"
-    fold = f"flatten(transform(array(split({text}, {p}, -1)), gaps -> {fold}))"
-    context = f"lower(substring({text}, greatest(x.start - {near}, 0) + 1, least(x.start, {near}) + x.stop - x.start + {near}))"
+    # m: a match, g: the gap before it, t: the gap after it
+    items = f"zip_with(hits, slice(gaps, 1, size(hits)), (m, g) -> named_struct('m', m, 'g', length(g), 'n', length(m)))"
+    around = f"flatten(transform(gaps, (g, i) -> array(concat(left(g, {near}), if(length(g) > {near}, right(g, {near}), '')), coalesce(get(hits, i), ''))))"
+    before = f"right(array_join(slice(around, greatest(2 * i + 1 - {2 * BEFORE}, 1), least(2 * i, {2 * BEFORE}) + 1), ''), {near})"
+    after = f"left(array_join(slice(around, 2 * i + 3, {2 * BEFORE} + 1), ''), {near})"
+    context = f"lower(concat({before}, x.m, {after}))"
     score = f"least(1.0D, {kind.score}D + if({context} rlike {_quoted('(?<![a-z])(?:' + kind.context + ')(?![a-z])')}, 0.25D, 0.0D))"
-    checked = f"filter({fold}, s -> exists(array(s.m), m -> {kind.check}))"
-    made = f"transform({checked}, x -> named_struct('start', x.start, 'kind_no', {number}, 'stop', x.stop, 'kind', '{kind.name}', 'score', {score}))"
+    span = f"named_struct('start', at[i] + x.g, 'kind_no', {number}, 'stop', at[i] + x.g + x.n, 'kind', '{kind.name}', 'score', {score}, 'ok', exists(array(x.m), m -> {kind.check}))"
+    sums = _sums("transform(items, x -> x.g + x.n)")
+    spans = f"flatten(transform(array({around}), around -> flatten(transform(array({items}), items -> flatten(transform(array({sums}), at -> transform(items, (x, i) -> {span})))))))"
+    spans = f"flatten(transform(array(split({text}, {p}, -1)), gaps -> flatten(transform(array(regexp_extract_all({text}, {p}, 0)), hits -> if(size(hits) = 0, {EMPTY_OK}, {spans})))))"
+    made = f"transform(filter({spans}, x -> x.ok), x -> named_struct('start', x.start, 'kind_no', x.kind_no, 'stop', x.stop, 'kind', x.kind, 'score', x.score))"
     hint = f"contains({text}, '@')" if kind.hint == "@" else f"{text} rlike {_quoted(kind.hint)}"
-    empty = "cast(array() as array<struct<start:int,kind_no:int,stop:int,kind:string,score:double>>)"
-    return f"if({hint}, {made}, {empty})"
+    return f"if({hint}, {made}, {EMPTY})"
+
+
+EMPTY = "cast(array() as array<struct<start:int,kind_no:int,stop:int,kind:string,score:double>>)"
+EMPTY_OK = "cast(array() as array<struct<start:int,kind_no:int,stop:int,kind:string,score:double,ok:boolean>>)"
 
 
 def found(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, near: int = 40, least: float = 0.5) -> DataFrame:
     """``doc_id, text, found`` for every row of ``docs(doc_id, text)``: spans in code points, end exclusive, by start and kind, with their scores.
 
     Null counts as empty; a text without matches has an empty array. Spans of base kinds stay whatever their score, others from ``least`` on.
-    Context: ``near`` characters on both sides. Repeated rows are answered each; other columns are ignored.
+    Context: ``near`` characters (40 at most) on both sides. Very long texts take time in proportion to their length and matches. Spans of one
+    start go by kind, as listed. Repeated rows are answered each; no rows give none; other columns, whatever their names, are ignored.
     """
     base = docs.select("doc_id", common.text_of().alias("text"))
     each = base.select("doc_id", "text", *[F.expr(_spans(k, i, near)).alias(f"k{i}") for i, k in enumerate(kinds)])
