@@ -1,13 +1,16 @@
 """Toxicity by a learned lexicon, matched through Levenshtein automata, and the context of each hit.
 
 Terms that mark toxic texts are learned from labels. They form a trie; its intersection with the Levenshtein
-automaton of each term is one automaton that is built as far as words need it, and accepts misspelled terms. Hits
+automaton of each term is one automaton that is built as far as words need it, and accepts misspelled terms.
+Stems match all that begins like them, misspelled too. Words glued by punctuation are taken apart. Hits
 weigh less in quotation or report and more in address; the sum goes through a fitted logistic curve.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +24,7 @@ from . import common
 #: Signs that stand for letters in disguised words.
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>«»„“”‘’*_#&%|/\\-"
+_INNER = re.compile("[" + re.escape(EDGE) + "]+")
 #: Words that report what others said, and words of address, in the four languages of the corpus.
 REPORT = frozenset("said says wrote called quote quoted quoting sagte schrieb nannte zitat dit écrit appelé citation dijo escribió llamó cita".split())
 ADDRESS = frozenset("you your you're u du dein deine ihr euch tu toi ton vous votre tú eres usted vosotros".split())
@@ -37,17 +41,21 @@ class Lexicon:
     slope: float = 1.0
 
 
-def edits(term: str) -> int:
-    """Misspellings allowed for a term: none for short ones, where other words are near."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+def edits(term: str, stem: bool = False) -> int:
+    """Misspellings allowed for a term: none for short ones, where other words are near; a stem has to be a letter longer for as many."""
+    n = len(term) - stem
+    return 0 if n < 5 else 1 if n < 9 else 2
 
 
 class Automaton:
-    """Trie and Levenshtein automaton in one, made deterministic state by state as words come."""
+    """Trie and Levenshtein automaton in one, made deterministic state by state as words come.
+
+    A place is ``(trie node, edits)``; behind a whole stem it is ``(-1 - term, edits)``, which stays.
+    """
 
     def __init__(self, lexicon: Lexicon):
         self.child: list[dict[str, int]] = [{}]
-        self.at: list[tuple[int, bool] | None] = [None]
+        self.at: list[list[int]] = [[]]
         most = [0]
         for index, (term, _, stem) in enumerate(lexicon.terms):
             node, path = 0, [0]
@@ -55,15 +63,16 @@ class Automaton:
                 nxt = self.child[node].get(c)
                 if nxt is None:
                     nxt = len(self.child)
-                    self.child.append({}), self.at.append(None), most.append(0)
+                    self.child.append({}), self.at.append([]), most.append(0)
                     self.child[node][c] = nxt
                 node = nxt
                 path.append(node)
-            self.at[node] = (index, stem)
+            self.at[node].append(index)
             for x in path:
-                most[x] = max(most[x], 0 if stem else edits(term))
+                most[x] = max(most[x], edits(term, stem))
         self.most, self.weights = most, [t[1] for t in lexicon.terms]
-        self.allowed = [0 if t[2] else edits(t[0]) for t in lexicon.terms]
+        self.is_stem = [t[2] for t in lexicon.terms]
+        self.allowed = [edits(t[0], t[2]) for t in lexicon.terms]
         self.known = lexicon.known
         self.next: dict[tuple[int, str], int] = {}
         self.states: list[frozenset] = []
@@ -73,15 +82,18 @@ class Automaton:
         self.start = self._state({(0, 0)})
 
     def _state(self, places: set[tuple[int, int]]) -> int:
-        """The state of these (trie node, edits), with what letters left out reach. Stems found stay found."""
+        """The state of these places, with what letters left out reach."""
         todo, all_places = list(places), set(places)
         while todo:
             node, e = todo.pop()
-            if node >= 0:
-                for nxt in self.child[node].values():
-                    if e + 1 <= self.most[nxt] and (nxt, e + 1) not in all_places:
-                        all_places.add((nxt, e + 1))
-                        todo.append((nxt, e + 1))
+            if node < 0:
+                continue
+            reached = [(nxt, e + 1) for nxt in self.child[node].values() if e + 1 <= self.most[nxt]]
+            reached += [(-1 - i, e) for i in self.at[node] if self.is_stem[i] and e <= self.allowed[i]]
+            for place in reached:
+                if place not in all_places:
+                    all_places.add(place)
+                    todo.append(place)
         key = frozenset(all_places)
         if key not in self.ids:
             self.ids[key] = len(self.states)
@@ -89,9 +101,9 @@ class Automaton:
             hits = []
             for node, e in key:
                 if node < 0:
-                    hits.append((0, -node - 1))
-                elif self.at[node] and e <= self.allowed[self.at[node][0]]:
-                    hits.append((e, self.at[node][0]))
+                    hits.append((e, -node - 1))
+                else:
+                    hits += [(e, i) for i in self.at[node] if e <= self.allowed[i]]
             self.accepts.append(min(hits, key=lambda h: (h[0], -self.weights[h[1]], h[1])) if hits else None)
         return self.ids[key]
 
@@ -99,11 +111,8 @@ class Automaton:
         out: set[tuple[int, int]] = set()
         for node, e in self.states[state]:
             if node < 0:
-                out.add((node, 0))
+                out.add((node, e))
                 continue
-            here = self.at[node]
-            if here and here[1] and e == 0:
-                out.add((-here[0] - 1, 0))
             for letter, nxt in self.child[node].items():
                 if letter == c:
                     out.add((nxt, e))
@@ -119,28 +128,35 @@ class Automaton:
         for c in word:
             nxt = self.next.get((state, c))
             if nxt is None:
-                nxt = self.next[state, c] = self._step(state, c)
+                nxt = self._step(state, c)
+                if len(self.next) < 1_000_000:  # a bound of what is kept, not of what is found
+                    self.next[state, c] = nxt
             state = nxt
             if not self.states[state]:
                 return None
         return self.accepts[state]
 
+    def _plain(self, word: str) -> tuple[int, int] | None:
+        if len(word) < 3:
+            return None
+        found = self.match(word)
+        if found is None and not word.isalpha():
+            found = self.match(word.translate(LOOKALIKE))
+            found = found and (max(1, found[0]), found[1])
+        return None if found and found[0] and word in self.known else found
+
     def find(self, raw: str) -> tuple[int, int] | None:
-        """The same for a word as it stands in a lower-case text; answers are kept, within bounds."""
+        """The same for a word as it stands in a lower-case text, whatever its length; answers are kept, within bounds."""
         if raw in self.memo:
             return self.memo[raw]
         word = raw.strip(EDGE)
-        found = None
-        if 2 < len(word) <= 40:
-            found = self.match(word)
-            if found is None and not word.isalpha():
-                found = self.match(word.translate(LOOKALIKE))
-                found = found and (max(1, found[0]), found[1])
-            if found and found[0] and word in self.known:
-                found = None
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        self.memo[raw] = found
+        found = self._plain(word)
+        if found is None and (parts := _INNER.split(word))[1:]:
+            found = min((hit for part in parts if (hit := self._plain(part))), key=lambda h: (h[0], -self.weights[h[1]], h[1]), default=None)
+        if len(raw) <= 64:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            self.memo[raw] = found
         return found
 
 
@@ -174,11 +190,10 @@ def evidence(text: str, automaton: Automaton, window: int = 6) -> tuple[float, i
 
 @dataclass
 class Settings:
-    """Training takes at most ``toxic_rows`` and ``clean_rows`` labelled texts, those with the least hashes of their ids, and ``candidates`` terms."""
+    """Training takes at most ``toxic_rows`` and ``clean_rows`` labelled texts, those with the least hashes of their ids; all that is kept on the driver is of these."""
 
     toxic_rows: int = 3000
     clean_rows: int = 6000
-    candidates: int = 4000
     support: int = 3
     ratio: float = 8.0
     cover: int = 3
@@ -187,9 +202,8 @@ class Settings:
 
 def _terms(text: str, settings: Settings) -> set[str]:
     out = set()
-    for w in set(text.lower().split()):
-        w = w.strip(EDGE)
-        if 2 < len(w) <= 40 and w.isalpha():
+    for w in {part for word in set(text.lower().split()) for part in _INNER.split(word)}:
+        if len(w) > 2 and w.isalpha():
             out.add(w)
             out.update(w[:n] + "*" for n in settings.stems if len(w) > n)
     return out
@@ -204,9 +218,12 @@ def sample_rows(labels: DataFrame, settings: Settings) -> list[tuple[int, int]]:
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Lexicon:
     """A lexicon from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; without toxic or without clean rows an empty one.
 
+    Rows with null ids, null labels or null texts teach nothing or count as empty; a row that repeats an id counts once, as toxic if any of its labels says so,
+    and of labelled rows with equal hashes any may be taken. Very long texts are read whole. No rows, or labels of one kind, give the empty lexicon.
     Terms are words, and stems marked by a star. Those that toxic texts have far more often are chosen one by one, each time the one
     that most toxic texts lack so far, until each has ``cover`` of them; so words that merely stand in copies of a
-    toxic text find no place. Copies count once.
+    toxic text find no place; of equals the one rarer in clean texts, longer, later in the alphabet. Copies count once. Short terms (under
+    five letters, stems under six) are found only as they are spelled.
     """
     settings = settings or Settings()
     spark = docs.sparkSession
@@ -233,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     counts = texts.mapInArrow(words, "term string, toxic long").groupBy("term").agg(F.sum("toxic").cast("long").alias("a"), F.sum(1 - F.col("toxic")).cast("long").alias("b"))
     lift = (F.col("a") + 0.5) / (a_all + 1) / ((F.col("b") + 0.5) / (b_all + 1))
     good = counts.where(F.col("a") >= settings.support).withColumn("lift", lift).where(F.col("lift") >= settings.ratio)
-    chosen = good.orderBy(F.desc("a"), "b", F.desc(F.length("term")), "term").limit(settings.candidates).collect()
+    chosen = good.orderBy(F.desc("a"), "b", F.desc(F.length("term")), "term").collect()  # words of the bounded sample
     number = {r["term"]: i for i, r in enumerate(chosen)}
 
     def members(batches):
@@ -247,30 +264,51 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
         for t in terms:
             inside[t].append(i)
     inside = [np.array(x, np.int64) for x in inside]
-    terms = []
-    while True:
-        gains = [int((need[x] > 0).sum()) if len(x) else 0 for x in inside]
-        best = max(range(len(chosen)), key=lambda k: (gains[k], -chosen[k]["b"], len(chosen[k]["term"]), chosen[k]["term"]), default=None)
-        if best is None or gains[best] < settings.support:
+    by_prefix: dict[str, list[int]] = {}
+    for k, row in enumerate(chosen):
+        for n in settings.stems:
+            by_prefix.setdefault(row["term"].rstrip("*")[:n], []).append(k)
+
+    def key(k: int, gain: int):
+        return -gain, chosen[k]["b"], -len(chosen[k]["term"]), [-ord(c) for c in chosen[k]["term"]]
+
+    # what a term adds only shrinks, so its last known gain is a bound: the first whose gain holds is the best
+    queue = [(key(k, len(x)), k) for k, x in enumerate(inside)]
+    heapq.heapify(queue)
+    terms: dict[tuple[str, bool], float] = {}
+    while queue:
+        known, k = heapq.heappop(queue)
+        gain = int((need[inside[k]] > 0).sum()) if len(inside[k]) else 0
+        if key(k, gain) != known:
+            if gain >= settings.support:
+                heapq.heappush(queue, (key(k, gain), k))
+            continue
+        if gain < settings.support:
             break
-        need[inside[best]] -= 1
-        row = chosen[best]
-        # words and stems that begin alike find the same words: one of them is enough
-        for k, other in enumerate(chosen):
-            x, y = row["term"], other["term"]
-            if k == best or (y.endswith("*") and x.startswith(y[:-1])) or (x.endswith("*") and y.startswith(x[:-1])):
-                inside[k] = np.zeros(0, np.int64)
-        terms.append((row["term"].rstrip("*"), math.log(row["lift"]), row["term"].endswith("*")))
+        need[inside[k]] -= 1
+        row, bare = chosen[k], chosen[k]["term"].rstrip("*")
+        stem = row["term"].endswith("*")
+        terms[bare, stem] = math.log(row["lift"])
+        inside[k] = np.zeros(0, np.int64)
+        # words and stems that begin alike find the same texts: one of them is enough. A stem's words stay beside it, to be found misspelled
+        for other in {x for n in settings.stems for x in by_prefix.get(bare[:n], ())}:
+            its = chosen[other]["term"].rstrip("*")
+            its_stem = chosen[other]["term"].endswith("*")
+            if its_stem and bare.startswith(its) or stem and its.startswith(bare):
+                inside[other] = np.zeros(0, np.int64)
+                if stem and not its_stem and edits(its):
+                    terms.setdefault((its, False), math.log(row["lift"]))
+    terms = [(t, weight, stem) for (t, stem), weight in terms.items()]
     # what is spelled almost like a term but stands in clean texts is another word
     lexicon = Lexicon(terms)
 
     def near(batches):
         own = Automaton(lexicon)
         for batch in batches:
-            found = [w.strip(EDGE) for x in batch["text"].to_pylist() for w in set(x.lower().split()) if (m := own.find(w)) and m[0]]
+            found = [part for x in batch["text"].to_pylist() for w in set(x.lower().split()) if own.find(w) for part in {w.strip(EDGE), *_INNER.split(w)} if (m := own._plain(part)) and m[0]]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
 
-    lexicon.known = frozenset(r["word"] for r in texts.where("toxic = 0").select("text").mapInArrow(near, "word string").groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(settings.candidates).collect())
+    lexicon.known = frozenset(r["word"] for r in texts.where("toxic = 0").select("text").mapInArrow(near, "word string").groupBy("word").count().where("count > 1").select("word").collect())  # words of the bounded sample
 
     def sums(batches):
         own = Automaton(lexicon)
@@ -297,9 +335,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1), ``predicted`` and ``n_hits``. Null and empty texts have the score of no evidence; other columns stay, but for ones of these names."""
+    """``docs`` with ``score`` (0 to 1), ``predicted`` and ``n_hits``. Null and empty texts have the score of no evidence.
+
+    Every row is scored alone, so repeated rows score alike and very long texts are read whole. No rows give none. Other columns stay, but for ones of these names.
+    """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(lexicon)  # at most Settings.candidates terms
+    held = spark.sparkContext.broadcast(lexicon)  # words of the bounded training sample
     docs = docs.drop("score", "predicted", "n_hits")
 
     def run(batches):
