@@ -36,7 +36,7 @@ def _node(grams: np.ndarray) -> tuple[bytes, int]:
 
 
 def _first_pass(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("node", pa.int64()), ("chunk", pa.int64()), ("cells", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("node", pa.int64()), ("chunk", pa.int64()), ("cells", pa.binary())])
 
     def run(batches):
         counts = np.zeros(CELLS, np.int64)
@@ -47,13 +47,13 @@ def _first_pass(size: int):
                 ns.append(len(grams)), digests.append(digest), nodes.append(node)
                 np.add.at(counts, _cell(grams), 1)
             empty = pa.nulls(len(ns))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), empty.cast(pa.int64()), empty.cast(pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["text_hash"], pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), empty.cast(pa.int64()), empty.cast(pa.binary())], schema=schema)
         for at in range(0, CELLS, CHUNK):
             part = counts[at : at + CHUNK]
             if part.any():
                 yield pa.RecordBatch.from_pylist([{"chunk": at // CHUNK, "cells": zlib.compress(part.astype("<u4").tobytes(), 1)}], schema)
 
-    return run, "doc_id long, n long, digest binary, node long, chunk long, cells binary"
+    return run, "doc_id long, text_hash long, n long, digest binary, node long, chunk long, cells binary"
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -84,12 +84,12 @@ def _pivots(mass: np.ndarray, fragments: int) -> np.ndarray:
 
 #: Similar sets of enough n-grams share so many among their first ones; more of them rule out more pairs that share a passage only.
 COMMON = 8
-#: A list of up to so many classes gives pairs; larger ones are gathered in clusters, compared in blocks of about so many n-grams.
-MOST_LISTED, BLOCK_GRAMS = 200, 400_000
+#: A list of up to so many classes gives pairs; larger ones are gathered in clusters, compared in blocks of about so many n-grams and classes.
+MOST_LISTED, BLOCK_GRAMS, BLOCK_CLASSES = 200, 200_000, 4000
 
 
 #: Overlaps of a block are counted for so many pairs at a time.
-PAIRS_HELD = 1 << 24
+PAIRS_HELD = 1 << 22
 
 
 def _block_links(percent: int):
@@ -150,21 +150,22 @@ def _block_links(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragments: int = 4, most_listed: int = MOST_LISTED, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs(doc_id, text)``.
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragments: int = 4, most_listed: int = MOST_LISTED, block_grams: int = BLOCK_GRAMS, block_classes: int = BLOCK_CLASSES) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links, text_hash, component`` for every row of ``docs(doc_id, text)``.
 
     A text's set is its distinct shingles of ``words`` words, A-Z in lower case; with fewer words, all of them as
     one. Null, empty and blank texts have empty sets and are linked with nothing. Two rows link when
     100 * intersection >= ``percent`` * union; component_id is the least doc_id that links lead to. Equal
     sets link. Repeated rows are equal sets. Rows with null ids link by equal sets, and to others only through a row with an id and the same set.
-    Other columns are ignored. ``n_links`` is the number of other rows that a row links with, those of equal sets too; for a row
+    A component of rows without ids has a null component_id, but ``component``, a number of its own, null for empty sets; ``text_hash`` is the text's xxhash64.
+    Very long texts are sets as any other. No rows give none. Other columns, whatever their names, are ignored. ``n_links`` is the number of other rows that a row links with, those of equal sets too; for a row
     without an id, and for others' links with it, those of equal sets and of rows with an id and the same set.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", common.text_of().alias("text"))
     run, schema = _first_pass(words)
-    first = common.written(docs.mapInArrow(run, schema), "sets")
-    each = first.where("chunk is null").select("doc_id", "n", "digest", "node")
+    first = common.written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, schema), "sets")
+    each = first.where("chunk is null").select("doc_id", "text_hash", "n", "digest", "node")
     classes = each.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.count("*").alias("copies"))
     classes = common.written(classes.select("node", "low", "copies", F.when(F.col("d0") != F.col("d1"), F.raise_error(F.lit("two sets share a node number"))).otherwise(F.col("n")).cast("long").alias("n")), "classes")
     chunks = first.where("chunk is not null").groupBy("chunk").applyInArrow(_summed, "chunk long, levels binary, mass array<long>").collect()  # CELLS bytes at most
@@ -205,7 +206,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
     # an n-gram of one class alone makes no pair, and a class with too few others' n-grams has none
     lists = common.written(heads.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token"), "tokens")
     common.release(spark)
-    posts = common.written(heads.join(lists, "token").groupBy("token", "node").agg(F.max("n").alias("n"), F.max("place").alias("place")), "posts")
+    posts = all_posts = common.written(heads.join(lists, "token").groupBy("token", "node").agg(F.max("n").alias("n"), F.max("place").alias("place")), "posts")
+    common.dropped(lists)
     common.release(spark)
 
     def common_grams(n: str) -> str:
@@ -214,6 +216,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
     smallest = f"(({percent} * n + 99) div 100)"
     enough = posts.groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("k")).where(f"k >= {common_grams(smallest)}").select("node")
     posts = common.written(posts.join(enough, "node", "left_semi"), "posts")
+    common.dropped(all_posts)
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
 
     def counted(pairs: DataFrame, *more) -> DataFrame:
@@ -240,11 +243,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
 
     reps = docs.join(needed.hint("merge"), "doc_id").select("node", "text")
     parts = common.written(reps.mapInArrow(segments, "node long, fragment int, grams binary"), "segments")
+    common.dropped(needed)
     common.release(spark)
 
     # all pairs that share an n-gram early enough for the overlap they need
     lengths = posts.groupBy("token").agg(F.count("*").alias("list"))
     listed = common.written(posts.join(lengths, "token"), "lists")
+    common.dropped(posts)
     # large lists: clusters of classes that such lists connect, block against block
     large = listed.where(F.col("list") > most_listed)
     lead = large.groupBy("token").agg(F.min("node").alias("lead"))
@@ -258,29 +263,38 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
     left = common.written(left.where("cluster is null or its is null or cluster <> its").select("node", "hub"), "pairs")
     sized = classes.select("node", "n", "copies")
     members = clusters.join(sized, "node")
-    wide = members.groupBy("cluster").agg(F.ceil(F.sum("n") / block_grams).alias("blocks"))
+    wide = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / block_grams), F.ceil(F.count("*") / block_classes)).alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = members.join(wide, "cluster").withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select(F.col("cluster").alias("of"), F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "node", "copies", (F.col("mine") > F.col("with")).cast("int").alias("side"))
-    # a pair's second class is a block of its own, against all first ones: both kinds take the segments in one join
+    # a pair's second class is a block of its own, against the first ones, dealt over as many blocks as they need: both kinds take the segments in one join
     minus = F.lit(-1).cast("long")
-    sides = left.select(F.col("hub").alias("of"), "node", F.lit(1).alias("side")).unionAll(left.select(F.col("hub").alias("of"), F.col("hub").alias("node"), F.lit(0).alias("side")).distinct())
-    paired = sides.join(sized, "node").select("of", minus.alias("i"), minus.alias("j"), "node", "copies", "side")
+    first_ones = left.join(sized, "node").select(F.col("hub").alias("of"), "node", "n", "copies")
+    shares = first_ones.groupBy("of").agg(F.greatest(F.ceil(F.sum("n") / block_grams), F.ceil(F.count("*") / block_classes)).alias("blocks"))
+    of_hubs = shares.join(sized.withColumnRenamed("node", "of"), "of").withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), "blocks")))
+    hubs = of_hubs.select("of", minus.alias("i"), (-F.col("part")).alias("j"), F.col("of").alias("node"), "copies", F.lit(0).alias("side"))
+    several = shares.where("blocks > 1").select("of", "blocks")  # few: of all others the one block is known
+    ones = first_ones.join(several, "of", "left").select("of", minus.alias("i"), (-1 - F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1).cast("long")))).alias("j"), "node", "copies", F.lit(1).alias("side"))
+    paired = hubs.unionAll(ones)
     asked = common.written(dealt.unionAll(paired), "blocks")
     found = asked.hint("merge").join(parts, "node").groupBy("of", "i", "j").applyInArrow(_block_links(percent), "node long, hub long, links long")
     found = common.written(found, "linked")
+    common.dropped(asked, parts, left, clusters, listed)
     common.release(spark)
     roots = common.connected_components(found.where("hub is not null").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     links = found.where("hub is null").groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(roots, "node", "left").select("node", "low", "copies", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     known = named.join(least, "root").join(links, "node", "left")
-    known = common.written(known.select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "components")
+    known = common.written(known.select("node", "root", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "components")
+    common.dropped(found, classes)
     return each.join(known, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        "text_hash",
+        F.col("root").alias("component"),
     )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -14,6 +15,8 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x2545F4914F6CDD1D
 _MIX = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)]
+#: Polynomials modulo a power of two collide on some texts of a thousand bytes and more, whatever their base; words from this length on have a hash of another kind.
+LONG_WORD = 256
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -73,7 +76,11 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarr
     total = np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * up[:n])
     h = total[e]
     h[s > 0] -= total[s[s > 0] - 1]
-    return mixed(h * down[s] + (e - s).astype(np.uint64) * _MIX[4]), np.searchsorted(s, at)
+    h = mixed(h * down[s] + (e - s).astype(np.uint64) * _MIX[4])
+    for i in np.flatnonzero(e - s + 1 >= LONG_WORD):
+        word = raw[s[i] : e[i] + 1]
+        h[i] = xxhash.xxh3_64_intdigest((_LOWER[word] if lower else word).tobytes())
+    return h, np.searchsorted(s, at)
 
 
 def shingles(h: np.ndarray, first: np.ndarray, size: int) -> list[np.ndarray]:
