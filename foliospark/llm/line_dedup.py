@@ -3,7 +3,9 @@
 Lines that occur once end every repeated run, so only the others take part. Their suffixes get ranks, places of
 an order by line number, and each round doubles the lines that a rank tells apart: it counts the pairs of ranks (here, and
 one stride on) and adds up the counts within a rank. Suffixes of one rank share that many lines: an interval of the
-suffix array with such a common prefix. A run of a length between two powers is named by two ranks that overlap.
+suffix array whose neighbours have at least so long a common prefix. A run of a length between two powers is named by two ranks
+that overlap, which tells its interval without the values of its neighbours' prefixes. The order is made as deep as
+the longest of the least windows, since deeper places decide nothing.
 All in DataFrame and SQL functions.
 """
 
@@ -58,7 +60,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     base = docs.select("doc_id", common.text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     lines = base.select(*DOC, F.posexplode(full_lines()).alias("pos", "line"))
-    lines = lines.select(*DOC, "pos", F.regexp_replace("line", rf"^{common.SPACE}+|{common.SPACE}+$", "").alias("line"))
+    lines = lines.select(*DOC, "pos", F.btrim("line", F.lit(" \t\n\x0b\x0c\r")).alias("line"))
     lines = lines.select(*DOC, "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line", F.lit(2)).alias("h2"), F.regexp_count("line", F.lit(common.WORD)).alias("words"))
     # rows that repeat an id and its text are one text here
     lines = common.written(lines, "lines")
@@ -90,8 +92,9 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     longest = windows.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
     stride, level, groups = 1, 0, size["groups"]
     while stride * 2 <= longest:
-        following = _doubled(now, stride, size["n"])
+        before, following = now, _doubled(now, stride, size["n"])
         now = common.written(following.withColumn("ranks", F.concat("ranks", F.array("r"))), "ranks")
+        common.dropped(before)
         stride, level = stride * 2, level + 1
         if (found := now.agg(F.countDistinct("r")).first()[0]) == groups:
             break  # no rank was split, so none will be
@@ -104,12 +107,17 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         here = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_hash") == F.col("its_hash")) & (F.col(place) == F.col("its_pos"))
         named = named.join(at, here).withColumn(r, F.element_at("ranks", F.col("k") + 1)).drop("its_id", "its_hash", "its_pos", "ranks")
     named = common.written(named.select(*DOC, "start", "n", "r1", "r2"), "named")
-    first = named.groupBy("n", "r1", "r2").agg(F.min(F.struct(*DOC, "start")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = named.join(first, ["n", "r1", "r2"]).where(F.struct(*DOC, "start") > F.col("first"))
+    # an interval may hold a third of all windows: its first one is found with partial sums, and the join back deals heavy ones by a salt
+    name = ["n", "r1", "r2"]
+    first = common.written(named.groupBy(*name).agg(F.min(F.struct(*DOC, "start")).alias("first"), F.count("*").alias("c")).where("c > 1"), "first")
+    heavy = common.heavy_keys(first, name, "c")
+    later = common.salted(named, heavy, name, [*DOC, "start"]).join(common.with_salts(first.drop("c"), heavy, name), [*name, "_salt"]).where(F.struct(*DOC, "start") > F.col("first"))
     cut = later.select(*DOC, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
     island = F.col("pos") - F.row_number().over(Window.partitionBy(*DOC).orderBy("pos"))
     runs = cut.withColumn("island", island).groupBy(*DOC, "island").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    return common.written(runs.groupBy(*DOC).agg(F.collect_list(F.struct("a", "b")).alias("cut")), "cuts")
+    cuts = common.written(runs.groupBy(*DOC).agg(F.collect_list(F.struct("a", "b")).alias("cut")), "cuts")
+    common.dropped(lines, now, windows, named, first)
+    return cuts
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -117,7 +125,7 @@ def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
     A text without deletions stays as it is, null too. From others blank lines go as well, and a text all of whose lines
     were copies is left empty. Rows that repeat both ``doc_id`` and text are treated alike, and are no copies of each other.
-    Null ids sort first. All other columns stay, but for ones of these two names. No rows give none.
+    Null ids sort first. Of copies the one with the least id, then place stays. Very long texts are lines as any other. All other columns stay, but for ones of these two names. No rows give none.
     """
     cuts = repeated_lines(docs, min_words).select("doc_id", "text_hash", F.col("cut").alias("__cut"))
     docs = docs.drop("n_lines", "n_deleted")
