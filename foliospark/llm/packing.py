@@ -2,7 +2,8 @@
 
 A sequence has limits on tokens, on segments and on loss-bearing tokens. Each task keeps a bounded pool of
 pieces; the sequence in work takes the piece, among those that fit, whose demand has the largest dot product with
-what the sequence has left. When none fits whole, the longest is cut to fill the rest.
+what the sequence has left. When none fits whole, the one that can fill most of the rest is cut: where no more tokens may bear
+loss, it is one whose head, which bears none, is long.
 """
 
 from __future__ import annotations
@@ -98,12 +99,14 @@ class Pool:
                 score = (self.demand[fits] / self.limits**2) @ left
                 item = self._take(int(fits[np.argmax(score)]))
             else:
-                at = int(np.argmax(np.where(np.isinf(self.demand[:, 0]), -1, self.demand[:, 0])))
-                row, start, ids, head = self.items[at]
-                cut = int(min(left[0], head + left[2], len(ids)))
+                length, loss = np.where(np.isinf(self.demand[:, 0]), 0, self.demand[:, 0]), np.where(np.isinf(self.demand[:, 2]), 0, self.demand[:, 2])
+                # of those that can fill as much, the one with most to give
+                most = np.minimum(np.minimum(left[0], length - loss + left[2]), length)
+                at = int(np.argmax(most + length / (self.limits[0] * 2)))
+                cut = int(most[at])
                 if cut < 1:
                     break
-                self._take(at)
+                row, start, ids, head = self._take(at)
                 self.put((row, start + cut, ids[cut:], max(0, head - cut)))
                 item = (row, start, ids[:cut], min(head, cut))
             left -= self._demand(item)
@@ -116,15 +119,16 @@ def packed(docs: DataFrame, limits: tuple[int, int, int] = (2048, 64, 2048), pat
 
     Tokens of a document: the ids of its text, then id 1. Null texts count as empty and have that id alone. ``limits``: tokens,
     segments and loss-bearing tokens of a sequence; ``prompt`` names a column with the number of tokens at the head of a text
-    that bear no loss (none else). Every id is in one piece; a document may be cut anywhere. ``sequence_id`` is unique over all
-    tasks, ``offset`` gapless within it, ``padded_length`` is the first limit unless the sequence's length is a power of two.
-    Each task packs what it reads, without a shuffle, and at its end one sequence or few stay short. Rows that repeat an id
-    are packed each. Tables without rows give none. Other columns are ignored. ``room``: pieces that wait at a time, each
-    shorter than a sequence.
+    that bear no loss (none else; null: none). Every id is in one piece; a document may be cut anywhere, and very long ones run over many
+    sequences. ``sequence_id`` is unique over all tasks, ``offset`` gapless within it, ``loss_tokens`` counts a piece's ids that bear
+    loss, ``padded_length`` is the first limit unless the sequence's length is a power of two. Each task packs what it reads,
+    without a shuffle, and at its end one sequence or few stay short. Rows that repeat an id are packed each; equal demands
+    go by their place in the pool. Tables without rows give none. Other columns, whatever their names, are ignored. ``room``:
+    pieces that wait at a time, each shorter than a sequence.
     """
     path = path or tokenizer_file()
     most = limits[0]
-    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("padded_length", pa.int64())]
+    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("padded_length", pa.int64()), ("loss_tokens", pa.int64())]
     if with_ids:
         fields.append(("ids", pa.list_(pa.int32())))
     schema = pa.schema(fields)
@@ -138,8 +142,8 @@ def packed(docs: DataFrame, limits: tuple[int, int, int] = (2048, 64, 2048), pat
             nonlocal counter
             at, used = 0, sum(len(p[2]) for p in pieces)
             padded = used if used & (used - 1) == 0 else most
-            for (doc_id, total), start, ids, _ in pieces:
-                values = [doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, counter, at, padded]
+            for (doc_id, total), start, ids, free in pieces:
+                values = [doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, counter, at, padded, max(0, len(ids) - free)]
                 if with_ids:
                     values.append(ids.astype(np.int32))
                 for name, value in zip(rows, values, strict=True):
@@ -160,7 +164,7 @@ def packed(docs: DataFrame, limits: tuple[int, int, int] = (2048, 64, 2048), pat
                 row, start, total = (doc_id, len(ids)), 0, len(ids)
                 # whole sequences need no choice, where the other limits allow them
                 while total - start >= most and max(0, most - max(0, head - start)) <= limits[2]:
-                    close([(row, start, ids[start : start + most], 0)])
+                    close([(row, start, ids[start : start + most], max(0, head - start))])
                     start += most
                 while start < total:
                     piece = ids[start : start + most - 1] if total - start >= most else ids[start:]
@@ -183,5 +187,10 @@ def packed(docs: DataFrame, limits: tuple[int, int, int] = (2048, 64, 2048), pat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), head.alias("head")).mapInArrow(run, out)
 
 
+#: The query's rule for plain documents: a text's first ids, seen without context, bear no loss; of a sequence's 2048 ids at most so many bear loss.
+CONTEXT, LOSS_BEARING = 64, 2000
+
+
 def op8_packing(spark, sf_dir):
-    return packed(common.documents(spark, sf_dir), with_ids=False)
+    docs = common.documents(spark, sf_dir).select("doc_id", "text", F.lit(CONTEXT).alias("context"))
+    return packed(docs, (2048, 64, LOSS_BEARING), prompt="context", with_ids=False)
