@@ -124,13 +124,14 @@ def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
 
 
 _MARKER = re.compile(rb"(?:startxref\s+(\d{1,10})\s+)?%%EOF")
+_OBJECT = re.compile(rb"\d+\s+\d+\s+obj\b.*?\bendobj\b", re.DOTALL)
 _XREF = re.compile(rb"xref\b|\d+\s+\d+\s+obj\b")
 
 
 def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
     """Up to the first end marker whose startxref fits, and the later ones of updates, whose tables stand after the end before.
 
-    Where none fits, up to the last marker before the next header.
+    Where none fits, as in damaged files, up to the last marker before the next header, if whole objects stand between.
     """
     if not chr(b[at + 5]).isdigit():
         return None
@@ -142,7 +143,7 @@ def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
     if end is None:
         following = raw.find(b"%PDF-", at + 5)
         last = raw.rfind(b"%%EOF", at, following if following >= 0 else len(raw))
-        end = last + 5 if last >= 0 else None
+        end = last + 5 if last >= 0 and _OBJECT.search(raw, at, last) else None
     return None if end is None else ("application/pdf", end)
 
 
@@ -334,7 +335,8 @@ def corrected(media: DataFrame) -> DataFrame:
     """``id, declared, actual, matches, carved`` for each row of ``media(id, content, declared)``.
 
     ``actual``: the type of what starts at the first byte, else null. ``carved``: the other media found, with type, start, end and bytes.
-    Null or empty content has no type and nothing carved. A null declared type never matches. Repeated rows are answered each.
+    Null or empty content has no type and nothing carved. A null declared type never matches. Repeated rows are answered each; of items that begin at
+    one place the longer comes first. Very long values are read in place, but for carved copies. No rows give none; other columns are ignored.
     """
     part = pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("content", pa.binary())])
     schema = pa.schema([("id", pa.int64()), ("declared", pa.string()), ("actual", pa.string()), ("matches", pa.bool_()), ("carved", pa.list_(part))])
@@ -361,7 +363,7 @@ def stored_texts(docs: DataFrame, block: int = 192, with_media: bool = True) ->
     Null counts as empty. The payload is the UTF-8 text with blanks up to a positive multiple of ``block`` bytes. The stored bytes are
     declared as plain bytes; sniffing tells their type, the validator their length, and the samples come from what it
     carved. ``feature``: type, samples, sum and zero crossings around the middle value. Equal texts have equal values,
-    repeated rows too; no rows give none; other columns are ignored. ``with_media`` keeps the stored bytes as a column.
+    repeated rows too; very long texts are stored whole; no rows give none; other columns are ignored. ``with_media`` keeps the stored bytes as a column.
     """
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
     if with_media:
