@@ -1,14 +1,16 @@
 """Exact duplicates by static binary-fuse filters over immutable snapshots.
 
-The digests of a snapshot never change, so each bucket of them gets a binary fuse filter once, kept
-as a table. Digests of a new batch meet only the filter of their bucket. What it rejects is new and is
-grouped within the batch; what it lets pass is joined with the exact digests of the snapshot, and the
-bytes of all rows that share a digest are compared before they count as equal.
+The digests of a snapshot never change, so each bucket of them gets a binary fuse filter once, when the snapshot is
+published; digests and filters are kept as tables beside it, and any number of batches later meet them as they stand. Digests of a new
+batch meet only the filter of their bucket. What it rejects is new and is grouped within the batch; what it lets pass is
+joined with the exact digests of the snapshot, and the bytes of all rows that share a digest are compared before they count as equal.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -131,56 +133,101 @@ def screened(filters: DataFrame, digests: DataFrame) -> DataFrame:
     return filters.groupBy("bucket").cogroup(digests.select("bucket", "key").groupBy("bucket")).applyInArrow(look, "bucket long, key long, maybe boolean")
 
 
-def exact_dedup(snapshot: DataFrame, batch: DataFrame, digest_hex: int = 64, bucket_keys: int = 1 << 17) -> DataFrame:
-    """One row for each row of both inputs, with the row that stays of its group of equal texts.
+@dataclass
+class Snapshot:
+    """A published table: its rows, and where its digests, groups and filters stand."""
+
+    docs: DataFrame
+    path: str
+    digest_hex: int = 64
+
+    def table(self, name: str) -> DataFrame:
+        return self.docs.sparkSession.read.parquet(f"{self.path}/{name}")
+
+
+def _rows(df: DataFrame, digest_hex: int) -> DataFrame:
+    norm = df.select("doc_id", common.text_of().alias("text")).select("doc_id", F.length("text").alias("points"), normalised().alias("norm"))
+    return norm.select("doc_id", "points", "norm", F.sha2("norm", 256).alias("sha")).withColumn("digest", F.unhex(F.substring("sha", 1, digest_hex)))
+
+
+def _digests(df: DataFrame, digest_hex: int) -> DataFrame:
+    return _rows(df, digest_hex).select("doc_id", "points", F.unhex("sha").alias("sha"), "digest")
+
+
+def _best() -> Column:
+    """The row that stays: most code points, then the least id, a row without an id last."""
+    return F.max(F.struct("points", F.bitwise_not("doc_id").alias("un_id"))).alias("best")
+
+
+def _groups(digests: DataFrame) -> DataFrame:
+    return digests.groupBy("digest").agg(F.count("*").alias("n"), _best()).withColumn("key", F.xxhash64("digest"))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.shiftright("key", 7), F.lit(buckets))
+
+
+def publish(docs: DataFrame, path: str, digest_hex: int = 64, bucket_keys: int = 1 << 17) -> Snapshot:
+    """Writes the digests, groups and filters of ``docs(doc_id, text)`` below ``path``; ``docs`` itself has to stay as it is.
+
+    ``bucket_keys`` bounds the keys of one filter; ``digest_hex`` shortens the digest (a test hook: with few digits texts
+    collide, and only the byte check keeps them apart).
+    """
+    made = Snapshot(docs, path, digest_hex)
+    _digests(docs, digest_hex).write.parquet(f"{path}/digests")
+    _groups(made.table("digests")).write.parquet(f"{path}/keys")
+    buckets = max(1, -(-made.table("keys").count() // bucket_keys))
+    made.table("keys").withColumn("bucket", _bucket(buckets)).write.parquet(f"{path}/groups")
+    filters = snapshot_filters(made.table("groups"))
+    filters.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+    return made
+
+
+def against(snapshot: Snapshot, batch: DataFrame) -> DataFrame:
+    """One row for each row of the snapshot and of ``batch(doc_id, text)``, with the row that stays of its group of equal texts.
 
     Texts are equal when the same after white space is deleted; null counts as empty, so nulls, empty texts and
     texts of white space alone form one group. Of a group the row with most code points in its original
-    text stays, then the one with the least ``doc_id``. Rows that repeat both ``doc_id`` and text can't be
-    told apart and get the same answer. Other columns are ignored. ``digest_hex`` shortens the digest (a
-    test hook: with few digits texts collide, and only the byte check keeps them apart); ``bucket_keys``
-    bounds the keys of one filter. Empty inputs give no rows.
+    text stays, then the one with the least ``doc_id``, one without an id last: where that one stays for its length, ``keep_id`` is null.
+    ``kept`` is never null. Rows that repeat both ``doc_id`` and text can't be told apart and get the same answer. Very long
+    texts are compared by their digests, and whole where these are shared. Other columns, whatever their names, are ignored. Empty inputs give no rows.
     """
-    spark = batch.sparkSession
-    text = common.text_of()
-
-    def rows(df: DataFrame, part: int) -> DataFrame:
-        norm = df.select("doc_id", text.alias("text")).select("doc_id", F.length("text").alias("points"), normalised().alias("norm"))
-        return norm.select("doc_id", "points", "norm", F.sha2("norm", 256).alias("sha"), F.lit(part).alias("part")).withColumn("digest", F.unhex(F.substring("sha", 1, digest_hex)))
-
-    full = rows(snapshot, 0).unionAll(rows(batch, 1))
-    base = common.written(full.select("doc_id", "points", F.unhex("sha").alias("sha"), "digest", "part"), "digests")
-    best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("un_id"))).alias("best")
-    groups = common.written(base.groupBy("digest", "part").agg(F.count("*").alias("n"), best).withColumn("key", F.xxhash64("digest")), "groups")
-    buckets = max(1, -(-groups.count() // bucket_keys))
-    groups = groups.withColumn("bucket", F.pmod(F.shiftright("key", 7), F.lit(buckets)))
-    old, new = groups.where("part = 0"), groups.where("part = 1")
-    filters = common.written(snapshot_filters(old), "filters")
-    verdict = common.written(screened(filters, new), "screened")
+    digest_hex = snapshot.digest_hex
+    mine = common.written(_digests(batch, digest_hex), "digests")
+    filters = snapshot.table("filters")
+    held = filters.agg(F.max("buckets")).first()[0] or 1
+    old = snapshot.table("groups")
+    new = common.written(_groups(mine).withColumn("bucket", _bucket(held)), "groups")
+    verdict = common.written(screened(filters.drop("buckets"), new), "screened")
     # what passed the filters meets the exact digests of the snapshot
     hits = new.join(verdict.where("maybe").select("key").distinct(), "key", "left_semi").select("digest").join(old.select("digest"), "digest", "left_semi")
-    shared = hits.unionAll(groups.where("n > 1").select("digest")).distinct()
+    shared = hits.unionAll(old.where("n > 1").select("digest")).unionAll(new.where("n > 1").select("digest")).distinct()
     # byte check: rows of a shared digest are grouped by the text itself, combined before the shuffle
+    full = _rows(snapshot.docs, digest_hex).unionAll(_rows(batch, digest_hex))
+    # a text that a third of all rows have is dealt over many tasks by a salt, until equal texts of a task are one row
+    heavy = common.heavy_keys(old.select("digest", "n").unionAll(new.select("digest", "n")), ["digest"], "n")
     bytes_equal = (
-        full.join(shared.hint("merge"), "digest", "left_semi")
+        common.salted(full, heavy, ["digest"], ["doc_id"])
+        .join(common.with_salts(shared, heavy, ["digest"]).hint("merge"), ["digest", "_salt"], "left_semi")
         .groupBy("digest", "sha", "norm")
-        .agg(F.count("*").alias("n"), best)
+        .agg(F.count("*").alias("n"), _best())
         .select("digest", F.unhex("sha").alias("sha"), F.struct("n", "best").alias("g"))
         .groupBy("digest", "sha")
         .agg(F.count("*").alias("texts"), F.max("g").alias("g"))
     )
     # two texts with one full SHA-256 would need a longer digest; such a run stops instead of merging them
     checked = bytes_equal.select("digest", "sha", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share one SHA-256"))).otherwise(F.col("g.n")).cast("long").alias("n"), F.col("g.best.un_id").alias("un_id"))
-    return (
-        base.join(checked.hint("merge"), ["digest", "sha"], "left")
-        .select(
-            "doc_id",
-            F.coalesce(F.bitwise_not("un_id"), F.col("doc_id")).alias("keep_id"),
-            F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
-            F.lower(F.hex("sha")).alias("text_sha256"),
-        )
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
-    )
+    base = snapshot.table("digests").unionAll(mine)
+    keep = F.when(F.col("n").isNotNull(), F.bitwise_not("un_id")).otherwise(F.col("doc_id"))
+    base = common.salted(base, heavy, ["digest"], ["doc_id"])
+    found = base.join(common.with_salts(checked, heavy, ["digest"]).hint("merge"), ["digest", "sha", "_salt"], "left").select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def exact_dedup(snapshot: DataFrame, batch: DataFrame, digest_hex: int = 64, bucket_keys: int = 1 << 17) -> DataFrame:
+    """``against`` a snapshot that is published for this call alone."""
+    path = f"{common.shared_dir(batch.sparkSession).rstrip('/')}/foliospark-snapshot-{uuid.uuid4().hex}"
+    return against(publish(snapshot, path, digest_hex, bucket_keys), batch)
 
 
 def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
