@@ -15,6 +15,7 @@ ROMAN = r"(?i)^[IVXLC]{1,6}\s+"
 TITLE = r"(?i)^(?:\d{1,2}(?:\.\d{1,2})*|[IVXLC]{1,6})\s+[A-Za-z][A-Za-z0-9-]*(?:\s+(?:[A-Za-z][A-Za-z0-9-]*|vs\.?))*$"
 BARE = r"(?i)^(?:Abstract|Introduction|Background|Conclusions?|Related Work|References|Acknowledge?ments?)$"
 REFERENCES = r"(?i)^\s*(?:References|Bibliography)\s*$"
+REFERENCE_SECTION = r"(?i)^(?:(?:\d{1,2}(?:\.\d{1,2})*)\s+)?(?:references|bibliography|works cited|literature cited)\b"
 BIB_ENTRY = r"^\s*(?:\[\s*\d{1,4}\s*\]|\d{1,4}\.)\s+\S"
 MATH_SIGNS = r"[=∈→←{}\\_^]"
 MATH_ANY = r"[=∈→←{}\\_^∇γθρ≈∼∞·]"
@@ -57,26 +58,26 @@ def is_mathish(text: Column) -> Column:
 
 
 def table_score(text: Column, percent: bool = True) -> Column:
-    """How much a normalised text looks like a row of a table, 0 to 1; ``percent``: numbers may end in a percent sign."""
-    number = r"^[+\-−]?\d+(?:\.\d+)?" + ("%?$" if percent else "$")
-
-    def parts(tokens: Column) -> Column:
-        worded = F.filter(tokens, lambda t: t.rlike("[A-Za-z]"))
-        capital = F.filter(worded, lambda t: F.substring(t, 1, 1).rlike(r"^\p{Lu}") | t.endswith("."))
-        counts = {"n": tokens, "num": F.filter(tokens, lambda t: t.rlike(number)), "short": F.filter(tokens, lambda t: F.length(t) <= 2), "worded": worded, "capital": capital}
-        return F.struct(*[F.size(c).alias(k) for k, c in counts.items()])
-
-    def score(c: Column) -> Column:
-        raw = (
-            0.55 * c["num"] / F.greatest(c["n"], F.lit(1))
-            + 0.22 * c["short"] / F.greatest(c["n"], F.lit(1))
-            + 0.18 * c["capital"] / F.greatest(c["worded"], F.lit(1))
-            + F.when(c["n"] >= 12, 0.15).otherwise(0.0)
-            - F.when(is_sentence(text), 0.7).otherwise(0.0)
-        )
-        return F.when(c["n"] == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
-
-    return bound(bound(F.filter(F.split(text, " "), lambda t: t != ""), parts), score)
+    """How much a normalised text looks like a row of a table, 0 to 1; ``percent``: numbers may end in a percent sign.
+
+    Tokens are counted on the whole text by patterns that begin and end at blanks, so that all of it is generated code.
+    """
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    begin, end = r"(?<![^ ])", r"(?![^ ])"
+    tokens = word_count(text)
+    numbers = count(begin + r"[+\-−]?\d+(?:\.\d+)?" + ("%?" if percent else "") + end)
+    short = count(begin + r"[^ ]{1,2}" + end)
+    lettered = r"[^ A-Za-z]*+[A-Za-z]"
+    worded = count(begin + lettered)
+    capital = count(begin + rf"(?:(?=\p{{Lu}}){lettered}|{lettered}[^ ]*+(?<=\.))")
+    raw = (
+        0.55 * numbers / F.greatest(tokens, F.lit(1))
+        + 0.22 * short / F.greatest(tokens, F.lit(1))
+        + 0.18 * capital / F.greatest(worded, F.lit(1))
+        + F.when(tokens >= 12, 0.15).otherwise(0.0)
+        - F.when(is_sentence(text), 0.7).otherwise(0.0)
+    )
+    return F.when(text == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
 
 
 def bound(value: Column, f) -> Column:
@@ -121,6 +122,17 @@ def snippet(text: Column, chars: int = 10) -> Column:
     return F.when(F.length(text) <= chars * 2 + 10, text).otherwise(F.concat(F.rtrim(F.left(text, F.lit(chars))), F.lit(" … "), F.ltrim(F.right(text, F.lit(chars)))))
 
 
+def with_source(translated: Column, source: Column, chars: int = 10) -> Column:
+    """A translation with the snippet of its source below; alone where the source is blank."""
+    short = snippet(normalize(source), chars)
+    return F.when(short == "", translated).otherwise(F.concat(translated, F.lit("\n\nSRC: "), short))
+
+
+def is_table_row(text: Column, tokens: int = 14, least: float = 0.35) -> Column:
+    """Whether a normalised text is so long a row of numbers and short words that it's no prose."""
+    return (word_count(text) >= tokens) & (table_score(text) >= least)
+
+
 def truncate(text: Column, n: int) -> Column:
     return F.when(text == "", "-").when(F.length(text) <= n, text).otherwise(F.concat(F.left(text, F.lit(n - 1)), F.lit("…")))
 
@@ -136,6 +148,15 @@ def clean_answer(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(bare, ANSWER_LABEL, "")), F.lit(""))
 
 
+def message_text(answer: Column) -> Column:
+    """The text of a chat answer given as JSON: a string, or the joined text parts of a list; null for anything else."""
+    message = F.try_variant_get(F.try_parse_json(answer), "$.choices[0].message.content", "variant")
+    whole = F.when(F.schema_of_variant(message) == "STRING", F.try_variant_get(message, "$", "string"))
+    parts = F.try_variant_get(message, "$", "array<variant>")
+    kept = F.filter(F.transform(parts, lambda p: F.when(F.schema_of_variant(F.try_variant_get(p, "$.text", "variant")) == "STRING", F.try_variant_get(p, "$.text", "string"))), lambda t: t.isNotNull() & (t != ""))
+    return F.coalesce(whole, F.when(F.size(kept) > 0, F.array_join(kept, "")))
+
+
 def error_kind(status: Column, detail: Column, provider: str = "chat") -> Column:
     if provider == "deepl":
         return F.when(status.isin(401, 403), "auth").when(status == 429, "rate_limit").when(status == 456, "quota").otherwise("temporary")
@@ -143,10 +164,6 @@ def error_kind(status: Column, detail: Column, provider: str = "chat") -> Column
     return F.when(status.isin(401, 403), "auth").when(status == 402, "quota").when(low.rlike("quota|billing"), "quota").when(status == 429, "rate_limit").otherwise("temporary")
 
 
-def provider_name(name: Column) -> Column:
-    return F.when(F.lower(F.trim(name)) == "openai", "chatgpt").otherwise(F.lower(F.trim(name)))
-
-
 def is_json(text: Column) -> Column:
     """Whether all of a string is one JSON value. The parser alone would stop after the first value, so it also parses the string as the only item of a list."""
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))

@@ -6,6 +6,7 @@ The lines of a page are one array, and each step is a fold or a filter over it,
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 # Patterns and thresholds that results depend on.
+CAPTION = r"(?i)^(?:Figure|Fig\.?|Table|Tbl\.?)\s*(?:\d+|[IVXLC]+)\s*[:.]"
 ALGORITHM = r"(?i)^\s*Algorithm\s+\d+\b"
 TABLE = r"(?i)^(?:Table|Tbl\.?)\s*(?:\d+|[IVXLC]+)\s*[:.]"
 FOOTNOTE = r"^\s*\d{1,2}\s*[A-Za-z]"
@@ -21,6 +23,11 @@ PAGE_NUMBER = r"^\d{1,4}$"
 EQUATION_NUMBER = r"^[.\s]*\(\s*\d{1,3}(?:\.\d{1,2}|[a-z])?\s*\)\s*$"
 MATH = "[MATH]"
 NUMBERED_HEADING = r"^\d{1,2}(?:\.\d{1,2})*\s+\S"
+CONNECTOR = r"(?i)(?:,|\b(?:and|or|where|which|that|because)\b)\s*$"
+LEFT_EDGE, LEAST_OVERLAP, LOOK_BACK, GOES_ON_CHARS, PROSE_CHARS = 0.05, 0.2, 40, 30, 40
+BOUNDARY_LINES, FOOT_LINES, FOOT_LINES_CONNECTED, HEAD_SHARE, HEAD_SHARE_CAPTIONED = 2, 8, 14, 0.45, 0.85
+RIGHT_EDGE, RIGHT_WIDTH, RIGHT_CHARS, RIGHT_ROW = 0.68, 0.28, 48, 0.3
+OPENING = r"(?i)^\s*(?:Abstract|(?:\d+\s+)?Introduction)\b"
 SECTION_NAME = r"(?i)^(?:Abstract|Introduction|Conclusions?|References|Appendix)\b"
 
 LINE = ("ord", "x0", "y0", "x1", "y1", "text", "font_size")
@@ -28,12 +35,12 @@ LINE_TYPE = "struct<ord:bigint,x0:double,y0:double,x1:double,y1:double,text:stri
 LINES_TYPE = f"array<{LINE_TYPE}>"
 
 
-def _line(**fields: Column) -> Column:
+def line(**fields: Column) -> Column:
     return F.struct(*[fields[n].alias(n) for n in LINE]).cast(LINE_TYPE)
 
 
 def _by_top(lines: Column) -> Column:
-    return F.transform(F.array_sort(F.transform(lines, lambda x: F.struct(x["y0"], x["x0"], x["ord"], x.alias("line")))), lambda k: k["line"])
+    return F.transform(F.sort_array(F.transform(lines, lambda x: F.struct(x["y0"], x["x0"], x["ord"], x.alias("line")))), lambda k: k["line"])
 
 
 def column_of(x: Column) -> Column:
@@ -62,7 +69,7 @@ def merge_same_baseline(lines: Column) -> Column:
         fits = row & (column_of(a) == column_of(b)) & ((small <= 0) | (big - small <= 0.25 * big)) & gap.between(F.lit(-1.0), F.greatest(F.lit(1.5), size * 1.4))
         font = F.when(small > 0, (small + big) / 2).otherwise(F.greatest(big, F.lit(0.0)))
         text = F.trim(F.concat_ws(" ", F.rtrim(left["text"]), F.ltrim(right["text"])))
-        made = _line(ord=a["ord"], x0=F.least(a["x0"], b["x0"]), y0=F.least(a["y0"], b["y0"]), x1=F.greatest(a["x1"], b["x1"]), y1=F.greatest(a["y1"], b["y1"]), text=text, font_size=font)
+        made = line(ord=a["ord"], x0=F.least(a["x0"], b["x0"]), y0=F.least(a["y0"], b["y0"]), x1=F.greatest(a["x1"], b["x1"]), y1=F.greatest(a["y1"], b["y1"]), text=text, font_size=font)
         return F.when(F.coalesce(fits, F.lit(False)), made)
 
     none = F.lit(None).cast(LINE_TYPE)
@@ -74,7 +81,7 @@ def merge_same_baseline(lines: Column) -> Column:
         return T.bound(both, lambda m: F.when(m.isNull(), waiting).otherwise(F.struct(F.array_append(s["done"], m).alias("done"), none.alias("open"))))
 
     merged = F.aggregate(_by_top(lines), start, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["open"])))
-    tops = F.array_sort(F.transform(lines, lambda x: x["y0"]))
+    tops = F.sort_array(F.transform(lines, lambda x: x["y0"]))
     gaps = F.zip_with(F.slice(tops, 1, F.size(tops) - 1), F.slice(tops, 2, F.size(tops)), lambda a, b: b - a)
     return _where(F.exists(gaps, lambda d: d <= F.col("line_h") * 0.25), merged, lines)
 
@@ -126,7 +133,7 @@ def drop_table_bodies(lines: Column) -> Column:
 
 def drop_footnotes(lines: Column) -> Column:
     """Without small notes at the foot of a column: a line that begins with a number, and up to six that follow closely."""
-    foot = F.when(F.col("bottom").isNotNull(), F.greatest(F.col("page_h") * 0.68, F.col("bottom") - F.col("line_h") * 2)).otherwise(F.col("page_h") * 0.88)
+    foot = F.when(F.col("bottom").isNotNull(), F.greatest(F.col("page_h") * 0.68, F.col("bottom") - F.greatest(F.col("band_h"), F.col("line_h"), F.lit(1.0)) * 2)).otherwise(F.col("page_h") * 0.88)
     small = lambda x, k: F.coalesce((F.col("font") <= 0) | (x["font_size"] <= F.col("font") * k), F.lit(True))
 
     def of(column: int) -> Column:
@@ -149,7 +156,6 @@ def drop_footnotes(lines: Column) -> Column:
 
 def collapse_numbered_math(lines: Column) -> Column:
     """The lines of a display formula with a number at the right margin become one ``[MATH](n)`` line with their common box."""
-    is_number = lambda x: x["text"].rlike(EQUATION_NUMBER) & (x["x0"] >= F.col("page_w") * 0.72) & (x["x1"] - x["x0"] <= F.col("page_w") * 0.18)
     start = F.struct(F.array().cast("array<bigint>").alias("gone"), F.array().cast(LINES_TYPE).alias("made"))
 
     def step(s: Column, eq: Column) -> Column:
@@ -161,32 +167,82 @@ def collapse_numbered_math(lines: Column) -> Column:
 
         def joined(c: Column) -> Column:
             at = lambda n, f: f(F.transform(c, lambda x: x[n]))
-            sizes = F.array_sort(F.filter(F.transform(c, lambda x: x["font_size"]), lambda v: v > 0))
+            sizes = F.sort_array(F.filter(F.transform(c, lambda x: x["font_size"]), lambda v: v > 0))
             n = F.size(sizes)
             font = F.when(n > 0, (F.try_element_at(sizes, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(sizes, F.floor(n / 2 + 1).cast("int"))) / 2).otherwise(0.0)
-            line = _line(ord=eq["ord"], x0=at("x0", F.array_min), y0=at("y0", F.array_min), x1=at("x1", F.array_max), y1=at("y1", F.array_max), text=F.concat(F.lit(MATH), label), font_size=font)
-            return F.struct(F.concat(s["gone"], F.transform(c, lambda x: x["ord"])).alias("gone"), F.array_append(s["made"], line).alias("made"))
+            one = line(ord=eq["ord"], x0=at("x0", F.array_min), y0=at("y0", F.array_min), x1=at("x1", F.array_max), y1=at("y1", F.array_max), text=F.concat(F.lit(MATH), label), font_size=font)
+            return F.struct(F.concat(s["gone"], F.transform(c, lambda x: x["ord"])).alias("gone"), F.array_append(s["made"], one).alias("made"))
 
         enough = ~F.array_contains(s["gone"], eq["ord"]) & (F.size(F.filter(free, core)) >= 2)
         return F.when(enough, T.bound(F.filter(free, lambda x: core(x) | crumb(x)), joined)).otherwise(s)
 
-    numbers = _by_top(F.filter(lines, is_number))
+    numbers = _by_top(F.filter(lines, is_equation_number))
     cut = F.aggregate(numbers, start, step, lambda s: F.concat(F.filter(lines, lambda x: ~F.array_contains(s["gone"], x["ord"])), s["made"]))
-    return _where(F.exists(lines, is_number), cut, lines)
+    return _where(F.exists(lines, is_equation_number), cut, lines)
 
 
-def without_blocks(rows: DataFrame) -> DataFrame:
-    """Lines after all block steps, in their order: same baseline, algorithms, table bodies, footnotes, numbered formulas.
+def is_equation_number(x: Column) -> Column:
+    return x["text"].rlike(EQUATION_NUMBER) & (x["x0"] >= F.col("page_w") * 0.72) & (x["x1"] - x["x0"] <= F.col("page_w") * 0.18)
 
-    ``rows``: lines with ``page_w, page_h`` and the page's metrics, which stay as they were before the steps.
+
+def merge_right_math(lines: Column) -> Column:
+    """Short formulas far right go to the nearest prose line on their baseline that ends left of them, in the left column."""
+
+    def floats(x: Column) -> Column:
+        placed = (x["x0"] >= F.col("page_w") * RIGHT_EDGE) & (x["x1"] - x["x0"] <= F.col("page_w") * RIGHT_WIDTH)
+        return placed & (F.length(x["text"]) <= RIGHT_CHARS) & ~is_equation_number(x) & T.is_mathish(x["text"])
+
+    row = F.col("line_h") * RIGHT_ROW
+
+    def joined(l: Column, mine: Column) -> Column:
+        def more(a: Column, m: Column) -> Column:
+            r = m["line"]
+            small, big = F.least(a["font_size"], r["font_size"]), F.greatest(a["font_size"], r["font_size"])
+            font = F.when(small > 0, (small + big) / 2).otherwise(F.greatest(big, F.lit(0.0)))
+            text = F.trim(F.concat_ws(" ", F.rtrim(a["text"]), F.ltrim(r["text"])))
+            return line(ord=a["ord"], x0=F.least(a["x0"], r["x0"]), y0=F.least(a["y0"], r["y0"]), x1=F.greatest(a["x1"], r["x1"]), y1=F.greatest(a["y1"], r["y1"]), text=text, font_size=font)
+
+        return F.aggregate(mine, l.cast(LINE_TYPE), more)
+
+    placed = F.transform(lines, lambda l, i: F.struct(l.alias("line"), i.alias("i"), T.is_prose(l["text"]).alias("prose")))
+
+    def merged(placed: Column) -> Column:
+        # the targets depend on the lines as they were, so each formula is given one apart from the others
+        def target(r: Column) -> Column:
+            fits = lambda p: (column_of(p["line"]) == 0) & (F.abs(p["line"]["y0"] - r["y0"]) <= row) & (F.abs(p["line"]["y1"] - r["y1"]) <= row) & (p["line"]["x1"] <= r["x0"]) & p["prose"]
+            found = F.transform(F.filter(placed, fits), lambda p: F.struct((r["x0"] - p["line"]["x1"]).alias("dx"), p["i"].alias("i"), p["line"]["ord"].alias("ord")))
+            return F.struct(F.array_min(found)["ord"].alias("target"), r.alias("line"))
+
+        given = F.filter(F.transform(F.filter(lines, floats), target), lambda g: g["target"].isNotNull())
+
+        def rebuilt(given: Column) -> Column:
+            moved = F.transform(given, lambda g: g["line"]["ord"])
+            stays = F.filter(lines, lambda x: ~F.array_contains(moved, x["ord"]))
+            return F.transform(stays, lambda x: joined(x, F.filter(given, lambda g: g["target"] == x["ord"])))
+
+        return T.bound(given, rebuilt)
+
+    return _where(F.exists(lines, floats), T.bound(placed, merged), lines)
+
+
+def drop_front_matter(lines: Column) -> Column:
+    """The first page without what ends above its first line that opens the text."""
+    opens = F.array_min(F.transform(F.filter(lines, lambda x: x["text"].rlike(OPENING)), lambda x: F.struct(x["y0"], x["x0"])))
+    return T.bound(opens, lambda o: _where((F.col("page_index") == 0) & o.isNotNull(), F.filter(lines, lambda x: x["y1"] >= o["y0"]), lines))
+
+
+LINE_STEPS = (merge_same_baseline, merge_right_math, drop_algorithms, drop_front_matter, drop_table_bodies, drop_footnotes, collapse_numbered_math)
+
+
+def without_blocks(pages: DataFrame) -> DataFrame:
+    """Pages whose lines went through all steps, in their order: same baseline, floating formulas, algorithms, front matter, table bodies, footnotes, numbered formulas.
+
+    ``pages``: a row for each page with its lines and metrics; the metrics stay as they were before the steps.
     """
-    page = ["doc_id", "page_index"]
-    whole = [n for n in rows.columns if n not in (*page, *LINE, "block_no")]
-    pages = rows.groupBy(*page).agg(F.collect_list(F.struct(*LINE)).cast(LINES_TYPE).alias("lines"), *[F.first(n).alias(n) for n in whole])
-    for step in (merge_same_baseline, drop_algorithms, drop_table_bodies, drop_footnotes, collapse_numbered_math):
+    for step in LINE_STEPS:
         # bound, so that each step's array is computed once however often the next one names it
         pages = pages.withColumn("lines", T.bound(F.col("lines"), step))
-    return pages.select(*page, *whole, F.inline("lines"))
+    return pages
 
 
 def is_heading_only(text: Column, n_lines: Column) -> Column:
@@ -202,7 +258,7 @@ def is_tiny_noise(text: Column) -> Column:
     return ~T.is_caption(text) & (text != "") & ~text.startswith(MATH) & (F.length(text) <= 8) & ~worded & (T.word_count(text) <= 2)
 
 
-_CONNECTOR = re.compile(r"(?:,|\b(?:and|or|where|which|that|because)\b)\s*$", re.IGNORECASE)
+_CONNECTOR = re.compile(CONNECTOR)
 _NUMBERED = re.compile(NUMBERED_HEADING)
 MERGED = "doc_id long, ord long, text string, n_lines long, page_index int, last_page int, caption boolean"
 
@@ -212,42 +268,56 @@ def _aligned(a: dict, b: dict) -> tuple[float, bool]:
     apart = abs(a["last_x0"] - b["first_x0"])
     common = min(a["last_x1"], b["first_x1"]) - max(a["last_x0"], b["first_x0"])
     narrower = min(a["last_x1"] - a["last_x0"], b["first_x1"] - b["first_x0"])
-    return apart, apart <= b["page_w"] * 0.05 or max(0.0, common) / (narrower if narrower > 0 else 1.0) >= 0.2
+    return apart, apart <= b["page_w"] * LEFT_EDGE or max(0.0, common) / (narrower if narrower > 0 else 1.0) >= LEAST_OVERLAP
 
 
 def _goes_on(a: dict, b: dict, captioned: bool) -> bool:
     """Whether the places of ``a`` at a page's foot and ``b`` on the next page are near enough."""
     height = (a["last_h"] + b["line_h"]) / 2 if a["last_h"] and b["line_h"] else a["last_h"] or b["line_h"] or 10.0
     left = a["last_page_h"] - a["last_y1"]
-    if left + b["first_y0"] < height * 2:
+    if left + b["first_y0"] < height * BOUNDARY_LINES:
         return True
-    near = left < height * (14 if _CONNECTOR.search(a["text"]) else 8)
-    return near and b["first_y0"] < b["page_h"] * (0.85 if captioned else 0.45)
+    near = left < height * (FOOT_LINES_CONNECTED if _CONNECTOR.search(a["text"]) else FOOT_LINES)
+    return near and b["first_y0"] < b["page_h"] * (HEAD_SHARE_CAPTIONED if captioned else HEAD_SHARE)
 
 
-def _merged_document(frame: pd.DataFrame) -> pd.DataFrame:
+def merged_over_pages(paragraphs: Iterable[dict]) -> list[dict]:
+    """Paragraphs of a document in order, those that go on at the top of the next page joined to what they go on from.
+
+    A paragraph is looked up among the last ones and those of its own page only, so long documents take time in proportion to their length.
+    """
     done: list[dict] = []
-    for p in frame.sort_values(["page_index", "ord"]).to_dict("records"):
+    here: list[dict] = []
+    for p in paragraphs:
         p |= {"first_page": p["page_index"], "last_page": p["page_index"], "last_h": p["line_h"], "last_page_h": p["page_h"]}
-        here = [q for q in done if q["first_page"] == p["page_index"]]
+        if here and here[-1]["first_page"] != p["page_index"]:
+            here = []
         best = None
-        if not p["caption"] and p["text"][:1].islower() and (len(p["text"]) >= 30 or p["worded"]):
-            ready = [q for q in done[-40:] if not q["caption"] and q["last_page"] == p["page_index"] - 1 and not q["text"].endswith((".", ":", ";")) and _aligned(q, p)[1]]
+        if not p["caption"] and p["text"][:1].islower() and (len(p["text"]) >= GOES_ON_CHARS or p["worded"]):
+            ready = [q for q in done[-LOOK_BACK:] if not q["caption"] and q["last_page"] == p["page_index"] - 1 and not q["text"].endswith((".", ":", ";")) and _aligned(q, p)[1]]
             # later ones come first, so that of equals the latest wins
             best = max(reversed(ready), key=lambda q: q["last_y1"] / q["last_page_h"] - _aligned(q, p)[0] / p["page_w"], default=None)
             # a paragraph that stands above on the same page is the nearer one to go on from
-            taken = [q for q in here if not q["caption"] and q["worded"] and len(q["text"]) >= 40 and q["last_y1"] <= p["first_y0"] and not _NUMBERED.match(q["text"])]
+            taken = [q for q in here if not q["caption"] and q["worded"] and len(q["text"]) >= PROSE_CHARS and q["last_y1"] <= p["first_y0"] and not _NUMBERED.match(q["text"])]
             if best is not None and (taken or not _goes_on(best, p, any(q["caption"] for q in here))):
                 best = None
         if best is None:
             done.append(p)
+            here.append(p)
             continue
         hyphen = best["text"].endswith("-") and best["text"][-2:-1].isalpha()
         best["text"] = best["text"][:-1] + p["text"] if hyphen else best["text"] + " " + p["text"]
         best["n_lines"] += p["n_lines"]
         best["worded"] = best["worded"] or p["worded"]
-        best |= {k: p[k] for k in ("last_page", "last_x0", "last_x1", "last_y1", "last_h", "last_page_h")}
+        if "lines" in best:
+            best["lines"] = best["lines"] + p["lines"]
+        best |= {k: p[k] for k in ("last_x0", "last_x1", "last_y1", "last_page", "last_h", "last_page_h")}
+    return done
+
+
+def _merged_document(frame: pd.DataFrame) -> pd.DataFrame:
     names = [c.split()[0] for c in MERGED.split(", ")]
+    done = merged_over_pages(frame.sort_values(["page_index", "ord"]).to_dict("records"))
     return pd.DataFrame([{**q, "ord": i, "page_index": q["first_page"]} for i, q in enumerate(done)], columns=names)
 
 
@@ -259,13 +329,3 @@ def merge_across_pages(paragraphs: DataFrame) -> DataFrame:
     """
     rows = paragraphs.withColumn("worded", T.is_sentence(F.col("text")) | T.is_prose(F.col("text")))
     return rows.groupBy("doc_id").applyInPandas(_merged_document, MERGED)
-
-
-def document_paragraphs(paragraphs: DataFrame) -> DataFrame:
-    """Merged over pages, without headings that stand alone and tiny noise, numbered from 0 in each document."""
-    from pyspark.sql import Window
-
-    rows = merge_across_pages(paragraphs)
-    rows = rows.where(~is_heading_only(F.col("text"), F.col("n_lines"))).where(~is_tiny_noise(F.col("text")))
-    number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1).cast("long")
-    return rows.withColumn("ord", number).withColumn("hash", T.content_hash(F.col("text")))

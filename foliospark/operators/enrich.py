@@ -2,44 +2,59 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import text as T
 from ..sources.layout_json import ProviderError, with_retry
+from . import providers
 from .reconcile import until_first_error
 
-#: Providers by name: each takes (previous, current, next) and returns a text or raises ProviderError.
-PROVIDERS: dict[str, Callable[[str, str, str], str]] = {"upper": lambda _p, c, _n: c.upper(), "identity": lambda _p, c, _n: c}
+#: Further providers by name: each takes (previous, current, next) and returns a text or raises ProviderError.
+PROVIDERS: dict[str, Callable[[str, str, str], str]] = {}
 
 
-def translated(df: DataFrame, provider: str = "identity", attempts: int = 3, context: bool = True) -> DataFrame:
-    """``df`` with ``answer`` and ``error``: a failed row has the kind of its error, others keep going. Texts come with neighbours where asked."""
-    if provider not in PROVIDERS:
-        raise RuntimeError(f"unknown provider {provider}")
-    call = PROVIDERS[provider]
+def translated(df: DataFrame, provider: str | None = None, attempts: int = 3, context: bool = True, settings: Settings | None = None, transport: providers.Transport = providers.send, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``df`` with ``answer`` and ``error``: a failed row has the kind of its error, others keep going.
+
+    Texts come with neighbours (``prev_text``, ``next_text``) where asked. The provider is made once for each task. Errors that may pass are
+    tried again after doubling waits; blank texts are not sent.
+    """
+    known = Settings(**{**vars(settings or Settings()), **({"provider": provider} if provider else {})})
+    own = PROVIDERS.get(known.provider)
+    if own is None:
+        providers.provider(known, transport)  # an unknown name or a missing setting is an error at once
 
     @F.pandas_udf("answer string, error string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        call = own or providers.provider(known, transport)
         for before, text, after in batches:
             out = []
             for p, c, n in zip(before, text, after, strict=True):
                 try:
-                    out.append((with_retry(lambda p=p, c=c, n=n: call(p, c, n), attempts, sleep=lambda _s: None), None))
+                    out.append((with_retry(lambda p=p, c=c, n=n: call(p, c, n), attempts, sleep=wait) if c else "", None))
                 except ProviderError as error:
                     out.append((None, error.kind))
             yield pd.DataFrame(out, columns=["answer", "error"])
 
     blank = F.lit("")
-    made = df.withColumn("_r", run(F.col("prev_text") if context else blank, F.col("text"), F.col("next_text") if context else blank))
+    text = F.coalesce("text", blank)
+    made = df.withColumn("_r", run(F.col("prev_text") if context else blank, text, F.col("next_text") if context else blank))
     cleaned = T.clean_answer(F.col("_r.answer"))
-    error = F.coalesce(F.col("_r.error"), F.when(cleaned.isNull(), "temporary"))
+    error = F.coalesce(F.col("_r.error"), F.when(cleaned.isNull() & (text != ""), "temporary"))
     return made.withColumn("answer", cleaned).withColumn("error", error).drop("_r")
 
 
+def with_sources(df: DataFrame) -> DataFrame:
+    """``comment``: the answer with the snippet of its source, as new annotations carry it; answers that replace a stored text go without."""
+    return df.withColumn("comment", T.with_source(F.col("answer"), F.col("text")))
+
+
 def all_or_nothing(df: DataFrame, item: str) -> DataFrame:
     """Without items of which any row failed."""
     bad = df.where("error is not null").select(item).distinct()

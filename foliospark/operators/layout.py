@@ -1,26 +1,37 @@
 """From page layout to paragraphs: spans, lines, page statistics, line filters, assembly.
 
-Nested layout is unnested once; all per-line work stays in columns, page statistics are aggregates per page. Only the
-assembly carries state from line to line, so it is a fold over the ordered lines of a page.
+A page is one row, its lines one array; spans, statistics and filters are expressions over that array. Documents are grouped
+once, for the running headers; all that follows, pages and whole documents, reuses that partitioning.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import blocks
+from . import assembly, blocks
+from . import paragraphs as P
 
 SCHEMA = "doc_id long, pages array<struct<page:int,width:double,height:double,dict:struct<blocks:array<struct<type:int,lines:array<struct<bbox:array<double>,spans:array<struct<text:string,bbox:array<double>,size:double>>>>>>>>>"
 PAGE = ["doc_id", "page_index"]
 
+# Patterns and thresholds that results depend on.
+ABSTRACT = r"(?i)^\s*(?:Abstract|(?:\d+\s+)?Introduction)\b"
+BODY_CHARS, BODY_LINES, NEAR_LINES = 10, 8, 6
+LOW_SHARE, HIGH_SHARE, BAND_PAD, OUTER_PAD = 0.06, 0.94, 2.0, 1.0
+NOTE_TOP, SMALL_TOP, SMALL_FONT, NEAR_FONT = 0.72, 0.80, 0.92, 0.25
+MARGIN, CENTRE, CORNER, NUMBER_FONT = 0.08, 0.12, 0.2, 1.3
+HEADER_CHARS, HEADER_PAGES = 12, 3
+
 
 def span_text(spans: Column) -> Column:
     """Spans of a line from left to right, with a blank where the gap is wide for the type size."""
     full = F.filter(spans, lambda s: F.trim(s["text"]) != "")
-    ordered = F.array_sort(F.transform(full, lambda s: F.struct(s["bbox"][0].alias("x0"), s["bbox"][2].alias("x1"), s["text"].alias("text"))))
-    sizes = F.array_sort(F.transform(full, lambda s: s["size"]))
+    ordered = F.sort_array(F.transform(full, lambda s: F.struct(s["bbox"][0].alias("x0"), s["bbox"][2].alias("x1"), s["text"].alias("text"))))
+    sizes = F.sort_array(F.transform(full, lambda s: s["size"]))
     gap = F.greatest(F.lit(0.5), F.coalesce(array_median(sizes), F.lit(0.0)) * 0.06)
     start = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("x1"))
     folded = F.aggregate(ordered, start, lambda s, x: F.struct(F.concat(s["text"], F.when((x["x0"] - s["x1"] >= gap) & ~s["text"].endswith(" "), " ").otherwise(""), x["text"]).alias("text"), x["x1"].alias("x1")))
@@ -29,113 +40,213 @@ def span_text(spans: Column) -> Column:
 
 def array_median(values: Column) -> Column:
     """The median of a sorted array; null when empty."""
-    n = F.size(values)
-    middle = (F.try_element_at(values, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(values, F.floor(n / 2 + 1).cast("int"))) / 2
-    return F.when(n > 0, middle)
 
+    def middle(v: Column) -> Column:
+        n = F.size(v)
+        return F.when(n > 0, (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2)
 
-def lines_of(layout: DataFrame) -> DataFrame:
-    """``doc_id, page_index, page_w, page_h, block_no, ord, x0, y0, x1, y1, text, font_size`` of the text blocks. Blocks keep their number among all; lines without text or box go."""
+    return T.bound(values, middle)
+
+
+def array_quantile(values: Column, share: float) -> Column:
+    """The quantile of a sorted array by linear interpolation; null when empty."""
+
+    def between(v: Column) -> Column:
+        at = (F.size(v) - 1) * F.lit(share)
+        low, high = F.get(v, F.floor(at).cast("int")), F.get(v, F.ceil(at).cast("int"))
+        return F.when(F.size(v) > 0, low + (high - low) * (at - F.floor(at)))
+
+    return T.bound(values, between)
+
+
+def pages_of(layout: DataFrame) -> DataFrame:
+    """``doc_id, page_index, page_w, page_h, lines``: the lines of the text blocks of each page. Blocks keep their number among all; lines without text or box go."""
     pages = layout.select("doc_id", F.explode("pages").alias("p")).where("p.page > 0")
-    blocks = pages.select("doc_id", (F.col("p.page") - 1).alias("page_index"), F.col("p.width").alias("page_w"), F.col("p.height").alias("page_h"), F.posexplode("p.dict.blocks").alias("block_no", "b")).where("b.type = 0")
-    rows = blocks.select(*PAGE, "page_w", "page_h", "block_no", F.posexplode("b.lines").alias("line_no", "line")).where("size(line.bbox) = 4")
-    font = F.coalesce(array_median(F.array_sort(F.transform("line.spans", lambda s: s["size"]))), F.lit(0.0))
-    box = [F.col("line.bbox")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
-    made = rows.select(*PAGE, "page_w", "page_h", "block_no", (F.col("block_no") * 100_000 + F.col("line_no")).cast("long").alias("ord"), *box, span_text(F.col("line.spans")).alias("text"), font.alias("font_size"))
-    return made.where("text <> ''")
+
+    def line(block: Column, block_no: Column):
+        def one(x: Column, line_no: Column) -> Column:
+            box = {n: F.get(x["bbox"], F.lit(i)) for i, n in enumerate(("x0", "y0", "x1", "y1"))}
+            font = F.coalesce(array_median(F.sort_array(F.transform(x["spans"], lambda s: s["size"]))), F.lit(0.0))
+            whole = F.coalesce(F.size(x["bbox"]) == 4, F.lit(False))
+            return F.when(whole, blocks.line(ord=(block_no * 100_000 + line_no).cast("long"), **box, text=span_text(x["spans"]), font_size=font))
+
+        return F.when(block["type"] == 0, F.transform(F.coalesce(block["lines"], F.array()), one)).otherwise(F.array().cast(blocks.LINES_TYPE))
+
+    made = F.flatten(F.transform(F.coalesce(F.col("p.dict.blocks"), F.array()), line))
+    lines = F.filter(made, lambda x: x.isNotNull() & (x["text"] != ""))
+    return pages.select("doc_id", (F.col("p.page") - 1).alias("page_index"), F.col("p.width").alias("page_w"), F.col("p.height").alias("page_h"), lines.alias("lines"))
+
+
+def lines_of(layout: DataFrame) -> DataFrame:
+    """The lines of ``pages_of`` as rows."""
+    return pages_of(layout).select(*PAGE, "page_w", "page_h", F.inline("lines"))
+
+
+def pages_from_lines(lines: DataFrame) -> DataFrame:
+    """Rows of lines with ``doc_id, page_index, page_w, page_h`` gathered by page, in their order."""
+    line = F.struct(*blocks.LINE).cast(blocks.LINE_TYPE)
+    return lines.groupBy(*PAGE, "page_w", "page_h").agg(F.sort_array(F.collect_list(F.struct(line["ord"].alias("k"), line.alias("x")))).alias("lines")).withColumn("lines", F.transform("lines", lambda p: p["x"]))
+
+
+def _sorted(lines: Column, value, keep=None) -> Column:
+    made = F.transform(lines, value)
+    return F.sort_array(F.filter(made, lambda v: v > 0) if keep is None else made)
+
+
+def _height(x: Column) -> Column:
+    return x["y1"] - x["y0"]
+
+
+def _width(x: Column) -> Column:
+    return x["x1"] - x["x0"]
+
+
+def _lettered(x: Column) -> Column:
+    return (F.length(x["text"]) >= BODY_CHARS) & x["text"].rlike("[A-Za-z]")
+
+
+def with_metrics(pages: DataFrame) -> DataFrame:
+    """``pages`` with the page's line height, median width and size of its lines, and the band that body lines fill.
+
+    ``line_h``, ``median_w``, ``page_font``; ``top, bottom, band_h, band_w`` and ``font``, the body's, which are null, and 0 for the
+    font, where a page has too few body lines. Body lines are found in two passes: first by length, letters and place, then without
+    small lines at the foot, and the band itself from lines of about the median size.
+    """
+    x = F.col("lines")
+    heights = lambda a: _sorted(a, _height)
+    fonts = lambda a: _sorted(a, lambda l: l["font_size"])
+    widths = lambda a: _sorted(a, _width)
+    body = F.filter(x, _lettered)
+    page = pages.withColumn("_all_h", heights(x)).withColumn("_body_h", heights(body))
+    page = page.withColumn("line_h", F.when(F.size("_all_h") == 0, 10.0).when(F.size("_body_h") >= BODY_LINES, array_median(F.col("_body_h"))).otherwise(array_median(F.col("_all_h"))))
+    page = page.withColumn("median_w", F.coalesce(array_median(widths(F.filter(x, lambda l: F.length(l["text"]) >= BODY_CHARS))), F.lit(0.0)))
+    page = page.withColumn("page_font", F.coalesce(array_median(fonts(x)), F.lit(0.0)))
+    plain = lambda l: _lettered(l) & ~l["text"].rlike(blocks.CAPTION) & ~((l["y0"] >= F.col("page_h") * NOTE_TOP) & l["text"].rlike(blocks.FOOTNOTE))
+    page = page.withColumn("_c", F.filter(x, plain)).withColumn("_f", fonts(F.col("_c")))
+    page = page.withColumn("_ok", (F.col("page_h") > 0) & (F.size("_c") >= BODY_LINES) & (F.size("_f") > 0) & (F.size(heights(F.col("_c"))) > 0)).withColumn("_m", array_median(F.col("_f")))
+    small = lambda l: (l["y0"] >= F.col("page_h") * SMALL_TOP) & (l["font_size"] > 0) & (l["font_size"] <= F.col("_m") * SMALL_FONT)
+    page = page.withColumn("_c2", F.filter("_c", lambda l: ~small(l)))
+    enough = F.size("_c2") >= BODY_LINES
+    page = page.withColumn("_m", F.when(enough, F.coalesce(array_median(fonts(F.col("_c2"))), F.col("_m"))).otherwise(F.col("_m"))).withColumn("_c", F.when(enough, F.col("_c2")).otherwise(F.col("_c")))
+    near = F.filter("_c", lambda l: (l["font_size"] > 0) & (F.abs(l["font_size"] - F.col("_m")) / F.greatest(F.col("_m"), F.lit(1e-6)) <= NEAR_FONT))
+    page = page.withColumn("_n", near).withColumn("_n", F.when(F.size("_n") >= NEAR_LINES, F.col("_n")).otherwise(F.col("_c")))
+    page = page.withColumn("band_h", F.coalesce(array_median(heights(F.col("_n"))), array_median(heights(F.col("_c")))))
+    page = page.withColumn("band_w", F.coalesce(array_median(widths(F.col("_n"))), array_median(widths(F.col("_c"))), F.lit(0.0)))
+    pad = F.greatest(F.col("band_h"), F.lit(1.0)) * BAND_PAD
+    low, high = (array_quantile(F.sort_array(F.transform("_n", lambda l: l[c])), q) for c, q in (("y0", LOW_SHARE), ("y1", HIGH_SHARE)))
+    page = page.withColumn("top", F.greatest(F.lit(0.0), low - pad)).withColumn("bottom", F.least(F.col("page_h"), high + pad))
+    page = page.withColumn("_ok", F.coalesce(F.col("_ok") & (F.col("bottom") > F.col("top")), F.lit(False)))
+    for n in ("top", "bottom", "band_h", "band_w"):
+        page = page.withColumn(n, F.when(F.col("_ok"), F.col(n)))
+    return page.withColumn("font", F.when(F.col("_ok"), F.col("_m")).otherwise(0.0)).drop("_all_h", "_body_h", "_c", "_f", "_ok", "_m", "_c2", "_n")
 
 
 def page_metrics(lines: DataFrame) -> DataFrame:
-    """One row for each page: line height, median width and size of body lines, and the band that body lines fill."""
-    n, h = F.length("text"), F.col("y1") - F.col("y0")
-    body = (n >= 10) & F.col("text").rlike(r"\p{L}")
-    sound = body & ~F.col("text").rlike(r"^\d{1,4}$") & ~T.is_caption(F.col("text"))
-    band = lambda c, q: F.percentile(F.when(sound, F.col(c)), q)
-    return (
-        lines.groupBy(*PAGE)
-        .agg(
-            F.when(F.count_if(body) >= 8, F.median(F.when(body, h))).otherwise(F.coalesce(F.median(h), F.lit(10.0))).alias("line_h"),
-            F.median(F.when(n >= 10, F.col("x1") - F.col("x0"))).alias("median_w"),
-            F.median(F.when(body, F.col("font_size"))).alias("font"),
-            F.when(F.count_if(sound) >= 8, band("y0", 0.06)).alias("top"),
-            F.when(F.count_if(sound) >= 8, band("y1", 0.94)).alias("bottom"),
-        )
-        .withColumn("top", F.col("top") - 2 * F.col("line_h"))
-        .withColumn("bottom", F.col("bottom") + 2 * F.col("line_h"))
-    )
-
-
-def outside_band() -> Column:
-    return F.coalesce((F.col("y1") < F.col("top")) | (F.col("y0") > F.col("bottom")), (F.col("y1") < F.col("page_h") * 0.08) | (F.col("y0") > F.col("page_h") * 0.92))
-
-
-def is_page_number() -> Column:
-    middle = (F.col("x0") + F.col("x1")) / 2
-    placed = (F.abs(middle - F.col("page_w") / 2) <= F.col("page_w") * 0.1) | (middle < F.col("page_w") * 0.2) | (middle > F.col("page_w") * 0.8)
-    return F.col("text").rlike(r"^\d{1,4}$") & outside_band() & placed & (F.coalesce(F.col("font_size") <= F.col("font") * 1.3, F.lit(True)))
-
-
-def is_narrow_tall() -> Column:
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    banded = (w < F.col("median_w") * 0.25) & (h > F.col("line_h") * 3)
+    """One row for each page of ``lines``, with the metrics of ``with_metrics``."""
+    return with_metrics(pages_from_lines(lines)).drop("lines")
+
+
+def outside_band(x: Column) -> Column:
+    """Whether a line is clearly above or below the body; on pages without a band, whether it touches the margin."""
+    pad = F.greatest(F.col("band_h"), F.lit(1.0)) * OUTER_PAD
+    margin = F.col("page_h") * MARGIN
+    touches = (x["y0"] <= margin) | (x["y1"] >= F.col("page_h") - margin)
+    return F.when(F.col("top").isNotNull(), (x["y1"] < F.col("top") - pad) | (x["y0"] > F.col("bottom") + pad)).otherwise(touches)
+
+
+def is_page_number(x: Column) -> Column:
+    middle = (x["x0"] + x["x1"]) / 2
+    placed = (F.abs(middle - F.col("page_w") / 2) <= F.col("page_w") * CENTRE) | (x["x0"] <= F.col("page_w") * CORNER) | (x["x1"] >= F.col("page_w") * (1 - CORNER))
+    large = (F.col("font") > 0) & (x["font_size"] > F.col("font") * NUMBER_FONT)
+    return x["text"].rlike(blocks.PAGE_NUMBER) & outside_band(x) & placed & ~large
+
+
+def is_narrow_tall(x: Column) -> Column:
+    w, h = _width(x), _height(x)
+    banded = (F.col("band_w") > 0) & (w < F.col("band_w") * 0.25) & (F.col("band_h") > 0) & (h > F.col("band_h") * 3)
     return F.when(F.col("top").isNotNull(), banded).otherwise((w < F.col("page_w") * 0.08) & (h > F.col("page_h") * 0.25))
 
 
-def filtered_lines(lines: DataFrame) -> DataFrame:
-    """Without page numbers, narrow tall lines, running headers and footers, and what stands before the abstract on the first page."""
-    rows = lines.join(page_metrics(lines), PAGE)
-    running = rows.where((F.length("text") >= 12) & outside_band() & ~F.col("text").rlike(r"^\d{1,4}$")).select("doc_id", "text", "page_index").distinct()
-    running = running.groupBy("doc_id", "text").count().where("count >= 3").select("doc_id", "text")
-    rows = rows.where(~is_page_number()).where(~F.coalesce(is_narrow_tall(), F.lit(False))).join(running, ["doc_id", "text"], "left_anti")
-    opening = rows.where("page_index = 0").where(F.col("text").rlike(r"(?i)^(?:abstract|(?:1\.?\s+)?introduction)\b")).groupBy("doc_id").agg(F.min("y0").alias("opens_at"))
-    return rows.join(opening, "doc_id", "left").where("page_index <> 0 or opens_at is null or y1 >= opens_at").drop("opens_at")
+def running_texts(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``running``: the texts that stand outside the band on at least three pages of their document. Groups by document, once."""
+    asked = F.filter("lines", lambda x: (F.length(x["text"]) >= HEADER_CHARS) & outside_band(x) & ~x["text"].rlike(blocks.PAGE_NUMBER))
+    marked = pages.withColumn("_edge", F.array_distinct(F.transform(asked, lambda x: x["text"])))
+    whole = [n for n in marked.columns if n != "doc_id"]
+    docs = marked.groupBy("doc_id").agg(F.collect_list(F.struct(*whole)).alias("pages"))
+    texts = F.sort_array(F.flatten(F.transform("pages", lambda p: p["_edge"])))
+    docs = docs.withColumn("_texts", texts)
+    # a text stands once for each of its pages, so the one two places on is the same where there are three
+    again = F.filter("_texts", lambda t, i: F.coalesce(F.get("_texts", i + (HEADER_PAGES - 1)) == t, F.lit(False)))
+    return docs.select("doc_id", F.array_distinct(again).alias("running"), F.inline("pages")).drop("_edge")
+
+
+def filtered_pages(layout: DataFrame) -> DataFrame:
+    """Pages with their metrics, without page numbers, narrow tall lines, running headers and footers; metrics are from before."""
+    pages = running_texts(with_metrics(pages_of(layout)))
+    kept = F.filter("lines", lambda x: ~is_page_number(x) & ~is_narrow_tall(x) & ~F.array_contains("running", x["text"]))
+    return pages.withColumn("lines", kept).drop("running")
+
+
+def filtered_lines(layout: DataFrame) -> DataFrame:
+    pages = filtered_pages(layout)
+    return pages.select(*[n for n in pages.columns if n != "lines"], F.inline("lines"))
+
+
+def raw_paragraphs(layout: DataFrame) -> DataFrame:
+    """``doc_id, page_index, ord, caption, lines`` and the page's sizes: the paragraphs of each page, in reading order."""
+    return assembly.page_paragraphs(blocks.without_blocks(filtered_pages(layout)))
+
+
+def described(paragraphs: DataFrame) -> DataFrame:
+    """``text, hash, n_lines, pages, bboxes, anchor, median_font`` from a paragraph's ``lines``.
+
+    ``anchor``: the topmost line on the first page, a placeholder only where there is nothing else.
+    """
+    lines = F.col("lines")
+    pages = F.sort_array(F.array_distinct(F.transform(lines, lambda x: x["page_index"] + 1)))
+    box = lambda x: {n: x[n] for n in ("x0", "y0", "x1", "y1")}
+
+    def common_box(page: Column) -> Column:
+        mine = F.filter(lines, lambda x: x["page_index"] + 1 == page)
+        edge = lambda n, f: f(F.transform(mine, lambda x: x[n])).alias(n)
+        return F.struct(page.alias("page"), edge("x0", F.array_min), edge("y0", F.array_min), edge("x1", F.array_max), edge("y1", F.array_max))
+
+    first = F.filter(lines, lambda x: x["page_index"] + 1 == F.col("pages")[0])
+    rank = lambda x: F.struct(x["text"].startswith(blocks.MATH).alias("math"), x["y0"].alias("k"), x["x0"].alias("k2"), *[c.alias(n) for n, c in box(x).items()])
+    made = paragraphs.withColumn("text", joined_lines(F.transform(lines, lambda x: x["text"]))).withColumn("hash", T.content_hash(F.col("text")))
+    made = made.withColumn("n_lines", F.size(lines).cast("long")).withColumn("pages", pages).withColumn("bboxes", F.transform("pages", common_box))
+    made = made.withColumn("_top", F.array_min(F.transform(first, rank)))
+    made = made.withColumn("anchor", F.struct(F.col("pages")[0].alias("page"), *[F.col(f"_top.{n}").alias(n) for n in ("x0", "y0", "x1", "y1")])).drop("_top")
+    return made.withColumn("median_font", F.coalesce(array_median(_sorted(lines, lambda x: x["font_size"])), F.lit(0.0)))
 
 
 def paragraphs_of(layout: DataFrame) -> DataFrame:
-    """``doc_id, page_index, ord, text, hash, n_lines, x0, y0, x1, y1, caption`` of the assembled paragraphs, and the places of their first and last lines.
+    """``doc_id, page_index, ord, text, hash, n_lines, x0, y0, x1, y1, caption`` of the assembled paragraphs of each page."""
+    made = described(raw_paragraphs(layout))
+    box = F.col("bboxes")[0]
+    return made.select(*PAGE, "ord", "text", "hash", "n_lines", *[box[n].alias(n) for n in ("x0", "y0", "x1", "y1")], "caption")
+
+
+def document_paragraphs(layout: DataFrame, references: bool = True) -> DataFrame:
+    """``doc_id, ord, text, hash, pages, bboxes, anchor, caption, median_font, n_lines`` of each document, numbered from 0.
 
-    In reading order (column, top, left) a line begins a paragraph after a change of column, a gap of over 1.5 line heights, one of
-    over 0.6 after a sentence end before a capital, too little common width, another type size, or where a caption or heading begins or ends.
+    Paragraphs that go on over pages are joined, formulas join the prose around them, the list of references goes, and so do
+    headings that stand alone and tiny noise.
     """
-    rows = blocks.without_blocks(filtered_lines(lines_of(layout))).withColumn("column", F.when(F.col("x0") < F.col("page_w") * 0.5, 0).otherwise(1))
-    order = Window.partitionBy(*PAGE).orderBy("column", "y0", "x0", "ord")
-    before = {c: F.lag(c).over(order) for c in ("column", "x0", "y1", "x1", "text", "font_size")}
-    gap = F.col("y0") - before["y1"]
-    width = F.least("x1", before["x1"]) - F.greatest("x0", before["x0"])
-    narrower = F.least(F.col("x1") - F.col("x0"), before["x1"] - before["x0"])
-    overlap = F.greatest(width, F.lit(0.0)) / F.when(narrower > 0, narrower).otherwise(1.0)
-    larger = F.greatest("font_size", before["font_size"])
-    fonts = (F.least("font_size", before["font_size"]) <= 0) | (F.abs(F.col("font_size") - before["font_size"]) <= 0.25 * larger)
-    heading = (F.col("font_size") > F.col("font") * 1.2) & (F.length("text") <= 40) | T.is_heading(F.col("text")) & F.col("text").rlike(T.NUMBERED)
-    marked = rows.withColumn("heading", F.coalesce(heading, F.lit(False))).withColumn("caption", T.is_caption(F.col("text")))
-    after_heading = F.lag("heading").over(order)
-    math = F.col("text").startswith(blocks.MATH)
-    breaks = (
-        before["text"].isNull()
-        | (F.col("column") != before["column"])
-        | (gap > F.col("line_h") * 1.5)
-        | F.col("caption")
-        | F.col("heading")
-        | after_heading
-        | math
-        | F.lag(math).over(order)
-        | ((gap > F.col("line_h") * 0.6) & before["text"].rlike(T.SENTENCE_END) & F.col("text").rlike(r"^\p{Lu}"))
-        | (overlap < 0.2)
-        | ~fonts
-    )
-    rank = F.row_number().over(order)
-    cut = marked.withColumn("rank", rank).withColumn("island", F.sum(F.when(breaks, 1).otherwise(0)).over(order))
-    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    box += [F.min(F.struct("y0", "x0", "x1")).alias("first"), F.max(F.struct("y1", "x1", "x0")).alias("last"), *[F.first(n).alias(n) for n in ("page_w", "page_h", "line_h")]]
-    grouped = cut.groupBy(*PAGE, "island").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("parts"), F.count("*").alias("n_lines"), *box)
-    joined = grouped.withColumn("text", joined_lines(F.transform("parts", lambda p: p["text"])))
-    places = [F.col(f"{a}.{b}").alias(f"{a}_{b}") for a, bs in (("first", ("x0", "x1", "y0")), ("last", ("x0", "x1", "y1"))) for b in bs]
-    return joined.select(*PAGE, F.col("island").alias("ord"), "text", T.content_hash(F.col("text")).alias("hash"), "n_lines", "x0", "y0", "x1", "y1", T.is_caption(F.col("text")).alias("caption"), *places, "page_w", "page_h", "line_h")
+    rows = described(assembly.merged_documents(raw_paragraphs(layout)))
+    if references:
+        rows = P.cut_references(rows)
+    dropped = [blocks.is_heading_only(F.col("text"), F.col("n_lines")), blocks.is_tiny_noise(F.col("text"))]
+    rows = rows.where(reduce(lambda a, b: a & b, [~F.coalesce(d, F.lit(False)) | F.col("caption") for d in dropped]))
+    number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1).cast("long")
+    return rows.withColumn("ord", number).select("doc_id", "ord", "text", "hash", "pages", "bboxes", "anchor", "caption", "median_font", "n_lines")
 
 
 def joined_lines(parts: Column) -> Column:
     """Lines with blanks between them; a word split by a hyphen at a line's end is joined."""
-    return T.normalize(F.aggregate(parts, F.lit(""), lambda s, x: F.when(s == "", x).when(s.rlike(r"\p{L}-$"), F.concat(F.regexp_replace(s, "-$", ""), x)).otherwise(F.concat(s, F.lit(" "), x))))
+    full = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    ended = F.transform(full, lambda x, i: F.when(i + 1 == F.size(full), x).when(x.rlike(r"\p{L}-$"), F.regexp_replace(x, "-$", "")).otherwise(F.concat(x, F.lit(" "))))
+    return T.normalize(F.array_join(ended, ""))
 
 
 def layout_of_texts(docs: DataFrame, lines_a_page: int = 40) -> DataFrame:

@@ -24,12 +24,31 @@ def drop_running_headers(lines: DataFrame, least_chars: int = 12, pages: int = 3
     return lines.join(running, text, "left_anti")
 
 
+def rank_of(n: Column, share: float = 0.75) -> Column:
+    """The place, from 0, of the nearest rank among ``n`` values: half to even."""
+    return F.rint((n - 1) * F.lit(share)).cast("long")
+
+
 def nearest_rank(df: DataFrame, column: str, share: float = 0.75) -> DataFrame:
-    """One row with the value at round-half-even(share * (n - 1)) in order; found among counted values, not rows."""
-    by_value = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value"))
-    ranked = by_value.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    return ranked.where(F.col("upto") > F.rint((F.col("all") - 1) * share)).agg(F.min("value").alias("value"))
+    """One row with the value at round-half-even(share * (n - 1)) in order.
+
+    Values are counted before they are ordered; counted values are cut into runs, and only the run that holds the rank is looked into.
+    """
+    known = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    # a value's run is found by approximate cuts of the counted values; which run holds the rank follows from the runs' sums
+    cuts = known.agg(F.percentile_approx("value", [k / 64 for k in range(1, 64)], 1000).alias("c")).first()["c"] or []
+    run = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("value"))) if cuts else F.lit(0)
+    runs = known.withColumn("run", run)
+    sums = runs.groupBy("run").agg(F.sum("n").alias("n")).orderBy("run").collect()  # 64 at most
+    total, before, chosen = sum(r["n"] for r in sums), 0, -1
+    place = round((total - 1) * share) if total else 0
+    for r in sums:
+        if before + r["n"] > place:
+            chosen = r["run"]
+            break
+        before += r["n"]
+    upto = F.sum("n").over(Window.partitionBy("run").orderBy("value")) + before
+    return runs.where(F.col("run") == chosen).withColumn("upto", upto).where(F.col("upto") > place).agg(F.min("value").alias("value"))
 
 
 def merge_continuations(paragraphs: DataFrame) -> DataFrame:
@@ -51,22 +70,40 @@ def merge_continuations(paragraphs: DataFrame) -> DataFrame:
 
 
 def merge_captions(paragraphs: DataFrame) -> DataFrame:
-    """``doc_id, ord, text, hash``: the merge that knows captions. Its tests look at the text gathered so far, so it is a fold over a document's paragraphs."""
-    rows = paragraphs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("parts"))
-    empty = F.array().cast("array<struct<ord:int,text:string>>")
-    start = F.struct(empty.alias("done"), F.lit(None).cast("struct<ord:int,text:string>").alias("now"))
+    """``doc_id, ord, text, hash``, and ``coords, page`` where given: the merge that knows captions.
+
+    Captions take short continuations only, other paragraphs those that begin in lower case or with a closing sign, on the same or the next page.
+    The tests look at the text gathered so far, so which paragraphs join is a fold over a document's paragraphs; texts and
+    places are then put together by the runs it found. A merged paragraph has the hash of its whole text.
+    """
+    more = [n for n in ("page", "coords") if n in paragraphs.columns]
+    page = F.col("page") if "page" in more else F.lit(None).cast("int")
+    pages = F.transform("coords", lambda c: c["page"]) if "coords" in more else F.lit(None).cast("array<int>")
+    part = F.struct("ord", "text", page.alias("page"), F.array_min(pages).alias("begins"), F.array_max(pages).alias("ends"), *[F.col(n).alias(f"its_{n}") for n in more])
+    rows = paragraphs.groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    none = F.lit(None)
+    start = F.struct(none.cast("string").alias("now"), none.cast("int").alias("page"), none.cast("int").alias("ends"), F.array().cast("array<boolean>").alias("joins"))
 
     def step(s: Column, p: Column) -> Column:
-        now = s["now"]["text"]
+        now = s["now"]
         captioned = T.is_caption(now) | T.continues_caption(now)
-        more = T.continues_caption(p["text"])
-        joins = s["now"].isNotNull() & F.when(captioned, more).otherwise(p["text"].rlike(T.CONTINUES) & ~now.rlike(T.SENTENCE_END))
-        merged = F.struct(s["now"]["ord"].alias("ord"), F.trim(F.concat_ws(" ", F.rtrim(now), F.ltrim(p["text"]))).alias("text"))
-        ended = F.when(s["now"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["now"]))
-        return F.when(joins, F.struct(s["done"].alias("done"), merged.alias("now"))).otherwise(F.struct(ended.alias("done"), F.struct(p["ord"].alias("ord"), p["text"].alias("text")).alias("now")))
+        apart = F.when(s["ends"].isNotNull() & p["begins"].isNotNull(), ~(p["begins"] - s["ends"]).isin(0, 1)).otherwise(F.coalesce(s["page"] != p["page"], F.lit(False)))
+        joins = now.isNotNull() & ~apart & F.when(captioned, T.continues_caption(p["text"])).otherwise(F.ltrim(p["text"]).rlike(T.CONTINUES) & ~now.rlike(T.SENTENCE_END))
 
-    folded = F.aggregate("parts", start, step, lambda s: F.array_append(s["done"], s["now"]))
-    return rows.select("doc_id", F.explode(folded).alias("p")).select("doc_id", "p.ord", "p.text", T.content_hash(F.col("p.text")).alias("hash"))
+        def state(j: Column) -> Column:
+            text = F.when(j, F.trim(F.concat_ws(" ", F.rtrim(now), F.ltrim(p["text"])))).otherwise(p["text"])
+            return F.struct(text.alias("now"), F.when(j, s["page"]).otherwise(p["page"]).alias("page"), F.when(j, F.greatest(s["ends"], p["ends"])).otherwise(p["ends"]).alias("ends"), F.array_append(s["joins"], j).alias("joins"))
+
+        return T.bound(F.coalesce(joins, F.lit(False)), state)
+
+    each = rows.select("doc_id", F.posexplode(F.arrays_zip("parts", F.aggregate("parts", start, step, lambda s: s["joins"]).alias("joins"))).alias("pos", "z"))
+    island = F.sum(F.when(F.col("z.joins"), 0).otherwise(1)).over(Window.partitionBy("doc_id").orderBy("pos"))
+    runs = each.withColumn("island", island).groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "z.parts"))).alias("run"))
+    texts = F.transform("run", lambda x: x["parts"]["text"])
+    joined = F.when(F.size("run") == 1, texts[0]).otherwise(F.array_join(F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != ""), " "))
+    made = runs.select("doc_id", F.col("run")[0]["parts"]["ord"].alias("ord"), joined.alias("text"), "run").withColumn("hash", T.content_hash(F.col("text")))
+    whole = {"page": lambda: F.col("run")[0]["parts"]["its_page"], "coords": lambda: F.flatten(F.transform("run", lambda x: F.coalesce(x["parts"]["its_coords"], F.array())))}
+    return made.select("doc_id", "ord", "text", "hash", *[whole[n]().alias(n) for n in more])
 
 
 def after_latch(paragraphs: DataFrame, opens: Column, each: Column | None = None) -> DataFrame:
@@ -78,13 +115,26 @@ def after_latch(paragraphs: DataFrame, opens: Column, each: Column | None = None
 
 
 def cut_references(paragraphs: DataFrame, least_ratio: float = 0.30, sure_ratio: float = 0.85) -> DataFrame:
-    """Without the reference list: from the first heading late enough whose next two paragraphs hold an entry, or that stands very late."""
-    order = Window.partitionBy("doc_id").orderBy("ord")
-    entry = T.reference_score(F.col("text")) >= 2
-    ratio = (F.row_number().over(order) - 1) / F.count("*").over(Window.partitionBy("doc_id"))
+    """Without the reference list and what follows: from the first heading of one that stands late enough.
+
+    Its place is its first page among the document's (``pages``, else ``page``, else its row). It counts when it has entries in
+    itself, when one of the next two paragraphs looks like an entry, or when it stands very late. Captions never count.
+    """
+    doc, order = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("ord")
+    text = F.col("text")
+    if "pages" in paragraphs.columns:
+        ratio = F.coalesce(F.array_min("pages"), F.lit(1)) / F.max(F.array_max("pages")).over(doc)
+    elif "page" in paragraphs.columns:
+        ratio = F.coalesce("page", F.lit(1)) / F.max("page").over(doc)
+    else:
+        ratio = (F.row_number().over(order) - 1) / F.greatest(F.count("*").over(doc) - 1, F.lit(1))
+    entry = T.reference_score(text) >= 2
     near = F.coalesce(F.lead(entry, 1).over(order), F.lit(False)) | F.coalesce(F.lead(entry, 2).over(order), F.lit(False))
     marked = paragraphs.withColumn("_ratio", ratio).withColumn("_near", near)
-    opens = F.col("text").rlike(T.REFERENCES) & (F.col("_ratio") >= least_ratio) & (F.col("_near") | (F.col("_ratio") >= sure_ratio))
+    merged = (F.length(text) >= 120) | (F.regexp_count(text, F.lit(r"\b(?:19|20)\d{2}\b")) >= 3) | F.upper(text).startswith("REFERENCES ")
+    opens = text.rlike(T.REFERENCE_SECTION) & (F.col("_ratio") >= least_ratio) & (merged | F.col("_near") | (F.col("_ratio") >= sure_ratio))
+    if "caption" in paragraphs.columns:
+        opens = opens & ~F.col("caption")
     return after_latch(marked, opens).drop("_ratio", "_near")
 
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# The page that stands in for one of unknown size.
+DEFAULT_W, DEFAULT_H = 595.0, 842.0
+
+
 def note_position(coords: Column, page_h: Column, page_w: Column, page: Column | None = None, dx: float = -30.0, dy: float = 5.0, icon: float = 12.0) -> Column:
     """``page_index, x1, y1, x2, y2, sort_index`` from coordinates (page, x, y, w, h), top-origin; of its first page only.
 
@@ -46,6 +50,27 @@ def boxes_in(raw: DataFrame) -> DataFrame:
     return each.select("key", "ord", F.when(F.col("box").startswith("/CropBox"), 2).otherwise(1).alias("score"), (part(3) - part(1)).alias("w"), (part(4) - part(2)).alias("h"))
 
 
+def page_sizes(raw: DataFrame) -> DataFrame:
+    """``key, page_index, w, h`` of the pages that stand as plain objects in ``raw(key, content)``, in their order; else the dominant box as page 0.
+
+    A crop box goes before a media box; a page turned by a quarter has its sides exchanged; pages without a sound box are left out, but counted.
+    """
+    text = F.decode("content", "ISO-8859-1")
+    number = r"\s*(-?\d+(?:\.\d+)?)"
+    objects = F.regexp_extract_all(text, F.lit(r"(?s)\bobj\b((?:(?!\bendobj\b).)*?/Type\s*/Page\b(?!s)(?:(?!\bendobj\b).)*)"), F.lit(1))
+    each = raw.select("key", F.posexplode(objects).alias("page_index", "page"))
+
+    def side(k: int) -> Column:
+        crop, media = (F.regexp_extract("page", rf"/{n}\s*\[" + number * 4 + r"\s*\]", k) for n in ("CropBox", "MediaBox"))
+        return F.when(crop != "", crop).when(media != "", media).cast("double")
+
+    turned = F.coalesce(F.when(F.regexp_extract("page", r"/Rotate\s+(-?\d+)", 1) != "", F.regexp_extract("page", r"/Rotate\s+(-?\d+)", 1)).cast("int"), F.lit(0)) % 180 != 0
+    sized = each.select("key", "page_index", (side(3) - side(1)).alias("a"), (side(4) - side(2)).alias("b"), turned.alias("turned")).where("a > 0 and b > 0")
+    known = sized.select("key", "page_index", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("w"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("h"))
+    rest = boxes_in(raw).join(known.select("key").distinct(), "key", "left_anti")
+    return known.unionByName(dominant_size(rest, "key").select("key", F.lit(0).alias("page_index"), "w", "h"))
+
+
 def page_size(wanted: DataFrame, sizes: DataFrame) -> DataFrame:
     """The size of a page, else of page 0, else null; never another page's."""
     zero = sizes.where("page_index = 0").select("doc_id", F.col("w").alias("w0"), F.col("h").alias("h0"))

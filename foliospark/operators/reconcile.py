@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def unseen(paragraphs: DataFrame, existing: DataFrame, key: str = "hash") -> DataFrame:
+def unseen(paragraphs: DataFrame, existing: DataFrame, key: str | list[str] = "hash") -> DataFrame:
     """Paragraphs without a stored hash. Equal ones within a batch all stay."""
     return paragraphs.join(existing.select(key).distinct(), key, "left_anti")
 
@@ -54,7 +54,12 @@ def is_broken(sort_index: Column, page_label: Column, position: Column) -> Colum
     return blank(sort_index) | blank(page_label) | blank(position)
 
 
+def before_error(df: DataFrame, key: str, order: str, failed: Column) -> Column:
+    """Whether a row stands before the first failure of its key."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.max(F.coalesce(failed, F.lit(False)).cast("int")).over(w) == 0
+
+
 def until_first_error(df: DataFrame, key: str, order: str, failed: Column) -> DataFrame:
     """Rows before the first failure of each key: the prefix that was written."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_bad", F.max(failed.cast("int")).over(w)).where("_bad = 0").drop("_bad")
+    return df.withColumn("_good", before_error(df, key, order, failed)).where("_good").drop("_good")

@@ -1 +1 @@
-
+"""Queries over the driver tables, and their SQL."""

@@ -116,12 +116,6 @@ def _(spark, d):
     return injected(lines(spark, d)).select("doc_id", "ord", T.reference_score(t).alias("points"), T.is_bib_entry(t).alias("bib_entry"))
 
 
-@query("length_filter_summary", LINES + "SELECT source, count(*) AS total, count(*) FILTER (length(text) < 60) AS short, count(*) FILTER (length(text) > 1500) AS long, count(*) FILTER (length(text) BETWEEN 60 AND 1500) AS kept FROM l GROUP BY source")
-def _(spark, d):
-    n = F.length("text")
-    return lines(spark, d).groupBy("source").agg(F.count("*").alias("total"), F.count_if(n < 60).alias("short"), F.count_if(n > 1500).alias("long"), F.count_if(n.between(60, 1500)).alias("kept"))
-
-
 @query("running_header_drop", LINES + r", r AS (SELECT text FROM l WHERE length(text) >= 12 AND NOT regexp_matches(text, '^\d{1,4}$') GROUP BY text HAVING count(DISTINCT doc_id) >= 3) SELECT doc_id, count(*) AS kept, CAST(sum(length(text)) AS BIGINT) AS chars FROM l WHERE text NOT IN (SELECT text FROM r) GROUP BY doc_id")
 def _(spark, d):
     return P.drop_running_headers(lines(spark, d)).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.length("text")).alias("chars"))
@@ -132,18 +126,6 @@ def _(spark, d):
     return P.nearest_rank(table(spark, d, "documents"), "n_chars").select("value", F.round(F.col("value") * 0.8, 6).alias("threshold"))
 
 
-@query("quantile_band", "SELECT lang, round(quantile_cont(n_chars, 0.06), 6) AS low, round(quantile_cont(n_chars, 0.94), 6) AS high, round(median(n_chars), 6) AS middle FROM documents GROUP BY lang")
-def _(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.round(F.percentile("n_chars", 0.06), 6).alias("low"), F.round(F.percentile("n_chars", 0.94), 6).alias("high"), F.round(F.median("n_chars"), 6).alias("middle"))
-
-
-@query("page_metrics", LINES + r"SELECT source, round(CASE WHEN count(*) FILTER (length(text) >= 10 AND regexp_matches(text, '\p{L}')) >= 8 THEN median(length(text)) FILTER (length(text) >= 10 AND regexp_matches(text, '\p{L}')) ELSE coalesce(median(length(text)), 10.0) END, 6) AS line_size, count(*) AS n FROM l GROUP BY source")
-def _(spark, d):
-    n = F.length("text")
-    body = (n >= 10) & F.col("text").rlike(r"\p{L}")
-    return lines(spark, d).groupBy("source").agg(F.round(F.when(F.count_if(body) >= 8, F.median(F.when(body, n))).otherwise(F.coalesce(F.median(n), F.lit(10.0))), 6).alias("line_size"), F.count("*").alias("n"))
-
-
 FRAGS = LINES.replace("string_split(text, chr(10))", r"regexp_split_to_array(text, ',\s|\n')")
 ISLANDS = FRAGS + r""", m AS (SELECT *, CASE WHEN lag(text) OVER w IS NOT NULL AND regexp_matches(text, '^([a-z]|[,)\]])') AND NOT regexp_matches(lag(text) OVER w, '[.!?][\x22\x27)\]]*\s*$') THEN 0 ELSE 1 END AS brk FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
 i AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM m) """
@@ -155,14 +137,12 @@ def _(spark, d):
     return merged.select("doc_id", "ord", F.sha1(F.encode("text", "UTF-8")).alias("merged_hash"), "hash", F.size("hashes").cast("long").alias("parts"))
 
 
-@query("continuation_merge_caption")
+@query("references_latch", LINES + r", j AS (SELECT doc_id, ord, CASE WHEN ord = 4 AND doc_id % 2 = 0 THEN ' references ' WHEN ord % 7 = 3 THEN concat('[', ord, '] ', text) ELSE text END AS text FROM l), f AS (SELECT *, max(CASE WHEN regexp_matches(text, '(?i)^\s*(?:References|Bibliography)\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS latch FROM j) SELECT doc_id, count(*) AS kept, max(ord) AS last_ord FROM f WHERE latch = 0 AND NOT regexp_matches(text, '^\s*(?:\[\s*\d{1,4}\s*\]|\d{1,4}\.)\s+\S') GROUP BY doc_id")
 def _(spark, d):
-    return P.merge_captions(injected(lines(spark, d, r",\s|\n")))
-
+    from ..operators import adapter
 
-@query("references_latch", LINES + r", f AS (SELECT *, max(CASE WHEN regexp_matches(text, '^T') AND ord >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS latch FROM l) SELECT doc_id, count(*) AS kept, max(ord) AS last_ord FROM f WHERE latch = 0 GROUP BY doc_id")
-def _(spark, d):
-    kept = P.after_latch(lines(spark, d), F.col("text").rlike("^T") & (F.col("ord") >= 3))
+    text = F.expr("case when ord = 4 and doc_id % 2 = 0 then ' references ' when ord % 7 = 3 then concat('[', ord, '] ', text) else text end")
+    kept = adapter.without_references(lines(spark, d).withColumn("text", text))
     return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.max("ord").alias("last_ord"))
 
 
@@ -179,44 +159,11 @@ def _(spark, d):
     return R.capped(hashed, "doc_id", "ord").join(stored, "hash", "left").groupBy("doc_id").agg(F.count("*").alias("capped"), F.count_if(F.col("known").isNull()).alias("planned"))
 
 
-@query("tag_or_search", "SELECT user_id, array_to_string(list_filter(['click', 'view'], lambda t: list_contains(list(DISTINCT event_type), t)), ',') AS matched FROM events GROUP BY user_id HAVING bool_or(event_type IN ('click', 'view')) ORDER BY bool_or(event_type = 'click') DESC, user_id LIMIT 20")
-def _(spark, d):
-    tags = table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("tags"))
-    hits = tags.withColumn("found", R.matched_tags(F.col("tags"), ["click", "view"])).where(F.size("found") > 0)
-    return hits.orderBy(F.array_contains("found", "click").desc(), "user_id").limit(20).select("user_id", F.array_join("found", ",").alias("matched"))
-
-
-@query("first_attachment", "SELECT o_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS l_partkey, min(l_linenumber) AS l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'N' GROUP BY o_orderkey")
-def _(spark, d):
-    children = table(spark, d, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber")
-    first = children.groupBy("o_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey")).alias("m")).select("o_orderkey", "m.l_partkey", "m.l_linenumber")
-    return table(spark, d, "orders").select("o_orderkey").join(first, "o_orderkey")
-
-
-@query("children_scan", "SELECT o_orderpriority, count(*) AS children, count(*) FILTER (l_linestatus = 'F') AS finished FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
-def _(spark, d):
-    both = table(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(table(spark, d, "lineitem").select("l_orderkey", "l_linestatus"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return both.groupBy("o_orderpriority").agg(F.count("*").alias("children"), F.count_if(F.col("l_linestatus") == "F").alias("finished"))
-
-
-@query("item_selector", "SELECT CAST(pos AS BIGINT) AS pos, coalesce(c_custkey, -1) AS c_custkey, coalesce(c_name, 'missing') AS c_name FROM (SELECT k, min(i) AS pos FROM (SELECT unnest([7, 3, 7, 11, 999999999, 5, 3]) AS k, unnest(range(0, 7)) AS i) GROUP BY k ORDER BY pos LIMIT 5) LEFT JOIN customer ON c_custkey = k")
-def _(spark, d):
-    keys = spark.sql("select posexplode(array(7, 3, 7, 11, 999999999, 5, 3)) as (i, k)").groupBy("k").agg(F.min("i").cast("long").alias("pos")).orderBy("pos").limit(5)
-    return keys.join(table(spark, d, "customer").select("c_custkey", "c_name"), F.col("k") == F.col("c_custkey"), "left").select("pos", F.coalesce("c_custkey", F.lit(-1)).alias("c_custkey"), F.coalesce("c_name", F.lit("missing")).alias("c_name"))
-
-
 @query("existing_tags", LINES + "SELECT DISTINCT concat('para:', sha1(text)) AS tag FROM l WHERE length(text) >= 60")
 def _(spark, d):
     return lines(spark, d).where(F.length("text") >= 60).select(F.concat(F.lit("para:"), T.content_hash(F.col("text"))).alias("tag")).distinct()
 
 
-@query("broken_counts", "SELECT event_type, count(*) AS total, count(*) FILTER (coalesce(trim(json_extract_string(props, '$.k')), '') = '' OR user_id % 7 = 0) AS broken FROM events GROUP BY event_type")
-def _(spark, d):
-    label = F.when(F.col("user_id") % 7 != 0, "p")
-    bad = R.is_broken(F.get_json_object("props", "$.k"), label, F.col("props"))
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(bad).alias("broken"))
-
-
 @query("json_audit", "SELECT event_type, count(*) FILTER (NOT json_valid(x)) AS invalid, count(*) FILTER (json_valid(x)) AS valid FROM (SELECT event_type, CASE WHEN event_id % 9 = 0 THEN concat(props, '}') ELSE props END AS x FROM events) GROUP BY event_type")
 def _(spark, d):
     x = F.when(F.col("event_id") % 9 == 0, F.concat("props", F.lit("}"))).otherwise(F.col("props"))
@@ -297,24 +244,6 @@ def _(spark, d):
     return R.batches(table(spark, d, "documents").select("source", "doc_id"), "source", ["doc_id"]).groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query("nearest_left", "SELECT r.l_orderkey, r.l_linenumber, arg_min(p.l_linenumber, (abs(p.l_quantity - r.l_quantity), p.l_linenumber)) AS nearest FROM lineitem r JOIN lineitem p ON p.l_orderkey = r.l_orderkey AND p.l_discount < r.l_discount AND abs(p.l_quantity - r.l_quantity) <= 10 WHERE r.l_returnflag = 'R' GROUP BY 1, 2")
-def _(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
-    right = rows.where("l_returnflag = 'R'").alias("r")
-    near = right.join(rows.alias("p"), F.expr("p.l_orderkey = r.l_orderkey and p.l_discount < r.l_discount and abs(p.l_quantity - r.l_quantity) <= 10"))
-    return near.groupBy("r.l_orderkey", "r.l_linenumber").agg(F.min(F.struct(F.abs(F.col("p.l_quantity") - F.col("r.l_quantity")).alias("dx"), F.col("p.l_linenumber").alias("n"))).alias("m")).select("l_orderkey", "l_linenumber", F.col("m.n").alias("nearest"))
-
-
-@query("band_drop", "WITH c AS (SELECT l_orderkey, l_quantity AS y FROM lineitem WHERE l_linenumber = 1), b AS (SELECT l.l_orderkey, l.l_linenumber, l.l_discount >= 0.05 AS strong FROM lineitem l JOIN c ON l.l_orderkey = c.l_orderkey AND l.l_quantity BETWEEN c.y - 20 AND c.y + 20 WHERE l.l_linenumber > 1), k AS (SELECT l_orderkey FROM b GROUP BY 1 HAVING count(*) FILTER (strong) >= 2) SELECT l_orderkey, count(*) AS kept FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM b JOIN k ON b.l_orderkey = k.l_orderkey WHERE b.strong AND b.l_orderkey = l.l_orderkey AND b.l_linenumber = l.l_linenumber) GROUP BY 1")
-def _(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
-    captions = rows.where("l_linenumber = 1").select("l_orderkey", F.col("l_quantity").alias("y"))
-    band = rows.where("l_linenumber > 1").join(captions, "l_orderkey").where("l_quantity between y - 20 and y + 20").withColumn("strong", F.col("l_discount") >= 0.05)
-    enough = band.groupBy("l_orderkey").agg(F.count_if("strong").alias("k")).where("k >= 2").select("l_orderkey")
-    gone = band.where("strong").join(enough, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
-    return rows.join(gone, ["l_orderkey", "l_linenumber"], "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("kept"))
-
-
 STATUS = "[400, 401, 402, 403, 429, 456, 500, 503][CAST(event_id % 8 AS INTEGER) + 1]"
 
 
@@ -324,13 +253,6 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", T.error_kind(s, F.col("event_type")).alias("chat"), T.error_kind(s, F.col("event_type"), "deepl").alias("deepl"))
 
 
-@query("translate_pending", "SELECT conv_id, count(*) AS total, count(*) FILTER (role = 'user') AS already, count(*) FILTER (role <> 'user' AND turn % 3 <> 0) AS pending, count(*) FILTER (role <> 'user' AND turn % 3 = 0) AS other, CAST(coalesce(sum(length(reverse(text))) FILTER (role <> 'user' AND turn % 3 <> 0), 0) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
-def _(spark, d):
-    already = F.col("role") == "user"
-    pending = ~already & (F.col("turn") % 3 != 0)
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("total"), F.count_if(already).alias("already"), F.count_if(pending).alias("pending"), F.count_if(~already & ~pending).alias("other"), F.coalesce(F.sum(F.when(pending, F.length(F.reverse("text")))), F.lit(0)).cast("long").alias("chars"))
-
-
 @query("fail_fast_item", "WITH f AS (SELECT conv_id, turn, max(CASE WHEN length(text) % 11 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS bad FROM conversations) SELECT conv_id, count(*) FILTER (bad = 0) AS written, count(*) AS total, max(bad) = 1 AS failed FROM f GROUP BY conv_id")
 def _(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", (F.length("text") % 11 == 0).alias("bad"))
@@ -344,31 +266,6 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(clean).alias("chars"), F.md5(clean).alias("md5"))
 
 
-@query("heading_only_drop", LINES + r"SELECT lang, count(*) AS kept FROM l WHERE NOT (text <> '' AND length(text) <= 90 AND NOT regexp_matches(text, '[.!?:;]$') AND (regexp_matches(text, '^\d{1,2}(?:\.\d{1,2})*\s+') OR (text = upper(text) AND regexp_matches(text, '\p{Lu}') AND len(string_split(text, ' ')) <= 10))) GROUP BY lang")
-def _(spark, d):
-    t = F.col("text")
-    only = (t != "") & (F.length(t) <= 90) & ~t.rlike("[.!?:;]$") & (t.rlike(T.NUMBERED) | ((t == F.upper(t)) & t.rlike(r"\p{Lu}") & (F.size(F.split(t, " ")) <= 10)))
-    return lines(spark, d).where(~only).groupBy("lang").agg(F.count("*").alias("kept"))
-
-
-@query("reading_order", "SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY CASE WHEN l_quantity < 25 THEN 0 ELSE 1 END, l_discount, l_quantity, l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey")
-def _(spark, d):
-    rows = table(spark, d, "lineitem").withColumn("column", F.when(F.col("l_quantity") < 25, 0).otherwise(1))
-    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("column", "l_discount", "l_quantity", "l_linenumber"))).alias("a")).select("l_orderkey", F.array_join(F.transform("a", lambda x: x["l_linenumber"].cast("string")), ",").alias("lines"))
-
-
-@query("create_summary", "SELECT o_custkey, count(*) AS planned, count(*) FILTER (o_orderstatus = 'F') AS created, count(*) FILTER (o_orderstatus <> 'F') AS failed, array_to_string(list_slice(list_sort(list(o_orderkey) FILTER (o_orderstatus <> 'F')), 1, 3), ',') AS samples FROM orders GROUP BY o_custkey")
-def _(spark, d):
-    bad = F.col("o_orderstatus") != "F"
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("planned"), F.count_if(~bad).alias("created"), F.count_if(bad).alias("failed"), F.array_sort(F.collect_list(F.when(bad, F.col("o_orderkey")))).alias("keys")).select("o_custkey", "planned", "created", "failed", F.when(F.size("keys") > 0, F.array_join(F.transform(F.slice("keys", 1, 3), lambda x: x.cast("string")), ",")).alias("samples"))
-
-
-@query("item_summary", LINES + f", {STORED} SELECT source, count(*) AS total, count(*) FILTER (k) AS duplicates, count(*) FILTER (NOT k) AS planned, count(DISTINCT doc_id) AS docs FROM (SELECT *, sha1(text) IN (SELECT hash FROM s) AS k FROM l) GROUP BY source")
-def _(spark, d):
-    hashed = lines(spark, d).withColumn("hash", T.content_hash(F.col("text"))).join(stored_hashes(spark, d).distinct().withColumn("known", F.lit(1)), "hash", "left")
-    return hashed.groupBy("source").agg(F.count("*").alias("total"), F.count("known").alias("duplicates"), F.count_if(F.col("known").isNull()).alias("planned"), F.count_distinct("doc_id").alias("docs"))
-
-
 @query("answer_postprocess", r"SELECT conv_id, turn, nullif(trim(regexp_replace(text, '(?i)^(?:here is the translation|translation|translated(?:\s+text)?|output)\s*[:：]?\s*', '')), '') AS answer FROM conversations")
 def _(spark, d):
     made = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Translation: "), F.col("text"))).otherwise(F.concat(F.lit("```text\n"), F.col("text"), F.lit("\n```")))
@@ -379,11 +276,11 @@ def _(spark, d):
 def _(spark, d):
     from ..operators import layout
 
-    return layout.paragraphs_of(layout.layout_of_texts(table(spark, d, "documents"))).select("doc_id", "page_index", "ord", "text", "hash", "n_lines", "x0", "y0", "x1", "y1", "caption")
+    return layout.paragraphs_of(layout.layout_of_texts(table(spark, d, "documents")))
 
 
 @query("layout_document")
 def _(spark, d):
-    from ..operators import blocks, layout
+    from ..operators import layout
 
-    return blocks.document_paragraphs(layout.paragraphs_of(layout.layout_of_texts(table(spark, d, "documents"))))
+    return layout.document_paragraphs(layout.layout_of_texts(table(spark, d, "documents")))

@@ -1,11 +1,11 @@
-"""Layout dumps as input, paragraphs as XML or JSON output, and a batched sink with retries."""
+"""Layout dumps as input and output, paragraphs and page texts as XML or JSON, and a batched sink with retries."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -22,10 +22,49 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("key"), "content")
 
 
+def xml_rows(paragraphs: DataFrame) -> DataFrame:
+    """The rows of the XML form: number and caption flag as attributes, text, pages, and boxes by page; control characters, which XML forbids, become blanks."""
+    has = paragraphs.columns
+    rows = [F.col("ord").alias("_id"), F.coalesce(F.col("caption" if "caption" in has else "is_caption"), F.lit(False)).cast("int").alias("_is_caption") if {"caption", "is_caption"} & set(has) else F.lit(0).alias("_is_caption")]
+    rows.append(T.scrub(F.col("text")).alias("text"))
+    if "pages" in has:
+        rows.append(F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
+    if "bboxes" in has:
+        box = lambda b: F.struct(*[b[n].alias(f"_{n}") for n in ("page", "x0", "y0", "x1", "y1")])
+        rows.append(F.struct(F.transform("bboxes", box).alias("bbox")).alias("bboxes"))
+    return paragraphs.select(*rows)
+
+
 def write_paragraphs_xml(paragraphs: DataFrame, path: str) -> None:
-    """One XML file set; control characters, which XML forbids, become blanks."""
-    rows = paragraphs.select(F.col("ord").alias("_id"), *([F.col("is_caption").alias("_is_caption")] if "is_caption" in paragraphs.columns else []), T.scrub(F.col("text")).alias("text"))
-    rows.write.format("xml").option("rowTag", "paragraph").option("rootTag", "paragraphs").mode("overwrite").save(path)
+    """One XML file set."""
+    xml_rows(paragraphs).write.format("xml").option("rowTag", "paragraph").option("rootTag", "paragraphs").mode("overwrite").save(path)
+
+
+def preview(paragraphs: DataFrame, most: int = 20) -> DataFrame:
+    """The first paragraphs of each document as a preview shows them: index, hash, hashes, page, text and places."""
+    from ..operators.reconcile import capped
+
+    rows = capped(paragraphs, "doc_id", "ord", most)
+    return rows.select("doc_id", F.col("ord").alias("index"), "hash", "dedup_hashes", "page", "text", "coords")
+
+
+def page_texts(pages: DataFrame, text: str = "text") -> DataFrame:
+    """``pages(doc_id, page, text)`` with scrubbed texts and their lengths."""
+    return pages.withColumn(text, T.scrub(F.coalesce(F.col(text), F.lit("")))).withColumn("chars", F.length(text))
+
+
+def page_totals(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"))
+
+
+def binary_facts(content: Column, with_bytes: bool = False) -> Column:
+    """How a dump stands for bytes: their number and hash, and themselves as text where asked."""
+    facts = [F.octet_length(content).alias("len"), F.sha1(content).alias("sha1")]
+    return F.struct(*facts, *([F.base64(content).alias("base64")] if with_bytes else []))
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
 
 
 def write_batched(rows: DataFrame, item: str, order: list[str], create: Callable[[list[dict]], list[bool]], size: int = 10) -> DataFrame:
