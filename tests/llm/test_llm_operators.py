@@ -214,7 +214,9 @@ def test_lm_counts_and_paths(spark, monkeypatch):
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
     marked = lm_score.labelled(docs, labels, F.col("quality") == 1).collect()
     texts = spark.createDataFrame([(r.text, r.is_target) for r in marked], "text string, is_target boolean")
+    monkeypatch.setattr(lm_score, "HEAVY_PAIRS", 0)  # pairs are of heavy words only
     fitted = lm_score.models(texts)
+    assert not len(fitted.pairs[0])
     every, target = {}, {}
     for r in marked:
         for w in WORD.findall(r.text.translate(LOWER)):
@@ -231,6 +233,66 @@ def test_lm_counts_and_paths(spark, monkeypatch):
     assert np.allclose(with_heavy.ce_difference, by_join.ce_difference, atol=1e-4)
 
 
+def test_lm_losses(spark, monkeypatch):
+    """Every loss by plain Python, with exact counts of words, pairs and bytes; some words heavy, some met by the join."""
+    monkeypatch.setattr(lm_score, "HEAVY", 120)
+    monkeypatch.setattr(lm_score, "HEAVY_PAIRS", 100)
+    rng = random.Random(5)
+    known = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(rng.choices(known, [60 / (k + 1) for k in range(40)], k=rng.randrange(1, 40))), i % 3 == 0) for i in range(60)]
+    rows += [(60, "W0 w1 w2", False), (61, "w0", True), (62, " w1\t", False), (63, None, False), (64, "", True), (65, "unheard naïve w0 w1", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, is_target boolean").repartition(3)
+    fitted = lm_score.models(docs.select("text", "is_target"))
+    got = {r.doc_id: r for r in lm_score.scored(docs.select("doc_id", "text"), fitted).collect()}
+
+    tables = []
+    for mine in (False, True):
+        words, pairs, grams = collections.Counter(), collections.Counter(), [collections.Counter() for _ in range(3)]
+        for _, text, is_target in rows:
+            if mine and not is_target:
+                continue
+            lowered = WORD.findall((text or "").translate(LOWER))
+            words.update(lowered)
+            pairs.update(zip(lowered, lowered[1:], strict=False))
+            raw = b"   " + (text or "").encode()
+            for i in range(3, len(raw)):
+                for table, key in zip(grams, (raw[i - 3 : i + 1], raw[i - 3 : i], raw[i - 1 : i + 1]), strict=True):
+                    table[key] += 1
+        tables.append((words, pairs, grams))
+    target = tables[1]
+    totals = [sum(t[0].values()) for t in tables]
+    bytes_in = [sum(t[2][2].values()) for t in tables]
+    kept = {p for p, n in tables[0][1].items() if n * 100 >= totals[0] and target[1][p] >= 2}
+    assert len(kept) == len(fitted.pairs[0]) > 3
+    heavy = {w for w, n in tables[0][0].items() if n * 120 >= totals[0]}
+    assert 3 < len(heavy) < 40 and {w for p in kept for w in p} <= heavy
+
+    def loss(text, k):
+        words, pairs, (four, head, pair) = tables[k]
+        scale = 1 if k else bytes_in[1] / bytes_in[0]
+        spelled_share = 1 - 0.5 * sum(n for w, n in words.items() if target[0][w] >= 2) / totals[k]
+        raw, out, before = b"   " + text.encode(), 0.0, None
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+            w = m.group().lower().decode()
+            spelled = spelled_share
+            for i in range(m.start(), min(m.end() + 1, len(raw))):
+                row = sum(n for key, n in pair.items() if key[0] == raw[i - 1]) * scale
+                low = (pair[raw[i - 1 : i + 1]] * scale + 0.5) / (row + 128)
+                spelled *= min(1.0, (four[raw[i - 3 : i + 1]] * scale + 20 * low) / (head[raw[i - 3 : i]] * scale + 20))
+            alone = spelled + (0.5 * words[w] / totals[k] if target[0][w] >= 2 else 0)
+            share = 0.5 * pairs[before, w] / words[before] if (before, w) in kept else 0
+            left = 1 - sum(pairs[p] / words[before] for p in kept if p[0] == before)
+            out -= np.log(share + ((0.5 + 0.5 * max(0, left)) if before else 1) * alone)
+            before = w
+        return out
+
+    for i, text, _ in rows:
+        n = len(WORD.findall(text or ""))
+        assert got[i].n_tokens == n
+        for k, c in ((0, "ce_background"), (1, "ce_target")):
+            assert got[i][c] == pytest.approx(loss(text or "", k) / max(1, n), rel=1e-4, abs=1e-6)
+
+
 # 4. personal data
 
 PLAIN = [
