@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, hilbert, jaccard_join, lexical_search, line_dedup, lm_score, media, mixing, packing, pii, toxicity
+from . import exact_dedup, hilbert, jaccard_join, lexical_search, line_dedup, lm_score, media, mixing, packing, phrases, pii, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
@@ -13,7 +13,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_media": media.op9_media,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_phrases": phrases.op11_phrases,
     "op12_lexical_search": lexical_search.op12_lexical_search,
 }
 
-ORACLES = {"op10_exact_dedup": exact_dedup.OP10_SQL, "op12_lexical_search": lexical_search.OP12_SQL}
+ORACLES = {"op10_exact_dedup": exact_dedup.OP10_SQL, "op11_phrases": phrases.OP11_SQL, "op12_lexical_search": lexical_search.OP12_SQL}

@@ -52,10 +52,10 @@ def pieces(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarr
         row = end
 
 
-def spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(starts, ends)``: the first and last byte of every word; no word goes over the end of a text."""
+def spans(raw: np.ndarray, at: np.ndarray, apart: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """``(starts, ends)``: the first and last byte of every word; bytes that are ``apart`` part words, and no word goes over the end of a text."""
     n = len(raw)
-    inside = ~_IS_SPACE[raw]
+    inside = ~apart[raw]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -68,10 +68,15 @@ def spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def words(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """``(hashes, first)``: the hash of every word; the words of text i are first[i]:first[i+1]."""
-    n = len(raw)
-    if not n:
+    if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     s, e = spans(raw, at)
+    return hashed(raw, s, e, lower), np.searchsorted(s, at)
+
+
+def hashed(raw: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True) -> np.ndarray:
+    """The hash of every word of ``spans``."""
+    n = len(raw)
     up, down = _power(n + 1)
     total = np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * up[:n])
     h = total[e]
@@ -80,7 +85,7 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarr
     for i in np.flatnonzero(e - s + 1 >= LONG_WORD):
         word = raw[s[i] : e[i] + 1]
         h[i] = xxhash.xxh3_64_intdigest((_LOWER[word] if lower else word).tobytes())
-    return h, np.searchsorted(s, at)
+    return h
 
 
 def shingles(h: np.ndarray, first: np.ndarray, size: int) -> list[np.ndarray]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import lexical_search
+from foliospark.llm import lexical_search, phrases
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -87,3 +87,51 @@ def test_search_ties_go_by_id(spark):
     docs = [(9 - i, "same words here") for i in range(8)] + [(i, f"filler {i}") for i in range(20, 60)]
     got = lexical_search.search(lexical_search.index(spark.createDataFrame(docs, "doc_id long, text string")), spark.createDataFrame([(1, "words")], "item_id long, text string"), k=3)
     assert [(r["rank"], r.doc_id) for r in got.orderBy("rank").collect()] == [(1, 2), (2, 3), (3, 4)]
+
+
+# 11. phrases
+
+
+def phrases_of(docs, least, percent=100, keep=2000, most=5):
+    """Every phrase counted, every cut scored, every longer candidate looked at."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for k in range(1, most + 1):
+                f[lang].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        known = {p: a for p, a in counts.items() if a >= least}
+        inside = {p[i:j] for p, c in known.items() for i in range(len(p)) for j in range(i + 2, len(p) + 1) if j - i < len(p) and 100 * c >= percent * known[p[i:j]]}
+        rows = []
+        for p, a in known.items():
+            if len(p) > 1 and p not in inside:
+                score, k = min((1000 * a * n[lang] // (known[p[:k]] * known[p[k:]]), k) for k in range(1, len(p)))
+                rows.append((-score, -a, " ".join(p).encode(), known[p[:k]], known[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, l, r, n[lang], -score) for i, (score, a, p, l, r) in enumerate(sorted(rows)[:keep])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("bits", "least", "percent", "keep"), [(1 << 16, 12, 100, 2000), (64, 12, 60, 40)])
+def test_phrases_equal_brute_force(spark, monkeypatch, bits, least, percent, keep):
+    """A bit table with nearly all bits set rules nothing out, and changes nothing."""
+    monkeypatch.setattr(phrases, "LEAST_BITS", min(bits, phrases.LEAST_BITS))
+    monkeypatch.setattr(phrases, "MOST_BITS", bits)
+    monkeypatch.setattr(phrases, "RUN_BYTES", 30_000)
+    docs = duckdb.sql(f"SELECT lang, text FROM '{DIR}/documents.parquet'").fetchall() + [(None, "To be,  or NOT\tto be: to be to be to be " * 9), ("en", "São Paulo são paulo\x0bsão")]
+    got = phrases.mined(spark.createDataFrame(docs, "lang string, text string").repartition(5), least=least, percent=percent, keep=keep).collect()
+    assert sorted(map(tuple, got)) == phrases_of(docs, least, percent, keep)
+
+
+def test_phrases_odd_and_empty_tables(spark, odd, empty):
+    assert sorted(map(tuple, phrases.mined(odd, least=2).collect())) == phrases_of([(r[2], r[1]) for r in ODD], 2)
+    assert phrases.mined(empty).collect() == []
+
+
+def test_phrase_scores_are_exact_beyond_64_bits(spark):
+    rows = [(10**13 - 7, 10**14 - 3, 10**13 + 9, 10**13 + 1), (10**15, 10**16, 10**15 + 1, 10**15 + 3), (100, 10**14, 100, 100)]
+    got = spark.createDataFrame(rows, "a long, n long, l long, r long").withColumn("score", F.expr(phrases.SCORE)).collect()
+    assert [r.score for r in got] == [1000 * a * n // (l * r) for a, n, l, r in rows]
