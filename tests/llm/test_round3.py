@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import lexical_search, phrases
+from foliospark.llm import lexical_search, phrases, setsketch
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -43,6 +43,7 @@ def empty(spark):
 # 12. ranked lexical search
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -135,3 +136,91 @@ def test_phrase_scores_are_exact_beyond_64_bits(spark):
     rows = [(10**13 - 7, 10**14 - 3, 10**13 + 9, 10**13 + 1), (10**15, 10**16, 10**15 + 1, 10**15 + 3), (100, 10**14, 100, 100)]
     got = spark.createDataFrame(rows, "a long, n long, l long, r long").withColumn("score", F.expr(phrases.SCORE)).collect()
     assert [r.score for r in got] == [1000 * a * n // (l * r) for a, n, l, r in rows]
+
+
+# 13. near duplicates by SetSketch
+
+
+def grams(text, k):
+    w = WORD.findall((text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def near(rows, k, percent):
+    """``(doc_id, size, component)`` of each row, by all pairs."""
+    found, top = [grams(t, k) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, x in enumerate(found):
+        for b in range(a):
+            both = len(x & found[b])
+            if both and 100 * both >= percent * (len(x) + len(found[b]) - both):
+                top[find(a)] = find(b)
+    lowest = {}
+    for a, (i, _) in enumerate(rows):
+        if i is not None:
+            lowest[find(a)] = min(i, lowest.get(find(a), i))
+    out = [(i, len(x), lowest.get(find(a)) if x else i) for a, ((i, _), x) in enumerate(zip(rows, found, strict=True))]
+    return sorted([(*r, r[0] == r[2]) for r in out], key=str)
+
+
+def varied(seed, groups=12, copies=14):
+    """Groups of texts with more and more words changed, some of which share a passage with other groups."""
+    rnd, out = random.Random(seed), []
+    passage = [f"p{i}" for i in range(60)]
+    for g in range(groups):
+        base = [f"w{g}_{rnd.randrange(10_000)}" for _ in range(rnd.randrange(3, 160))] + (passage if g % 3 == 0 else [])
+        for c in range(copies):
+            words = list(base)
+            for _ in range(rnd.randrange(0, 1 + len(words) // (6 + 2 * (c % 5)))):
+                words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+            out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"most_listed": 1, "block_sketches": 3, "block_grams": 500, "block_classes": 3}])
+def test_near_duplicates_equal_brute_force(spark, limits):
+    texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{DIR}/documents.parquet'").fetchall()] + varied(5)
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 80, **limits)
+    assert sorted(map(tuple, got.collect()), key=str) == near(rows, 4, 80)
+
+
+def test_near_duplicates_odd_and_empty_tables(spark, odd, empty):
+    rows = [(r[0], r[1]) for r in ODD]
+    want = [(i, n, c, i == c) for i, n, c, _ in near(rows, 5, 80)]
+    assert sorted(map(tuple, setsketch.near_duplicates(odd).collect()), key=str) == sorted(want, key=str)
+    assert setsketch.near_duplicates(empty).collect() == []
+
+
+def test_sketches_merge_and_tell_similarity():
+    rnd = np.random.default_rng(1)
+    every = rnd.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)
+    with np.errstate(over="ignore"):
+        a, b, both = setsketch.sketches([every[:3000], every[1000:], every])
+    assert (setsketch.merged(a, b) == both).all() and (setsketch.sketches([every[:0]]) == 0).all()
+    equal = []
+    for j in (0.5, 0.8, 0.9):
+        n, k = 900, round(900 * 2 * j / (1 + j))
+        found = [rnd.integers(0, 1 << 63, 2 * n - k, dtype=np.uint64) * np.uint64(2) for _ in range(60)]
+        with np.errstate(over="ignore"):
+            left, right = setsketch.sketches([x[:n] for x in found]), setsketch.sketches([x[n - k :] for x in found])
+        equal.append((left == right).mean())
+        ok = setsketch._passes((left == right).sum(1), (left > right).sum(1), np.full(60, n), np.full(60, n), 80)
+        assert ok.all() if j >= 0.8 else not ok.any()
+        assert abs(equal[-1] - math.log(1 + j * (setsketch.BASE - 1)) / math.log(setsketch.BASE)) < 0.02
+
+
+def test_each_band_bears_its_share(spark):
+    """Pairs of similarity 0.8 agree in all registers of a band about as often as the recall in the docstring takes for granted."""
+    rnd, hits = np.random.default_rng(2), []
+    for _ in range(60):
+        x = rnd.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2)
+        with np.errstate(over="ignore"):
+            a, b = setsketch.sketches([x[:450], x[50:]])
+        hits.append((a == b).reshape(-1, setsketch.ROWS).all(1).mean())
+    assert abs(np.mean(hits) - 0.8077**6) < 0.05
