@@ -16,7 +16,7 @@ from .operators import adapter, enrich, layout, library, providers
 from .operators import annotations as A
 from .operators import paragraphs as P
 from .operators import reconcile as R
-from .sources import layout_json
+from .sources import layout_json, scratch
 
 
 @dataclass
@@ -85,7 +85,14 @@ def _candidates(rows: DataFrame, settings: Settings) -> DataFrame:
     return placed.select("pdf", F.explode("tags").alias("tag"), "fields", "rank")
 
 
-def _annotated(held: Library, settings: Settings, tag, item_keys, max_items: int, read_only: bool, keep_broken: bool, translate: bool, transport) -> Run:
+def _answers(rows: DataFrame, item: str, order: str, settings: Settings, transport, ledger: str | None, context: bool) -> DataFrame:
+    """``rows`` with answers, none after an item's first failure: from a ledger where there is one, else computed once."""
+    if ledger:
+        return enrich.translated_with_ledger(rows, item, order, ledger, settings, context=context, transport=transport)
+    return scratch.written(enrich.translated_in_order(rows, item, order, context=context, settings=settings, transport=transport), "answers")
+
+
+def _annotated(held: Library, settings: Settings, tag, item_keys, max_items: int, read_only: bool, keep_broken: bool, translate: bool, transport, ledger: str | None = None) -> Run:
     targets = _targets(held, settings, tag, item_keys, max_items)
     rows = paragraphs(held, settings, targets)
     mine = held.annotations.join(targets.select(F.col("doc_id").alias("pdf")).distinct(), "pdf", "left_semi")
@@ -97,7 +104,7 @@ def _annotated(held: Library, settings: Settings, tag, item_keys, max_items: int
     if translate:
         capped = P.with_context(rows, "doc_id", "ord").transform(lambda df: R.capped(df, "doc_id", "ord", settings.max_paragraphs))
         fresh = A.planned(capped, existing, held.sizes, settings.max_paragraphs, settings.dedup_prefix).where("not duplicate").drop("payload", "duplicate", "tags")
-        answered = settled(enrich.with_sources(enrich.translated(fresh, settings=settings, transport=transport)))
+        answered = enrich.with_sources(_answers(fresh, "doc_id", "ord", settings, transport, ledger, True))
         failed = answered.where("error is not null").groupBy("doc_id").agg(F.min_by("error", "ord").alias("error"))
         comments = answered.select("doc_id", "ord", "comment")
         rows = rows.join(comments, ["doc_id", "ord"], "left")
@@ -127,22 +134,25 @@ def base(held: Library, settings: Settings, tag: str | None = None, item_keys: l
     return _annotated(held, settings, tag, item_keys, max_items, read_only, keep_broken, False, None)
 
 
-def run(held: Library, settings: Settings, tag: str | None = None, item_keys: list | None = None, max_items: int = 10, read_only: bool = False, keep_broken: bool = False, transport: providers.Transport = providers.send) -> Run:
-    """Annotations with translated paragraphs, made with their neighbours, and the snippet of their source."""
-    return _annotated(held, settings, tag, item_keys, max_items, read_only, keep_broken, True, transport)
+def run(held: Library, settings: Settings, tag: str | None = None, item_keys: list | None = None, max_items: int = 10, read_only: bool = False, keep_broken: bool = False, transport: providers.Transport = providers.send, ledger: str | None = None) -> Run:
+    """Annotations with translated paragraphs, made with their neighbours, and the snippet of their source. An item's first failure ends its calls and voids it.
+
+    Answers are kept in the ledger at the path given, and aren't asked for again.
+    """
+    return _annotated(held, settings, tag, item_keys, max_items, read_only, keep_broken, True, transport, ledger)
 
 
-def translate(held: Library, settings: Settings, tag: str | None = None, item_keys: list | None = None, max_items: int = 10, read_only: bool = False, transport: providers.Transport = providers.send) -> tuple[DataFrame, DataFrame, DataFrame]:
+def translate(held: Library, settings: Settings, tag: str | None = None, item_keys: list | None = None, max_items: int = 10, read_only: bool = False, transport: providers.Transport = providers.send, ledger: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pending annotations with their texts translated in place: the annotations, the items, and counts for each item.
 
-    Texts go without neighbours and without snippet. An item's first failure stops its later ones; an item without pending annotations moves on.
+    Texts go without neighbours and without snippet. After an item's first failure nothing of it is sent; answers are kept in the ledger at the path given. An item without pending annotations moves on.
     """
     targets = _targets(held, settings, tag or settings.base_done_tag, item_keys, max_items)
     mine = held.annotations.join(targets.select(F.col("doc_id").alias("pdf")).distinct(), "pdf", "left_semi")
     matched = A.translation_targets(mine, settings.pending_tag, settings.translated_tag, settings.dedup_prefix)
     matched = settled(matched)
     counts = A.target_counts(matched)
-    asked = enrich.translated(matched.where("match = 'target' and text <> ''"), context=False, settings=settings, transport=transport)
+    asked = _answers(matched.where("match = 'target' and text <> ''"), "pdf", "key", settings, transport, ledger, False).drop("calls")
     rest = matched.where("not (match = 'target' and text <> '')").withColumn("answer", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string"))
     written = A.with_answers(asked.unionByName(rest), "pdf", "key", settings.pending_tag, settings.translated_tag)
     after = mine.withColumn("updated", F.lit(False)) if read_only else settled(written)

@@ -55,6 +55,11 @@ def table_score(s: str) -> float:
     return max(0.0, min(1.0, raw + 0.15 * (len(tokens) >= 12) - 0.7 * is_sentence(s)))
 
 
+def clean_answer(s: str) -> str:
+    """A provider's answer without code fence and without one leading label."""
+    return re.sub(T.ANSWER_LABEL, "", re.sub(r"\n?```$", "", re.sub(r"^```[^\n]*\n", "", s.strip(" "))).strip(" ")).strip(" ")
+
+
 def error_kind(status: int, detail: str = "", provider: str = "chat") -> str:
     """What an error of a service is: auth, quota, rate_limit, or temporary."""
     if status in (401, 403):

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from foliospark.plans import catalogue, layout_queries, library_queries  # noqa: F401  (the last two add their queries)
+from foliospark.plans import catalogue, layout_queries, library_queries, service_queries  # noqa: F401  (the last three add their queries)
 
 DIR = "/root/testdata/sf0.001"
 
