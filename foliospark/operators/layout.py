@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import scratch
 from . import assembly, blocks
 from . import paragraphs as P
 
@@ -168,23 +169,37 @@ def is_narrow_tall(x: Column) -> Column:
 
 
 def running_texts(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``running``: the texts that stand outside the band on at least three pages of their document. Groups by document, once."""
+    """``doc_id, text``: what stands outside the band on at least three pages of a document.
+
+    Pages are counted by document and text, first apart for each page, so neither a long document nor a text that is on all its pages is one task.
+    """
     asked = F.filter("lines", lambda x: (F.length(x["text"]) >= HEADER_CHARS) & outside_band(x) & ~x["text"].rlike(blocks.PAGE_NUMBER))
-    marked = pages.withColumn("_edge", F.array_distinct(F.transform(asked, lambda x: x["text"])))
-    whole = [n for n in marked.columns if n != "doc_id"]
-    docs = marked.groupBy("doc_id").agg(F.collect_list(F.struct(*whole)).alias("pages"))
-    texts = F.sort_array(F.flatten(F.transform("pages", lambda p: p["_edge"])))
-    docs = docs.withColumn("_texts", texts)
-    # a text stands once for each of its pages, so the one two places on is the same where there are three
-    again = F.filter("_texts", lambda t, i: F.coalesce(F.get("_texts", i + (HEADER_PAGES - 1)) == t, F.lit(False)))
-    return docs.select("doc_id", F.array_distinct(again).alias("running"), F.inline("pages")).drop("_edge")
+    each = pages.select(*PAGE, F.explode(F.array_distinct(F.transform(asked, lambda x: x["text"]))).alias("text"))
+    return each.groupBy("doc_id", "text").agg(F.count_distinct("page_index").alias("n")).where(F.col("n") >= HEADER_PAGES).select("doc_id", "text")
+
+
+def _is(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
+
+
+def without_running(pages: DataFrame) -> DataFrame:
+    """``pages`` (a table, for it is read twice) without the lines whose text runs through their document, wherever on a page they stand.
+
+    The texts of each page meet the running ones, and a page gets back those that it has: no row holds more than a page.
+    """
+    running = running_texts(pages).select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    texts = pages.select(*PAGE, F.explode(F.array_distinct(F.transform("lines", lambda x: x["text"]))).alias("text"))
+    hits = texts.join(running, _is("doc_id", "_doc") & _is("text", "_text")).groupBy("doc_id", "page_index").agg(F.collect_set("text").alias("_running"))
+    hits = hits.select(F.col("doc_id").alias("_doc"), F.col("page_index").alias("_page"), "_running")
+    found = pages.join(hits, _is("doc_id", "_doc") & _is("page_index", "_page"), "left")
+    kept = F.when(F.col("_running").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("_running", x["text"])))
+    return found.withColumn("lines", kept).drop("_doc", "_page", "_running")
 
 
 def filtered_pages(layout: DataFrame) -> DataFrame:
-    """Pages with their metrics, without page numbers, narrow tall lines, running headers and footers; metrics are from before."""
-    pages = running_texts(with_metrics(pages_of(layout)))
-    kept = F.filter("lines", lambda x: ~is_page_number(x) & ~is_narrow_tall(x) & ~F.array_contains("running", x["text"]))
-    return pages.withColumn("lines", kept).drop("running")
+    """Pages with their metrics, without page numbers, narrow tall lines, running headers and footers; metrics are from before, and are computed once, into a table."""
+    pages = without_running(scratch.written(with_metrics(pages_of(layout)), "pages"))
+    return pages.withColumn("lines", F.filter("lines", lambda x: ~is_page_number(x) & ~is_narrow_tall(x)))
 
 
 def filtered_lines(layout: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adapter, assembly, blocks, layout
 from ..operators import paragraphs as P
+from ..sources import scratch
 from .catalogue import LINES, lines, query, table
 
 #: The texts by kind: prose and sentence, prose in lower case, formula, table caption, figure caption, table row, page number, note, formula number, algorithm, short words, heading.
@@ -83,8 +84,14 @@ def _(spark, d):
 
 @query("running_texts", f"WITH {FLAGS} SELECT doc_id, array_to_string(list_sort(list(text)), '|') AS running FROM (SELECT doc_id, text FROM g WHERE outside AND length(text) >= 12 GROUP BY ALL HAVING count(DISTINCT page_index) >= 3) GROUP BY doc_id")
 def _(spark, d):
-    pages = layout.running_texts(layout.with_metrics(layout.pages_from_lines(page_lines(spark, d, BAND))))
-    return pages.where(F.size("running") > 0).groupBy("doc_id").agg(F.first(F.array_join(F.array_sort("running"), "|")).alias("running"))
+    found = layout.running_texts(layout.with_metrics(layout.pages_from_lines(page_lines(spark, d, BAND))))
+    return found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "|").alias("running"))
+
+
+@query("without_running", f"WITH {FLAGS}, r AS (SELECT doc_id, text FROM g WHERE outside AND length(text) >= 12 GROUP BY ALL HAVING count(DISTINCT page_index) >= 3), k AS (SELECT a.* FROM a LEFT JOIN r USING (doc_id, text) WHERE r.text IS NULL) SELECT doc_id, page_index, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM k GROUP BY ALL")
+def _(spark, d):
+    pages = layout.without_running(scratch.written(layout.with_metrics(layout.pages_from_lines(page_lines(spark, d, BAND))), "pages"))
+    return pages.where(F.size("lines") > 0).select("doc_id", "page_index", F.size("lines").cast("long").alias("lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"])).alias("chars"))
 
 
 @query("quantile_band", "SELECT lang, round(quantile_cont(n_chars, 0.06), 6) AS low, round(quantile_cont(n_chars, 0.94), 6) AS high, round(median(n_chars), 6) AS middle FROM documents GROUP BY lang")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.config import Settings
-from foliospark.operators import enrich
+from foliospark.operators import enrich, layout
 
 CHAT = Settings(provider="chatgpt", chat_key="k", chat_model="m", target_lang="JA")
 
@@ -90,3 +90,28 @@ def test_a_second_run_makes_no_call(spark, tmp_path, wave_rows):
 def test_context_is_part_of_the_key(spark):
     rows = spark.createDataFrame([("a", "b", "c"), ("a", "b", None), ("a", "b", ""), ("x", "b", "c")], "prev_text string, text string, next_text string")
     assert rows.select(enrich.content_key(True)).distinct().count() == 3 and rows.select(enrich.content_key(False)).distinct().count() == 1
+
+
+# running headers
+
+
+def test_headers_of_a_long_document(spark):
+    """50,000 pages of one document: a header on all pages, a footer on two of them, and a body text that is a header elsewhere."""
+    line = lambda y, t: f"struct(array(50D, {y}D, 300D, {y + 12}D) as bbox, array(struct({t} as text, array(50D, {y}D, 300D, {y + 12}D) as bbox, 10D as size)) as spans)"
+    body = ", ".join(line(100 + 60 * k, f"concat('body text number {k} of page ', id)") for k in range(10))
+    page = f"struct(cast(id + 1 as int) as page, 595D as width, 842D as height, struct(array(struct(0 as type, array({line(2, repr('A header of this book'))}, {body}, {line(828, "if(id < 2, 'A rare footer of it', 'page')")}) as lines)) as blocks) as dict)"
+    dumps = spark.range(50_000).repartition(16).select(F.lit("d").alias("doc_id"), F.array(F.expr(page)).alias("pages")).unionAll(spark.sql(f"select 'e' doc_id, array({page.replace('id', '0')}) pages"))
+    kept = layout.filtered_pages(dumps)
+    counts = kept.select("doc_id", F.explode("lines.text").alias("text")).groupBy("doc_id", F.regexp_replace("text", r"\d+", "").alias("kind")).count().collect()
+    n = {(r.doc_id, r.kind): r["count"] for r in counts}
+    assert ("d", "A header of this book") not in n and n["e", "A header of this book"] == 1
+    assert n["d", "A rare footer of it"] == 2 and n["d", "page"] == 49_998 and n["d", "body text number  of page "] == 500_000
+
+
+def test_headers_count_distinct_pages(spark):
+    xs = [("d", p, 600.0, 800.0, o, 50.0, y, 300.0, y + 12, t, 10.0) for p, o, y, t in [(0, 0, 2.0, "twice on one page"), (0, 1, 20.0, "twice on one page"), (1, 0, 2.0, "twice on one page"), (0, 2, 2.5, "on three pages"), (1, 2, 2.5, "on three pages"), (2, 2, 2.5, "on three pages"), (2, 3, 400.0, "on three pages")]]
+    rows = spark.createDataFrame(xs, "doc_id string, page_index int, page_w double, page_h double, ord long, x0 double, y0 double, x1 double, y1 double, text string, font_size double").withColumn("block_no", F.lit(0))
+    rows = rows.select("doc_id", "page_index", "page_w", "page_h", *[F.col(n) if n in rows.columns else F.lit(None).alias(n) for n in layout.blocks.LINE])
+    pages = layout.with_metrics(layout.pages_from_lines(rows))
+    assert [tuple(r) for r in layout.running_texts(pages).collect()] == [("d", "on three pages")]
+    assert layout.without_running(pages).select(F.explode("lines.text").alias("t")).where("t = 'on three pages'").count() == 0
