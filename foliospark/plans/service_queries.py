@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions import text as T
 from ..operators import enrich
-from ..sources import scratch
+from ..sources import hash_store, scratch
 from ..sources.layout_json import ProviderError
-from .catalogue import query, table
+from .catalogue import LINES, lines, query, table
 
 # providers that fail
 
@@ -61,3 +62,24 @@ def _(spark, d):
     path, settings = scratch.new_path(spark, "ledger"), Settings(provider="moody", target_lang="xx")
     enrich.translated_with_ledger(rows.where("role = 'user'"), "conv_id", "turn", path, settings, context=False, **how)
     return enrich.translated_with_ledger(rows, "conv_id", "turn", path, settings, context=False, **how).select("conv_id", "turn", "calls", "answer")
+
+
+# the hash store
+
+
+@query("hash_store_batches", LINES + "SELECT lang, count(*) AS fresh, CAST(sum(length(text)) AS BIGINT) AS chars FROM l WHERE sha1(text) NOT IN (SELECT sha1(text) FROM l WHERE source IN ('src0', 'src1')) GROUP BY lang")
+def _(spark, d):
+    # what one batch stored, the next one doesn't take again
+    store = hash_store.HashStore(spark, scratch.new_path(spark, "store"))
+    rows = lines(spark, d).withColumn("hash", T.content_hash(F.col("text")))
+    store.add(rows.where("source in ('src0', 'src1')"), 0)
+    return store.unseen(rows).groupBy("lang").agg(F.count("*").alias("fresh"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("hash_store_sizes", LINES + ", s AS (SELECT DISTINCT left(sha1(text), 1) AS prefix, sha1(text) AS hash, min(CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END) OVER (PARTITION BY text) AS batch FROM l) SELECT prefix, CAST(batch AS BIGINT) AS batch, count(DISTINCT hash) AS hashes FROM s GROUP BY ALL")
+def _(spark, d):
+    store = hash_store.HashStore(spark, scratch.new_path(spark, "store"), buckets=4)
+    rows = lines(spark, d).withColumn("hash", T.content_hash(F.col("text")))
+    for batch, langs in enumerate((["en"], ["de"], ["en", "de", "fr", "es"])):
+        store.add(rows.where(F.col("lang").isin(langs)), batch)
+    return store.rows().groupBy("prefix", "batch").agg(F.count("*").alias("hashes"))

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.reconcile import unseen
+from ..sources.hash_store import HashStore
 
 
-def store_unseen(paragraphs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Runs until all that is there is read. A batch is written under its number, so a repeated one replaces itself, and is matched with the other batches only."""
+def store_unseen(paragraphs: DataFrame, path: str, checkpoint: str, store: str | None = None, key: str = "hash") -> StreamingQuery:
+    """Runs until all that is there is read: rows whose hash no earlier batch had go to ``path``, their hashes to a hash store.
+
+    A batch reads the folders of the store that its hashes can be in, not the batches written before. It is written under its number and matched with
+    the others' hashes only, so that a repeated one replaces itself. Equal rows of one batch all stay. The store stands at ``store``, else beside ``path``.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        held = HashStore(batch.sparkSession, store or f"{path.rstrip('/')}-hashes")
+        batch = batch.persist()
         try:
-            stored = spark.read.parquet(path).where(f"batch <> {number}")
-        except Exception as error:  # the table isn't there before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            stored = None
-        fresh = batch if stored is None else unseen(batch, stored)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            held.unseen(batch, key, number, prune=True).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            held.add(batch, number, key)
+        finally:
+            batch.unpersist()
 
     return paragraphs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

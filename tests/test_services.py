@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from foliospark.config import Settings
 from foliospark.operators import enrich, layout
+from foliospark.sources.hash_store import HashStore
+from foliospark.streaming.incremental import store_unseen
 
 CHAT = Settings(provider="chatgpt", chat_key="k", chat_model="m", target_lang="JA")
 
@@ -115,3 +117,51 @@ def test_headers_count_distinct_pages(spark):
     pages = layout.with_metrics(layout.pages_from_lines(rows))
     assert [tuple(r) for r in layout.running_texts(pages).collect()] == [("d", "on three pages")]
     assert layout.without_running(pages).select(F.explode("lines.text").alias("t")).where("t = 'on three pages'").count() == 0
+
+
+# the hash store
+
+
+def hashes(spark, *numbers):
+    return spark.createDataFrame([(n,) for n in numbers], "n int").withColumn("hash", F.sha1(F.encode(F.col("n").cast("string"), "UTF-8")))
+
+
+def test_store_is_joined_where_it_stands(spark, tmp_path):
+    store = HashStore(spark, str(tmp_path / "store"), buckets=4)
+    store.add(hashes(spark, *range(500)), 0)
+    store.add(hashes(spark, *range(400, 900)), 1)
+    store.add(hashes(spark, *range(400, 900)), 1)
+    assert store.rows().count() == 900 and {tuple(r) for r in store.rows().groupBy("batch").count().collect()} == {(0, 500), (1, 400)}
+    asked = hashes(spark, 5, 899, 900, 900, 901).unionAll(spark.createDataFrame([(0, None)], "n int, hash string"))
+    fresh = store.unseen(asked)
+    assert sorted(r.n for r in fresh.collect()) == [0, 900, 900, 901]
+    plan = fresh._jdf.queryExecution().optimizedPlan().toString() + fresh._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.rindex(f"FileScan parquet spark_catalog.default.{store.name}") - 250 :] if f"default.{store.name}" in plan else plan[plan.rindex("FileScan parquet") - 250 :]
+    assert "Bucketed: true" in side and "Exchange" not in side[: side.index("FileScan")]
+    assert sorted(r.n for r in store.unseen(asked.where("hash is not null"), batch=1).collect()) == [899, 900, 900, 901]
+
+
+def test_store_prunes_and_opens_again(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store = HashStore(spark, path, buckets=2)
+    store.add(hashes(spark, *range(300)), 0)
+    few = hashes(spark, 7, 1000)
+    pruned = store.unseen(few, prune=True)
+    assert [r.n for r in pruned.collect()] == [1000]
+    assert 1 <= len(store.prefixes(few)) <= 2 and "PartitionFilters: [isnotnull(prefix" in pruned._jdf.queryExecution().executedPlan().toString() or "PartitionFilters: [prefix" in pruned._jdf.queryExecution().executedPlan().toString()
+    spark.sql(f"DROP TABLE {store.name}")
+    again = HashStore(spark, path, buckets=2)
+    assert again.rows().count() == 300 and again.unseen(few).count() == 1
+
+
+def test_stream_matches_the_store_alone(spark, tmp_path):
+    path = {n: str(tmp_path / n) for n in ("in", "out", "mark", "store")}
+    for wave in ([1, 2, 2], [2, 3], [3, 4, 4, 1]):
+        hashes(spark, *wave).coalesce(1).write.mode("append").parquet(path["in"])
+        stream = spark.readStream.schema("n int, hash string").parquet(path["in"])
+        store_unseen(stream, path["out"], path["mark"], path["store"]).awaitTermination()
+    out = spark.read.parquet(path["out"])
+    assert sorted((r.batch, r.n) for r in out.collect()) == [(0, 1), (0, 2), (0, 2), (1, 3), (2, 4), (2, 4)]
+    # a batch that is repeated after a failure replaces itself
+    store = HashStore(spark, path["store"])
+    assert sorted(r.n for r in store.unseen(hashes(spark, 3, 4, 4, 1), batch=2, prune=True).collect()) == [4, 4]
