@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as T
 from ..operators import enrich
-from ..sources import hash_store, scratch
+from ..sources import hash_store, scratch, service
 from ..sources.layout_json import ProviderError
 from .catalogue import LINES, lines, query, table
+from .fake_service import Shelf, Store
 
 # providers that fail
 
@@ -83,3 +84,47 @@ def _(spark, d):
     for batch, langs in enumerate((["en"], ["de"], ["en", "de", "fr", "es"])):
         store.add(rows.where(F.col("lang").isin(langs)), batch)
     return store.rows().groupBy("prefix", "batch").agg(F.count("*").alias("hashes"))
+
+
+# a library behind a service
+
+
+def customer_item(row: dict) -> dict:
+    tags = [row["c_mktsegment"], *(["rich"] if row["c_acctbal"] > 5000 else [])]
+    return {"key": str(row["c_custkey"]), "version": row["c_custkey"] % 7, "data": {"itemType": "annotation" if row["c_custkey"] % 3 else "attachment", "parentItem": str(row["c_nationkey"]), "title": row["c_name"], "tags": [{"tag": t} for t in tags]}}
+
+
+def customers(spark, d: str, **how) -> DataFrame:
+    return service.read_items(spark, Shelf(f"{d}/customer.parquet", ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), customer_item), **how)
+
+
+@query("paged_items", "SELECT CAST(c_custkey AS VARCHAR) AS key, c_custkey % 7 AS version, c_name AS title, c_acctbal > 5000 AS rich FROM customer WHERE c_mktsegment = 'BUILDING'")
+def _(spark, d):
+    return customers(spark, d, page_rows=20, partition_pages=2).where("tag = 'BUILDING'").select("key", "version", "title", F.array_contains("tags", "rich").alias("rich"))
+
+
+@query("paged_tags", "SELECT tag, count(*) AS items FROM (SELECT c_mktsegment AS tag FROM customer UNION ALL SELECT 'rich' FROM customer WHERE c_acctbal > 5000) GROUP BY tag")
+def _(spark, d):
+    return customers(spark, d).groupBy("tag").agg(F.count("*").alias("items"))
+
+
+@query("paged_children", "SELECT CAST(n_nationkey AS VARCHAR) AS parent, count(*) AS annotations FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND c_custkey % 3 <> 0 GROUP BY 1")
+def _(spark, d):
+    # the items of a run are few by their cap, and each of them is asked for its children
+    asia = table(spark, d, "nation").join(table(spark, d, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    parents = [str(r[0]) for r in asia.select("n_nationkey").collect()]
+    found = customers(spark, d, page_rows=30).where(F.col("parent").isin(parents) & (F.col("item_type") == "annotation"))
+    return found.dropDuplicates(["key"]).groupBy("parent").agg(F.count("*").alias("annotations"))
+
+
+@query("created_once", """WITH s AS (SELECT source, count(*) AS planned, count(*) FILTER (doc_id % 6 <> 5) AS created FROM documents GROUP BY source) SELECT source, planned, created, planned - created AS failed, CAST(sum(planned) OVER () AS BIGINT) AS all_planned, CAST(sum(created) OVER () AS BIGINT) AS all_created FROM s""")
+def _(spark, d):
+    # a third is refused in its batch, of which every other one passes alone; answers get lost; the run is made twice and creates nothing twice
+    folder, rows = scratch.new_path(spark, "service"), table(spark, d, "documents").select("source", "doc_id")
+    store = Store(folder, lambda row, n: row["doc_id"] % (6 if n == 1 else 3) == (5 if n == 1 else 2), lambda token: token[0] in "05a")
+    for _ in range(2):
+        figures = service.create_items(rows, "source", ["doc_id"], store, "run-1")
+    held = spark.read.schema("source string, doc_id long").json(f"{folder}/rows")
+    counts = held.groupBy("source").agg(F.count("*").alias("created"))
+    total = rows.groupBy("source").agg(F.count("*").alias("planned")).join(counts, "source", "left").withColumn("created", F.coalesce("created", F.lit(0)))
+    return total.select("source", "planned", "created", (F.col("planned") - F.col("created")).alias("failed"), F.lit(figures["planned"]).cast("long").alias("all_planned"), F.lit(figures["created"]).cast("long").alias("all_created"))

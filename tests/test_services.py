@@ -1,15 +1,20 @@
 """Calls in order, the ledger, the hash store, writes and paged reading."""
 
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from foliospark.config import Settings
 from foliospark.operators import enrich, layout
+from foliospark.plans.fake_service import Shelf, Store
+from foliospark.sources import service
 from foliospark.sources.hash_store import HashStore
 from foliospark.streaming.incremental import store_unseen
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # transports are made here, and run elsewhere
 CHAT = Settings(provider="chatgpt", chat_key="k", chat_model="m", target_lang="JA")
 
 
@@ -165,3 +170,76 @@ def test_stream_matches_the_store_alone(spark, tmp_path):
     # a batch that is repeated after a failure replaces itself
     store = HashStore(spark, path["store"])
     assert sorted(r.n for r in store.unseen(hashes(spark, 3, 4, 4, 1), batch=2, prune=True).collect()) == [4, 4]
+
+
+# a library behind a service
+
+
+class Log:
+    """A transport that writes down what it is asked, and passes it on."""
+
+    def __init__(self, inner, file):
+        self.inner, self.file = inner, str(file)
+
+    def __call__(self, method, path, params, headers, body):
+        with open(self.file, "a") as f:
+            f.write(json.dumps([method, path, params]) + "\n")
+        return self.inner(method, path, params, headers, body)
+
+    def seen(self):
+        with open(self.file) as f:
+            return [json.loads(x) for x in f]
+
+
+def shelf(spark, tmp_path, n=53, **how):
+    spark.range(n).select("id").coalesce(1).write.parquet(str(tmp_path / "items"))
+    item = lambda r: {"key": str(r["id"]), "version": 1, "data": {"itemType": "annotation" if r["id"] % 4 == 0 else "file", "parentItem": str(r["id"] % 3), "title": "t", "tags": [{"tag": "a"}, {"tag": "b"}, {"tag": " "}] if r["id"] % 2 else []}}
+    return Log(Shelf(str(tmp_path / "items"), ("id",), item, **how), tmp_path / "log")
+
+
+def test_pages_are_read_by_ranges_and_filters_reach_the_service(spark, tmp_path):
+    log = shelf(spark, tmp_path)
+    rows = service.read_items(spark, log, page_rows=5, partition_pages=2)
+    assert rows.rdd.getNumPartitions() == 6
+    assert sorted((int(r.key), r.tag or "") for r in rows.collect()) == sorted((i, t) for i in range(53) for t in ("ab" if i % 2 else [""]))
+    one = rows.where("tag = 'a' and version > 0")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "= a)" not in plan and "> 0)" in plan  # the tag is in the scan, what the service can't test is not
+    (tmp_path / "log").unlink()
+    assert sorted(int(r.key) for r in one.collect()) == list(range(1, 53, 2))
+    assert log.seen() and all(params["tag"] == "a" for _, _, params in log.seen())
+
+
+def test_children_are_all_read_whatever_their_kind(spark, tmp_path):
+    """Offsets go by what the service sent, not by what is left of it."""
+    for total in (True, False):
+        log = shelf(spark, tmp_path / str(total), with_total=total)
+        rows = service.read_items(spark, log, page_rows=4, partition_pages=1).where("parent in ('0', '2') and item_type = 'annotation'")
+        assert sorted(int(r.key) for r in rows.collect()) == [i for i in range(0, 53, 4) if i % 3 != 1]
+        assert {p for _, p, _ in log.seen()} == {"/items/0/children", "/items/2/children"}
+
+
+def test_a_lost_answer_or_a_second_run_creates_nothing_twice(spark, tmp_path):
+    rows = spark.createDataFrame([(f"i{k % 3}", k) for k in range(70)], "item string, n int")
+    store = Store(str(tmp_path / "s"), lambda row, size: row["n"] == 11 or (size > 1 and row["n"] == 12), lambda token: token[0] in "0123456")
+    figures = [service.create_items(rows, "item", ["n"], store, "r", batch_rows=5) for _ in range(2)]
+    assert figures[0] == figures[1] == {"batches": 15, "planned": 70, "created": 69, "failed": 1, "samples": ["i2-0: {'code': 400}"]}
+    held = [r.n for r in spark.read.schema("n int").json(str(tmp_path / "s" / "rows")).collect()]
+    assert sorted(held) == [n for n in range(70) if n != 11]
+    assert service.create_items(rows, "item", ["n"], store, "other", batch_rows=5)["created"] == 69  # another run is another thing
+
+
+def test_a_failed_job_commits_nothing_and_goes_on_from_there(spark, tmp_path):
+    rows = spark.createDataFrame([("a", k) for k in range(12)] + [("b", 99)], "item string, n int")
+    store = Store(str(tmp_path / "s"))
+
+    def down(method, path, params, headers, body):
+        if method == "POST" and b"99" in body:
+            raise RuntimeError("down")
+        return store(method, path, params, headers, body)
+
+    with pytest.raises(Exception, match="down"):
+        service.create_items(rows, "item", ["n"], down, "r")
+    assert json.loads((tmp_path / "s" / "runs" / "r").read_text()) == {"aborted": True}
+    assert service.create_items(rows, "item", ["n"], store, "r") == {"batches": 3, "planned": 13, "created": 13, "failed": 0, "samples": []}
+    assert spark.read.schema("n int").json(str(tmp_path / "s" / "rows")).count() == 13
