@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
-from ..operators import enrich
+from ..operators import annotations as A
+from ..operators import enrich, writes
 from ..sources import hash_store, scratch, service
 from ..sources.layout_json import ProviderError
 from .catalogue import LINES, lines, query, table
-from .fake_service import Shelf, Store
+from .fake_service import Cells, Shelf, Store
+from .library_queries import BROKEN, MATCHED, annotations, candidates
 
 # providers that fail
 
@@ -128,3 +130,49 @@ def _(spark, d):
     counts = held.groupBy("source").agg(F.count("*").alias("created"))
     total = rows.groupBy("source").agg(F.count("*").alias("planned")).join(counts, "source", "left").withColumn("created", F.coalesce("created", F.lit(0)))
     return total.select("source", "planned", "created", (F.col("planned") - F.col("created")).alias("failed"), F.lit(figures["planned"]).cast("long").alias("all_planned"), F.lit(figures["created"]).cast("long").alias("all_created"))
+
+
+# writes under a version
+
+
+def cells(spark, rows: DataFrame, other) -> tuple[Cells, object]:
+    """A store that holds ``rows(key, ...)``, and what reads it: of each key the last version."""
+    folder = scratch.new_path(spark, "cells")
+    store = Cells(folder, other)
+    store.fill(rows.select(F.col("key").cast("string").alias("key"), F.to_json(F.struct(*[n for n in rows.columns if n != "key"])).alias("row")))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "key") + ", key string, deleted boolean"
+
+    def read() -> DataFrame:
+        held = spark.read.schema(schema).json(f"{folder}/*")
+        last = held.groupBy("key").agg(F.max_by(F.struct(*[n for n in held.columns if n != "key"]), "version").alias("r")).select("key", "r.*")
+        return last.where("deleted is null").select(*[F.col(n).cast(rows.schema[n].dataType.simpleString()).alias(n) for n in rows.columns])
+
+    return store, read
+
+
+def mends_some(key: str, row: dict) -> dict | None:
+    """Somebody who changes every fifth annotation, and mends every tenth."""
+    if int(key) % 5:
+        return None
+    mended = {A.SORT: "00000|000000|00001", A.LABEL: "1", A.PLACE: "{}"} if int(key) % 10 == 0 else {"seen": "yes"}
+    return row | {"data": row["data"] | mended}
+
+
+MENDED = f"(SELECT *, NOT untagged AND h < 30 AS known, {BROKEN} AS bad, key % 10 = 0 AS theirs FROM {MATCHED})"
+
+
+@query("healed_in_place", f"SELECT pdf, count(*) FILTER (WHERE bad) AS broken, count(*) FILTER (WHERE bad AND (NOT untagged OR odd)) AS tagged, count(*) FILTER (WHERE bad AND known AND NOT theirs) AS repaired, count(*) FILTER (WHERE bad AND NOT known AND NOT theirs) AS deleted, count(*) FILTER (WHERE bad AND theirs) AS superseded, CAST(0 AS BIGINT) AS conflicts, count(*) FILTER (WHERE NOT (bad AND NOT known AND NOT theirs)) AS kept FROM {MENDED} GROUP BY pdf")
+def _(spark, d):
+    store, read = cells(spark, annotations(spark, d), mends_some)
+    after, counts = writes.healed_in_place(read, store, candidates(spark, d))
+    return counts.join(after.groupBy("pdf").agg(F.count("*").alias("kept")), "pdf")
+
+
+@query("retagged_in_place", "SELECT CAST(doc_id AS VARCHAR) AS key, 'updated' AS status, CAST(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS INT) AS tries, concat_ws(',', 'done', CASE WHEN quality = 1 THEN 'good' END, CASE WHEN doc_id % 4 = 0 THEN 'seen' END) AS tags FROM labels WHERE toxic = 0")
+def _(spark, d):
+    tags = F.expr("filter(array(if(toxic = 0, 'pending', ''), if(quality = 1, 'good', '')), t -> t <> '')")
+    items = table(spark, d, "labels").select(F.col("doc_id").alias("key"), F.lit(3).cast("long").alias("version"), tags.alias("tags"))
+    store, read = cells(spark, items, lambda key, row: row | {"tags": [*row["tags"], "seen"]} if int(key) % 4 == 0 else None)
+    changes = items.where("array_contains(tags, 'pending')").select("key", F.array(F.lit("done")).alias("add"), F.array(F.lit("pending")).alias("remove"))
+    done = writes.retagged_in_place(items, changes, store)
+    return done.join(read().select(F.col("key").cast("string").alias("key"), F.array_join(F.array_sort("tags"), ",").alias("tags")), "key")

@@ -8,8 +8,9 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from foliospark.config import Settings
-from foliospark.operators import enrich, layout
-from foliospark.plans.fake_service import Shelf, Store
+from foliospark.operators import annotations as A
+from foliospark.operators import enrich, layout, writes
+from foliospark.plans.fake_service import Cells, Shelf, Store
 from foliospark.sources import service
 from foliospark.sources.hash_store import HashStore
 from foliospark.streaming.incremental import store_unseen
@@ -243,3 +244,59 @@ def test_a_failed_job_commits_nothing_and_goes_on_from_there(spark, tmp_path):
     assert json.loads((tmp_path / "s" / "runs" / "r").read_text()) == {"aborted": True}
     assert service.create_items(rows, "item", ["n"], store, "r") == {"batches": 3, "planned": 13, "created": 13, "failed": 0, "samples": []}
     assert spark.read.schema("n int").json(str(tmp_path / "s" / "rows")).count() == 13
+
+
+# writes under a version
+
+
+def cells_of(spark, tmp_path, rows, other=lambda _k, _r: None):
+    store = Cells(str(tmp_path / "cells"), other)
+    store.fill(spark.createDataFrame([(k, json.dumps(r)) for k, r in rows.items()], "key string, row string"))
+    return store
+
+
+def changes(spark, *rows):
+    return spark.createDataFrame([(a, k, v, json.dumps(r)) for a, k, v, r in rows], "action string, key string, version long, row string")
+
+
+def test_conflicts_are_read_back_and_decided_anew(spark, tmp_path):
+    rows = {k: {"version": 4, "n": 1} for k in "abcdef"}
+    store = cells_of(spark, tmp_path, rows, lambda key, row: {"n": 7 if key == "b" else 50} if key in "bc" else None)
+    asked = changes(spark, *[("update", k, 4, {"n": 2}) for k in "abc"], ("update", "d", 3, {"n": 2}), ("delete", "e", 4, {}), ("delete", "x", 1, {}))
+
+    def again(stale):
+        now = stale.select("key", F.from_json("now", "version long, n int").alias("r")).where("r.n < 50")
+        return now.select(F.lit("update").alias("action"), "key", "r.version", F.to_json(F.struct((F.col("r.n") + 1).alias("n"))).alias("row"))
+
+    done = writes.written_back(asked, store, again)
+    for _ in range(2):  # an action on the outcome writes nothing again
+        assert {(r.key, r.status, r.tries) for r in done.collect()} == {("a", "updated", 1), ("b", "updated", 2), ("c", "superseded", 1), ("d", "updated", 2), ("e", "deleted", 1), ("x", "missing", 1)}
+    now = {k: store._now(k) for k in "abcdef"}
+    assert {k: (r["version"], r["n"]) for k, r in now.items()} == {"a": (5, 2), "b": (6, 8), "c": (5, 50), "d": (5, 2), "e": (5, 1), "f": (4, 1)} and now["e"]["deleted"]
+
+
+def test_what_never_settles_stays_a_conflict(spark, tmp_path):
+    store = cells_of(spark, tmp_path, {"a": {"version": 4}})
+    stale = lambda found: found.select(F.lit("update").alias("action"), "key", F.lit(1).cast("long").alias("version"), F.lit("{}").alias("row"))
+    done = writes.written_back(changes(spark, ("update", "a", 1, {})), store, stale, rounds=3)
+    assert [tuple(r) for r in done.collect()] == [("a", "conflict", 3)]
+
+
+def test_healing_ends_as_the_store_stands(spark, tmp_path):
+    """One repaired, one deleted, one that somebody mended meanwhile, one somebody else spoilt further, and one that is sound."""
+    sound = {A.SORT: "s", A.LABEL: "1", A.PLACE: "p"}
+    rows = {k: {"pdf": "d", "version": 1, "data": dict(sound) if k == "ok" else {A.LABEL: "1"}, "tags": [f"para:{k}"]} for k in ("fix", "gone", "mended", "spoilt", "ok")}
+    theirs = {"mended": {"data": dict(sound)}, "spoilt": {"data": {"x": "y"}}}
+    store = cells_of(spark, tmp_path, rows, lambda key, row: row | theirs[key] if key in theirs else None)
+
+    def read():
+        held = spark.read.schema("key string, pdf string, version long, data map<string,string>, tags array<string>, deleted boolean").json(f"{tmp_path}/cells/*")
+        return held.groupBy("key").agg(F.max_by(F.struct("pdf", "version", "data", "tags", "deleted"), "version").alias("r")).select("key", "r.*").where("deleted is null").drop("deleted")
+
+    fields = F.struct(F.lit("P").alias(A.PLACE), F.lit("2").alias(A.LABEL), F.lit("S").alias(A.SORT))
+    places = spark.createDataFrame([("d", f"para:{k}", 0) for k in ("fix", "mended", "spoilt")], "pdf string, tag string, rank int").withColumn("fields", fields)
+    after, counts = writes.healed_in_place(read, store, places)
+    assert [tuple(r) for r in counts.collect()] == [("d", 4, 4, 2, 1, 1, 0)]
+    assert {r.key: (r.version, r.data.get(A.SORT)) for r in after.collect()} == {"fix": (2, "S"), "mended": (2, "s"), "spoilt": (3, "S"), "ok": (1, "s")}
+    _, left = writes.healed_in_place(read, store, places)
+    assert [tuple(r) for r in left.collect()] == [("d", 0, 0, 0, 0, 0, 0)]
