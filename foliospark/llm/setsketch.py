@@ -129,24 +129,22 @@ def _likely_pairs(percent: int):
     return run
 
 
-def _spanning(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the pairs that join what the ones before don't."""
-    kept = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        while top[y] != y:
-            top[y] = top[top[y]]
-            y = top[y]
-        if x != y:
-            top[x] = y
-            kept.append(i)
-    return a[kept], b[kept]
+def _joined(label: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+    """Those of ``others`` that bring a component of their own to that of x, one for each; all become one."""
+    own, first = np.unique(label[others], return_index=True)
+    first, own = first[own != label[x]], own[own != label[x]]
+    if len(own):
+        label[np.isin(label, own)] = label[x]
+    return others[first]
 
 
 def _likely_in_block(percent: int):
-    """Of the classes of two blocks of a long list, or of one: pairs that may link, so many as span all that do."""
+    """Of the classes of two blocks of a long list, or of one: pairs that may link, so many as span all that do.
+
+    Pairs that agree in as many registers as the asked similarity makes us expect are taken at once, those that agree in under a half are out of the question, and
+    what lies between waits for its likelihood; nobody looks at pairs that are joined already.
+    """
+    expected = REGISTERS * np.log1p(percent / 100 * (BASE - 1)) / np.log(BASE)
 
     def run(table: pa.Table) -> pa.Table:
         values, n, nodes = _registers(table["sketch"]), table["n"].to_numpy(), table["node"]
@@ -154,18 +152,31 @@ def _likely_in_block(percent: int):
         one = table["i"][0] == table["j"][0]
         left = np.flatnonzero(side == 0)
         right = left if one else np.flatnonzero(side == 1)
-        top, a, b = np.arange(len(n)), [], []
+        label = np.unique(np.array([c.as_buffer().to_pybytes() for c in table["part"]], object), return_inverse=True)[1]
+        at, of, open_x, open_y, open_same = [], [], [], [], []
         for x in left.tolist():
-            others = right[right > x] if one else right
-            same = (values[others] == values[x]).sum(1)
-            near = same * 2 >= REGISTERS  # under a half, 0.8 is out of the question
-            others, same = others[near], same[near]
-            if len(others):
-                ok = others[_passes(same, (values[x] > values[others]).sum(1), np.full(len(others), n[x]), n[others], percent)]
-                p, q = _spanning(top, np.full(len(ok), x), ok)
-                a.append(p), b.append(q)
-        at, of = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-        return pa.table({"node": nodes.take(pa.array(at)), "hub": nodes.take(pa.array(of))})
+            others = right[label[right] != label[x]]
+            others = others[others > x] if one else others
+            if not len(others):
+                continue
+            same = np.count_nonzero(values[others] == values[x], axis=1)
+            wait = (same < expected) & (same * 2 >= REGISTERS)
+            open_x.append(np.full(int(wait.sum()), x)), open_y.append(others[wait]), open_same.append(same[wait])
+            joined = _joined(label, x, others[same >= expected])
+            at.append(np.full(len(joined), x)), of.append(joined)
+        if open_x:
+            x, y, same = (np.concatenate(v) for v in (open_x, open_y, open_same))
+            for start in range(0, len(x), 1 << 18):
+                a, b, s = x[start : start + (1 << 18)], y[start : start + (1 << 18)], same[start : start + (1 << 18)]
+                apart = label[a] != label[b]
+                a, b, s = a[apart], b[apart], s[apart]
+                ok = _passes(s, np.count_nonzero(values[a] > values[b], axis=1), n[a], n[b], percent)
+                for u, v in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                    if label[u] != label[v]:
+                        label[label == label[v]] = label[u]
+                        at.append(np.array([u])), of.append(np.array([v]))
+        left_ones, right_ones = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (at, of))
+        return pa.table({"node": nodes.take(pa.array(left_ones)), "hub": nodes.take(pa.array(right_ones))})
 
     return run
 
@@ -184,15 +195,17 @@ def _links_in_block(percent: int):
         owner = np.repeat(np.arange(len(right)), sizes[right])
         order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
-        top, a, b = np.arange(len(nodes)), [], []
+        label, a, b = np.arange(len(nodes)), [], []
         for x in left.tolist():
+            if (label[right] == label[x]).all():
+                continue
             low, high = np.searchsorted(keys, grams[x], "left"), np.searchsorted(keys, grams[x], "right")
             k = high - low
             found = np.repeat(low - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
             both = np.bincount(owner[found], minlength=len(right))
             ok = right[both * (100 + percent) >= (sizes[x] + sizes[right]) * percent]
-            p, q = _spanning(top, np.full(len(ok), x), ok)
-            a.append(p), b.append(q)
+            joined = _joined(label, x, ok)
+            a.append(np.full(len(joined), x)), b.append(joined)
         at, of = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
         return pa.table({"node": nodes.take(pa.array(at)), "hub": nodes.take(pa.array(of))})
 
@@ -227,18 +240,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, most_lis
     posts = classes.select("sketch", "node", "n").mapInArrow(_bands, "band long, node binary, n long")
     lists = posts.groupBy("band").agg(F.count("*").alias("list")).where("list > 1")
     posts = common.written(posts.join(lists, "band"), "bands")
-    small = posts.where(F.col("list") <= most_listed)
-    other = small.select("band", F.col("node").alias("hub"), F.col("n").alias("m"))
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    pairs = small.join(other, "band").where(f"node < hub and {fits}").select("node", "hub").distinct()
     its = classes.select("node", "n", "sketch")
-    pairs = pairs.join(its.hint("merge"), "node").join(its.select(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("sketch").alias("other_sketch")).hint("merge"), "hub")
-    likely = pairs.select("node", "hub", "n", "m", "sketch", "other_sketch").mapInArrow(_likely_pairs(percent), "node binary, hub binary")
-    long_lists = posts.where(F.col("list") > most_listed)
-    dealt = _dealt(long_lists, "band", F.ceil(F.col("list") / block_sketches))
-    blocks = dealt.join(its.hint("merge"), "node").groupBy("band", "i", "j").applyInArrow(_likely_in_block(percent), "node binary, hub binary")
-    likely = common.written(likely.unionAll(blocks), "likely")
+
+    def likely_of(pairs: DataFrame) -> DataFrame:
+        theirs = its.select(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("sketch").alias("other_sketch"))
+        both = pairs.join(its.hint("merge"), "node").join(theirs.hint("merge"), "hub").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+        return both.select("node", "hub", "n", "m", "sketch", "other_sketch").mapInArrow(_likely_pairs(percent), "node binary, hub binary")
+
+    # all of a list with its first one; for what follows, those that it joins count as one part, so that a large group makes no pairs
+    lead = posts.groupBy("band").agg(F.min("node").alias("hub"))
+    stars = common.written(likely_of(posts.join(lead, "band").where("node <> hub").select("node", "hub").distinct()), "stars")
+    common.release(docs.sparkSession)
+    parts = common.connected_components(stars.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("root", "part")
+    parted = posts.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    several = parted.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("band")
+    parted = common.written(parted.join(several, "band"), "parts")
     common.dropped(posts)
+    small = parted.where(F.col("list") <= most_listed)
+    other = small.select("band", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("part").alias("its_part"))
+    pairs = small.join(other, "band").where(f"node < hub and part <> its_part and 100 * least(n, m) >= {percent} * greatest(n, m)").select("node", "hub").distinct()
+    dealt = _dealt(parted.where(F.col("list") > most_listed), "band", F.ceil(F.col("list") / block_sketches), "part")
+    blocks = dealt.join(its.hint("merge"), "node").groupBy("band", "i", "j").applyInArrow(_likely_in_block(percent), "node binary, hub binary")
+    likely = common.written(likely_of(pairs).unionAll(blocks).unionAll(stars), "likely")
+    common.dropped(parted, stars)
     common.release(docs.sparkSession)
     clusters = common.connected_components(likely.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("root", "cluster")
     members = common.written(clusters.join(classes.select("node", "n", "row"), "node"), "clusters")
