@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from . import text as T
 
@@ -12,6 +13,7 @@ _MATH = re.compile(T.MATH_ANY)
 _NAMED = re.compile(r"\b(?:max|min|argmax|argmin|Es?|Q|Li)\b")
 _NUMBER = re.compile(r"[+\-−]?\d+(?:\.\d+)?")
 _CONNECTS = re.compile(T.CONNECTS)
+_CAPTION = re.compile(T.CAPTION)
 
 
 def ends_sentence(s: str) -> bool:
@@ -43,6 +45,13 @@ def connects(s: str) -> bool:
     return bool(_CONNECTS.match(s.lstrip()))
 
 
+def is_captionish(s: str) -> bool:
+    """Whether a text is a caption, or short and like the rest of one."""
+    t = s.strip(" ")
+    short = t != "" and len(t) <= 120 and unicodedata.category(t[0]) != "Ll" and ("," in t or len(t.split()) <= 6)
+    return short or bool(_CAPTION.match(t))
+
+
 def table_score(s: str) -> float:
     """How much a text looks like a row of a table, 0 to 1; a percent sign makes no number here."""
     tokens = s.split()

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ty
 
 from ..functions import text as T
+from ..functions.plain import is_captionish
 
 
 def split_lines(docs: DataFrame, pattern: str = "\n") -> DataFrame:
@@ -69,40 +74,70 @@ def merge_continuations(paragraphs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("parts")[0]["ord"].alias("ord"), joined.alias("text"), hashes[0].alias("hash"), hashes.alias("hashes"))
 
 
+#: So much of a text's beginning is kept in mind: a longer text can't be short, and a caption's label stands at its beginning.
+HEAD_CHARS = 256
+
+
+def _with_runs(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_run``, counted up in each document wherever a paragraph doesn't join the one before.
+
+    Rows come in the order of their document and pass through; of what has been joined so far only its beginning, whether it ends a sentence, and its pages are kept.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, begun, run, head, captioned, ended, page, ends = None, False, 0, "", False, False, None, None
+        for batch in batches:
+            runs = []
+            columns = [batch[n].to_pylist() for n in ("doc_id", "_head", "_captioned", "_more", "_goes_on", "_ended", "_page", "_begins", "_ends")]
+            for its_doc, its_head, its_captioned, more, goes_on, its_ended, its_page, its_begin, its_end in zip(*columns, strict=True):
+                if not begun or its_doc != doc:
+                    doc, begun, run, joins = its_doc, True, 0, False
+                else:
+                    if ends is not None and its_begin is not None:
+                        near = its_begin - ends in (0, 1)
+                    else:
+                        near = page is None or its_page is None or page == its_page
+                    joins = near and (more if captioned else goes_on and not ended)
+                    run += not joins
+                if joins:
+                    head = f"{head.rstrip(' ')} {its_head.lstrip(' ')}".strip(" ")[:HEAD_CHARS] if len(head) < HEAD_CHARS else head
+                    captioned, ended = is_captionish(head), its_ended
+                    ends = its_end if ends is None else ends if its_end is None else max(ends, its_end)
+                else:
+                    head, captioned, ended, page, ends = its_head, its_captioned, its_ended, its_page, its_end
+                runs.append(run)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs, pa.int64())], names=[*batch.schema.names, "_run"])
+
+    return rows.mapInArrow(walk, ty.StructType([*rows.schema.fields, ty.StructField("_run", ty.LongType())]))
+
+
 def merge_captions(paragraphs: DataFrame) -> DataFrame:
     """``doc_id, ord, text, hash``, and ``coords, page`` where given: the merge that knows captions.
 
     Captions take short continuations only, other paragraphs those that begin in lower case or with a closing sign, on the same or the next page.
-    The tests look at the text gathered so far, so which paragraphs join is a fold over a document's paragraphs; texts and
-    places are then put together by the runs it found. A merged paragraph has the hash of its whole text.
+    The tests look at the text gathered so far, of which its beginning, its end and its pages tell all they ask: a document is walked through in order, in batches, in
+    time that grows with its paragraphs, and no row holds more than a run that is joined. A merged paragraph has the hash of its whole text.
     """
     more = [n for n in ("page", "coords") if n in paragraphs.columns]
-    page = F.col("page") if "page" in more else F.lit(None).cast("int")
+    text = F.coalesce("text", F.lit(""))
     pages = F.transform("coords", lambda c: c["page"]) if "coords" in more else F.lit(None).cast("array<int>")
-    part = F.struct("ord", "text", page.alias("page"), F.array_min(pages).alias("begins"), F.array_max(pages).alias("ends"), *[F.col(n).alias(f"its_{n}") for n in more])
-    rows = paragraphs.groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    none = F.lit(None)
-    start = F.struct(none.cast("string").alias("now"), none.cast("int").alias("page"), none.cast("int").alias("ends"), F.array().cast("array<boolean>").alias("joins"))
-
-    def step(s: Column, p: Column) -> Column:
-        now = s["now"]
-        captioned = T.is_caption(now) | T.continues_caption(now)
-        apart = F.when(s["ends"].isNotNull() & p["begins"].isNotNull(), ~(p["begins"] - s["ends"]).isin(0, 1)).otherwise(F.coalesce(s["page"] != p["page"], F.lit(False)))
-        joins = now.isNotNull() & ~apart & F.when(captioned, T.continues_caption(p["text"])).otherwise(F.ltrim(p["text"]).rlike(T.CONTINUES) & ~now.rlike(T.SENTENCE_END))
-
-        def state(j: Column) -> Column:
-            text = F.when(j, F.trim(F.concat_ws(" ", F.rtrim(now), F.ltrim(p["text"])))).otherwise(p["text"])
-            return F.struct(text.alias("now"), F.when(j, s["page"]).otherwise(p["page"]).alias("page"), F.when(j, F.greatest(s["ends"], p["ends"])).otherwise(p["ends"]).alias("ends"), F.array_append(s["joins"], j).alias("joins"))
-
-        return T.bound(F.coalesce(joins, F.lit(False)), state)
-
-    each = rows.select("doc_id", F.posexplode(F.arrays_zip("parts", F.aggregate("parts", start, step, lambda s: s["joins"]).alias("joins"))).alias("pos", "z"))
-    island = F.sum(F.when(F.col("z.joins"), 0).otherwise(1)).over(Window.partitionBy("doc_id").orderBy("pos"))
-    runs = each.withColumn("island", island).groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "z.parts"))).alias("run"))
-    texts = F.transform("run", lambda x: x["parts"]["text"])
+    flags = {
+        "_head": F.left(text, F.lit(HEAD_CHARS)),
+        "_captioned": T.is_caption(text) | T.continues_caption(text),
+        "_more": T.continues_caption(text),
+        "_goes_on": F.ltrim(text).rlike(T.CONTINUES),
+        "_ended": text.rlike(T.SENTENCE_END),
+        "_page": (F.col("page") if "page" in more else F.lit(None)).cast("int"),
+        "_begins": F.array_min(pages).cast("int"),
+        "_ends": F.array_max(pages).cast("int"),
+    }
+    rows = paragraphs.select("doc_id", "ord", "text", *more, *[c.alias(n) for n, c in flags.items()]).repartition("doc_id").sortWithinPartitions("doc_id", "ord")
+    part = F.struct("ord", "text", *more)
+    runs = _with_runs(rows).groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list(part)).alias("run"))
+    texts = F.transform("run", lambda x: x["text"])
     joined = F.when(F.size("run") == 1, texts[0]).otherwise(F.array_join(F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != ""), " "))
-    made = runs.select("doc_id", F.col("run")[0]["parts"]["ord"].alias("ord"), joined.alias("text"), "run").withColumn("hash", T.content_hash(F.col("text")))
-    whole = {"page": lambda: F.col("run")[0]["parts"]["its_page"], "coords": lambda: F.flatten(F.transform("run", lambda x: F.coalesce(x["parts"]["its_coords"], F.array())))}
+    made = runs.select("doc_id", F.col("run")[0]["ord"].alias("ord"), joined.alias("text"), "run").withColumn("hash", T.content_hash(F.col("text")))
+    whole = {"page": lambda: F.col("run")[0]["page"], "coords": lambda: F.flatten(F.transform("run", lambda x: F.coalesce(x["coords"], F.array())))}
     return made.select("doc_id", "ord", "text", "hash", *[whole[n]().alias(n) for n in more])
 
 

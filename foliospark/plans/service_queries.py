@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as T
 from ..operators import annotations as A
-from ..operators import enrich, writes
-from ..sources import hash_store, scratch, service
+from ..operators import enrich, layout, writes
+from ..sources import hash_store, layout_json, scratch, service
 from ..sources.layout_json import ProviderError
 from .catalogue import LINES, lines, query, table
 from .fake_service import Cells, Shelf, Store
@@ -176,3 +176,23 @@ def _(spark, d):
     changes = items.where("array_contains(tags, 'pending')").select("key", F.array(F.lit("done")).alias("add"), F.array(F.lit("pending")).alias("remove"))
     done = writes.retagged_in_place(items, changes, store)
     return done.join(read().select(F.col("key").cast("string").alias("key"), F.array_join(F.array_sort("tags"), ",").alias("tags")), "key")
+
+
+# layout dumps, some of them spoilt
+
+
+PAGES = "(SELECT doc_id, greatest(1, CAST(ceil(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) / 40.0) AS BIGINT)) AS pages FROM documents)"
+
+
+@query("layout_scan", f"SELECT CASE WHEN doc_id % 10 = 3 THEN 'malformed' WHEN doc_id % 10 = 5 THEN 'wrong_types' WHEN doc_id % 10 = 7 THEN 'no_pages' ELSE 'sound' END AS outcome, count(*) AS documents, CAST(sum(CASE WHEN doc_id % 10 IN (3, 5, 7) THEN 0 ELSE pages END) AS BIGINT) AS pages FROM {PAGES} GROUP BY 1")
+def _(spark, d):
+    # a file of dumps in which a third is not what it should be
+    dumps = layout.layout_of_texts(table(spark, d, "documents"))
+    whole = F.to_json(F.struct("doc_id", "pages"))
+    spoilt = F.when(F.col("doc_id") % 10 == 3, F.expr("left(whole, length(whole) - 2)")).when(F.col("doc_id") % 10 == 5, F.lit('{"doc_id": 1, "pages": "none"}')).when(F.col("doc_id") % 10 == 7, F.lit('{"doc_id": 1, "title": "x"}'))
+    path = scratch.new_path(spark, "dumps")
+    dumps.withColumn("whole", whole).select(F.coalesce(spoilt, F.col("whole")).alias("value")).write.text(path)
+    good, rejected = layout_json.scan_layout(spark, path)
+    sound = good.select(F.lit("sound").alias("outcome"), F.size("pages").cast("long").alias("pages"))
+    both = sound.unionAll(rejected.select("reason", F.lit(0).cast("long")))
+    return both.groupBy("outcome").agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"))

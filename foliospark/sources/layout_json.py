@@ -18,6 +18,21 @@ def read_layout(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("pages", F.when(F.col("pages").isNull(), F.raise_error(F.lit("pages must be a list"))).otherwise(F.col("pages")))
 
 
+def scan_layout(spark: SparkSession, path: str, whole_files: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sound layout dumps under ``path``, and ``file, reason, sample`` of the others: no document ends the job.
+
+    A line is a document, or with ``whole_files`` a file, which may then be indented. Reasons: ``malformed`` where it is no JSON, ``wrong_types`` where a field has
+    another type than a dump's, ``no_pages`` where there is no list of pages. Blank lines are none. The text is read once for both, and ``sample`` is its beginning.
+    """
+    raw = spark.read.text(path, wholetext=whole_files).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    read = raw.withColumn("r", F.from_json("value", f"{SCHEMA}, _corrupt string", how))
+    reason = F.when(~T.is_json(F.col("value")), "malformed").when(F.col("r._corrupt").isNotNull(), "wrong_types").when(F.col("r.pages").isNull(), "no_pages")
+    marked = read.withColumn("reason", reason)
+    good = marked.where("reason is null").select(F.col("r.doc_id").alias("doc_id"), F.col("r.pages").alias("pages"))
+    return good, marked.where("reason is not null").select("file", "reason", F.left("value", F.lit(200)).alias("sample"))
+
+
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("key"), "content")
 

@@ -93,6 +93,20 @@ def test_caption_merge_equals_the_fold(spark):
         assert [x.text for x in out] == caption_merge(texts)
 
 
+def test_caption_merge_walks_a_long_merge_in_linear_time(spark):
+    import time
+
+    def took(n):
+        rows = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("ord"), F.expr("if(id = 0, 'It begins here with more words than six and', 'and so it goes on and on')").alias("text"))
+        began = time.perf_counter()
+        out = P.merge_captions(rows).collect()
+        assert len(out) == 1 and len(out[0].text) == 43 + 25 * (n - 1)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(100_000) < 20
+
+
 def test_references_are_cut_only_late_and_before_entries(spark):
     body = [f"Text number {i}." for i in range(6)]
     late = chained(spark, [*body, "References", "[1] Smith, J. 1999 Proc."])

@@ -11,7 +11,7 @@ from foliospark.config import Settings
 from foliospark.operators import annotations as A
 from foliospark.operators import enrich, layout, writes
 from foliospark.plans.fake_service import Cells, Shelf, Store
-from foliospark.sources import service
+from foliospark.sources import layout_json, service
 from foliospark.sources.hash_store import HashStore
 from foliospark.streaming.incremental import store_unseen
 
@@ -300,3 +300,21 @@ def test_healing_ends_as_the_store_stands(spark, tmp_path):
     assert {r.key: (r.version, r.data.get(A.SORT)) for r in after.collect()} == {"fix": (2, "S"), "mended": (2, "s"), "spoilt": (3, "S"), "ok": (1, "s")}
     _, left = writes.healed_in_place(read, store, places)
     assert [tuple(r) for r in left.collect()] == [("d", 0, 0, 0, 0, 0, 0)]
+
+
+# layout dumps
+
+
+def test_one_bad_dump_leaves_the_rest(spark, tmp_path):
+    sound = json.dumps({"doc_id": 1, "pages": [{"page": 1, "width": 1.0, "height": 2.0, "dict": {"blocks": []}}]})
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.json").write_text("\n".join([sound, "", sound[:-3], '{"doc_id": 2}', '{"doc_id": 3, "pages": {"page": 1}}', "[1]", '{"doc_id": 4, "pages": []}']))
+    good, bad = layout_json.scan_layout(spark, str(tmp_path / "lines"))
+    assert sorted((r.doc_id, len(r.pages)) for r in good.collect()) == [(1, 1), (4, 0)]
+    assert sorted((r.reason, r["sample"][:9]) for r in bad.collect())[:2] == [("malformed", '{"doc_id"'), ("no_pages", '{"doc_id"')] and bad.count() == 4
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.json").write_text(json.dumps(json.loads(sound), indent=2))
+    (tmp_path / "files" / "b.json").write_text("{\n")
+    good, bad = layout_json.scan_layout(spark, str(tmp_path / "files"), whole_files=True)
+    assert [r.doc_id for r in good.collect()] == [1]
+    assert [(r.reason, r.file.rsplit("/", 1)[1]) for r in bad.collect()] == [("malformed", "b.json")]
