@@ -6,6 +6,7 @@ format's validator reads the structure and the lengths that the format itself st
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import struct
@@ -123,44 +124,78 @@ def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
     return "image/bmp", at + size
 
 
-_MARKER = re.compile(rb"(?:startxref\s+(\d{1,10})\s+)?%%EOF")
-_OBJECT = re.compile(rb"\d+\s+\d+\s+obj\b.*?\bendobj\b", re.DOTALL)
-_XREF = re.compile(rb"xref\b|\d+\s+\d+\s+obj\b")
+_HEADER = re.compile(rb"%PDF-\d")
+_MARKER = re.compile(rb"(?:startxref\s{1,8}(\d{1,10})\s{1,8})?%%EOF")
+_OBJECT, _ENDED = re.compile(rb"(?<!\d)\d++\s++\d++\s++obj\b"), re.compile(rb"\bendobj\b")
+_XREF = re.compile(rb"xref\b|\d{1,10}\s{1,8}\d{1,10}\s{1,8}obj\b")
 
 
-def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
-    """Up to the first end marker whose startxref fits, and the later ones of updates, whose tables stand after the end before.
+@lru_cache(maxsize=1)
+def _pdf_ends(raw: bytes) -> dict[int, int]:
+    """The end of each PDF file in a value, by the place of its header: all markers are found once.
 
-    Where none fits, as in damaged files, up to the last marker before the next header, if whole objects stand between.
+    A file goes up to the first end marker whose startxref fits, and to the later ones of updates, whose tables stand after the end before. Where none fits,
+    as in damaged files, up to the last marker before the next header, if a whole object stands between.
     """
-    if not chr(b[at + 5]).isdigit():
-        return None
-    raw, end = b.obj, None
-    for mark in _MARKER.finditer(raw, at):
-        # a linearized file's first part says 0
-        if (place := int(mark[1] or 0)) and (end or at) <= at + place < mark.start() and _XREF.match(raw, at + place):
-            end = mark.end()
-    if end is None:
-        following = raw.find(b"%PDF-", at + 5)
-        last = raw.rfind(b"%%EOF", at, following if following >= 0 else len(raw))
-        end = last + 5 if last >= 0 and _OBJECT.search(raw, at, last) else None
-    return None if end is None else ("application/pdf", end)
+    headers = [m.start() for m in _HEADER.finditer(raw)]
+    if not headers:
+        return {}
+    marks, ends = {}, []
+    for m in _MARKER.finditer(raw):
+        ends.append(m.end())
+        if place := int(m[1] or 0):  # a linearized file's first part says 0
+            marks.setdefault(place, []).append((m.start(), m.end()))
+    at, data, fitting = np.array(headers), np.frombuffer(raw, np.uint8), {}
+    # of the marks with one place only the first after the table can fit a header
+    for place, mine in marks.items():
+        near = at[at + place < mine[-1][0]]
+        first = data[near + place]
+        for h in near[(first == ord("x")) | (first >= ord("0")) & (first <= ord("9"))].tolist():
+            if _XREF.match(raw, h + place):
+                fitting.setdefault(h, []).append((*mine[bisect.bisect_right(mine, (h + place, len(raw)))], h + place))
+    found = {}
+    for n, h in enumerate(headers):
+        end = None
+        for _, its_end, table in sorted(fitting.get(h, ())):
+            if table >= (end or h):
+                end = its_end
+        if end is None:
+            following = headers[n + 1] if n + 1 < len(headers) else len(raw)
+            k = bisect.bisect_right(ends, following)
+            last = ends[k - 1] if k and ends[k - 1] - 5 >= h else None
+            if last and (one := _OBJECT.search(raw, h, last)) and _ENDED.search(raw, one.end(), last):
+                end = last
+        if end:
+            found[h] = end
+    return found
 
 
-def _zip(b: memoryview, at: int) -> tuple[str, int] | None:
-    """Up to the first end record whose directory fits: every entry in it has its local header, the first one at the start."""
-    raw, p = b.obj, at
-    while (p := raw.find(b"PK\x05\x06", p + 4)) >= 0 and p + 22 <= len(raw):
+def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
+    end = _pdf_ends(b.obj).get(at)
+    return end and ("application/pdf", end)
+
+
+@lru_cache(maxsize=1)
+def _zip_ends(raw: bytes) -> dict[int, int]:
+    """The end of each ZIP file in a value, by its start: an end record tells where its file begins, and it fits when every entry of its directory has its local header, one of them at the start."""
+    found, p = {}, -1
+    while (p := raw.find(b"PK\x05\x06", p + 1)) >= 0 and p + 22 <= len(raw):
         entries, size, start, note = struct.unpack_from("<HIIH", raw, p + 10)
-        if at + start + size != p or p + 22 + note > len(raw):
+        at = p - size - start
+        if at < 0 or at in found or p + 22 + note > len(raw) or raw[at : at + 4] != b"PK\x03\x04":
             continue
         q, places = at + start, []
         while q + 46 <= p and raw[q : q + 4] == b"PK\x01\x02":
             places.append(struct.unpack_from("<I", raw, q + 42)[0])
             q += 46 + sum(struct.unpack_from("<HHH", raw, q + 28))
         if q == p and len(places) == entries and 0 in places and all(raw[at + x : at + x + 4] == b"PK\x03\x04" for x in places):
-            return "application/zip", p + 22 + note
-    return None
+            found[at] = p + 22 + note
+    return found
+
+
+def _zip(b: memoryview, at: int) -> tuple[str, int] | None:
+    end = _zip_ends(b.obj).get(at)
+    return end and ("application/zip", end)
 
 
 def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
