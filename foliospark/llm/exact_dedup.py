@@ -118,8 +118,11 @@ def snapshot_filters(digests: DataFrame) -> DataFrame:
     return digests.select("bucket", "key").groupBy("bucket").applyInArrow(build, "bucket long, filter binary")
 
 
-def screened(filters: DataFrame, digests: DataFrame) -> DataFrame:
-    """``digests(bucket, key, ...)`` with ``maybe``: false only for keys that the snapshot surely lacks."""
+def screened(filters: DataFrame, digests: DataFrame, parts: int = 1) -> DataFrame:
+    """``digests(bucket, key, ...)`` with ``maybe``: false only for keys that the snapshot surely lacks.
+
+    Buckets follow the snapshot; a larger batch is dealt over ``parts`` parts of each bucket, to every one of which the bucket's filter goes.
+    """
     schema = pa.schema([("bucket", pa.int64()), ("key", pa.int64()), ("maybe", pa.bool_())])
 
     def look(mine: pa.Table, new: pa.Table) -> pa.Table:
@@ -130,7 +133,9 @@ def screened(filters: DataFrame, digests: DataFrame) -> DataFrame:
             maybe = np.zeros(len(keys), bool)
         return pa.table({"bucket": new["bucket"].cast(pa.int64()), "key": new["key"], "maybe": pa.array(maybe, pa.bool_())}, schema)
 
-    return filters.groupBy("bucket").cogroup(digests.select("bucket", "key").groupBy("bucket")).applyInArrow(look, "bucket long, key long, maybe boolean")
+    everywhere = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = digests.select("bucket", "key", F.pmod(F.xxhash64("key", F.lit("part")), F.lit(parts)).cast("int").alias("part"))
+    return everywhere.groupBy("bucket", "part").cogroup(dealt.groupBy("bucket", "part")).applyInArrow(look, "bucket long, key long, maybe boolean")
 
 
 @dataclass
@@ -140,6 +145,7 @@ class Snapshot:
     docs: DataFrame
     path: str
     digest_hex: int = 64
+    bucket_keys: int = 1 << 17
 
     def table(self, name: str) -> DataFrame:
         return self.docs.sparkSession.read.parquet(f"{self.path}/{name}")
@@ -173,7 +179,7 @@ def publish(docs: DataFrame, path: str, digest_hex: int = 64, bucket_keys: int =
     ``bucket_keys`` bounds the keys of one filter; ``digest_hex`` shortens the digest (a test hook: with few digits texts
     collide, and only the byte check keeps them apart).
     """
-    made = Snapshot(docs, path, digest_hex)
+    made = Snapshot(docs, path, digest_hex, bucket_keys)
     _digests(docs, digest_hex).write.parquet(f"{path}/digests")
     _groups(made.table("digests")).write.parquet(f"{path}/keys")
     buckets = max(1, -(-made.table("keys").count() // bucket_keys))
@@ -198,7 +204,8 @@ def against(snapshot: Snapshot, batch: DataFrame) -> DataFrame:
     held = filters.agg(F.max("buckets")).first()[0] or 1
     old = snapshot.table("groups")
     new = common.written(_groups(mine).withColumn("bucket", _bucket(held)), "groups")
-    verdict = common.written(screened(filters.drop("buckets"), new), "screened")
+    parts = max(1, -(-new.count() // (held * snapshot.bucket_keys)))  # an empty or small snapshot has one bucket, whatever comes
+    verdict = common.written(screened(filters.drop("buckets"), new, parts), "screened")
     # what passed the filters meets the exact digests of the snapshot
     hits = new.join(verdict.where("maybe").select("key").distinct(), "key", "left_semi").select("digest").join(old.select("digest"), "digest", "left_semi")
     shared = hits.unionAll(old.where("n > 1").select("digest")).unionAll(new.where("n > 1").select("digest")).distinct()

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import lexical_search, phrases, setsketch
+from foliospark.llm import exact_dedup, lexical_search, media, phrases, setsketch
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -224,3 +225,38 @@ def test_each_band_bears_its_share(spark):
             a, b = setsketch.sketches([x[:450], x[50:]])
         hits.append((a == b).reshape(-1, setsketch.ROWS).all(1).mean())
     assert abs(np.mean(hits) - 0.8077**6) < 0.05
+
+
+# what doesn't hang on the size of a value or a snapshot
+
+
+@pytest.mark.parametrize("unit", [b"%PDF-1 %%EOF ", b"%PDF-1 startxref 7 %%EOF ", b"%PDF-1 1 0 obj startxref 7 %%EOF ", b"PK\x03\x04PK\x05\x06" + b"\0" * 18, b"1 0 obj ", b"1" * 64, b"%PDF-1 1 0 obj "])
+def test_long_values_full_of_markers_take_linear_time(unit):
+    raw = unit * (5_000_000 // len(unit))
+    began = time.perf_counter()
+    media.sniff(raw)
+    assert time.perf_counter() - began < 20
+
+
+def test_updates_and_embedded_pdfs():
+    def pdf(body, more=b""):
+        head = b"%PDF-1.4\n1 0 obj\n" + body + b"\nendobj\n"
+        return head + b"xref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF" % len(head) + more
+
+    inner = pdf(b"inner")
+    outer = pdf(b"stream " + inner + b" endstream")
+    update = b"\n2 0 obj\nx\nendobj\nxref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF" % (len(outer) + len(b"\n2 0 obj\nx\nendobj\n"))
+    for raw, parts in ((outer, [outer, inner]), (outer + update, [outer + update, inner]), (inner + b" and " + inner, [inner, inner])):
+        assert [raw[a:b] for _, a, b in media.sniff(raw)] == parts
+
+
+def test_a_large_batch_meets_an_empty_snapshot_in_parts(spark, empty):
+    docs = spark.createDataFrame([(i, f"text {i % 300}") for i in range(900)], "doc_id long, text string")
+    snapshot = docs.where("doc_id < 0")
+    got = exact_dedup.exact_dedup(snapshot, docs, bucket_keys=16).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, i % 300, 3) for i in range(900)}
+    digests = docs.select(F.lit(0).cast("long").alias("bucket"), F.xxhash64("doc_id").alias("key"))
+    filters = exact_dedup.snapshot_filters(digests.where("key % 3 = 0"))
+    assert exact_dedup.screened(filters, digests, 19).where("key % 3 = 0 and not maybe").count() == 0
+    plan = exact_dedup.screened(filters, digests, 19)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket" in plan and "part" in plan[plan.index("hashpartitioning") :].split(")")[0]
