@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame
@@ -84,10 +85,9 @@ def _(spark, d):
     return lines(spark, d).groupBy("source").agg(F.count("*").alias("total"), F.count_if(~keeps & (n < 60)).alias("short"), F.count_if(~keeps & (n > 60)).alias("long"), F.count_if(keeps).alias("kept"))
 
 
-@query("source_suffix", LINES + "SELECT doc_id, ord, md5(CASE WHEN text = '' THEN upper(text) WHEN length(text) <= 30 THEN concat(upper(text), chr(10), chr(10), 'SRC: ', text) ELSE concat(upper(text), chr(10), chr(10), 'SRC: ', rtrim(left(text, 10)), ' … ', ltrim(right(text, 10))) END) AS md5 FROM l WHERE regexp_matches(text, '^[ -~]*$')")
+@query("source_suffix", LINES + "SELECT doc_id, ord, md5(CASE WHEN text = '' THEN md5(text) WHEN length(text) <= 30 THEN concat(md5(text), chr(10), chr(10), 'SRC: ', text) ELSE concat(md5(text), chr(10), chr(10), 'SRC: ', rtrim(left(text, 10)), ' … ', ltrim(right(text, 10))) END) AS md5 FROM l")
 def _(spark, d):
-    plain = lines(spark, d).where(F.col("text").rlike("^[ -~]*$"))
-    return plain.select("doc_id", "ord", F.md5(T.with_source(F.upper("text"), F.col("text"))).alias("md5"))
+    return lines(spark, d).select("doc_id", "ord", F.md5(T.with_source(F.md5("text"), F.col("text"))).alias("md5"))
 
 
 # the library
@@ -245,29 +245,29 @@ def _(spark, d):
 
 
 def candidates(spark, d: str) -> DataFrame:
-    """Paragraphs with 30 of the 50 hashes, each twice; the later place counts."""
-    rows = spark.range(60).select((F.col("id") % 30).alias("h"), F.col("id").alias("rank")).crossJoin(spark.range(20).withColumnRenamed("id", "pdf"))
+    """Orders as paragraphs: 30 of the 50 hashes, each on several places of a PDF; the last one counts."""
+    rows = table(spark, d, "orders").select((F.col("o_orderkey") % 30).alias("h"), F.col("o_orderkey").alias("rank"), (F.col("o_custkey") % 20).alias("pdf"))
     coords = F.array(F.struct(F.lit(1).alias("page"), F.col("rank").cast("double").alias("x"), F.lit(50.0).alias("y"), F.lit(10.0).alias("w"), F.lit(12.0).alias("h")))
     fields = A.position_fields(coords, F.lit(842.0), F.lit(595.0))
     return rows.select("pdf", F.concat(F.lit("para:"), F.sha1(F.encode(F.col("h").cast("string"), "UTF-8"))).alias("tag"), fields.alias("fields"), "rank")
 
 
-MATCHED = f"(SELECT a.*, u.user_id % 50 AS h FROM {ANNOTATIONS} a JOIN events u ON u.event_id = a.key)"
+MATCHED = f"(SELECT a.*, c.rank FROM {ANNOTATIONS} a JOIN events u ON u.event_id = a.key LEFT JOIN (SELECT o_custkey % 20 AS pdf, o_orderkey % 30 AS h, max(o_orderkey) AS rank FROM orders GROUP BY ALL) c ON c.pdf = a.pdf AND c.h = u.user_id % 50)"
 
 
-@query("repair_annotations", f"SELECT key, CASE WHEN untagged AND NOT odd THEN 'untagged' WHEN NOT {BROKEN} THEN 'sound' WHEN NOT untagged AND h < 30 THEN 'repaired' ELSE 'unmatched' END AS outcome, CASE WHEN {BROKEN} AND NOT untagged AND h < 30 THEN round(CAST(h + 30 - 30 AS DOUBLE), 6) END AS x1 FROM {MATCHED}")
+@query("repair_annotations", f"SELECT key, CASE WHEN untagged AND NOT odd THEN 'untagged' WHEN NOT {BROKEN} THEN 'sound' WHEN NOT untagged AND rank IS NOT NULL THEN 'repaired' ELSE 'unmatched' END AS outcome, CASE WHEN {BROKEN} AND NOT untagged AND rank IS NOT NULL THEN round(CAST(rank - 30 AS DOUBLE), 6) END AS x1 FROM {MATCHED}")
 def _(spark, d):
     found = A.repaired(annotations(spark, d), candidates(spark, d))
     x1 = F.get_json_object(F.col("repair")[A.PLACE], "$.rects[0][0]").cast("double")
     return found.select("key", "outcome", F.round(x1, 6).alias("x1"))
 
 
-@query("self_healing", f"SELECT pdf, count(*) FILTER (WHERE {BROKEN}) AS broken, count(*) FILTER (WHERE {BROKEN} AND (NOT untagged OR odd)) AS tagged, count(*) FILTER (WHERE {BROKEN} AND NOT untagged AND h < 30) AS repaired, count(*) FILTER (WHERE {BROKEN} AND (untagged OR h >= 30)) AS deleted FROM {MATCHED} GROUP BY pdf")
+@query("self_healing", f"SELECT pdf, count(*) FILTER (WHERE {BROKEN}) AS broken, count(*) FILTER (WHERE {BROKEN} AND (NOT untagged OR odd)) AS tagged, count(*) FILTER (WHERE {BROKEN} AND NOT untagged AND rank IS NOT NULL) AS repaired, count(*) FILTER (WHERE {BROKEN} AND (untagged OR rank IS NULL)) AS deleted FROM {MATCHED} GROUP BY pdf")
 def _(spark, d):
     return A.self_healed(annotations(spark, d), candidates(spark, d))[1]
 
 
-@query("self_healed_rows", f"SELECT pdf, count(*) AS n, CAST(sum(key) AS BIGINT) AS keys FROM {MATCHED} WHERE NOT ({BROKEN} AND (untagged OR h >= 30)) GROUP BY pdf")
+@query("self_healed_rows", f"SELECT pdf, count(*) AS n, CAST(sum(key) AS BIGINT) AS keys FROM {MATCHED} WHERE NOT ({BROKEN} AND (untagged OR rank IS NULL)) GROUP BY pdf")
 def _(spark, d):
     return A.self_healed(annotations(spark, d), candidates(spark, d))[0].groupBy("pdf").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
 
@@ -370,27 +370,36 @@ def _(spark, d):
 
 
 def form_service(_url: str, headers: dict, body: bytes, _timeout: float) -> tuple[int, str]:
-    """A form service that reverses texts; without a key it refuses."""
+    """A form service that answers with a text's MD5; without a key it refuses."""
     from urllib.parse import parse_qs
 
     if "secret" not in headers["Authorization"]:
         return 403, "no"
     fields = parse_qs(body.decode())
-    return 200, json.dumps({"translations": [{"text": fields["text"][0][::-1] + fields["target_lang"][0]}]})
+    return 200, json.dumps({"translations": [{"text": hashlib.md5(fields["text"][0].encode()).hexdigest() + fields["target_lang"][0]}]})
 
 
-@query("form_provider", "SELECT conv_id, turn, md5(trim(concat(reverse(text), 'JA'))) AS answer FROM conversations WHERE length(text) > 0 AND regexp_matches(text, '^[A-Za-z ,.]*$')")
+@query("form_provider", "SELECT conv_id, turn, CASE WHEN text <> '' THEN concat(md5(text), 'JA') END AS answer FROM conversations")
 def _(spark, d):
-    rows = table(spark, d, "conversations").where("length(text) > 0").where(F.col("text").rlike("^[A-Za-z ,.]*$"))
+    rows = table(spark, d, "conversations")
     settings = Settings(provider="deepl", deepl_key="secret", target_lang="JA")
-    return enrich.translated(rows, context=False, settings=settings, transport=form_service).select("conv_id", "turn", F.md5("answer").alias("answer"))
+    return enrich.translated(rows, context=False, settings=settings, transport=form_service).select("conv_id", "turn", "answer")
 
 
-@query("chat_provider", "SELECT conv_id, turn, CASE WHEN text = 'purchase' THEN NULL ELSE md5(trim(upper(text))) END AS answer FROM conversations WHERE regexp_matches(text, '^[A-Za-z ,.]+$')")
+def hashing_chat(_url: str, _headers: dict, body: bytes, _timeout: float) -> tuple[int, str]:
+    """A chat service that answers with the MD5 of a text and of what stands around it, in parts."""
+    before, rest = json.loads(body)["messages"][1]["content"].split("\n\nTARGET:\n", 1)
+    text, after = rest.rsplit("\n\nContext (next):", 1)
+    whole = "|".join([text, *(x.split("\n", 1)[-1] for x in (before, after))])
+    digest = hashlib.md5(whole.encode()).hexdigest()
+    return 200, json.dumps({"choices": [{"message": {"content": [{"type": "text", "text": digest[:9]}, {"type": "text", "text": digest[9:]}]}}]})
+
+
+@query("chat_provider", "SELECT conv_id, turn, CASE WHEN text <> '' THEN md5(concat(text, '|', coalesce(lag(text) OVER w, ''), '|', coalesce(lead(text) OVER w, ''))) END AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def _(spark, d):
-    rows = P.with_context(table(spark, d, "conversations"), "conv_id", "turn").where(F.col("text").rlike("^[A-Za-z ,.]+$"))
+    rows = P.with_context(table(spark, d, "conversations"), "conv_id", "turn")
     settings = Settings(provider=providers.provider_name("OpenAI"), chat_key="k", chat_model="m")
-    return enrich.translated(rows, settings=settings, transport=refuses_buy).select("conv_id", "turn", F.md5("answer").alias("answer"))
+    return enrich.translated(rows, settings=settings, transport=hashing_chat).select("conv_id", "turn", "answer")
 
 
 # sources and sinks

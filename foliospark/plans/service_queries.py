@@ -158,7 +158,7 @@ def mends_some(key: str, row: dict) -> dict | None:
     return row | {"data": row["data"] | mended}
 
 
-MENDED = f"(SELECT *, NOT untagged AND h < 30 AS known, {BROKEN} AS bad, key % 10 = 0 AS theirs FROM {MATCHED})"
+MENDED = f"(SELECT *, NOT untagged AND rank IS NOT NULL AS known, {BROKEN} AS bad, key % 10 = 0 AS theirs FROM {MATCHED})"
 
 
 @query("healed_in_place", f"SELECT pdf, count(*) FILTER (WHERE bad) AS broken, count(*) FILTER (WHERE bad AND (NOT untagged OR odd)) AS tagged, count(*) FILTER (WHERE bad AND known AND NOT theirs) AS repaired, count(*) FILTER (WHERE bad AND NOT known AND NOT theirs) AS deleted, count(*) FILTER (WHERE bad AND theirs) AS superseded, CAST(0 AS BIGINT) AS conflicts, count(*) FILTER (WHERE NOT (bad AND NOT known AND NOT theirs)) AS kept FROM {MENDED} GROUP BY pdf")
