@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as T
 from ..operators import annotations as A
-from ..operators import enrich, layout, writes
+from ..operators import enrich, layout, pdf_geometry, writes
 from ..sources import hash_store, layout_json, scratch, service
 from ..sources.layout_json import ProviderError
+from . import fake_pdf
 from .catalogue import LINES, lines, query, table
 from .fake_service import Cells, Shelf, Store
 from .library_queries import BROKEN, MATCHED, annotations, candidates
@@ -196,3 +197,22 @@ def _(spark, d):
     sound = good.select(F.lit("sound").alias("outcome"), F.size("pages").cast("long").alias("pages"))
     both = sound.unionAll(rejected.select("reason", F.lit(0).cast("long")))
     return both.groupBy("outcome").agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"))
+
+
+# page sizes of PDF files
+
+
+@query("pdf_page_tree", """WITH k AS (SELECT l_orderkey AS key, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS n, CAST(floor(l_quantity) AS INT) + 100 AS q, CAST(l_linenumber % 4 AS INT) AS kind FROM lineitem)
+SELECT key, CAST(n - 1 AS INT) AS page_index, CAST(CASE kind WHEN 0 THEN q WHEN 1 THEN 700 WHEN 2 THEN 500 ELSE q * 2 END AS DOUBLE) AS w, CAST(CASE kind WHEN 0 THEN q * 2 WHEN 1 THEN 500 WHEN 2 THEN 700 ELSE q END AS DOUBLE) AS h FROM k""")
+def _(spark, d):
+    # an order is a file and its items are pages: a box of their own, an inherited one turned or not, or a crop box turned; every other file packs its objects in a stream
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("int") + 100).alias("q"))
+    files = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "q"))).alias("pages"))
+
+    @F.pandas_udf("binary")
+    def pdf(keys, pages):
+        import pandas as pd
+
+        return pd.Series([fake_pdf.made(k, [(int(p["l_linenumber"]) % 4, int(p["q"])) for p in mine], packed=bool(k % 2)) for k, mine in zip(keys, pages, strict=True)])
+
+    return pdf_geometry.page_sizes(files.select(F.col("l_orderkey").alias("key"), pdf("l_orderkey", "pages").alias("content")))

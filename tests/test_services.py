@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from foliospark.config import Settings
 from foliospark.operators import annotations as A
-from foliospark.operators import enrich, layout, writes
+from foliospark.operators import enrich, layout, pdf_geometry, writes
+from foliospark.plans import fake_pdf
 from foliospark.plans.fake_service import Cells, Shelf, Store
 from foliospark.sources import layout_json, service
 from foliospark.sources.hash_store import HashStore
@@ -318,3 +319,50 @@ def test_one_bad_dump_leaves_the_rest(spark, tmp_path):
     good, bad = layout_json.scan_layout(spark, str(tmp_path / "files"), whole_files=True)
     assert [r.doc_id for r in good.collect()] == [1]
     assert [(r.reason, r.file.rsplit("/", 1)[1]) for r in bad.collect()] == [("malformed", "b.json")]
+
+
+# page sizes of PDF files
+
+
+def sizes(spark, *files):
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "key int, content binary")
+    return sorted((r.key, r.page_index, r.w, r.h) for r in pdf_geometry.page_sizes(rows).collect())
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_boxes_come_down_the_tree(spark, packed):
+    tree = {
+        1: "<< /Type /Catalog /Pages 2 0 R >>",
+        2: "<< /Type/Pages /Kids 9 0 R /Count 5 /MediaBox [0 0 595 842] /Rotate 8 0 R >>",
+        3: "<< /Type/Page /Parent 2 0 R >>",
+        4: "<< /Type/Pages /Parent 2 0 R /Kids[5 0 R 6 0 R 7 0 R] /Rotate 0 /CropBox [10 20 110.5 320] >>",
+        5: "<< /Type/Page /Parent 4 0 R >>",
+        6: "<< /Type/Page /Parent 4 0 R /CropBox 10 0 R /Rotate 270 >>",
+        7: "<< /Type/Page /Parent 4 0 R /CropBox [0 0 0 0] >>",
+        8: "90",
+        9: "[3 0 R 4 0 R 11 0 R]",
+        10: "[-5 -5 +95.25 45]",
+        11: "<< /Type /Page /Parent 2 0 R /Annots [12 0 R] /Rotate -180 >>",
+    }
+    assert sizes(spark, fake_pdf.file_of(tree, packed)) == [(0, 0, 842.0, 595.0), (0, 1, 100.5, 300.0), (0, 2, 50.0, 100.25), (0, 4, 595.0, 842.0)]
+
+
+def test_updates_streams_and_damaged_files(spark):
+    tree = {1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Type /Pages /Kids [3 0 R] >>", 3: "<< /Type /Page /MediaBox [0 0 1 2] >>"}
+    plain = fake_pdf.file_of(tree)
+    updated = plain + b"\n3 0 obj\n<< /Type /Page /MediaBox [0 0 30 40] >>\nendobj\ntrailer\n<< /Root 1 0 R /Prev 9 >>\nstartxref\n0\n%%EOF"
+    hidden = b"%PDF-1.4\n8 0 obj\n<< /Length 60 >>\nstream\n3 0 obj << /Type /Page /MediaBox [0 0 7 7] >> endobj          \nendstream\nendobj\n" + plain[9:]
+    lost = plain.split(b"trailer")[0]
+    other_root = fake_pdf.file_of({**tree, 5: "<< /Type /Catalog /Pages 6 0 R >>", 6: "<< /Type /Pages /Kids [7 0 R] >>", 7: "<< /Type /Page /MediaBox [0 0 5 6] >>"}, root=1)
+    cycle = fake_pdf.file_of({**tree, 2: "<< /Type /Pages /Kids [2 0 R 3 0 R] >>"})
+    damaged = b"%PDF-1.5 stream \x00\xff /MediaBox [0 0 500 700] /CropBox [0 0 500 700] /MediaBox [0 0 9 9]"
+    got = sizes(spark, plain, updated, hidden, lost, other_root, damaged, b"", None)
+    assert got == [(0, 0, 1.0, 2.0), (1, 0, 30.0, 40.0), (2, 0, 1.0, 2.0), (3, 0, 1.0, 2.0), (4, 0, 1.0, 2.0), (5, 0, 500.0, 700.0)]
+    assert len(fake_pdf.made(3, [(0, 5)] * 4, True)) > 100 and cycle
+
+
+def test_binary_files_are_read_from_a_folder(spark, tmp_path):
+    for n, pages in (("a", [(2, 0)]), ("b", [(0, 30), (1, 0)])):
+        (tmp_path / f"{n}.pdf").write_bytes(fake_pdf.made(1, pages, True))
+    found = pdf_geometry.page_sizes(layout_json.read_binary(spark, str(tmp_path)))
+    assert sorted((r.key[-5:], r.page_index, r.w, r.h) for r in found.collect()) == [("a.pdf", 0, 500.0, 700.0), ("b.pdf", 0, 30.0, 60.0), ("b.pdf", 1, 700.0, 500.0)]
