@@ -39,9 +39,8 @@ class Run:
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """``rows`` computed once, for what several results of a run are made of: a checkpoint where the cluster has a shared folder, else kept in memory and on disk."""
-    held = rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return rows.checkpoint() if held else rows.persist()
+    """``rows`` computed once, into the shared folder, for what several results of a run are made of."""
+    return scratch.written(rows, "run")
 
 
 def validated(tag: str | None = None, item_keys: list | None = None, max_items: int = 10, delete_broken: bool = False, keep_broken: bool = False) -> None:
@@ -221,12 +220,13 @@ def delete_all_annotations(held: Library, pdfs: DataFrame, read_only: bool = Fal
 
 
 def audit_annotations(held: Library, settings: Settings) -> DataFrame:
-    """For each document the hashes that no annotation has, by the settings and without length limits, and the annotations that lack fields."""
+    """For each document the hashes that no annotation has, by the settings and without length limits, and the annotations that lack fields. Layouts are read once for both."""
     everything = replace(settings, min_chars=0, max_chars=max(settings.max_chars, 20_000))
     have = held.annotations.select(F.col("pdf").alias("doc_id"), F.explode("tags").alias("tag")).distinct()
+    whole = settled(layout.document_paragraphs(held.dumps))
 
     def missing(s: Settings, name: str) -> DataFrame:
-        wanted = paragraphs(held, s).select("doc_id", F.explode(A.dedup_tags(F.col("dedup_hashes"), s.dedup_prefix)).alias("tag")).distinct()
+        wanted = adapter.kept_paragraphs(whole, s).select("doc_id", F.explode(A.dedup_tags(F.col("dedup_hashes"), s.dedup_prefix)).alias("tag")).distinct()
         return R.unseen(wanted, have, ["doc_id", "tag"]).groupBy("doc_id").agg(F.count("*").alias(name))
 
     from .functions import text as T

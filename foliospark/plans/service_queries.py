@@ -7,16 +7,17 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import commands
 from ..config import Settings
 from ..functions import text as T
 from ..operators import annotations as A
-from ..operators import enrich, layout, pdf_geometry, writes
+from ..operators import enrich, layout, open_items, pdf_geometry, writes
 from ..sources import hash_store, layout_json, scratch, service
 from ..sources.layout_json import ProviderError
 from . import fake_pdf
 from .catalogue import LINES, lines, query, table
 from .fake_service import Cells, Shelf, Store
-from .library_queries import BROKEN, MATCHED, annotations, candidates
+from .library_queries import ANNOTATIONS, BROKEN, MATCHED, TARGET, annotations, candidates, refuses_buy
 
 # providers that fail
 
@@ -216,3 +217,45 @@ def _(spark, d):
         return pd.Series([fake_pdf.made(k, [(int(p["l_linenumber"]) % 4, int(p["q"])) for p in mine], packed=bool(k % 2)) for k, mine in zip(keys, pages, strict=True)])
 
     return pdf_geometry.page_sizes(files.select(F.col("l_orderkey").alias("key"), pdf("l_orderkey", "pages").alias("content")))
+
+
+# annotations of an open schema
+
+OPEN = """(SELECT event_id, '{"annotationSortIndex": ' || CASE event_id % 5 WHEN 0 THEN '" "' WHEN 1 THEN '7' ELSE '"00000|000000|00001"' END || CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN ', "annotationPageLabel": null' ELSE ', "annotationPageLabel": "1"' END
+|| CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN ', "annotationPosition": {"pageIndex": 0, "rects": [[1, 2, 3, 4]]}' WHEN 2 THEN ', "annotationPosition": "{}"' WHEN 3 THEN ', "annotationPosition": ""' WHEN 4 THEN ', "annotationPosition": [1]' ELSE ', "annotationPosition": null' END
+|| CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN ', "annotationComment": null, "note": "n"' WHEN 2 THEN ', "note": " ' || event_type || ' "' ELSE ', "annotationComment": "' || event_type || '"' END || CASE WHEN event_id % 11 = 0 THEN '' ELSE '}' END AS data FROM events)"""
+
+
+@query("open_annotations", f"""WITH o AS (SELECT event_id, CASE WHEN json_valid(data) THEN data END AS data FROM {OPEN}),
+f AS (SELECT *, CASE WHEN json_exists(data, '$.annotationComment') THEN 'annotationComment' WHEN json_exists(data, '$.note') THEN 'note' ELSE 'annotationComment' END AS field FROM o WHERE data IS NOT NULL)
+SELECT event_id, field, trim(coalesce(json_extract_string(data, '$.' || field), '')) AS body, (json_type(data, '$.annotationSortIndex') <> 'VARCHAR' OR trim(json_extract_string(data, '$.annotationSortIndex')) = '' OR coalesce(json_type(data, '$.annotationPageLabel'), 'NULL') <> 'VARCHAR'
+OR NOT (coalesce(json_type(data, '$.annotationPosition'), 'NULL') = 'OBJECT' OR (coalesce(json_type(data, '$.annotationPosition'), 'NULL') = 'VARCHAR' AND trim(json_extract_string(data, '$.annotationPosition')) <> ''))) AS broken FROM f""")
+def _(spark, d):
+    table(spark, d, "events").createOrReplaceTempView("events_of_open_annotations")
+    rows = spark.sql(OPEN.replace("FROM events)", "FROM events_of_open_annotations)").strip("()"))
+    sound, _ = open_items.parsed(rows)
+    return sound.select("event_id", open_items.body_field(F.col("data")).alias("field"), open_items.body(F.col("data")).alias("body"), open_items.is_broken(F.col("data")).alias("broken"))
+
+
+# a command, from tables to tables
+
+
+def busy_for_purchase(url: str, headers: dict, body: bytes, timeout: float) -> tuple[int, str]:
+    """As the service that refuses one kind of text, but it says that it is busy: other items go on."""
+    status, answer = refuses_buy(url, headers, body, timeout)
+    return (503, "busy") if status == 402 else (status, answer)
+
+
+@query("command_translate", f"""WITH a AS (SELECT *, max(CASE WHEN {TARGET} AND trim(body) = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY pdf ORDER BY key) AS bad FROM {ANNOTATIONS}),
+p AS (SELECT pdf, count(*) FILTER (WHERE pending AND NOT ({TARGET} AND trim(body) <> '' AND bad = 0)) AS pending, count(*) FILTER (WHERE {TARGET} AND trim(body) <> '' AND bad = 0) AS updated FROM a GROUP BY pdf)
+SELECT CAST(n_nationkey AS BIGINT) AS key, CASE WHEN coalesce(pending, 0) = 0 THEN 'translated' ELSE 'base-done' END AS tags, coalesce(updated, 0) AS updated FROM nation LEFT JOIN p ON pdf = n_nationkey""")
+def _(spark, d):
+    # nations are items with a file each; the annotations of the first twenty are events
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("title"))
+    items = nations.select("key", F.lit(1).cast("long").alias("version"), F.array(F.lit("base-done")).alias("tags"), "title", F.create_map().cast("map<string,string>").alias("data"))
+    files = nations.select("key", F.col("key").alias("parent"), F.lit(0).alias("ord"), F.lit("application/PDF").alias("content_type"))
+    none = spark.createDataFrame([], layout.SCHEMA)
+    settings = Settings(provider="openai", chat_key="k", chat_model="m")
+    _, after, counts = commands.translate(commands.Library(items, files, none, annotations(spark, d)), settings, max_items=1000, transport=busy_for_purchase)
+    done = counts.select(F.col("pdf").alias("key"), "updated")
+    return after.join(done, "key", "left").select("key", F.array_join("tags", ",").alias("tags"), F.coalesce("updated", F.lit(0)).cast("long").alias("updated"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.config import Settings
 from foliospark.operators import annotations as A
-from foliospark.operators import enrich, layout, pdf_geometry, writes
+from foliospark.operators import enrich, layout, open_items, pdf_geometry, writes
 from foliospark.plans import fake_pdf
 from foliospark.plans.fake_service import Cells, Shelf, Store
 from foliospark.sources import layout_json, service
@@ -366,3 +366,19 @@ def test_binary_files_are_read_from_a_folder(spark, tmp_path):
         (tmp_path / f"{n}.pdf").write_bytes(fake_pdf.made(1, pages, True))
     found = pdf_geometry.page_sizes(layout_json.read_binary(spark, str(tmp_path)))
     assert sorted((r.key[-5:], r.page_index, r.w, r.h) for r in found.collect()) == [("a.pdf", 0, 500.0, 700.0), ("b.pdf", 0, 30.0, 60.0), ("b.pdf", 1, 700.0, 500.0)]
+
+
+# annotations of an open schema
+
+
+def test_missing_null_text_and_object_are_four_things(spark):
+    whole = {A.SORT: "s", A.LABEL: "1", A.PLACE: {"pageIndex": 0}}
+    cases = [(whole, False), ({**whole, A.PLACE: "{}"}, False), ({**whole, A.PLACE: " "}, True), ({**whole, A.PLACE: None}, True), ({**whole, A.PLACE: [1]}, True), ({**whole, A.LABEL: 1}, True), ({**whole, A.SORT: None}, True), ({A.SORT: "s", A.LABEL: "1"}, True)]
+    rows, bad = open_items.parsed(spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(cases)] + [(90, "{"), (91, "[1]"), (92, None)], "i int, data string"))
+    assert [r.b for r in rows.orderBy("i").select(open_items.is_broken(F.col("data")).alias("b")).collect()] == [b for _, b in cases]
+    assert sorted(r.i for r in bad.collect()) == [90, 91, 92]
+    bodies = [({A.COMMENT: None, "note": "n"}, (A.COMMENT, "")), ({"note": " n "}, ("note", "n")), ({}, (A.COMMENT, "")), ({A.COMMENT: 5}, (A.COMMENT, "5"))]
+    rows, _ = open_items.parsed(spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(bodies)], "i int, data string"))
+    assert [(r.f, r.b) for r in rows.orderBy("i").select(open_items.body_field(F.col("data")).alias("f"), open_items.body(F.col("data")).alias("b")).collect()] == [w for _, w in bodies]
+    held = spark.createDataFrame([(json.dumps({"a": "x", "b": None, "c": {"d": [1]}, "e": 2}),)], "data string")
+    assert open_items.parsed(held)[0].select(open_items.as_map(F.col("data")).alias("m")).first().m == {"a": "x", "b": "", "c": '{"d":[1]}', "e": "2"}
