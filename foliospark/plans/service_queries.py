@@ -226,7 +226,7 @@ OPEN = """(SELECT event_id, '{"annotationSortIndex": ' || CASE event_id % 5 WHEN
 || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN ', "annotationComment": null, "note": "n"' WHEN 2 THEN ', "note": " ' || event_type || ' "' ELSE ', "annotationComment": "' || event_type || '"' END || CASE WHEN event_id % 11 = 0 THEN '' ELSE '}' END AS data FROM events)"""
 
 
-@query("open_annotations", f"""WITH o AS (SELECT event_id, CASE WHEN json_valid(data) THEN data END AS data FROM {OPEN}),
+@query("annotations_of_open_schema", f"""WITH o AS (SELECT event_id, CASE WHEN json_valid(data) THEN data END AS data FROM {OPEN}),
 f AS (SELECT *, CASE WHEN json_exists(data, '$.annotationComment') THEN 'annotationComment' WHEN json_exists(data, '$.note') THEN 'note' ELSE 'annotationComment' END AS field FROM o WHERE data IS NOT NULL)
 SELECT event_id, field, trim(coalesce(json_extract_string(data, '$.' || field), '')) AS body, (json_type(data, '$.annotationSortIndex') <> 'VARCHAR' OR trim(json_extract_string(data, '$.annotationSortIndex')) = '' OR coalesce(json_type(data, '$.annotationPageLabel'), 'NULL') <> 'VARCHAR'
 OR NOT (coalesce(json_type(data, '$.annotationPosition'), 'NULL') = 'OBJECT' OR (coalesce(json_type(data, '$.annotationPosition'), 'NULL') = 'VARCHAR' AND trim(json_extract_string(data, '$.annotationPosition')) <> ''))) AS broken FROM f""")
