@@ -68,7 +68,7 @@ def test_run_and_registration(spark):
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op")}
     assert cp.run(spark, DIR).count()
 
 
