@@ -5,7 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +98,46 @@ def with_salts(facts: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame
     return facts.join(heavy, keys, "left").withColumn("_salt", F.explode(salts)).drop("_heavy")
 
 
+#: The counts of a cell table are packed in chunks of so many; a group adds up the chunks of so many partitions, or of sums before.
+CHUNK, FAN_IN = 1 << 16, 64
+
+
+def packed(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The chunks of a table of counts that hold any, each with its number."""
+    for at in range(0, len(counts), CHUNK):
+        if counts[at : at + CHUNK].any():
+            yield at // CHUNK, zlib.compress(counts[at : at + CHUNK].astype("<i8").tobytes(), 1)
+
+
+def unpacked(cells: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(cells), "<i8")
+
+
+def added_up(chunks: DataFrame, keys: list[str], fan_in: int = FAN_IN) -> DataFrame:
+    """One row ``(*keys, cells)`` for each of ``keys``, the sum of its packed chunks.
+
+    Sums are made in a tree: a group takes what ``fan_in`` partitions hold of a chunk, batch after batch with one sum in memory, and the groups
+    of the next step take that many sums. However many tasks counted, no group grows with their number. ``chunks`` is a written table: its partitions are cut by bytes.
+    """
+    fields = [f for f in chunks.schema.fields if f.name in keys]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    names = [f.name for f in fields]
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            for cells in batch["cells"]:
+                total = total + unpacked(cells.as_py())
+        yield pa.RecordBatch.from_arrays([*[pa.array([k.as_py()], k.type) for k in key], pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=[*names, "part", "cells"])
+
+    rows, parts = chunks.select(*names, "cells").withColumn("part", F.spark_partition_id()), chunks.rdd.getNumPartitions()
+    while True:
+        rows = rows.withColumn("part", F.expr(f"int(part div {fan_in})")).groupBy(*names, "part").applyInArrow(add, f"{schema}, part int, cells binary")
+        parts = -(-parts // fan_in)
+        if parts <= 1:
+            return rows.select(*names, "cells")
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -11,7 +11,6 @@ and a block gives each class's number of links and only so many links as span wh
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +22,23 @@ from .shingles import sets
 
 #: Cells of the frequency sketch that gives the global order: a bound of its size, whatever the input. The order decides what is fast, never what is found.
 CELLS = 1 << 22
-CHUNK = 1 << 16
+#: Bits of a digest that number a class. Sets of different digests that share a number get numbers of their own, below zero: some 5 of 10^10 sets, 54,000 of 10^12.
+NODE_BITS = 63
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(6)) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def _node(grams: np.ndarray) -> tuple[bytes, int]:
-    digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
-    return digest, int.from_bytes(digest[:8], "little", signed=True)
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _first_pass(size: int):
+def _numbered(digest: bytes, bits: int) -> int:
+    return int.from_bytes(digest[:8], "little") & ((1 << bits) - 1)
+
+
+def _first_pass(size: int, bits: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("node", pa.int64()), ("chunk", pa.int64()), ("cells", pa.binary())])
 
     def run(batches):
@@ -43,27 +46,47 @@ def _first_pass(size: int):
         for batch in batches:
             ns, digests, nodes = [], [], []
             for grams in sets(batch["text"], size):
-                digest, node = _node(grams)
-                ns.append(len(grams)), digests.append(digest), nodes.append(node)
+                digest = _digest(grams)
+                ns.append(len(grams)), digests.append(digest), nodes.append(_numbered(digest, bits) if len(grams) else None)
                 np.add.at(counts, _cell(grams), 1)
             empty = pa.nulls(len(ns))
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["text_hash"], pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), empty.cast(pa.int64()), empty.cast(pa.binary())], schema=schema)
-        for at in range(0, CELLS, CHUNK):
-            part = counts[at : at + CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_pylist([{"chunk": at // CHUNK, "cells": zlib.compress(part.astype("<u4").tobytes(), 1)}], schema)
+        for chunk, cells in common.packed(counts):
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "cells": cells}], schema)
 
     return run, "doc_id long, text_hash long, n long, digest binary, node long, chunk long, cells binary"
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    """The sum of a chunk's counts, as one level for each cell: the bit length of its count."""
-    total = np.zeros(CHUNK, np.int64)
-    for raw in table["cells"]:
-        total += np.frombuffer(zlib.decompress(raw.as_py()), "<u4")
-    levels = np.ceil(np.log2(total + 1)).astype(np.uint8)
-    mass = np.bincount(levels, weights=total, minlength=64).astype(np.int64)
-    return pa.table({"chunk": table["chunk"][:1].cast(pa.int64()), "levels": pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary()), "mass": pa.array([mass.tolist()], pa.list_(pa.int64()))})
+def _levels(batches):
+    """The sums of chunks as one level for each cell: the bit length of its count."""
+    for batch in batches:
+        for chunk, cells in zip(batch["chunk"].to_pylist(), batch["cells"], strict=True):
+            total = common.unpacked(cells.as_py())
+            levels = np.ceil(np.log2(total + 1)).astype(np.uint8)
+            mass = np.bincount(levels, weights=total, minlength=64).astype(np.int64)
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "levels": levels.tobytes(), "mass": mass.tolist()}], pa.schema([("chunk", pa.int64()), ("levels", pa.binary()), ("mass", pa.list_(pa.int64()))]))
+
+
+def _classes(each: DataFrame) -> tuple[DataFrame, DataFrame, dict[bytes, int]]:
+    """``each`` with one node for each digest, the classes of equal sets (written), and the digests whose node is no part of them.
+
+    A number that two digests share stays with the least one; the others are counted down from -1.
+    """
+    counted = [F.min("doc_id").alias("low"), F.max("n").alias("n"), F.count("*").alias("copies")]
+    some = each.where("n > 0")
+    classes = common.written(some.groupBy("node").agg(*counted, F.min("digest").alias("least"), F.max("digest").alias("most")), "classes")
+    shared = classes.where("least <> most").select("node", "least")
+    more = some.join(shared.hint("merge"), "node").where("digest <> least").select("digest").distinct().orderBy("digest")
+    moved = {bytes(r["digest"]): -1 - k for k, r in enumerate(more.collect())}  # n^2 / 2^64 of n sets
+    if not moved:
+        return each, classes, moved
+    numbers = F.broadcast(each.sparkSession.createDataFrame(list(moved.items()), "digest binary, moved long"))
+    each = each.join(numbers, "digest", "left").withColumn("node", F.coalesce("moved", "node")).drop("moved")
+    again = shared.select("node").unionAll(numbers.select("moved"))
+    anew = each.where("n > 0").join(again.hint("merge"), "node", "left_semi").groupBy("node").agg(*counted).select("node", "low", "copies", "n")
+    known = common.written(classes.where("least = most").select("node", "low", "copies", "n").unionAll(anew), "classes")
+    common.dropped(classes)
+    return each, known, moved
 
 
 def _keys(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -150,7 +173,7 @@ def _block_links(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragments: int = 4, most_listed: int = MOST_LISTED, block_grams: int = BLOCK_GRAMS, block_classes: int = BLOCK_CLASSES) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragments: int = 4, most_listed: int = MOST_LISTED, block_grams: int = BLOCK_GRAMS, block_classes: int = BLOCK_CLASSES, node_bits: int = NODE_BITS) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links, text_hash, component`` for every row of ``docs(doc_id, text)``.
 
     A text's set is its distinct shingles of ``words`` words, A-Z in lower case; with fewer words, all of them as
@@ -163,19 +186,21 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", common.text_of().alias("text"))
-    run, schema = _first_pass(words)
+    run, schema = _first_pass(words, node_bits)
     first = common.written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, schema), "sets")
-    each = first.where("chunk is null").select("doc_id", "text_hash", "n", "digest", "node")
-    classes = each.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.count("*").alias("copies"))
-    classes = common.written(classes.select("node", "low", "copies", F.when(F.col("d0") != F.col("d1"), F.raise_error(F.lit("two sets share a node number"))).otherwise(F.col("n")).cast("long").alias("n")), "classes")
-    chunks = first.where("chunk is not null").groupBy("chunk").applyInArrow(_summed, "chunk long, levels binary, mass array<long>").collect()  # CELLS bytes at most
+    each, classes, moved = _classes(first.where("chunk is null").select("doc_id", "text_hash", "n", "digest", "node"))
     levels, mass = np.zeros(CELLS, np.uint8), np.zeros(64, np.int64)
-    for row in chunks:
-        levels[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["levels"]), np.uint8)
+    for row in common.added_up(first.where("chunk is not null"), ["chunk"]).mapInArrow(_levels, "chunk long, levels binary, mass array<long>").collect():  # CELLS bytes at most
+        levels[row["chunk"] * common.CHUNK : (row["chunk"] + 1) * common.CHUNK] = np.frombuffer(row["levels"], np.uint8)
         mass += np.array(row["mass"])
     cuts = _pivots(mass, fragments)
     shared = spark.sparkContext.broadcast(levels)
 
+    def node_of(grams: np.ndarray) -> int:
+        digest = _digest(grams)
+        node = moved.get(digest)
+        return _numbered(digest, node_bits) if node is None else node
+
     def least_size(n: int) -> int:
         return (percent * n + 99) // 100
 
@@ -191,7 +216,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
                 n = len(grams)
                 if 100 * n < percent * (n + 1):
                     continue  # so small a set is similar to no other one
-                node = _node(grams)[1]
+                node = node_of(grams)
                 if node in seen:
                     continue
                 if len(seen) > 200_000:
@@ -232,7 +257,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
         for batch in batches:
             rows, parts, blobs = [], [], []
             for i, (node, grams) in enumerate(zip(batch["node"].to_pylist(), sets(batch["text"], words), strict=True)):
-                if len(grams) and _node(grams)[1] == node:
+                if len(grams) and node_of(grams) == node:
                     keys = _keys(grams, shared.value)
                     ends = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
                     for k in range(fragments):

@@ -1,4 +1,4 @@
-"""The lexical search, phrase mining and sketch operators against brute force, and on odd tables."""
+"""The lexical search, phrase mining and sketch operators against brute force, and on odd tables; sums of cells, and class numbers."""
 
 import math
 import random
@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import exact_dedup, lexical_search, media, phrases, setsketch
+from foliospark.llm import common, exact_dedup, jaccard_join, lexical_search, media, phrases, setsketch
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -260,3 +260,29 @@ def test_a_large_batch_meets_an_empty_snapshot_in_parts(spark, empty):
     assert exact_dedup.screened(filters, digests, 19).where("key % 3 = 0 and not maybe").count() == 0
     plan = exact_dedup.screened(filters, digests, 19)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(bucket" in plan and "part" in plan[plan.index("hashpartitioning") :].split(")")[0]
+
+
+# sums of cells, and numbers of classes
+
+
+@pytest.mark.parametrize("fan_in", [2, 64])
+def test_cells_are_added_up_in_a_tree(spark, fan_in):
+    rng = np.random.default_rng(4)
+    tables = [rng.integers(0, 9, 2 * common.CHUNK) * (rng.random(2 * common.CHUNK) < 0.01) for _ in range(40)]
+    rows = [(k % 2, chunk, bytearray(cells)) for k, table in enumerate(tables) for chunk, cells in common.packed(table)]
+    chunks = common.written(spark.createDataFrame(rows, "model int, chunk int, cells binary").repartition(23), "test")
+    got = {(r.model, r.chunk): common.unpacked(r.cells) for r in common.added_up(chunks, ["model", "chunk"], fan_in).collect()}
+    assert len(got) == 4
+    for model in (0, 1):
+        assert (np.concatenate([got[model, 0], got[model, 1]]) == sum(tables[model::2])).all()
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_sets_that_share_a_number_are_told_apart(spark, bits):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in (5, 30, 59)] + [f"apart {k} from all of the others" for k in range(12)] + ["", "a b", "A b"]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
+    columns = ["doc_id", "n_shingles", "component_id", "n_links"]
+    plain = jaccard_join.jaccard_components(docs).select(*columns).orderBy("doc_id").collect()
+    assert len({r.component_id for r in plain}) > 10
+    assert jaccard_join.jaccard_components(docs, node_bits=bits).select(*columns).orderBy("doc_id").collect() == plain
