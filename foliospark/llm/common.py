@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,29 +113,36 @@ def unpacked(cells: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(cells), "<i8")
 
 
-def added_up(chunks: DataFrame, keys: list[str], fan_in: int = FAN_IN) -> DataFrame:
+def _kept(total: np.ndarray) -> bytes:
+    return zlib.compress(total.tobytes(), 1)
+
+
+def added_up(chunks: DataFrame, keys: list[str], fan_in: int = FAN_IN, last: Callable[[np.ndarray], bytes] = _kept) -> DataFrame:
     """One row ``(*keys, cells)`` for each of ``keys``, the sum of its packed chunks.
 
     Sums are made in a tree: a group takes what ``fan_in`` partitions hold of a chunk, batch after batch with one sum in memory, and the groups
     of the next step take that many sums. However many tasks counted, no group grows with their number. ``chunks`` is a written table: its partitions are cut by bytes.
+    ``last`` packs the whole sums, in the step that makes them, so that no task holds two Python workers.
     """
     fields = [f for f in chunks.schema.fields if f.name in keys]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
     names = [f.name for f in fields]
 
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for batch in batches:
-            for cells in batch["cells"]:
-                total = total + unpacked(cells.as_py())
-        yield pa.RecordBatch.from_arrays([*[pa.array([k.as_py()], k.type) for k in key], pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=[*names, "part", "cells"])
-
-    rows, parts = chunks.select(*names, "cells").withColumn("part", F.spark_partition_id()), chunks.rdd.getNumPartitions()
-    while True:
-        rows = rows.withColumn("part", F.expr(f"int(part div {fan_in})")).groupBy(*names, "part").applyInArrow(add, f"{schema}, part int, cells binary")
-        parts = -(-parts // fan_in)
-        if parts <= 1:
-            return rows.select(*names, "cells")
+    def adds(pack: Callable[[np.ndarray], bytes]):
+        def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0
+            for batch in batches:
+                for cells in batch["cells"]:
+                    total = total + unpacked(cells.as_py())
+            yield pa.RecordBatch.from_arrays([*[pa.array([k.as_py()], k.type) for k in key], pa.array([pack(total)], pa.binary())], names=[*names, "part", "cells"])
+
+        return add
+
+    rows, parts = chunks.select(*names, "cells").withColumn("part", F.spark_partition_id()), max(1, chunks.rdd.getNumPartitions())
+    while parts:
+        parts = -(-parts // fan_in) if parts > fan_in else 0
+        rows = rows.withColumn("part", F.expr(f"int(part div {fan_in})")).groupBy(*names, "part").applyInArrow(adds(_kept if parts else last), f"{schema}, part int, cells binary")
+    return rows.select(*names, "cells")
 
 
 def text_of(column: str = "text") -> Column:

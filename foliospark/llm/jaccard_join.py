@@ -57,14 +57,10 @@ def _first_pass(size: int, bits: int):
     return run, "doc_id long, text_hash long, n long, digest binary, node long, chunk long, cells binary"
 
 
-def _levels(batches):
-    """The sums of chunks as one level for each cell: the bit length of its count."""
-    for batch in batches:
-        for chunk, cells in zip(batch["chunk"].to_pylist(), batch["cells"], strict=True):
-            total = common.unpacked(cells.as_py())
-            levels = np.ceil(np.log2(total + 1)).astype(np.uint8)
-            mass = np.bincount(levels, weights=total, minlength=64).astype(np.int64)
-            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "levels": levels.tobytes(), "mass": mass.tolist()}], pa.schema([("chunk", pa.int64()), ("levels", pa.binary()), ("mass", pa.list_(pa.int64()))]))
+def _levels(total: np.ndarray) -> bytes:
+    """The sum of a chunk's counts, as one level for each cell: the bit length of its count; then the counts of each level."""
+    levels = np.ceil(np.log2(total + 1)).astype(np.uint8)
+    return levels.tobytes() + np.bincount(levels, weights=total, minlength=64).astype("<i8").tobytes()
 
 
 def _classes(each: DataFrame) -> tuple[DataFrame, DataFrame, dict[bytes, int]]:
@@ -190,9 +186,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
     first = common.written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, schema), "sets")
     each, classes, moved = _classes(first.where("chunk is null").select("doc_id", "text_hash", "n", "digest", "node"))
     levels, mass = np.zeros(CELLS, np.uint8), np.zeros(64, np.int64)
-    for row in common.added_up(first.where("chunk is not null"), ["chunk"]).mapInArrow(_levels, "chunk long, levels binary, mass array<long>").collect():  # CELLS bytes at most
-        levels[row["chunk"] * common.CHUNK : (row["chunk"] + 1) * common.CHUNK] = np.frombuffer(row["levels"], np.uint8)
-        mass += np.array(row["mass"])
+    for row in common.added_up(first.where("chunk is not null"), ["chunk"], last=_levels).collect():  # CELLS bytes at most
+        levels[row["chunk"] * common.CHUNK : (row["chunk"] + 1) * common.CHUNK] = np.frombuffer(row["cells"], np.uint8, common.CHUNK)
+        mass += np.frombuffer(row["cells"], "<i8", offset=common.CHUNK)
     cuts = _pivots(mass, fragments)
     shared = spark.sparkContext.broadcast(levels)
 
