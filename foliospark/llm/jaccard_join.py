@@ -109,6 +109,8 @@ MOST_LISTED, BLOCK_GRAMS, BLOCK_CLASSES = 200, 200_000, 4000
 
 #: Overlaps of a block are counted for so many pairs at a time.
 PAIRS_HELD = 1 << 22
+#: A task hands segments on when it holds so many bytes of them.
+HELD_BYTES = 4 << 20
 
 
 def _block_links(percent: int):
@@ -250,8 +252,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
     needed = common.written(posts.select("node").distinct().join(classes.select("node", F.col("low").alias("doc_id")), "node"), "needed")
 
     def segments(batches):
+        def made(nodes, rows, parts, blobs):
+            return pa.RecordBatch.from_arrays([nodes.take(pa.array(rows, pa.int64())), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["node", "fragment", "grams"])
+
         for batch in batches:
-            rows, parts, blobs = [], [], []
+            rows, parts, blobs, held = [], [], [], 0
             for i, (node, grams) in enumerate(zip(batch["node"].to_pylist(), sets(batch["text"], words), strict=True)):
                 if len(grams) and node_of(grams) == node:
                     keys = _keys(grams, shared.value)
@@ -259,8 +264,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, fragm
                     for k in range(fragments):
                         if ends[k] < ends[k + 1]:
                             rows.append(i), parts.append(k), blobs.append(keys[ends[k] : ends[k + 1]].tobytes())
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["node"].take(at), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["node", "fragment", "grams"])
+                    held += keys.nbytes
+                    if held > HELD_BYTES:
+                        yield made(batch["node"], rows, parts, blobs)
+                        rows, parts, blobs, held = [], [], [], 0
+            yield made(batch["node"], rows, parts, blobs)
 
     reps = docs.join(needed.hint("merge"), "doc_id").select("node", "text")
     parts = common.written(reps.mapInArrow(segments, "node long, fragment int, grams binary"), "segments")
