@@ -10,7 +10,7 @@ from . import text as T
 _SENTENCE_END = re.compile(T.SENTENCE_END)
 _SIGNS = re.compile(T.MATH_SIGNS)
 _MATH = re.compile(T.MATH_ANY)
-_NAMED = re.compile(r"\b(?:max|min|argmax|argmin|Es?|Q|Li)\b")
+_NAMED = re.compile(T.MATH_NAME)
 _NUMBER = re.compile(r"[+\-−]?\d+(?:\.\d+)?")
 _CONNECTS = re.compile(T.CONNECTS)
 _CAPTION = re.compile(T.CAPTION)
