@@ -31,7 +31,7 @@ CAPTION_WIDTH, CAPTION_CENTRE = 0.75, 0.12
 FOOT_SHARE, HEAD_SHARE = 0.18, 0.22
 HEADING_FONT, HEADING_CHARS, NUMBERED_CHARS, NUMBERED_WORDS = 1.2, 40, 90, 14
 MATH_SCORE, MATH_GAP, MATH_RUN_GAP, MATH_RUN_LINES, MATH_CRUMB = 6, 3.0, 1.3, 2, 40
-TABLE_WINDOW, TABLE_ABOVE, TABLE_BELOW, ABOVE_LEAST, BELOW_LEAST = 0.55, 0.22, 0.34, 8, 4
+TABLE_ABOVE, TABLE_BELOW, ABOVE_LEAST, BELOW_LEAST = 0.22, 0.34, 8, 4
 
 
 class Line(NamedTuple):
@@ -435,8 +435,8 @@ def drop_table_paragraphs(paras: list[Paragraph], page: Page) -> list[Paragraph]
         if not caption.caption or not TABLE.match(caption.text) or page.height <= 0 or page.width <= 0:
             continue
         _, top, _, bottom = caption.box()
-        own = column(caption)
-        for low, high, least, score, all_go in ((max(0.0, top - page.height * TABLE_WINDOW), top, ABOVE_LEAST, TABLE_ABOVE, True), (bottom, min(page.height, bottom + page.height * TABLE_WINDOW), BELOW_LEAST, TABLE_BELOW, False)):
+        own, window = column(caption), blocks.table_window(page.height)
+        for low, high, least, score, all_go in ((max(0.0, top - window), top, ABOVE_LEAST, TABLE_ABOVE, True), (bottom, min(page.height, bottom + window), BELOW_LEAST, TABLE_BELOW, False)):
             inside = []
             for k, p in enumerate(paras):
                 _, y0, _, y1 = p.box()
