@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, groupby, islice
 from statistics import median
 from typing import NamedTuple
 
@@ -525,25 +526,65 @@ _PARAGRAPHS = pa.schema([("doc_id", pa.int64()), ("page_index", pa.int32()), ("o
 _DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("ord", pa.int64()), ("caption", pa.bool_()), ("lines", pa.list_(_LINE))])
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Rows of one step, so that a task holds the objects of some pages or paragraphs and not those of a whole batch.
+STEP = 256
+
+
+def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[dict, list[Line]]]:
+    """Each row's own columns, and its lines."""
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            held = part["lines"]
+            ends = held.offsets.to_pylist() if len(held) else [0]
+            flat = held.values
+            fields = [flat.field(n).slice(ends[0], ends[-1] - ends[0]).to_pylist() for n in Line._fields if flat.type.get_field_index(n) >= 0]
+            numbers = part["page_index"].to_pylist()
+            if len(fields) < len(Line._fields):  # a page's lines don't name their page
+                fields.insert(0, [n for n, a, b in zip(numbers, ends, ends[1:], strict=False) for _ in range(b - a)])
+            lines = list(map(Line, *fields))
+            for k, own in enumerate(zip(*[part[n].to_pylist() for n in columns], strict=True)):
+                yield dict(zip(columns, own, strict=True)), lines[ends[k] - ends[0] : ends[k + 1] - ends[0]]
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of values in the order of ``schema``, with lists of ``Line`` for lines."""
+    made = []
+    for f, column in zip(schema, zip(*rows, strict=True), strict=True):
+        if f.name == "lines":
+            flat = list(zip(*[x for lines in column for x in lines], strict=True)) or [()] * len(_LINE)
+            ends = [0, *accumulate(map(len, column))]
+            made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(v, x.type) for v, x in zip(flat, _LINE, strict=True)], fields=list(_LINE)), f.type))
+        else:
+            made.append(pa.array(column, f.type))
+    return pa.RecordBatch.from_arrays(made, schema=schema)
+
+
+def _stepped(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, STEP)):
+        yield _batch(part, schema)
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> Iterator[tuple]:
+        for row, lines in _rows(batches, ["doc_id", "page_index", *_PAGE_COLUMNS]):
             page = Page(**{f: row[c] for f, c in zip(_FACTS, _PAGE_COLUMNS, strict=True)})
-            lines = [Line(row["page_index"], *(x[n] for n in Line._fields[1:])) for x in row["lines"]]
             for k, p in enumerate(paragraphs_of_page(lines, page)):
-                out.append({"doc_id": row["doc_id"], "page_index": row["page_index"], "ord": k, "caption": p.caption, "lines": [x._asdict() for x in p.lines], "page_w": page.width, "page_h": page.height, "line_h": page.line_h})
-        yield pa.RecordBatch.from_pylist(out, _PARAGRAPHS)
+                yield row["doc_id"], row["page_index"], k, p.caption, p.lines, page.width, page.height, page.line_h
+
+    return _stepped(made(), _PARAGRAPHS)
 
 
-def _documents(table: pa.Table) -> pa.Table:
-    pages = []
-    for row in table.sort_by([("page_index", "ascending"), ("ord", "ascending")]).to_pylist():
-        page = Page(row["page_w"], row["page_h"], row["line_h"])
-        pages.append((page, [Paragraph([Line(**x) for x in row["lines"]], row["caption"])]))
-    doc_id = table["doc_id"][0].as_py()
-    rows = [{"doc_id": doc_id, "ord": k, "caption": p.caption, "lines": [x._asdict() for x in p.lines]} for k, p in enumerate(paragraphs_of_document(pages))]
-    return pa.Table.from_pylist(rows, _DOCUMENTS)
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of documents, pages and paragraphs; a document is what stands together."""
+
+    def made() -> Iterator[tuple]:
+        for doc_id, rows in groupby(_rows(batches, ["doc_id", "page_index", "caption", "page_w", "page_h", "line_h"]), lambda r: r[0]["doc_id"]):
+            pages = [(Page(row["page_w"], row["page_h"], row["line_h"]), [Paragraph(lines, row["caption"])]) for row, lines in rows]
+            for k, p in enumerate(paragraphs_of_document(pages)):
+                yield doc_id, k, p.caption, p.lines
+
+    return _stepped(made(), _DOCUMENTS)
 
 
 def page_paragraphs(pages: DataFrame) -> DataFrame:
@@ -553,5 +594,10 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
 
 
 def merged_documents(paragraphs: DataFrame) -> DataFrame:
-    """``doc_id, ord, caption, lines`` of each document."""
-    return paragraphs.groupBy("doc_id").applyInArrow(_documents, f"doc_id long, ord long, caption boolean, lines array<{LINE_SQL}>")
+    """``doc_id, ord, caption, lines`` of each document.
+
+    Documents are dealt out and sorted by Spark and walked through one after another, many in a batch: as groups of their own they cost a hand-over each.
+    """
+    held = paragraphs.select("doc_id", "page_index", "ord", "caption", "lines", "page_w", "page_h", "line_h")
+    dealt = held.repartition("doc_id").sortWithinPartitions("doc_id", "page_index", "ord")
+    return dealt.mapInArrow(_documents, f"doc_id long, ord long, caption boolean, lines array<{LINE_SQL}>")
