@@ -46,9 +46,9 @@ def annotations_of(parents: DataFrame, children: DataFrame, key: str = "key", pa
     return children_of(parents, children.where(F.col(kind) == "annotation"), key, parent)
 
 
-def first_pdf(children: DataFrame, parent: str = "parent", order: str = "ord", content_type: str = "content_type") -> DataFrame:
-    """For each parent its first child whose content type names a PDF."""
-    return R.first_of_kind(children.where(F.lower(F.col(content_type)).contains("pdf")), parent, [F.col(order)])
+def first_pdf(children: DataFrame, parent: str = "parent", order: tuple[str, ...] = ("ord",), content_type: str = "content_type") -> DataFrame:
+    """For each parent its first child whose content type names a PDF. ``order`` should tell children of a parent apart, else any of equal ones may come."""
+    return R.first_of_kind(children.where(F.lower(F.col(content_type)).contains("pdf")), parent, [F.col(n) for n in order])
 
 
 def search(items: DataFrame, tags: list[str], first: str, most: int = 20, key: str = "key") -> DataFrame:

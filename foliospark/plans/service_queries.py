@@ -127,7 +127,7 @@ def _(spark, d):
     folder, rows = scratch.new_path(spark, "service"), table(spark, d, "documents").select("source", "doc_id")
     store = Store(folder, lambda row, n: row["doc_id"] % (6 if n == 1 else 3) == (5 if n == 1 else 2), lambda token: token[0] in "05a")
     for _ in range(2):
-        figures = service.create_items(rows, "source", ["doc_id"], store, "run-1")
+        figures = service.create_items(rows, "source", ["doc_id"], store, "run-1", wait=lambda _s: None)
     held = spark.read.schema("source string, doc_id long").json(f"{folder}/rows")
     counts = held.groupBy("source").agg(F.count("*").alias("created"))
     total = rows.groupBy("source").agg(F.count("*").alias("planned")).join(counts, "source", "left").withColumn("created", F.coalesce("created", F.lit(0)))

@@ -11,11 +11,13 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from ..operators.reconcile import batches
 from .layout_json import ProviderError, with_retry
 
 Transport = Callable[[str, str, dict, dict, bytes], tuple[int, dict, bytes]]
@@ -23,8 +25,11 @@ Transport = Callable[[str, str, dict, dict, bytes], tuple[int, dict, bytes]]
 ITEMS = "key string, version long, parent string, item_type string, title string, tags array<string>, data string, tag string"
 #: Rows of one request, and requests of one partition.
 PAGE, PAGES = 100, 10
+#: Of a longer list a partition takes more requests, so that there are no more partitions than that.
+PARTITIONS = 2000
 # Fixed value: the header in which the service tells how many rows there are.
 TOTAL = "Total-Results"
+BATCH = "_batch"
 
 
 def pickled(transport: Transport) -> str:
@@ -103,7 +108,7 @@ class ItemsReader(DataSourceReader):
                 if total is None:  # who doesn't say how many there are is walked through to the end
                     made.append(Pages(path, params))
                 else:
-                    step = self.page * self.pages
+                    step = self.page * max(self.pages, -(-int(total) // (self.page * PARTITIONS)))
                     made += [Pages(path, params, at, min(at + step, int(total))) for at in range(0, int(total), step)]
         return made or [Pages("", {}, 0, 0)]
 
@@ -172,11 +177,11 @@ class CreateWriter(DataSourceWriter):
 
     def __init__(self, options: dict, names: list[str]):
         self.transport, self.names = _unpickled(options["transport"]), names
-        self.run, self.path, self.item, self.size = options["run"], options["path"], options["item"], int(options.get("batch_rows", "10"))
+        self.run, self.path, self.item, self.wait = options["run"], options["path"], options["item"], _unpickled(options["wait"])
 
     def _sent(self, key: str, rows: list[dict]) -> tuple[int, dict]:
         """The number of rows created, and what is said of those that aren't, by their place."""
-        status, _, body = _asked(self.transport, "POST", self.path, {}, {"Write-Token": key}, json.dumps(rows, ensure_ascii=False, default=str).encode())
+        status, _, body = _asked(self.transport, "POST", self.path, {}, {"Write-Token": key}, json.dumps(rows, ensure_ascii=False, default=str).encode(), self.wait)
         if status >= 400:
             return 0, {i: f"status {status}" for i in range(len(rows))}
         answer = json.loads(body)
@@ -188,17 +193,10 @@ class CreateWriter(DataSourceWriter):
         return len(good), {int(i): str(why) for i, why in bad.items() if str(i).isdigit()}
 
     def _batches(self, rows) -> Iterator[tuple[str, list[dict]]]:
-        item, part, number = None, [], 0
-        for row in rows:
-            now = dict(zip(self.names, row, strict=True))
-            if part and (now[self.item] != item or len(part) == self.size):
-                yield f"{item}-{number}", part
-                number = number + 1 if now[self.item] == item else 0
-                part = []
-            item = now[self.item]
-            part.append(now)
-        if part:
-            yield f"{item}-{number}", part
+        """Rows that stand together with one item and batch, which the rows lose."""
+        named = (dict(zip(self.names, row, strict=True)) for row in rows)
+        for (item, number), part in groupby(named, lambda r: (r[self.item], r[BATCH])):
+            yield f"{item}-{number}", [{n: v for n, v in r.items() if n != BATCH} for r in part]
 
     def write(self, rows) -> Written:
         done = Written(0, 0, 0, 0, [])
@@ -223,14 +221,15 @@ class CreateWriter(DataSourceWriter):
         _asked(self.transport, "PUT", f"/runs/{self.run}", {}, {}, json.dumps({"aborted": True}).encode())
 
 
-def create_items(rows: DataFrame, item: str, order: list[str], transport: Transport, run: str, path: str = "/items", batch_rows: int = 10) -> dict:
+def create_items(rows: DataFrame, item: str, order: list[str], transport: Transport, run: str, path: str = "/items", batch_rows: int = 10, wait: Callable[[float], None] = time.sleep) -> dict:
     """Creates ``rows`` in batches of ``batch_rows`` within each item and gives the run's figures: batches, planned, created, failed and samples of failures.
 
     A task that is tried again, a second attempt beside a slow one, or the whole job under the same ``run`` sends each batch under the same key; the service, which keeps
     the first answer of a key, creates nothing twice. For that the rows of an item have to be in one order: ``order`` should tell them apart. The figures are those
-    that the tasks commit with; a job that fails leaves none.
+    that the tasks commit with; a job that fails leaves none. Batches are numbered first and then dealt out, so that an item with many rows is no task of its own.
     """
     rows.sparkSession.dataSource.register(Items)
-    dealt = rows.repartition(item).sortWithinPartitions(item, *order)
-    dealt.write.format("library_items").options(transport=pickled(transport), run=run, path=path, item=item, batch_rows=str(batch_rows)).mode("append").save()
+    # a number of partitions, for by their few bytes Spark would put all batches in one
+    dealt = batches(rows, item, order, batch_rows).withColumnRenamed("batch", BATCH).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, item, BATCH).sortWithinPartitions(item, BATCH, *order)
+    dealt.write.format("library_items").options(transport=pickled(transport), run=run, path=path, item=item, wait=pickled(wait)).mode("append").save()
     return json.loads(_asked(transport, "GET", f"/runs/{run}", {})[2])
