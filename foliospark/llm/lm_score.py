@@ -6,14 +6,14 @@ half, and what the first word's pairs leave over, goes by the word alone: half i
 spelling by a model of four bytes, which also spells what is outside the vocabulary, so both models give every text a chance. Counts of the
 spelling background are scaled to the target's total, which matches what smoothing does in both without leaving out a row.
 
-Words above a fixed share of all tokens, of which there can be only so many, are sent to all tasks. All others are too rare
-to be a hot key: their occurrences meet the counts in a join, and their table grows with the corpus. Pairs are in the vocabulary
-from a fixed share of all tokens on, so there can be only so many too, and both words of one are among the words sent. A first pass
-adds up the pairs by cells of their hashes; a cell under the share holds no such pair, so only pairs of other cells are counted.
+Words and pairs above a fixed share of all tokens, of which there can be only so many, are sent to all tasks. All others are too rare
+to be a hot key: their occurrences meet the counts in a join, and their tables grow with the corpus. A bit table of bounded size tells
+what can't be in the vocabulary and needs no join; a bit too many sends an occurrence to the join in vain, and the result stays the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .shingles import mixed, pieces, spans, words
+from .shingles import _MIX, mixed, pieces, spans, words
 from .toxicity import held_out
 
 #: Cells of hashed counts of four bytes, and of their first three: bounds of the spelling models' size.
@@ -32,15 +32,21 @@ PAIRS = 1 << 16
 MODELS = ("background", "target")
 #: Words of at least 1 / HEAVY of all tokens are heavy, so there are at most HEAVY of them.
 HEAVY = 1 << 20
-#: Pairs of words of at least 1 / HEAVY_PAIRS of all tokens are in the vocabulary; no more than HEAVY, so that both words are heavy.
+#: Pairs of at least 1 / HEAVY_PAIRS of all tokens are heavy; no more than HEAVY, so that both words are heavy too.
 HEAVY_PAIRS = 1 << 19
-#: Cells that sieve pairs: four times as many as pairs can be heavy, so a cell has to hold four times its even share to pass.
-SIEVE = 1 << 21
+#: Bits of the table for each word or pair of the vocabulary, and bits at most: 64 MB. With more than some 100 million of them more rows are joined in vain.
+BITS, MOST_BITS = 16, 1 << 29
+#: The bit table is put together in chunks of so many words of 64 bits.
+BIT_CHUNK = 1 << 12
 #: Words and pairs that a task counts before it hands counts on.
 HELD_WORDS = 1 << 21
-#: ``first``: of a pair, the first word; ``word`` is then the pair's hash.
-COUNTED = "model int, kind string, chunk int, cells binary, first long, word long, n long, t long"
-COUNTED_SCHEMA = pa.schema([("model", pa.int32()), ("kind", pa.string()), ("chunk", pa.int32()), ("cells", pa.binary()), ("first", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
+#: The same of pairs, which come beside words or with their first words.
+HELD_PAIRS = 1 << 20
+#: Factors of a pair's words in its hash.
+FIRST, SECOND = np.uint64(0xE7037ED1A0B428DB), np.uint64(0xA0761D6478BD642F)
+#: Of texts: ``kind`` is a table of cells, or ``word``, or ``target pair`` with the pair's hash in ``word``.
+COUNTED = "model int, kind string, chunk int, cells binary, word long, n long, t long"
+COUNTED_SCHEMA = pa.schema([("model", pa.int32()), ("kind", pa.string()), ("chunk", pa.int32()), ("cells", pa.binary()), ("word", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
 
 
 def _pairs(hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +55,16 @@ def _pairs(hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
     second[start[:-1][start[:-1] < len(hashes)]] = False  # the first word of each text
     at = np.flatnonzero(second)
     a = hashes[at - 1]
-    return mixed((a ^ (a >> np.uint64(31))) * np.uint64(0xE7037ED1A0B428DB) + hashes[at] * np.uint64(0xA0761D6478BD642F)), at
+    return mixed((a ^ (a >> np.uint64(31))) * FIRST + hashes[at] * SECOND), at
+
+
+def _second(pair: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The second words of pairs' hashes, whose first words are known: each step of ``_pairs`` can be undone."""
+    one, two, last = (np.uint64(pow(int(x), -1, 1 << 64)) for x in (_MIX[0], _MIX[1], SECOND))
+    pair, a = pair.view(np.uint64), first.view(np.uint64)
+    x = (pair ^ (pair >> np.uint64(32))) * two
+    x = (x ^ (x >> np.uint64(29)) ^ (x >> np.uint64(58))) * one
+    return ((x ^ (x >> np.uint64(32))) - (a ^ (a >> np.uint64(31))) * FIRST) * last
 
 
 def _cells(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,36 +86,41 @@ def _cells(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class _Tally:
-    """Counts of words or of pairs, of all texts and of the target's, within bounded memory."""
+    """Counts of words, of all texts and of the target's, or of pairs, within bounded memory; what is carried comes along with each."""
 
-    def __init__(self, pairs: bool = False):
-        self.pairs, self.parts, self.size = pairs, [], 0
+    def __init__(self, most: int):
+        self.most, self.parts, self.size = most, [], 0
 
-    def add(self, hashes: np.ndarray, mine: np.ndarray, first: np.ndarray | None = None) -> None:
-        found, one, at = np.unique(hashes, return_index=True, return_inverse=True)
-        self.parts.append((found, np.bincount(at, minlength=len(found)), np.bincount(at[mine], minlength=len(found)), found if first is None else first[one]))
-        self.size += len(found)
-        if self.size > HELD_WORDS and len(self.parts) > 1:
+    def add(self, hashes: np.ndarray, mine: np.ndarray | None = None, carried: np.ndarray | None = None) -> None:
+        self.hold(hashes, [None] if mine is None else [None, mine], carried)
+        if self.size > self.most and len(self.parts) > 1:
             self.merge()
 
+    def hold(self, key: np.ndarray, weights: list, carried: np.ndarray | None) -> None:
+        found, *one, at = np.unique(key, return_index=carried is not None, return_inverse=True)
+        self.parts.append((found, [np.bincount(at, w, len(found)).astype(np.int64) for w in weights], carried if carried is None else carried[one[0]]))
+        self.size += len(found)
+
     def merge(self) -> None:
-        key, *old, first = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        found, one, at = np.unique(key, return_index=True, return_inverse=True)
-        sums = [np.bincount(at, x, len(found)).astype(np.int64) for x in old]
-        self.parts, self.size = [(found, *sums, first[one])], len(found)
+        keys, sums, carried = zip(*self.parts, strict=True)
+        self.parts, self.size = [], 0
+        self.hold(np.concatenate(keys), [np.concatenate(x) for x in zip(*sums, strict=True)], None if carried[0] is None else np.concatenate(carried))
 
-    def rows(self, over: int = 0):
-        """What is counted so far, and forgotten here, once merged parts hold more than ``over`` words."""
+    def taken(self, over: int = 0):
+        """What is counted so far in slices, and forgotten here, once merged parts hold more than ``over`` words or pairs."""
         if not self.parts or self.size <= over:
             return
         self.merge()
         if self.size > over:
-            (key, n, t, first), self.parts, self.size = self.parts[0], [], 0
+            (key, sums, carried), self.parts, self.size = self.parts[0], [], 0
             for k in range(0, len(key), 1 << 16):
                 part = slice(k, k + (1 << 16))
-                none = pa.nulls(len(key[part]))
-                firsts = pa.array(first[part].view(np.int64)) if self.pairs else none.cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([*[none.cast(f.type) for f in list(COUNTED_SCHEMA)[:4]], firsts, pa.array(key[part].view(np.int64)), pa.array(n[part], pa.int64()), pa.array(t[part], pa.int64())], schema=COUNTED_SCHEMA)
+                yield [pa.array(x[part].view(np.int64)) for x in (key, *sums, *([] if carried is None else [carried]))]
+
+    def rows(self, kind: str, over: int = 0):
+        for word, *sums in self.taken(over):
+            none = pa.nulls(len(word))
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), pa.array([kind] * len(word)), none.cast(pa.int32()), none.cast(pa.binary()), word, sums[0], sums[-1]], schema=COUNTED_SCHEMA)
 
 
 def _chunks(model: int, name: str, table: np.ndarray):
@@ -108,36 +128,17 @@ def _chunks(model: int, name: str, table: np.ndarray):
         yield pa.RecordBatch.from_pylist([{"model": model, "kind": name, "chunk": chunk, "cells": cells}], COUNTED_SCHEMA)
 
 
-def _sieve(docs: DataFrame) -> np.ndarray:
-    """Of each cell of pairs' hashes, whether a pair of at least 1 / HEAVY_PAIRS of all pairs can be in it."""
-
-    def run(batches):
-        total = np.zeros(SIEVE, np.int64)
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for _, raw, at in pieces(batch["text"], 2 << 20):
-                    total += np.bincount((_pairs(*words(raw, at))[0] % np.uint64(SIEVE)).astype(np.int64), minlength=SIEVE)
-        yield from _chunks(0, "sieve", total)
-
-    total = np.zeros(SIEVE, np.int64)
-    sums = common.written(docs.select("text").mapInArrow(run, COUNTED), "sieve")
-    _filled(sums, {(0, "sieve"): total})
-    common.dropped(sums)
-    return total * HEAVY_PAIRS >= max(1, total.sum())
-
-
-def counts(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
-    """Counts of each task of ``docs(text, is_target)``: of n-grams of bytes, packed in chunks, of words, and of the pairs that pass ``sieve``."""
+def counts(docs: DataFrame) -> DataFrame:
+    """Counts of each task of ``docs(text, is_target)``: of n-grams of bytes, packed in chunks, of words, and of the target's pairs."""
     layout = (("four", GRAMS), ("head", HEADS), ("pair", PAIRS))
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(sieve))  # fixed size
 
     def run(batches):
         total = [{name: np.zeros(size, np.int64) for name, size in layout} for _ in MODELS]
-        tally, pairs, passes = _Tally(), _Tally(pairs=True), np.unpackbits(held.value).astype(bool)
+        tally, pairs = _Tally(HELD_WORDS), _Tally(HELD_PAIRS)
         with np.errstate(over="ignore"):
             for batch in batches:
                 target = np.array(batch["is_target"].to_pylist(), bool)
-                for first, raw, at in pieces(batch["text"], 2 << 20):
+                for first, raw, at in pieces(batch["text"], 1 << 20):
                     row, *cells = _cells(raw, at)
                     mine = target[first + row]
                     for (name, size), cell in zip(layout, cells, strict=True):
@@ -148,13 +149,11 @@ def counts(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
                     is_mine = np.repeat(target[first : first + len(at) - 1], np.diff(start))
                     tally.add(hashes, is_mine)
                     pair, place = _pairs(hashes, start)
-                    passing = passes[(pair % np.uint64(SIEVE)).astype(np.int64)]
-                    pair, place = pair[passing], place[passing]
-                    pairs.add(pair, is_mine[place], hashes[place - 1])
-                    yield from tally.rows(HELD_WORDS)
-                    yield from pairs.rows(HELD_WORDS)
-        yield from tally.rows()
-        yield from pairs.rows()
+                    pairs.add(pair[is_mine[place]])
+                    yield from tally.rows("word", HELD_WORDS)
+                    yield from pairs.rows("target pair", HELD_PAIRS)
+        yield from tally.rows("word")
+        yield from pairs.rows("target pair")
         for model, tables in enumerate(total):
             for name, table in tables.items():
                 yield from _chunks(model, name, table)
@@ -162,6 +161,66 @@ def counts(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, COUNTED)
 
 
+def _places(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash in a table of ``size`` bits, a power of two."""
+    hashes = hashes.view(np.uint64)
+    return (hashes & np.uint64(size - 1)).astype(np.int64), ((hashes >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    one, two = _places(hashes, len(bits) * 8)
+    return ((bits[one >> 3] >> (one & 7)) & (bits[two >> 3] >> (two & 7)) & 1).astype(bool)
+
+
+def _bit_table(keys: DataFrame) -> np.ndarray:
+    """The bits of all ``keys(word)``. They are put together by words of 64, before and after the shuffle, and then by chunks."""
+    size = 1 << 12
+    while size < min(MOST_BITS, BITS * keys.count()):
+        size *= 2
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(batch["word"].to_numpy(), size)))], names=["bit"])
+
+    def packs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(min(BIT_CHUNK, size // 64), np.int64)
+        for batch in batches:
+            cells[batch["at"].to_numpy() % BIT_CHUNK] = batch["bits"].to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([cells.astype("<i8").tobytes()], pa.binary())], names=["chunk", "cells"])
+
+    sixty_four = keys.mapInArrow(run, "bit long").groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
+    table = np.zeros(size // 8, np.uint8)
+    for r in sixty_four.withColumn("chunk", F.expr(f"at div {BIT_CHUNK}")).groupBy("chunk").applyInArrow(packs, "chunk long, cells binary").collect():
+        table[r["chunk"] * BIT_CHUNK * 8 :][: len(r["cells"])] = np.frombuffer(r["cells"], np.uint8)
+    return table
+
+
+def _paired(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``(word, first, n)``: counts in all texts of each pair that ``bits`` may hold, and its first word."""
+    held = docs.sparkSession.sparkContext.broadcast(bits)  # at most MOST_BITS
+
+    def run(batches):
+        tally = _Tally(HELD_PAIRS)
+
+        def rows(over: int = 0):
+            for pair, n, first in tally.taken(over):
+                yield pa.RecordBatch.from_arrays([pair, first, n], names=["word", "first", "n"])
+
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for _, raw, at in pieces(batch["text"]):
+                    hashes, start = words(raw, at)
+                    pair, place = _pairs(hashes, start)
+                    may = _may_hold(held.value, pair)
+                    tally.add(pair[may], None, hashes[place[may] - 1])
+                    yield from rows(HELD_PAIRS)
+        yield from rows()
+
+    found = docs.select("text").mapInArrow(run, "word long, first long, n long")
+    return found.groupBy("word").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+
+
 def _filled(counted: DataFrame, tables: dict[tuple[int, str], np.ndarray]) -> None:
     """Puts the sums of all tasks' cells into ``tables``, whose size is all that reaches the driver."""
     for r in common.added_up(counted.where("cells is not null"), ["model", "kind", "chunk"]).collect():
@@ -170,9 +229,12 @@ def _filled(counted: DataFrame, tables: dict[tuple[int, str], np.ndarray]) -> No
 
 @dataclass
 class Models:
-    """``spelling``: of both models, of fixed size. ``vocabulary(word, n, t)``: a table, of all heavy words (0 where outside) also in ``heavy``.
+    """``spelling``: of both models, of fixed size. ``vocabulary(word, n, t, back_*)``: a table of all words but the heavy ones.
 
-    ``pairs``: hashes in order, their shares of the first word's counts by model. ``left``: by model, what the pairs of each heavy word leave over.
+    ``heavy``: the heavy words in order, and their counts by model, 0 where outside the vocabulary. ``pairs``: heavy pairs' hashes in order, their shares of
+    the first word's counts by model. ``left``: by model, what the pairs of each heavy word leave over. ``rare``: a table of all other pairs of the vocabulary,
+    ``word`` their hash, with half their ``share_*``, the second word's counts and what comes back to it; none where they are left out.
+    ``bits``: a table for which of all these a text's words and pairs can be; ``others``: the heavy pairs among those that it can't tell from the vocabulary's.
     """
 
     spelling: list[dict[str, np.ndarray]]
@@ -182,11 +244,46 @@ class Models:
     left: np.ndarray
     totals: tuple[float, float]
     spelled: tuple[float, float]
+    rare: DataFrame | None
+    bits: np.ndarray
+    others: np.ndarray
+
 
+def _facts(rare: DataFrame, vocabulary: DataFrame, heavy: tuple[np.ndarray, np.ndarray], left: np.ndarray) -> DataFrame:
+    """``(word, n, t, back_*, share_*)`` of pairs. Counts of heavy words, which are hot keys, are looked up in ``heavy``, those of others joined."""
+    held = rare.sparkSession.sparkContext.broadcast((heavy, left))  # at most HEAVY words
+    fields = {"word": "long", "n": "long", "t": "long", "first": "long", "second": "long", "n1": "long", "t1": "long", "back_background": "double", "back_target": "double", "n2": "long", "t2": "long"}
 
-def models(docs: DataFrame, least: int = 2) -> Models:
-    """The two models of ``docs(text, is_target)``; the vocabulary holds words and pairs that the target has ``least`` times."""
-    counted = common.written(counts(docs, _sieve(docs)), "counts")
+    def run(batches):
+        (keys, numbers), left = held.value
+        for batch in batches:
+            first = batch["first"].to_numpy()
+            with np.errstate(over="ignore"):
+                second = _second(batch["word"].to_numpy(), first).view(np.int64)
+            out = [*[batch[c] for c in list(fields)[:4]], pa.array(second)]
+            for key, values in ((first, [*numbers, *(0.5 + 0.5 * left)]), (second, numbers)):
+                place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                missing = keys[place] != key if len(keys) else np.ones(len(key), bool)
+                out += [pa.array(x[place] if len(keys) else np.zeros(len(key), x.dtype), mask=missing) for x in values]
+            yield pa.RecordBatch.from_arrays(out, names=list(fields))
+
+    def known(rows: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
+        """``rows`` whose ``names`` of a heavy ``key`` are there, and all others with those of the vocabulary."""
+        there = F.col(next(iter(names))).isNotNull()
+        of = vocabulary.select(F.col("word").alias(key), *[F.col(c).alias(name) for name, c in names.items()])
+        return rows.where(there).unionByName(rows.where(~there).drop(*names).join(of.hint("merge"), key))
+
+    backs = {c: c for c in ("back_background", "back_target")}
+    both = known(known(rare.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in fields.items())), "first", {"n1": "n", "t1": "t"} | backs), "second", {"n2": "n", "t2": "t"})
+    return both.select("word", F.col("n2").alias("n"), F.col("t2").alias("t"), *backs, (0.5 * F.col("n") / F.col("n1")).alias("share_background"), (0.5 * F.col("t") / F.col("t1")).alias("share_target"))
+
+
+def models(docs: DataFrame, least: int = 2, rare_pairs: bool = False) -> Models:
+    """The two models of ``docs(text, is_target)``; the vocabulary holds words and pairs that the target has ``least`` times.
+
+    ``rare_pairs``: all such pairs. Without it only the heavy ones are in the vocabulary, and scoring joins no pairs.
+    """
+    counted = common.written(counts(docs), "counts")
     out = [{"four": np.zeros(GRAMS), "head": np.zeros(HEADS), "pair": np.zeros(PAIRS)} for _ in MODELS]
     _filled(counted, {(k, name): table for k, tables in enumerate(out) for name, table in tables.items()})
     scale = out[1]["pair"].sum() / max(1.0, out[0]["pair"].sum())
@@ -195,22 +292,40 @@ def models(docs: DataFrame, least: int = 2) -> Models:
         pair = model["pair"].reshape(256, 256) * factor
         low = (pair + 0.5) / (pair.sum(1, keepdims=True) + 128)
         ready.append({"four": (model["four"] * factor).astype(np.float32), "head": (model["head"] * factor).astype(np.float32), "low": low.ravel().astype(np.float32)})
-    all_words = common.written(counted.where("word is not null and first is null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "words")
+    all_words = common.written(counted.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "words")
     known = F.col("t") >= least
     sums = all_words.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double") for c in ("n", "t")], *[F.coalesce(F.sum(F.when(known, F.col(c))), F.lit(0)).cast("double") for c in ("n", "t")]).first()
     totals = max(sums[0], 1.0), max(sums[1], 1.0)
     kept = all_words.select("word", F.when(known, F.col("n")).otherwise(0).alias("n"), F.when(known, F.col("t")).otherwise(0).alias("t"), (F.col("n") * HEAVY >= totals[0]).alias("heavy"))
-    top = kept.where("heavy").select("word", "n", "t").toArrow().sort_by("word")  # at most HEAVY words
+    wanted = common.written(counted.where("kind = 'target pair'").groupBy("word").agg(F.sum("t").alias("t")).where(known), "wanted")
+    common.dropped(counted)
+    common.release(docs.sparkSession)
+    bits = _bit_table(wanted.select("word").unionAll(kept.where("not heavy and t > 0").select("word")))
+    found = common.written(_paired(docs, bits).join(wanted.hint("merge"), "word", "left").withColumn("heavy", F.col("n") * HEAVY_PAIRS >= totals[0]), "pairs")
+    common.dropped(wanted)
+    top_pairs = found.where("heavy").select("word", "first", "n", "t").toArrow().sort_by("word")  # at most HEAVY_PAIRS pairs
+    is_known = np.asarray(top_pairs["t"].is_valid())
+    others, pairs = top_pairs["word"].to_numpy()[~is_known], top_pairs.filter(pa.array(is_known))
+    among = found.where("t is not null") if rare_pairs else found.where("heavy and t is not null")
+    lead = among.groupBy(F.col("first").alias("word")).agg(F.sum("n").alias("of_n"), F.sum("t").alias("of_t"))
+    over = [(F.lit(1.0) - F.coalesce(F.col(f"of_{c}") / F.when(F.col(c) > 0, F.col(c)), F.lit(0.0))).alias(f"left_{m}") for m, c in zip(MODELS, ("n", "t"), strict=True)]
+    all_kept = common.written(kept.where("heavy or t > 0").join(lead.hint("merge"), "word", "left").select("word", "n", "t", "heavy", *over), "vocabulary")
+    common.dropped(all_words)
+    top = all_kept.where("heavy").drop("heavy").toArrow().sort_by("word")  # at most HEAVY words
     heavy = top["word"].to_numpy(), np.stack([top[c].to_numpy() for c in ("n", "t")])
-    pairs = counted.where("first is not null").groupBy("word", "first").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    pairs = pairs.where((F.col("n") * HEAVY_PAIRS >= totals[0]) & known).toArrow().sort_by("word")  # at most HEAVY_PAIRS pairs
+    left = np.stack([top[f"left_{m}"].to_numpy() for m in MODELS])
     first = np.searchsorted(heavy[0], pairs["first"].to_numpy())
     shares = np.stack([pairs[c].to_numpy() / np.maximum(heavy[1][k][first], 1) for k, c in enumerate(("n", "t"))])
-    left = np.stack([np.maximum(0.0, 1 - np.bincount(first, share, len(heavy[0]))) for share in shares])
-    return Models(ready, kept.where("not heavy and t > 0").select("word", "n", "t"), heavy, (pairs["word"].to_numpy(), shares), left, totals, (1 - 0.5 * sums[2] / totals[0], 1 - 0.5 * sums[3] / totals[1]))
+    vocabulary = all_kept.where("not heavy").select("word", "n", "t", *[(0.5 + 0.5 * F.col(f"left_{m}")).alias(f"back_{m}") for m in MODELS])
+    rare = None
+    if rare_pairs:
+        rare = common.written(_facts(found.where("not heavy and t is not null"), vocabulary, heavy, left), "facts")
+    common.dropped(found)
+    common.release(docs.sparkSession)
+    return Models(ready, vocabulary, heavy, (pairs["word"].to_numpy(), shares), left, totals, (1 - 0.5 * sums[2] / totals[0], 1 - 0.5 * sums[3] / totals[1]), rare, bits, others)
 
 
-SCORED = "row long, doc_id long, n_tokens long, loss_background double, loss_target double, word long, spelled_background float, spelled_target float"
+SCORED = "row long, doc_id long, n_tokens long, loss_background double, loss_target double, word long, is_pair boolean, followed boolean, spelled_background float, spelled_target float"
 
 
 def scored(docs: DataFrame, fitted: Models, weight: float = 20.0) -> DataFrame:
@@ -220,18 +335,19 @@ def scored(docs: DataFrame, fitted: Models, weight: float = 20.0) -> DataFrame:
     no tokens and zeros. Rows that repeat are scored each; other columns are ignored.
     ``weight``: how many n-grams of bytes the estimate by pairs counts for.
     """
-    small = (fitted.spelling, fitted.heavy, fitted.pairs, fitted.left, fitted.totals, fitted.spelled)
-    held = docs.sparkSession.sparkContext.broadcast(small)  # fixed size, and at most HEAVY words and HEAVY_PAIRS pairs
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_background", pa.float64()), ("loss_target", pa.float64()), ("word", pa.int64()), ("spelled_background", pa.float32()), ("spelled_target", pa.float32())])
+    small = (fitted.spelling, fitted.heavy, fitted.pairs, fitted.left, fitted.totals, fitted.spelled, fitted.bits, fitted.others)
+    held = docs.sparkSession.sparkContext.broadcast(small)  # fixed size, and at most HEAVY words, HEAVY_PAIRS pairs and MOST_BITS
+    joins_pairs = fitted.rare is not None
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_background", pa.float64()), ("loss_target", pa.float64()), ("word", pa.int64()), ("is_pair", pa.bool_()), ("followed", pa.bool_()), ("spelled_background", pa.float32()), ("spelled_target", pa.float32())])
 
     def run(batches):
-        spelling, (keys, numbers), (pairs, shares), left, totals, spelled = held.value
+        spelling, (keys, numbers), (pairs, shares), left, totals, spelled, bits, others = held.value
         number = TaskContext.get().partitionId() << 40  # rows are numbered once: the result is written
         for batch in batches:
             size = len(batch["text"])
             sums, sizes = np.zeros((2, size)), np.zeros(size, np.int64)
             with np.errstate(over="ignore", divide="ignore"):
-                for first, raw, at in pieces(batch["text"], 2 << 20):
+                for first, raw, at in pieces(batch["text"]):
                     if not len(raw):
                         continue
                     row, four, head, pair = _cells(raw, at)
@@ -244,6 +360,8 @@ def scored(docs: DataFrame, fitted: Models, weight: float = 20.0) -> DataFrame:
                     end = np.minimum(e + 2, at[of + 1])  # the space that ends a word is spelled too
                     place = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
                     is_heavy = keys[place] == hashes if len(keys) else np.zeros(len(hashes), bool)
+                    is_rare = ~is_heavy
+                    is_rare[is_rare] = _may_hold(bits, hashes[is_rare])
                     # what the word before leaves to the word alone, and the place of the pair where it is known
                     back = np.ones((len(MODELS), len(hashes)))
                     follows = second[is_heavy[second - 1]]
@@ -261,25 +379,43 @@ def scored(docs: DataFrame, fitted: Models, weight: float = 20.0) -> DataFrame:
                         alone = np.logaddexp(np.log(0.5 * counted / totals[k]), logs[k][is_heavy])
                         its = known[is_heavy]
                         share = np.where(its >= 0, 0.5 * shares[k][its], 0.0) if len(pairs) else np.zeros(len(its))
-                        loss = -np.log(back[k])  # all there is of a rare word's loss but its own, which the join adds
+                        loss = -np.log(back[k]) - np.where(is_rare, 0.0, logs[k])  # the join adds what a rare word loses alone
                         loss[is_heavy] = -np.logaddexp(np.log(share), np.log(back[k][is_heavy]) + alone)
                         sums[k, first : first + len(at) - 1] = np.bincount(of, loss, len(at) - 1)
-                    rare = np.flatnonzero(~is_heavy)
-                    for k in range(0, len(rare), 1 << 16):
-                        part = rare[k : k + (1 << 16)]
-                        none = pa.nulls(len(part))
-                        yield pa.RecordBatch.from_arrays([pa.array(number + first + of[part]), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64()), pa.array(hashes[part]), *[pa.array(x[part].astype(np.float32)) for x in logs]], schema=schema)
+                    goes_on = np.zeros(len(hashes), bool)
+                    goes_on[second - 1] = True
+                    joined = [(np.flatnonzero(is_rare), hashes[is_rare], False)]
+                    if joins_pairs:
+                        may = known[second] < 0
+                        may[may] = _may_hold(bits, both[may])
+                        may[may] = ~np.isin(both[may], others)
+                        joined.append((second[may], both[may], True))
+                    for where, key, is_pair in joined:
+                        for k in range(0, len(where), 1 << 16):
+                            part = where[k : k + (1 << 16)]
+                            none = pa.nulls(len(part))
+                            yield pa.RecordBatch.from_arrays([pa.array(number + first + of[part]), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64()), pa.array(key[k : k + (1 << 16)]), pa.array(np.full(len(part), is_pair)), pa.array(goes_on[part] & (not is_pair)), *[pa.array(x[part].astype(np.float32)) for x in logs]], schema=schema)
             none = pa.nulls(size)
-            yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(size)), batch["doc_id"], pa.array(sizes), *[pa.array(x) for x in sums], none.cast(pa.int64()), none.cast(pa.float32()), none.cast(pa.float32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(size)), batch["doc_id"], pa.array(sizes), *[pa.array(x) for x in sums], *[none.cast(f.type) for f in list(schema)[5:]]], schema=schema)
             number += size
 
     parts = common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(run, SCORED), "losses")
-    rare = parts.where("word is not null").select("row", "word", "spelled_background", "spelled_target").join(fitted.vocabulary.hint("merge"), "word", "left")
-
-    def loss(counted: str, total: float, spelled: str) -> Column:
-        return F.when(F.col(counted) > 0, -F.ln(F.col(counted) * (0.5 / total) + F.exp(spelled))).otherwise(-F.col(spelled).cast("double"))
-
-    rest = rare.groupBy("row").agg(F.sum(loss("n", fitted.totals[0], "spelled_background")).alias("b"), F.sum(loss("t", fitted.totals[1], "spelled_target")).alias("t"))
+    facts = fitted.vocabulary.withColumn("is_pair", F.lit(False))
+    if joins_pairs:
+        facts = facts.unionByName(fitted.rare.withColumn("is_pair", F.lit(True)), allowMissingColumns=True)
+    else:
+        facts = facts.select("*", *[F.lit(None).cast("double").alias(f"share_{m}") for m in MODELS])
+    rare = parts.where("word is not null").select("row", "word", "is_pair", "followed", "spelled_background", "spelled_target").join(facts.hint("merge"), ["word", "is_pair"], "left")
+
+    def loss(counted: str, total: float, model: str) -> Column:
+        """A word's own loss, with what it takes from the word that follows; of a pair, how its loss differs from that of its second word alone."""
+        spelled, back, share = F.col(f"spelled_{model}").cast("double"), F.col(f"back_{model}"), F.col(f"share_{model}")
+        alone = F.when(F.col(counted) > 0, F.ln(F.col(counted) * (0.5 / total) + F.exp(spelled))).otherwise(spelled)
+        taken = F.when(F.col("followed"), F.coalesce(F.ln(back), F.lit(0.0))).otherwise(0.0)
+        gained = F.coalesce(F.ln(share + back * F.exp(alone)) - F.ln(back) - alone, F.lit(0.0))
+        return F.when(F.col("is_pair"), -gained).otherwise(-alone - taken)
+
+    rest = rare.groupBy("row").agg(F.sum(loss("n", fitted.totals[0], "background")).alias("b"), F.sum(loss("t", fitted.totals[1], "target")).alias("t"))
     rows = parts.where("word is null").join(rest.hint("merge"), "row", "left")
     each = F.greatest("n_tokens", F.lit(1))
     made = rows.select("doc_id", "n_tokens", ((F.col("loss_target") + F.coalesce("t", F.lit(0.0))) / each).alias("ce_target"), ((F.col("loss_background") + F.coalesce("b", F.lit(0.0))) / each).alias("ce_background"))
@@ -295,5 +431,5 @@ def labelled(docs: DataFrame, labels: DataFrame, is_target: Column) -> DataFrame
 def op3_lm_score(spark, sf_dir):
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
-    found = scored(docs, models(labelled(docs, labels, F.col("quality") == 1)))
+    found = scored(docs, models(labelled(docs, labels, F.col("quality") == 1), rare_pairs=True))
     return found.withColumn("held_out", held_out())
