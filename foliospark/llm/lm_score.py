@@ -325,24 +325,30 @@ def models(docs: DataFrame, least: int = 2, rare_pairs: bool = False) -> Models:
     return Models(ready, vocabulary, heavy, (pairs["word"].to_numpy(), shares), left, totals, (1 - 0.5 * sums[2] / totals[0], 1 - 0.5 * sums[3] / totals[1]), rare, bits, others)
 
 
-SCORED = "row long, doc_id long, n_tokens long, loss_background double, loss_target double, word long, is_pair boolean, followed boolean, spelled_background float, spelled_target float"
+SCORED = "row long, word long, kind int, background double, target double"
+#: Kinds of rows: a word that the join meets, the same with a word after it, a pair, a document with its id and losses, and its size. Halved, they tell what to join.
+WORD, FOLLOWED, PAIR, DOCUMENT, SIZE = 0, 1, 2, 4, 6
 
 
 def scored(docs: DataFrame, fitted: Models, weight: float = 20.0) -> DataFrame:
     """``doc_id, n_tokens, ce_target, ce_background, ce_difference`` for every row of ``docs(doc_id, text)``, in nats a word.
 
     The difference is target less background: below zero, a text is more like the target. Null, empty and blank texts have
-    no tokens and zeros. Rows that repeat are scored each; other columns are ignored.
+    no tokens and zeros. Rows that repeat are scored each; other columns are ignored. Rows are numbered where they are read, so a table that
+    can come in another order when a lost task runs again, as after a shuffle, is to be written before.
     ``weight``: how many n-grams of bytes the estimate by pairs counts for.
     """
     small = (fitted.spelling, fitted.heavy, fitted.pairs, fitted.left, fitted.totals, fitted.spelled, fitted.bits, fitted.others)
     held = docs.sparkSession.sparkContext.broadcast(small)  # fixed size, and at most HEAVY words, HEAVY_PAIRS pairs and MOST_BITS
     joins_pairs = fitted.rare is not None
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_background", pa.float64()), ("loss_target", pa.float64()), ("word", pa.int64()), ("is_pair", pa.bool_()), ("followed", pa.bool_()), ("spelled_background", pa.float32()), ("spelled_target", pa.float32())])
+    schema = pa.schema([("row", pa.int64()), ("word", pa.int64()), ("kind", pa.int32()), ("background", pa.float64()), ("target", pa.float64())])
+
+    def rows(row, word, kind, background, target):
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((row, word, kind, background, target), schema, strict=True)], schema=schema)
 
     def run(batches):
         spelling, (keys, numbers), (pairs, shares), left, totals, spelled, bits, others = held.value
-        number = TaskContext.get().partitionId() << 40  # rows are numbered once: the result is written
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             size = len(batch["text"])
             sums, sizes = np.zeros((2, size)), np.zeros(size, np.int64)
@@ -382,43 +388,48 @@ def scored(docs: DataFrame, fitted: Models, weight: float = 20.0) -> DataFrame:
                         loss = -np.log(back[k]) - np.where(is_rare, 0.0, logs[k])  # the join adds what a rare word loses alone
                         loss[is_heavy] = -np.logaddexp(np.log(share), np.log(back[k][is_heavy]) + alone)
                         sums[k, first : first + len(at) - 1] = np.bincount(of, loss, len(at) - 1)
-                    goes_on = np.zeros(len(hashes), bool)
-                    goes_on[second - 1] = True
-                    joined = [(np.flatnonzero(is_rare), hashes[is_rare], False)]
+                    kind = np.full(len(hashes), WORD)
+                    kind[second - 1] = FOLLOWED
+                    joined = [(np.flatnonzero(is_rare), hashes[is_rare], kind[is_rare])]
                     if joins_pairs:
                         may = known[second] < 0
                         may[may] = _may_hold(bits, both[may])
                         may[may] = ~np.isin(both[may], others)
-                        joined.append((second[may], both[may], True))
-                    for where, key, is_pair in joined:
+                        joined.append((second[may], both[may], np.full(may.sum(), PAIR)))
+                    for where, key, kind in joined:
                         for k in range(0, len(where), 1 << 16):
-                            part = where[k : k + (1 << 16)]
-                            none = pa.nulls(len(part))
-                            yield pa.RecordBatch.from_arrays([pa.array(number + first + of[part]), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64()), pa.array(key[k : k + (1 << 16)]), pa.array(np.full(len(part), is_pair)), pa.array(goes_on[part] & (not is_pair)), *[pa.array(x[part].astype(np.float32)) for x in logs]], schema=schema)
-            none = pa.nulls(size)
-            yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(size)), batch["doc_id"], pa.array(sizes), *[pa.array(x) for x in sums], *[none.cast(f.type) for f in list(schema)[5:]]], schema=schema)
+                            part = slice(k, k + (1 << 16))
+                            yield rows(number + first + of[where[part]], key[part], kind[part], *[x[where[part]].astype(np.float32).astype(np.float64) for x in logs])
+            of_all = number + np.arange(size)
+            yield rows(of_all, batch["doc_id"], np.full(size, DOCUMENT), *sums)
+            yield rows(of_all, of_all, np.full(size, SIZE), sizes.astype(np.float64), np.zeros(size))
             number += size
 
-    parts = common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(run, SCORED), "losses")
-    facts = fitted.vocabulary.withColumn("is_pair", F.lit(False))
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(run, SCORED)
+    facts = fitted.vocabulary.withColumn("half", F.lit(WORD >> 1))
     if joins_pairs:
-        facts = facts.unionByName(fitted.rare.withColumn("is_pair", F.lit(True)), allowMissingColumns=True)
+        facts = facts.unionByName(fitted.rare.withColumn("half", F.lit(PAIR >> 1)), allowMissingColumns=True)
     else:
         facts = facts.select("*", *[F.lit(None).cast("double").alias(f"share_{m}") for m in MODELS])
-    rare = parts.where("word is not null").select("row", "word", "is_pair", "followed", "spelled_background", "spelled_target").join(facts.hint("merge"), ["word", "is_pair"], "left")
+    facts = facts.withColumnRenamed("word", "of")
+    met = parts.join(facts.hint("merge"), (F.col("word") == F.col("of")) & (F.shiftright("kind", 1) == F.col("half")), "left")
 
     def loss(counted: str, total: float, model: str) -> Column:
         """A word's own loss, with what it takes from the word that follows; of a pair, how its loss differs from that of its second word alone."""
-        spelled, back, share = F.col(f"spelled_{model}").cast("double"), F.col(f"back_{model}"), F.col(f"share_{model}")
+        spelled, back, share, kind = F.col(model), F.col(f"back_{model}"), F.col(f"share_{model}"), F.col("kind")
         alone = F.when(F.col(counted) > 0, F.ln(F.col(counted) * (0.5 / total) + F.exp(spelled))).otherwise(spelled)
-        taken = F.when(F.col("followed"), F.coalesce(F.ln(back), F.lit(0.0))).otherwise(0.0)
+        taken = F.when(kind == FOLLOWED, F.coalesce(F.ln(back), F.lit(0.0))).otherwise(0.0)
         gained = F.coalesce(F.ln(share + back * F.exp(alone)) - F.ln(back) - alone, F.lit(0.0))
-        return F.when(F.col("is_pair"), -gained).otherwise(-alone - taken)
-
-    rest = rare.groupBy("row").agg(F.sum(loss("n", fitted.totals[0], "background")).alias("b"), F.sum(loss("t", fitted.totals[1], "target")).alias("t"))
-    rows = parts.where("word is null").join(rest.hint("merge"), "row", "left")
+        return F.when(kind == DOCUMENT, spelled).when(kind == SIZE, 0.0).when(kind == PAIR, -gained).otherwise(-alone - taken)
+
+    sums = met.groupBy("row").agg(
+        F.max(F.when(F.col("kind") == DOCUMENT, F.col("word"))).alias("doc_id"),
+        F.max(F.when(F.col("kind") == SIZE, F.col("background"))).cast("long").alias("n_tokens"),
+        F.sum(loss("n", fitted.totals[0], "background")).alias("b"),
+        F.sum(loss("t", fitted.totals[1], "target")).alias("t"),
+    )
     each = F.greatest("n_tokens", F.lit(1))
-    made = rows.select("doc_id", "n_tokens", ((F.col("loss_target") + F.coalesce("t", F.lit(0.0))) / each).alias("ce_target"), ((F.col("loss_background") + F.coalesce("b", F.lit(0.0))) / each).alias("ce_background"))
+    made = sums.select("doc_id", "n_tokens", (F.col("t") / each).alias("ce_target"), (F.col("b") / each).alias("ce_background"))
     return made.withColumn("ce_difference", F.col("ce_target") - F.col("ce_background"))
 
 
