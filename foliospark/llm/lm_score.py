@@ -13,6 +13,7 @@ what can't be in the vocabulary and needs no join; a bit too many sends an occur
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -325,9 +326,164 @@ def models(docs: DataFrame, least: int = 2, rare_pairs: bool = False) -> Models:
     return Models(ready, vocabulary, heavy, (pairs["word"].to_numpy(), shares), left, totals, (1 - 0.5 * sums[2] / totals[0], 1 - 0.5 * sums[3] / totals[1]), rare, bits, others)
 
 
-SCORED = "row long, word long, kind int, background double, target double"
-#: Kinds of rows: a word that the join meets, the same with a word after it, a pair, a document with its id and losses, and its size. Halved, they tell what to join.
-WORD, FOLLOWED, PAIR, DOCUMENT, SIZE = 0, 1, 2, 4, 6
+#: What texts and facts send: to the share ``part`` of all hashes, or as sums to the documents of ``block``.
+SENT = "part long, kind int, block long, packed binary"
+SENT_SCHEMA = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("packed", pa.binary())])
+#: Kinds of what is sent; in this order a part's facts come before the words and pairs that look them up.
+WORD_FACTS, PAIR_FACTS, WORD, FOLLOWED, PAIR, DOCUMENTS, SUMS = range(7)
+#: The columns of each kind: of facts the hash, both counts, what comes back and, of pairs, the shares; of words and pairs the hash, the document's place in its block and the
+#: spelling's logarithms; of documents the place, the id and whether it is there, the size and both losses.
+COLUMNS = {WORD_FACTS: ("<u8", *["<f4"] * 4), PAIR_FACTS: ("<u8", *["<f4"] * 6), DOCUMENTS: ("<u2", "<i8", "u1", "<i8", "<f8", "<f8"), SUMS: ("<u2", "<f4", "<f4")} | dict.fromkeys((WORD, FOLLOWED, PAIR), ("<u8", "<u2", "<f4", "<f4"))
+#: Documents of a block; words and pairs, or facts, that a task holds before it sends them; words of the corpus for each part, so that a part's facts fit a task.
+BLOCK, HELD, PART_WORDS = 1 << 13, 1 << 20, 1 << 20
+
+
+def _packed(kind: int, columns: list[np.ndarray]) -> bytes:
+    """Columns of one length as bytes, those of equal place side by side. Hashes are in order and kept as steps."""
+    out = []
+    for dtype, x in zip(COLUMNS[kind], columns, strict=True):
+        x = np.diff(x, prepend=x.dtype.type(0)) if dtype == "<u8" else x
+        out.append(np.ascontiguousarray(x, dtype).view(np.uint8).reshape(len(x), -1).T.tobytes())
+    return len(columns[0]).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(b"".join(out), asbytes=True)
+
+
+def _columns(kind: int, packed: bytes) -> list[np.ndarray]:
+    n, out, at = int.from_bytes(packed[:4], "little"), [], 0
+    dtypes = [np.dtype(x) for x in COLUMNS[kind]]
+    raw = np.frombuffer(pa.Codec("zstd").decompress(packed[4:], n * sum(d.itemsize for d in dtypes)), np.uint8)
+    for d in dtypes:
+        x = np.ascontiguousarray(raw[at : at + n * d.itemsize].reshape(d.itemsize, n).T).view(d).ravel()
+        out.append(np.cumsum(x, dtype=np.uint64) if d == np.uint64 else x)
+        at += n * d.itemsize
+    return out
+
+
+def _sent(part: int, kind: int, block: int, columns: list[np.ndarray]) -> tuple[int, int, int, bytes]:
+    return part, kind, block, _packed(kind, columns)
+
+
+def _rows(sent: Iterator[tuple[int, int, int, bytes]], most: int = 64) -> Iterator[pa.RecordBatch]:
+    """What is sent as batches of a few rows, which are large."""
+    while some := list(itertools.islice(sent, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some, strict=True), SENT_SCHEMA, strict=True)], schema=SENT_SCHEMA)
+
+
+def _dealt(kind: int, block: int, columns: list[np.ndarray], parts: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """``columns``, of which the first holds hashes, in order of them and cut by parts: the share of a hash is its highest bits."""
+    order = np.argsort(columns[0])
+    columns = [x[order] for x in columns]
+    part = (columns[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield _sent(int(part[a]), kind, block, [x[a:b] for x in columns])
+
+
+def _facts_sent(facts: DataFrame, kind: int, parts: int) -> DataFrame:
+    names = ["n", "t", *[f"back_{m}" for m in MODELS], *[f"share_{m}" for m in MODELS if kind == PAIR_FACTS]]
+
+    def sent(batches):
+        held, size = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append([batch["word"].to_numpy().view(np.uint64), *[batch[c].to_numpy(zero_copy_only=False).astype(np.float32) for c in names]])
+                size += len(batch)
+            if held and (batch is None or size >= HELD):
+                yield from _dealt(kind, -1, [np.concatenate(x) for x in zip(*held, strict=True)], parts)
+                held, size = [], 0
+
+    return facts.select("word", *names).mapInArrow(lambda batches: _rows(sent(batches)), SENT)
+
+
+def _met(sent: DataFrame, totals: tuple[float, float]) -> DataFrame:
+    """What words and pairs change of their documents' losses, as sums of a task, and the documents themselves. ``sent`` comes part by part, facts first."""
+
+    def gains(kind: int, facts: list[np.ndarray], key: np.ndarray, spelled: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which of the words or pairs the facts have, and what each of these adds to both losses."""
+        place = np.minimum(np.searchsorted(facts[0], key), max(len(facts[0]) - 1, 0))
+        at = np.flatnonzero(facts[0][place] == key) if len(facts[0]) else np.zeros(0, np.int64)
+        place, out = place[at], []
+        for k, total in enumerate(totals):
+            count, back = (facts[c][place].astype(float) for c in (1 + k, 3 + k))
+            alone_spelled = spelled[k][at].astype(float)
+            alone = np.log(count * (0.5 / total) + np.exp(alone_spelled))
+            alone[count <= 0] = alone_spelled[count <= 0]
+            if kind == PAIR:
+                out.append(-(np.log(facts[5 + k][place] + back * np.exp(alone)) - np.log(back) - alone))
+            else:
+                out.append(alone_spelled - alone - (np.log(back) if kind == FOLLOWED else 0.0))
+        return at, out
+
+    def run(batches):
+        part, facts, tally = None, {}, []  # the tally: rows and both sums
+        held, size, counted = {}, 0, 0
+
+        def looked_up():
+            nonlocal held, size, counted
+            for kind, several in held.items():
+                of = PAIR_FACTS if kind == PAIR else WORD_FACTS
+                if isinstance(facts.get(of), list) and facts[of]:
+                    columns = [np.concatenate(x) for x in zip(*facts[of], strict=True)]
+                    order = np.argsort(columns[0])
+                    facts[of] = tuple(x[order] for x in columns)
+                if of in facts and len(facts[of]):
+                    row, key, *spelled = (np.concatenate(x) for x in zip(*several, strict=True))
+                    at, added = gains(kind, facts[of], key, spelled)
+                    tally.append((row[at], *added))
+                    counted += len(at)
+            held, size = {}, 0
+
+        def summed():
+            nonlocal counted, tally
+            row, *added = (np.concatenate(x) for x in zip(*tally, strict=True))
+            found, at = np.unique(row, return_inverse=True)
+            tally, counted = [(found, *[np.bincount(at, x, len(found)) for x in added])], len(found)
+
+        def sums(over: int):
+            nonlocal counted, tally
+            if tally and counted > over:
+                summed()
+            if tally and counted > over // 2:
+                (row, *added), tally, counted = tally[0], [], 0
+                cuts = [0, *(np.flatnonzero(np.diff(row // BLOCK)) + 1).tolist(), len(row)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if b > a:
+                        yield _sent(0, SUMS, int(row[a]) // BLOCK, [row[a:b] % BLOCK, *[x[a:b] for x in added]])
+
+        for batch in batches:
+            for of, kind, block, packed in zip(*[batch[c].to_pylist() for c in ("part", "kind", "block", "packed")], strict=True):
+                if of != part:
+                    looked_up()
+                    part, facts = of, {}
+                if kind == DOCUMENTS:
+                    yield of, kind, block, packed
+                elif kind in (WORD_FACTS, PAIR_FACTS):
+                    facts.setdefault(kind, []).append(_columns(kind, packed))
+                else:
+                    key, row, *spelled = _columns(kind, packed)
+                    held.setdefault(kind, []).append((block * BLOCK + row.astype(np.int64), key, *spelled))
+                    size += len(key)
+                    if size >= HELD >> 2:
+                        looked_up()
+                        yield from sums(HELD)
+        looked_up()
+        yield from sums(0)
+
+    return sent.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(lambda batches: _rows(run(batches)), SENT)
+
+
+def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of a block, their losses with all sums."""
+    total, documents = np.zeros((2, BLOCK)), []
+    for batch in batches:
+        for kind, packed in zip(batch["kind"].to_pylist(), batch["packed"].to_pylist(), strict=True):
+            row, *columns = _columns(kind, packed)
+            if kind == DOCUMENTS:
+                documents.append((row, *columns))
+            for k in range(2):
+                total[k] += np.bincount(row, columns[k - 2], BLOCK)
+    for row, doc_id, there, size, *_ in documents:
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id, mask=there == 0), pa.array(size), *[pa.array(x[row]) for x in total]], names=["doc_id", "n_tokens", "b", "t"])
 
 
 def scored(docs: DataFrame, fitted: Models, weight: float = 20.0) -> DataFrame:
@@ -341,19 +497,38 @@ def scored(docs: DataFrame, fitted: Models, weight: float = 20.0) -> DataFrame:
     small = (fitted.spelling, fitted.heavy, fitted.pairs, fitted.left, fitted.totals, fitted.spelled, fitted.bits, fitted.others)
     held = docs.sparkSession.sparkContext.broadcast(small)  # fixed size, and at most HEAVY words, HEAVY_PAIRS pairs and MOST_BITS
     joins_pairs = fitted.rare is not None
-    schema = pa.schema([("row", pa.int64()), ("word", pa.int64()), ("kind", pa.int32()), ("background", pa.float64()), ("target", pa.float64())])
+    parts = 1
+    while parts * PART_WORDS < fitted.totals[0]:
+        parts *= 2
 
-    def rows(row, word, kind, background, target):
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((row, word, kind, background, target), schema, strict=True)], schema=schema)
+    def blocks(batches):
+        """Texts by blocks of documents: the block's number, the first one's place in it, ids and texts."""
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                size = min(len(batch) - at, BLOCK - number % BLOCK)
+                yield number // BLOCK, number % BLOCK, batch["doc_id"].slice(at, size), batch["text"].slice(at, size)
+                number, at = number + size, at + size
 
     def run(batches):
         spelling, (keys, numbers), (pairs, shares), left, totals, spelled, bits, others = held.value
-        number = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            size = len(batch["text"])
+        waiting, waits, now = {}, 0, None
+
+        def dealt():
+            nonlocal waiting, waits
+            for kind, several in waiting.items():
+                yield from _dealt(kind, now, [np.concatenate(x) for x in zip(*several, strict=True)], parts)
+            waiting, waits = {}, 0
+
+        for block, place_in_block, ids, texts in blocks(batches):
+            if block != now:
+                yield from dealt()
+                now = block
+            size = len(texts)
             sums, sizes = np.zeros((2, size)), np.zeros(size, np.int64)
             with np.errstate(over="ignore", divide="ignore"):
-                for first, raw, at in pieces(batch["text"]):
+                for first, raw, at in pieces(texts):
                     if not len(raw):
                         continue
                     row, four, head, pair = _cells(raw, at)
@@ -379,55 +554,37 @@ def scored(docs: DataFrame, fitted: Models, weight: float = 20.0) -> DataFrame:
                     logs = []
                     for k, model in enumerate(spelling):
                         p = (model["four"][four] + weight * model["low"][pair]) / (model["head"][head] + weight)
-                        upto = np.concatenate([[0.0], np.cumsum(np.log(np.minimum(p, 1.0)))])
+                        upto = np.concatenate([[0.0], np.cumsum(np.log(np.minimum(p, 1.0)), dtype=np.float64)])
                         logs.append(upto[end] - upto[s] + np.log(spelled[k]))
                         counted = numbers[k][place[is_heavy]]
                         alone = np.logaddexp(np.log(0.5 * counted / totals[k]), logs[k][is_heavy])
                         its = known[is_heavy]
                         share = np.where(its >= 0, 0.5 * shares[k][its], 0.0) if len(pairs) else np.zeros(len(its))
-                        loss = -np.log(back[k]) - np.where(is_rare, 0.0, logs[k])  # the join adds what a rare word loses alone
+                        loss = -np.log(back[k]) - logs[k]  # what a rare word or pair changes of it is added where its facts are
                         loss[is_heavy] = -np.logaddexp(np.log(share), np.log(back[k][is_heavy]) + alone)
                         sums[k, first : first + len(at) - 1] = np.bincount(of, loss, len(at) - 1)
-                    kind = np.full(len(hashes), WORD)
-                    kind[second - 1] = FOLLOWED
-                    joined = [(np.flatnonzero(is_rare), hashes[is_rare], kind[is_rare])]
+                    followed = np.zeros(len(hashes), bool)
+                    followed[second - 1] = True
+                    sent = [(kind, np.flatnonzero(x), hashes[x]) for kind, x in ((WORD, is_rare & ~followed), (FOLLOWED, is_rare & followed))]
                     if joins_pairs:
                         may = known[second] < 0
                         may[may] = _may_hold(bits, both[may])
                         may[may] = ~np.isin(both[may], others)
-                        joined.append((second[may], both[may], np.full(may.sum(), PAIR)))
-                    for where, key, kind in joined:
-                        for k in range(0, len(where), 1 << 16):
-                            part = slice(k, k + (1 << 16))
-                            yield rows(number + first + of[where[part]], key[part], kind[part], *[x[where[part]].astype(np.float32).astype(np.float64) for x in logs])
-            of_all = number + np.arange(size)
-            yield rows(of_all, batch["doc_id"], np.full(size, DOCUMENT), *sums)
-            yield rows(of_all, of_all, np.full(size, SIZE), sizes.astype(np.float64), np.zeros(size))
-            number += size
-
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(run, SCORED)
-    facts = fitted.vocabulary.withColumn("half", F.lit(WORD >> 1))
+                        sent.append((PAIR, second[may], both[may]))
+                    for kind, where, key in sent:
+                        if len(where):
+                            waiting.setdefault(kind, []).append((key.view(np.uint64), (place_in_block + first + of[where]).astype(np.uint16), *[x[where].astype(np.float32) for x in logs]))
+                            waits += len(where)
+                    if waits >= HELD:
+                        yield from dealt()
+            yield _sent(block % parts, DOCUMENTS, block, [place_in_block + np.arange(size), ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()), sizes, *sums])
+        yield from dealt()
+
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(lambda batches: _rows(run(batches)), SENT)
+    sent = sent.unionAll(_facts_sent(fitted.vocabulary, WORD_FACTS, parts))
     if joins_pairs:
-        facts = facts.unionByName(fitted.rare.withColumn("half", F.lit(PAIR >> 1)), allowMissingColumns=True)
-    else:
-        facts = facts.select("*", *[F.lit(None).cast("double").alias(f"share_{m}") for m in MODELS])
-    facts = facts.withColumnRenamed("word", "of")
-    met = parts.join(facts.hint("merge"), (F.col("word") == F.col("of")) & (F.shiftright("kind", 1) == F.col("half")), "left")
-
-    def loss(counted: str, total: float, model: str) -> Column:
-        """A word's own loss, with what it takes from the word that follows; of a pair, how its loss differs from that of its second word alone."""
-        spelled, back, share, kind = F.col(model), F.col(f"back_{model}"), F.col(f"share_{model}"), F.col("kind")
-        alone = F.when(F.col(counted) > 0, F.ln(F.col(counted) * (0.5 / total) + F.exp(spelled))).otherwise(spelled)
-        taken = F.when(kind == FOLLOWED, F.coalesce(F.ln(back), F.lit(0.0))).otherwise(0.0)
-        gained = F.coalesce(F.ln(share + back * F.exp(alone)) - F.ln(back) - alone, F.lit(0.0))
-        return F.when(kind == DOCUMENT, spelled).when(kind == SIZE, 0.0).when(kind == PAIR, -gained).otherwise(-alone - taken)
-
-    sums = met.groupBy("row").agg(
-        F.max(F.when(F.col("kind") == DOCUMENT, F.col("word"))).alias("doc_id"),
-        F.max(F.when(F.col("kind") == SIZE, F.col("background"))).cast("long").alias("n_tokens"),
-        F.sum(loss("n", fitted.totals[0], "background")).alias("b"),
-        F.sum(loss("t", fitted.totals[1], "target")).alias("t"),
-    )
+        sent = sent.unionAll(_facts_sent(fitted.rare, PAIR_FACTS, parts))
+    sums = _met(sent, fitted.totals).groupBy("block").applyInArrow(_added, "doc_id long, n_tokens long, b double, t double")
     each = F.greatest("n_tokens", F.lit(1))
     made = sums.select("doc_id", "n_tokens", (F.col("t") / each).alias("ce_target"), (F.col("b") / each).alias("ce_background"))
     return made.withColumn("ce_difference", F.col("ce_target") - F.col("ce_background"))
