@@ -443,17 +443,18 @@ def _met(sent: DataFrame, totals: tuple[float, float]) -> DataFrame:
             nonlocal counted, tally
             if tally and counted > over:
                 summed()
-            if tally and counted > over // 2:
-                (row, *added), tally, counted = tally[0], [], 0
-                cuts = [0, *(np.flatnonzero(np.diff(row // BLOCK)) + 1).tolist(), len(row)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    if b > a:
-                        yield _sent(0, SUMS, int(row[a]) // BLOCK, [row[a:b] % BLOCK, *[x[a:b] for x in added]])
+                if counted > over // 2:
+                    (row, *added), tally, counted = tally[0], [], 0
+                    cuts = [0, *(np.flatnonzero(np.diff(row // BLOCK)) + 1).tolist(), len(row)]
+                    for a, b in zip(cuts, cuts[1:], strict=False):
+                        if b > a:
+                            yield _sent(0, SUMS, int(row[a]) // BLOCK, [row[a:b] % BLOCK, *[x[a:b] for x in added]])
 
         for batch in batches:
             for of, kind, block, packed in zip(*[batch[c].to_pylist() for c in ("part", "kind", "block", "packed")], strict=True):
                 if of != part:
                     looked_up()
+                    yield from sums(HELD)
                     part, facts = of, {}
                 if kind == DOCUMENTS:
                     yield of, kind, block, packed
