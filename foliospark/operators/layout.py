@@ -27,6 +27,9 @@ NOTE_TOP, SMALL_TOP, SMALL_FONT, NEAR_FONT = 0.72, 0.80, 0.92, 0.25
 MARGIN, CENTRE, CORNER, NUMBER_FONT = 0.08, 0.12, 0.2, 1.3
 HEADER_CHARS, HEADER_PAGES = 12, 3
 
+#: Bytes of a row group of the pages' table: what each task that writes or reads it holds at once.
+GROUP_BYTES = 8 << 20
+
 
 def span_text(spans: Column) -> Column:
     """Spans of a line from left to right, with a blank where the gap is wide for the type size."""
@@ -188,7 +191,8 @@ def without_running(pages: DataFrame) -> DataFrame:
     The texts of each page meet the running ones, and a page gets back those that it has: no row holds more than a page.
     """
     running = running_texts(pages).select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
-    texts = pages.select(*PAGE, F.explode(F.array_distinct(F.transform("lines", lambda x: x["text"]))).alias("text"))
+    long = F.filter("lines", lambda x: F.length(x["text"]) >= HEADER_CHARS)  # as running ones are
+    texts = pages.select(*PAGE, F.explode(F.array_distinct(F.transform(long, lambda x: x["text"]))).alias("text"))
     hits = texts.join(running, _is("doc_id", "_doc") & _is("text", "_text")).groupBy("doc_id", "page_index").agg(F.collect_set("text").alias("_running"))
     hits = hits.select(F.col("doc_id").alias("_doc"), F.col("page_index").alias("_page"), "_running")
     found = pages.join(hits, _is("doc_id", "_doc") & _is("page_index", "_page"), "left")
@@ -198,7 +202,7 @@ def without_running(pages: DataFrame) -> DataFrame:
 
 def filtered_pages(layout: DataFrame) -> DataFrame:
     """Pages with their metrics, without page numbers, narrow tall lines, running headers and footers; metrics are from before, and are computed once, into a table."""
-    pages = without_running(scratch.written(with_metrics(pages_of(layout)), "pages"))
+    pages = without_running(scratch.written(with_metrics(pages_of(layout)), "pages", GROUP_BYTES))
     return pages.withColumn("lines", F.filter("lines", lambda x: ~is_page_number(x) & ~is_narrow_tall(x)))
 
 

@@ -26,10 +26,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/foliospark-{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table of the shared folder: computed once, whatever reads it, and not again when an executor is lost."""
+def written(df: DataFrame, tag: str, group_bytes: int | None = None) -> DataFrame:
+    """``df`` as a table of the shared folder: computed once, whatever reads it, and not again when an executor is lost.
+
+    ``group_bytes``: the size of a row group, which a writer holds in memory until it is full; else Spark's.
+    """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    out = df.write if group_bytes is None else df.write.option("parquet.block.size", group_bytes)
+    out.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
