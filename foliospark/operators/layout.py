@@ -226,9 +226,11 @@ def described(paragraphs: DataFrame) -> DataFrame:
     box = lambda x: {n: x[n] for n in ("x0", "y0", "x1", "y1")}
 
     def common_box(page: Column) -> Column:
-        mine = F.filter(lines, lambda x: x["page_index"] + 1 == page)
-        edge = lambda n, f: f(F.transform(mine, lambda x: x[n])).alias(n)
-        return F.struct(page.alias("page"), edge("x0", F.array_min), edge("y0", F.array_min), edge("x1", F.array_max), edge("y1", F.array_max))
+        def edges(mine: Column) -> Column:
+            edge = lambda n, f: f(F.transform(mine, lambda x: x[n])).alias(n)
+            return F.struct(page.alias("page"), edge("x0", F.array_min), edge("y0", F.array_min), edge("x1", F.array_max), edge("y1", F.array_max))
+
+        return T.bound(F.filter(lines, lambda x: x["page_index"] + 1 == page), edges)
 
     first = F.filter(lines, lambda x: x["page_index"] + 1 == F.col("pages")[0])
     rank = lambda x: F.struct(x["text"].startswith(blocks.MATH).alias("math"), x["y0"].alias("k"), x["x0"].alias("k2"), *[c.alias(n) for n, c in box(x).items()])
@@ -263,9 +265,12 @@ def document_paragraphs(layout: DataFrame, references: bool = True) -> DataFrame
 
 def joined_lines(parts: Column) -> Column:
     """Lines with blanks between them; a word split by a hyphen at a line's end is joined."""
-    full = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
-    ended = F.transform(full, lambda x, i: F.when(i + 1 == F.size(full), x).when(x.rlike(r"\p{L}-$"), F.regexp_replace(x, "-$", "")).otherwise(F.concat(x, F.lit(" "))))
-    return T.normalize(F.array_join(ended, ""))
+
+    def ended(full: Column) -> Column:
+        return F.transform(full, lambda x, i: F.when(i + 1 == F.size(full), x).when(x.rlike(r"\p{L}-$"), F.regexp_replace(x, "-$", "")).otherwise(F.concat(x, F.lit(" "))))
+
+    # bound, for each line asks how many there are
+    return T.normalize(F.array_join(T.bound(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), ended), ""))
 
 
 def layout_of_texts(docs: DataFrame, lines_a_page: int = 40) -> DataFrame:
